@@ -6,10 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from karst.llm import op3_exact, op7_warc, op8_decontaminate
+from karst.llm.op2_toxicity import op2_toxicity
+from karst.llm.op4_langid import op4_language_id
+from karst.llm.op9_html import op9_html_main_text
 from karst.llm.op10_tokens import op10_token_binary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op3_exact_dedup": op3_exact.op3_exact_dedup,
+    "op4_language_id": op4_language_id,
+    "op7_arc_to_warc": op7_warc.op7_arc_to_warc,
+    "op8_decontamination": op8_decontaminate.op8_decontamination,
+    "op9_html_main_text": op9_html_main_text,
     "op10_token_binary": op10_token_binary,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": op3_exact.ORACLE_SQL,
+    "op7_arc_to_warc": op7_warc.ORACLE_SQL,
+    "op8_decontamination": op8_decontaminate.ORACLE_SQL,
+}
