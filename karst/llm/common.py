@@ -101,6 +101,18 @@ def with_group(df: DataFrame, keys: Sequence[str], value: str, best: str, size:
     return rows.join(lut, cond).drop(salt, "__k_salt", *[f"__k_{k}" for k in keys])
 
 
+def keep_rows(docs: DataFrame, kept: DataFrame, key: Column) -> DataFrame:
+    """The rows of `docs` that `kept` (doc_id, key) names, with all their columns.
+
+    `key` is the expression over `docs` whose value tells rows of one doc_id apart. A row that is
+    repeated in `kept` (same doc_id, same text) stays once.
+    """
+    named = cut(kept.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("__n")), "kept")
+    out = docs.join(named, docs["doc_id"].eqNullSafe(named["__id"]) & key.eqNullSafe(named["__key"]), "left_semi")
+    repeated = not named.filter("__n > 1").isEmpty()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+
+
 def fold_words(text: str | None) -> list[bytes]:
     """Words of WORD_CLASS after lower-casing A-Z, as UTF-8 bytes."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()

@@ -80,7 +80,7 @@ def _hits(docs: DataFrame, block: DataFrame) -> DataFrame:
 
 
 def run(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per document: doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated."""
     docs = docs.select("doc_id", "text")
     wins = cut(windows(benchmark, size), "windows")
     blocks = max(1, -(-wins.count() // block_windows))
@@ -106,9 +106,10 @@ def run(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_windows
         lambda a: a["hit"],
     )
     ids = F.array_sort(F.array_distinct(F.flatten("items")))
-    out = grouped.select("doc_id", "n_words", covered.alias("n_hit"), ids.alias("ids"), F.explode(F.sequence(F.lit(1), "rows")))
+    out = grouped.select("doc_id", "text_hash", "n_words", covered.alias("n_hit"), ids.alias("ids"), F.explode(F.sequence(F.lit(1), "rows")))
     return out.select(
         "doc_id",
+        "text_hash",
         F.col("n_words").cast("long").alias("n_words"),
         F.col("n_hit").cast("long").alias("n_hit"),
         F.size("ids").cast("long").alias("n_items"),
@@ -118,7 +119,9 @@ def run(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_windows
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return run(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop(
+        "text_hash"
+    )
 
 
 ORACLE_SQL = r"""
