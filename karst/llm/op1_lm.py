@@ -63,6 +63,9 @@ class Grams:
         offsets = offsets - offsets[0]
         n = len(words)
         k = coded.indices.to_numpy().astype(np.int64)
+        if "" in words:  # the splitter gives one for white space at an edge, and for an empty text
+            real = k != words.index("")
+            offsets, k = np.concatenate([[0], np.cumsum(real)])[offsets], k[real]
         k = np.insert(k, offsets[1:], n)  # ends
         first = offsets[:-1] + np.arange(len(texts))
         self.words = np.insert(k, first, n + 1)  # starts
