@@ -23,7 +23,7 @@ def match_sites(target: DataFrame, ref: DataFrame) -> DataFrame:
     r = _first(ref, "snp_id").select(
         "ref_idx", "snp_id", F.col("chr").alias("r_chr"), F.col("bp").alias("r_bp"), F.col("a1").alias("r_a1"), F.col("a2").alias("r_a2"), "af"
     )
-    rows = target.join(r, "snp_id").filter((F.col("chr") == F.col("r_chr")) & (F.col("bp") == F.col("r_bp")))
+    rows = target.drop("af").join(r, "snp_id").filter((F.col("chr") == F.col("r_chr")) & (F.col("bp") == F.col("r_bp")))
     return _alleles(rows)
 
 
@@ -44,7 +44,7 @@ def require_overlap(matched: DataFrame) -> DataFrame:
 def match_markers(target: DataFrame, ref: DataFrame) -> DataFrame:
     """As match_sites for markers: by id, else by `chr_pos`; alleles may be numbered 0 to 3."""
     letters = lambda c: F.when(F.length(c) == 1, F.translate(c, "0123", "ACGT")).otherwise(c)
-    t = target.withColumn("a1", letters(F.col("a1"))).withColumn("a2", letters(F.col("a2")))
+    t = target.drop("af").withColumn("a1", letters(F.col("a1"))).withColumn("a2", letters(F.col("a2")))
     r = ref.withColumn("r_a1", letters(F.col("a1"))).withColumn("r_a2", letters(F.col("a2")))
     own = _first(r, "snp_id").select(F.col("snp_id").alias("key"), F.struct("ref_idx", "r_a1", "r_a2", "af").alias("by_id"))
     place = _first(r.withColumn("place", F.concat_ws("_", "chr", "bp")), "place").select("place", F.struct("ref_idx", "r_a1", "r_a2", "af").alias("by_place"))

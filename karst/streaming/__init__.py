@@ -1,0 +1 @@
+"""Empty on purpose: the engine has no stream operator; repeated passes over blocks are batch jobs."""
