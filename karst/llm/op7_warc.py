@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.llm.common import parts_for, shared_path, text_bytes, with_group
+from karst.llm.common import shared_path, with_group
 
 FILE_BYTES = 24 << 20
 #: The record lines of both versions.
@@ -83,6 +83,8 @@ def parse_arc(raw: bytes) -> Iterator[ArcRecord]:
     while at < len(raw):
         end = raw.find(b"\n", at)
         if end < 0:
+            if raw[at:].strip():
+                raise ValueError(f"record line at byte {at} is cut short")
             break
         line = raw[at:end].rstrip(b"\r")
         if not line:
@@ -275,11 +277,12 @@ def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
 
-def write_warc(records: DataFrame, out: str, files: int, min_bytes: int = 0) -> None:
-    """Write records of arc_to_records as gzipped WARC files.
+def write_warc(records: DataFrame, out: str, per_file: int, min_bytes: int = 0) -> None:
+    """Write records of arc_to_records as gzipped WARC files of at most `per_file` records.
 
     Only digests and ids are grouped; a digest that a third of all records share is dealt out by
-    a salt. Spark's text writer puts each record's bytes into the file, then two line ends.
+    a salt. Payloads move once, to meet what their digest's group decided. Spark's text writer puts
+    each record's bytes into the file, then two line ends.
     """
     same = F.when(F.col("size") >= min_bytes, F.col("digest")).otherwise(
         F.concat_ws(" ", "digest", F.col("page_id").cast("string"))
@@ -287,10 +290,10 @@ def write_warc(records: DataFrame, out: str, files: int, min_bytes: int = 0) ->
     grouped = with_group(records.withColumn("__same", same), ["__same"], "page_id", "response", "copies").withColumn(
         "response", F.when(F.col("size") >= min_bytes, F.col("response"))
     )
-    rows = grouped.select(*_RECORD, "response").repartition(files, F.xxhash64("page_id", "url", "digest"))
-    rows.mapInArrow(_to_warc, "record binary").select(F.col("record").cast("string").alias("value")).write.option(
-        "lineSep", "\r\n\r\n"
-    ).option("compression", "gzip").text(out)
+    rows = grouped.select(*_RECORD, "response").mapInArrow(_to_warc, "record binary")
+    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option(
+        "compression", "gzip"
+    ).option("maxRecordsPerFile", per_file).text(out)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -330,8 +333,8 @@ _READ = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "re
 def run(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Pages to ARC, ARC to WARC files in the shared folder, and the files read back."""
     out = shared_path(spark, "warc")
-    files = parts_for(text_bytes(pages, "html"), FILE_BYTES)
-    write_warc(arc_to_records(pages_to_arc(pages)), out, files, min_bytes)
+    size = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0
+    write_warc(arc_to_records(pages_to_arc(pages)), out, int(FILE_BYTES / (size + 500)) + 1, min_bytes)
     return read_warc(spark, out)
 
 
