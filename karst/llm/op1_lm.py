@@ -35,8 +35,8 @@ from karst.llm.common import id_mod, parts_for, text_bytes
 
 ORDER = 2
 STRENGTH = 300.0
-BATCH_BYTES = 6 << 20
-BUCKET_BYTES = 12 << 20
+BATCH_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: The lowest two bits of a key: a token, or anything else.
@@ -50,6 +50,16 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as their first bytes, then their second, and so on: of sorted or small numbers most bytes then repeat."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def from_planes(raw: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype)[:, 0]
+
+
 class Grams:
     """The n-grams of a batch of texts: for each place of the sequence <start> words <end>."""
 
@@ -182,7 +192,7 @@ def run(docs: DataFrame, modulus: int = 7, held_out: int = 2, order: int = ORDER
         grams = Grams(texts, order)
         counts, at = grams.counts(train).astype("<u4"), grams.ranges(buckets)
         batch = table.column("batch")[0].as_py()
-        cut = lambda x: pa.array([x[at[i] : at[i + 1]].tobytes() for i in range(buckets)], pa.binary())
+        cut = lambda x: pa.array([planes(x[at[i] : at[i + 1]]) for i in range(buckets)], pa.binary())
         return pa.table(
             {
                 "bucket": pa.array(range(buckets), pa.int32()),
@@ -193,8 +203,8 @@ def run(docs: DataFrame, modulus: int = 7, held_out: int = 2, order: int = ORDER
         )
 
     def answer(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("keys")]
-        counts = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("counts")]
+        keys = [from_planes(x.as_buffer(), "<u8") for x in table.column("keys")]
+        counts = [from_planes(x.as_buffer(), "<u4") for x in table.column("counts")]
         u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
         token = (u & _KIND) == _TOKEN
@@ -206,7 +216,7 @@ def run(docs: DataFrame, modulus: int = 7, held_out: int = 2, order: int = ORDER
                 "batch": table.column("batch").combine_chunks(),
                 "bucket": table.column("bucket").combine_chunks(),
                 "width": pa.array([x.itemsize for x in told], pa.int32()),
-                "totals": pa.array([x.tobytes() for x in told], pa.binary()),
+                "totals": pa.array([planes(x) for x in told], pa.binary()),
                 "n": pa.array([n] * len(told), pa.int64()),
                 "v": pa.array([v] * len(told), pa.int64()),
             }
@@ -219,7 +229,7 @@ def run(docs: DataFrame, modulus: int = 7, held_out: int = 2, order: int = ORDER
         grams = Grams(texts, order)
         told = told.sort_by("bucket")
         totals = np.concatenate(
-            [np.frombuffer(x.as_buffer(), f"<u{w}").astype(np.int64) for x, w in zip(told.column("totals"), told.column("width").to_pylist())]
+            [from_planes(x.as_buffer(), f"<u{w}").astype(np.int64) for x, w in zip(told.column("totals"), told.column("width").to_pylist())]
         )
         n, v = pc.sum(told.column("n")).as_py(), pc.sum(told.column("v")).as_py()
         automaton = Automaton(grams, totals, n, v, strength)
