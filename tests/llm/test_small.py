@@ -286,7 +286,9 @@ def brute_near(rows, threshold=0.8):
     return sorted((str(rows[i][0]), str(best[find(i)]), len(groups[find(i)])) for i in range(len(rows)))
 
 
-def test_near(spark, docs, rows, empty):
+@pytest.mark.parametrize("pairs", [op5_minhash.BROADCAST_PAIRS, 0])
+def test_near(spark, docs, rows, empty, monkeypatch, pairs):
+    monkeypatch.setattr(op5_minhash, "BROADCAST_PAIRS", pairs)
     got = op5_minhash.classes(docs).collect()
     assert sorted((str(r["doc_id"]), str(r["class_id"]), r["class_size"]) for r in got) == brute_near(rows)
     assert op5_minhash.classes(empty).count() == 0
