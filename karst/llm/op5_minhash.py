@@ -276,12 +276,26 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(renamed.select("v", F.coalesce("root", "label").alias("label")), "labels")
 
 
+def _known(cid: np.ndarray, failed: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of places, both ways and in order of the first, whose members `failed` names as checked."""
+    order = np.argsort(cid)
+    names = failed.flatten().to_numpy()
+    at = np.minimum(np.searchsorted(cid, names, sorter=order), len(cid) - 1)
+    here = cid[order[at]] == names
+    i = np.repeat(np.arange(len(cid)), failed.value_lengths().to_numpy())[here]
+    j = order[at[here]]
+    i, j = np.concatenate([i, j]), np.concatenate([j, i])
+    by = np.argsort(i, kind="stable")
+    return i[by], j[by]
+
+
 def _partners(table: pa.Table) -> pa.Table:
-    """For each member of a block pair its likeliest partners in other classes: cid, partner, agree."""
+    """For each member of a block pair its likeliest unchecked partners in other classes: cid, partner, agree."""
     cid = table.column("cid").to_numpy()
     label = table.column("label").to_numpy()
     part = table.column("part").to_numpy()
     sig = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(cid), -1)
+    known, with_ = _known(cid, table.column("failed").combine_chunks())
     two = len(np.unique(part)) > 1
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(cid), 256):
@@ -292,6 +306,8 @@ def _partners(table: pa.Table) -> pa.Table:
         agree[label[own][:, None] == label[None, :]] = -1
         if two:  # members of one block meet in the group of that block alone
             agree[part[own][:, None] == part[None, :]] = -1
+        a, z = np.searchsorted(known, [at, at + len(agree)])
+        agree[known[a:z] - at, with_[a:z]] = -1
         top = np.argpartition(-agree, min(PARTNERS, len(cid) - 1), axis=1)[:, :PARTNERS]
         score = np.take_along_axis(agree, top, 1)
         i, j = np.nonzero(score >= SURE * sig.shape[1])
@@ -331,22 +347,25 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS)
         told = open_members.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         several = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
         # a bucket whose members are one class stays so: only the others go into the next round
-        told = cut(told.join(several, "key").join(reps.select("cid", "low"), "cid"), "open")
+        told = told.join(several, "key").join(reps.select("cid", "low"), "cid")
+        # each pair that failed goes with the member that named it: at most its bucket leaders and what it named in the rounds
+        failed = tested.filter("not ok").groupBy(F.col("b").alias("cid")).agg(F.collect_list("a").alias("failed"))
+        told = told.join(failed, "cid", "left").withColumn("failed", F.coalesce("failed", F.array().cast("array<bigint>")))
+        told = cut(told, "open")
         open_members = told.select("key", "n", "cid")
         parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
         dealt = told.withColumn("part", F.pmod(F.xxhash64("cid"), parts).cast("int")).withColumn(
             "other", F.explode(F.sequence(F.lit(0), parts - 1))
         )
         dealt = dealt.select(
-            "key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cid", "label", "low"
+            "key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cid", "label", "low", "failed"
         )
         named = dealt.groupBy("key", "lo", "hi").applyInArrow(_partners, "cid long, partner long, agree int").distinct()
-        named = named.select("*", F.least("cid", "partner").alias("a"), F.greatest("cid", "partner").alias("b"))
-        named = named.join(tested, ["a", "b"], "left_anti")
         # over all its buckets, a member's likeliest partners
         best = Window.partitionBy("cid").orderBy(F.desc("agree"), "partner")
         named = named.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= PARTNERS)
-        named = cut(named.select("a", "b").distinct(), "named")
+        both = named.groupBy(F.least("cid", "partner").alias("x"), F.greatest("cid", "partner").alias("y")).agg(F.min("cid").alias("b"))
+        named = cut(both.select(F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), "b"), "named")
         new = cut(_checked(named, sets, threshold), "tested")
         if new.filter("ok").isEmpty():
             break

@@ -311,6 +311,28 @@ def test_near_families(spark, monkeypatch):
     assert sorted((str(r["doc_id"]), str(r["class_id"]), r["class_size"]) for r in got) == brute_near(rows)
 
 
+def test_near_partners_leave_checked_pairs_out():
+    """A member whose three likeliest partners failed names the fourth, whichever end told of the failure."""
+    cid = np.array([50, 40, 30, 20, 10])
+    low = np.tile(np.arange(128, dtype=np.uint8), (5, 1))
+    for i in range(1, 5):  # the later, the less like the first; and each unlike the others
+        low[i, 8 * i : 8 * i + 6 + i] += np.uint8(100 + i)
+    failed = [[40, 7], [], [50, 40], [50], []]
+    table = pa.table(
+        {
+            "cid": pa.array(cid, pa.int64()),
+            "label": pa.array(cid, pa.int64()),
+            "part": pa.array([0] * 5, pa.int32()),
+            "low": pa.array([x.tobytes() for x in low], pa.binary()),
+            "failed": pa.array(failed, pa.list_(pa.int64())),
+        }
+    )
+    got = op5_minhash._partners(table)
+    pairs = set(zip(got.column("cid").to_pylist(), got.column("partner").to_pylist()))
+    assert {(50, 10), (10, 50)} <= pairs
+    assert not pairs & {(50, 40), (40, 50), (30, 50), (50, 30), (30, 40), (40, 30), (20, 50), (50, 20)}
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     e = rng.integers(0, 2**63, 9).astype(np.uint64)
