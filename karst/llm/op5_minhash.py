@@ -18,8 +18,8 @@ coordinates of one of BANDS bands share a bucket (a similarity of 0.8 is missed
            checked yet.
 
 Named pairs whose signatures agree in SURE of the coordinates are checked exactly on their shingles,
-links merge classes by min-label propagation with shortcuts, and rounds go on until no new link is
-found. Pairs, labels and shingles stay
+links merge classes by min-label propagation with shortcuts, and rounds go on until no unchecked pair
+across classes is named. Pairs, labels and shingles stay
 distributed; shingles are made only of texts that share a bucket.
 
 Similarity is at least THRESHOLD. Fewer than five words are one shingle; texts without words (null,
@@ -367,10 +367,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS)
         both = named.groupBy(F.least("cid", "partner").alias("x"), F.greatest("cid", "partner").alias("y")).agg(F.min("cid").alias("b"))
         named = cut(both.select(F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), "b"), "named")
         new = cut(_checked(named, sets, threshold), "tested")
-        if new.filter("ok").isEmpty():
+        if new.isEmpty():
             break
         tested = tested.unionByName(new)
-        labels = merged(labels, new.filter("ok").select("a", "b"))
+        if not new.filter("ok").isEmpty():
+            labels = merged(labels, new.filter("ok").select("a", "b"))
 
     # a class that several word sequences share has the label of all; others are classes of their own
     named = sketches.select("doc_id", "text_hash", "cid").withColumn("row", F.when(F.col("cid").isNull(), F.monotonically_increasing_id()))

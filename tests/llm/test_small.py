@@ -311,6 +311,34 @@ def test_near_families(spark, monkeypatch):
     assert sorted((str(r["doc_id"]), str(r["class_id"]), r["class_size"]) for r in got) == brute_near(rows)
 
 
+def one_link(seed, n):
+    """Texts that differ from one base in five of 80 places. The last two share two places and are alike; others share one at most."""
+    rng = random.Random(seed)
+    places = []
+    while len(places) < n:
+        new = set(rng.sample(range(80), 5))
+        if len(places) == n - 1:
+            new = {*rng.sample(sorted(places[-1]), 2), *rng.sample(sorted(set(range(80)) - places[-1]), 3)}
+        if all(len(new & p) < 2 for p in places[: n - 2]):
+            places.append(new)
+    rows = []
+    for i, own in enumerate(places):
+        w = [f"w{x}" for x in range(404)]
+        for j in own:
+            w[5 * j + 4] = f"new{i}x{j}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def linked(spark, rows):
+    got = {r["doc_id"]: r["class_id"] for r in op5_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return got[rows[-1][0]] == got[rows[-2][0]]
+
+
+def test_near_goes_on_after_a_round_without_links(spark):
+    assert linked(spark, one_link(18, 40))
+
+
 def test_near_partners_leave_checked_pairs_out():
     """A member whose three likeliest partners failed names the fourth, whichever end told of the failure."""
     cid = np.array([50, 40, 30, 20, 10])
