@@ -14,12 +14,12 @@ coordinates of one of BANDS bands share a bucket (a similarity of 0.8 is missed
 
   round 0: every member is named with the bucket's smallest member;
   later:   buckets that still span several classes compare their signatures in blocks of BLOCK,
-           and each member names its PARTNERS likeliest partners in other classes that weren't
-           checked yet.
+           and each member names its likeliest partners in other classes that weren't checked
+           yet: PARTNERS in the first of these rounds, and twice as many in each further one.
 
 Named pairs whose signatures agree in SURE of the coordinates are checked exactly on their shingles,
-links merge classes by min-label propagation with shortcuts, and rounds go on until no unchecked pair
-across classes is named. Pairs, labels and shingles stay
+links merge classes by min-label propagation with shortcuts, and rounds go on until every such pair
+of a bucket is checked or of one class. Pairs, labels and shingles stay
 distributed; shingles are made only of texts that share a bucket.
 
 Similarity is at least THRESHOLD. Fewer than five words are one shingle; texts without words (null,
@@ -46,7 +46,6 @@ K, ROWS, BANDS = 128, 5, 25
 SURE = 0.66  # estimates below this aren't checked: 0.8 is four deviations away
 BLOCK = 2000
 PARTNERS = 3
-ROUNDS = 6
 DOCS_AT_ONCE = 256
 BROADCAST_PAIRS = 500_000
 
@@ -289,15 +288,15 @@ def _known(cid: np.ndarray, failed: pa.ListArray) -> tuple[np.ndarray, np.ndarra
     return i[by], j[by]
 
 
-def _partners(table: pa.Table) -> pa.Table:
-    """For each member of a block pair its likeliest unchecked partners in other classes: cid, partner, agree."""
+def _partners(table: pa.Table, want: int = PARTNERS) -> pa.Table:
+    """For each member of a block pair its likeliest unchecked partners in other classes: key, cid, partner, agree, and if it has more."""
     cid = table.column("cid").to_numpy()
     label = table.column("label").to_numpy()
     part = table.column("part").to_numpy()
     sig = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(cid), -1)
     known, with_ = _known(cid, table.column("failed").combine_chunks())
     two = len(np.unique(part)) > 1
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, ...]] = []
     for at in range(0, len(cid), 256):
         own = slice(at, at + 256)
         agree = np.zeros((min(256, len(cid) - at), len(cid)), np.int16)
@@ -308,15 +307,28 @@ def _partners(table: pa.Table) -> pa.Table:
             agree[part[own][:, None] == part[None, :]] = -1
         a, z = np.searchsorted(known, [at, at + len(agree)])
         agree[known[a:z] - at, with_[a:z]] = -1
-        top = np.argpartition(-agree, min(PARTNERS, len(cid) - 1), axis=1)[:, :PARTNERS]
+        more = (agree >= SURE * sig.shape[1]).sum(1) > want
+        top = np.argpartition(-agree, min(want, len(cid) - 1), axis=1)[:, :want]
         score = np.take_along_axis(agree, top, 1)
         i, j = np.nonzero(score >= SURE * sig.shape[1])
-        out.append((cid[own][i], cid[top[i, j]], score[i, j]))
-    a, b, n = (np.concatenate(x) for x in zip(*out))
-    return pa.table({"cid": pa.array(a, pa.int64()), "partner": pa.array(b, pa.int64()), "agree": pa.array(n, pa.int32())})
+        out.append((cid[own][i], cid[top[i, j]], score[i, j], more[i]))
+    a, b, n, more = (np.concatenate(x) for x in zip(*out))
+    return pa.table(
+        {
+            "key": pa.array(np.full(len(a), table.column("key")[0].as_py()), pa.int64()),
+            "cid": pa.array(a, pa.int64()),
+            "partner": pa.array(b, pa.int64()),
+            "agree": pa.array(n, pa.int32()),
+            "more": pa.array(more, pa.bool_()),
+        }
+    )
+
+
+def _naming(want: int):
+    return lambda table: _partners(table, want)
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, text_hash, class_id, class_size, kept."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     sketches = cut(
@@ -342,17 +354,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS)
     pairs = members.filter("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
     tested = cut(_checked(cut(_likely(pairs, reps), "named"), sets, threshold), "tested")
     labels = components(tested.filter("ok").select("a", "b"))
-    open_members = members.select("key", "n", "cid")
-    for _ in range(rounds):
+    open_members = members.join(reps.select("cid", "low"), "cid").select("key", "n", "cid", "low")
+    want = PARTNERS
+    while True:
         told = open_members.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         several = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        # a bucket whose members are one class stays so: only the others go into the next round
-        told = told.join(several, "key").join(reps.select("cid", "low"), "cid")
         # each pair that failed goes with the member that named it: at most its bucket leaders and what it named in the rounds
         failed = tested.filter("not ok").groupBy(F.col("b").alias("cid")).agg(F.collect_list("a").alias("failed"))
-        told = told.join(failed, "cid", "left").withColumn("failed", F.coalesce("failed", F.array().cast("array<bigint>")))
-        told = cut(told, "open")
-        open_members = told.select("key", "n", "cid")
+        told = told.join(several, "key").join(failed, "cid", "left")
+        told = cut(told.withColumn("failed", F.coalesce("failed", F.array().cast("array<bigint>"))), "open")
         parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
         dealt = told.withColumn("part", F.pmod(F.xxhash64("cid"), parts).cast("int")).withColumn(
             "other", F.explode(F.sequence(F.lit(0), parts - 1))
@@ -360,18 +370,23 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS)
         dealt = dealt.select(
             "key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cid", "label", "low", "failed"
         )
-        named = dealt.groupBy("key", "lo", "hi").applyInArrow(_partners, "cid long, partner long, agree int").distinct()
-        # over all its buckets, a member's likeliest partners
+        named = dealt.groupBy("key", "lo", "hi").applyInArrow(_naming(want), "key long, cid long, partner long, agree int, more boolean")
+        # over all its buckets, a member's likeliest partners; the others stay for the next round
         best = Window.partitionBy("cid").orderBy(F.desc("agree"), "partner")
-        named = named.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= PARTNERS)
+        ranked = cut(named.withColumn("rank", F.dense_rank().over(best)), "ranked")
+        named = ranked.filter(F.col("rank") <= want)
         both = named.groupBy(F.least("cid", "partner").alias("x"), F.greatest("cid", "partner").alias("y")).agg(F.min("cid").alias("b"))
         named = cut(both.select(F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), "b"), "named")
         new = cut(_checked(named, sets, threshold), "tested")
-        if new.isEmpty():
-            break
         tested = tested.unionByName(new)
         if not new.filter("ok").isEmpty():
             labels = merged(labels, new.filter("ok").select("a", "b"))
+        # a bucket of one class, or without an unchecked pair across classes, stays so: only the others go into the next round
+        left = ranked.filter((F.col("rank") > want) | F.col("more")).select("key").distinct()
+        if left.isEmpty():
+            break
+        open_members = told.select("key", "n", "cid", "low").join(left, "key")
+        want *= 2
 
     # a class that several word sequences share has the label of all; others are classes of their own
     named = sketches.select("doc_id", "text_hash", "cid").withColumn("row", F.when(F.col("cid").isNull(), F.monotonically_increasing_id()))

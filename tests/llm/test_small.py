@@ -339,6 +339,10 @@ def test_near_goes_on_after_a_round_without_links(spark):
     assert linked(spark, one_link(18, 40))
 
 
+def test_near_goes_on_until_no_pair_is_left(spark):
+    assert linked(spark, one_link(24, 70))
+
+
 def test_near_partners_leave_checked_pairs_out():
     """A member whose three likeliest partners failed names the fourth, whichever end told of the failure."""
     cid = np.array([50, 40, 30, 20, 10])
@@ -348,6 +352,7 @@ def test_near_partners_leave_checked_pairs_out():
     failed = [[40, 7], [], [50, 40], [50], []]
     table = pa.table(
         {
+            "key": pa.array([1] * 5, pa.int64()),
             "cid": pa.array(cid, pa.int64()),
             "label": pa.array(cid, pa.int64()),
             "part": pa.array([0] * 5, pa.int32()),
