@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -537,6 +538,26 @@ def gram_query(spark, d):
     return spark.createDataFrame(cells, "i long, j long, c double").withColumn("c", r6(F.col("c")))
 
 
+@query("gram_all")
+def gram_all(spark, d):
+    """The cells of all samples; `gram` has those of the 100 that its SQL names."""
+    rows = ld.to_rows(frequency.centred(fx.dosage(spark, d), _af(spark, d)))
+    ids = [r[0] for r in fx.samples(spark, d).select("sample_idx").orderBy("sample_idx").collect()]
+    m, n = pca.shape(rows)
+    c = matrix.gram(rows, n) / m
+    # a row of the matrix travels as one value; its cells are made on the executors
+    lines = spark.createDataFrame(pa.table({"i": pa.array(ids, pa.int64()), "line": pa.array([x.tobytes() for x in c], pa.binary())}))
+    shared = spark.sparkContext.broadcast(np.array(ids, np.int64))
+
+    def cells(batches):
+        for b in batches:
+            for i, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                j = shared.value
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), i)), pa.array(j), pa.array(np.frombuffer(line, "<f8"))], ["i", "j", "c"])
+
+    return lines.mapInArrow(cells, "i long, j long, c double").withColumn("c", r6(F.col("c")))
+
+
 _COVD = (
     _PI
     + ", cv AS (SELECT sample_idx, sum(CASE WHEN 2 * af * (1 - af) > 1e-9 THEN (w0 * 4 * af * af + w1 * (1 - 2 * af) * (1 - 2 * af) + w2 * (2 - 2 * af) * (2 - 2 * af)) / (w0 + w1 + w2) / (2 * af * (1 - af)) ELSE 0 END) AS d"
