@@ -43,7 +43,7 @@ from karst.llm.common import cut, fold_words, parts_for, with_group
 SHINGLE = 5
 THRESHOLD = 0.8
 K, ROWS, BANDS = 128, 5, 25
-SURE = 0.66  # estimates below this aren't checked: 0.8 is four deviations away
+SURE = 0.6  # estimates below this aren't checked: a similarity of 0.8 falls there with probability 7e-8
 BLOCK = 2000
 PARTNERS = 3
 DOCS_AT_ONCE = 256
@@ -143,6 +143,11 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> n
     return np.stack(keys, 1).view(np.int64)
 
 
+def low_bytes(signatures: np.ndarray) -> np.ndarray:
+    """A byte of each dart, of bits that don't make its coordinate: different darts agree in one of 256."""
+    return (signatures >> np.uint64(32)).astype(np.uint8)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two results of shingles()."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -163,7 +168,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(sig) if some else np.zeros((0, BANDS), np.int64)
             cid, bands, low = [None] * len(b), [None] * len(b), [None] * len(b)
             for i, s, k in zip(some, sig, keys):
-                cid[i], bands[i], low[i] = sequence_id(hashes[i]), k, s.astype(np.uint8).tobytes()
+                cid[i], bands[i], low[i] = sequence_id(hashes[i]), k, low_bytes(s).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),

@@ -376,6 +376,17 @@ def test_dart_signatures_estimate_weighted_similarity():
     assert (sig[0] == sig[1]).mean() == pytest.approx(np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum(), abs=0.03)
 
 
+def test_low_bytes_tell_unlike_texts_apart():
+    """The bytes agree as often as the whole signatures do, but for chance (1 in 256)."""
+    rng = np.random.default_rng(1)
+    e = rng.integers(0, 2**63, 300).astype(np.uint64)
+    one = np.ones(200, np.int64)
+    sig = op5_minhash.dart_signatures([(np.sort(e[a : a + 200]), one) for a in (0, 20, 100)])
+    low = op5_minhash.low_bytes(sig)
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        assert (low[i] == low[j]).mean() == pytest.approx((sig[i] == sig[j]).mean(), abs=0.03)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101)]
     got = {r["v"]: r["label"] for r in op5_minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
