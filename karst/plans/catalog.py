@@ -513,7 +513,7 @@ def proj_2(spark, d):
 
 @query("proj_gl")
 def proj_gl(spark, d):
-    got = project.project_likelihoods(fx.likelihoods(spark, d), fx.model_v(spark), _s(spark), _af(spark, d), max_iter=20)
+    got = project.project_likelihoods(fx.likelihoods(spark, d), fx.model_v(spark), _s(spark), _af(spark, d))
     return got.select("sample_idx", *[r6(F.get("pcs", F.lit(i))).alias(f"pc{i + 1}") for i in range(3)])
 
 
@@ -607,14 +607,14 @@ def pca_scores(spark, d):
 @query("em_emu")
 def em_emu(spark, d):
     rows = em.emu_rows(fx.dosage(spark, d), _af(spark, d))
-    fit, _ = em.emu(rows, PcaParams(k=3, method="ssvd", max_iter=10))
+    fit, _ = em.emu(rows, PcaParams(k=3, method="ssvd"))
     return spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(fit.s)], "pc int, s double").withColumn("s", F.round("s", 3))
 
 
 @query("em_pcangsd")
 def em_pcangsd(spark, d):
     rows = em.gl_rows(fx.likelihoods(spark, d), _af(spark, d))
-    _, cov, _ = em.pcangsd(rows, PcaParams(k=3, method="ssvd", max_iter=10))
+    _, cov, _ = em.pcangsd(rows, PcaParams(k=3, method="ssvd"))
     w = np.linalg.eigvalsh(cov)[::-1][:3]
     return spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(w)], "pc int, eigval double").withColumn("eigval", F.round("eigval", 3))
 

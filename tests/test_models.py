@@ -177,3 +177,24 @@ def test_harmonise_refuses_clashes(spark):
     cells = spark.createDataFrame([(0, 0, 1)], "feature_idx long, sample_idx long, dos long")
     with pytest.raises(ValueError):
         project.harmonise(ref, target, cells)
+
+
+@pytest.mark.parametrize("name", ["em_emu", "em_pcangsd", "proj_gl"])
+def test_registered_models_end_by_their_tolerance(monkeypatch, name):
+    """The queries leave the limit of iterations at the operators' default."""
+    from karst.plans import catalog
+
+    class Seen(Exception):
+        pass
+
+    def seen(*args, **kwargs):
+        raise Seen(*[a.max_iter for a in args if isinstance(a, PcaParams)], *kwargs)
+
+    for owner, names in ((em, ("emu", "pcangsd")), (project, ("project_likelihoods",))):
+        for x in names:
+            monkeypatch.setattr(owner, x, seen)
+    for owner, x in ((em, "emu_rows"), (em, "gl_rows"), (catalog, "_af"), (catalog, "_s"), (catalog.fx, "dosage"), (catalog.fx, "likelihoods"), (catalog.fx, "model_v")):
+        monkeypatch.setattr(owner, x, lambda *a: None)
+    with pytest.raises(Seen) as got:
+        catalog.QUERIES[name](None, "")
+    assert got.value.args == (() if name == "proj_gl" else (PcaParams().max_iter,))
