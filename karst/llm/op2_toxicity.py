@@ -7,8 +7,9 @@ likeliest reading, and the score is taken of that. Other words have one reading
 
 The model is two tables, both of bounded size: log-probabilities of 38**3 trigrams (letters,
 digits, other letters, space), and at most MAX_FEATURES words and word beginnings with the share
-of toxic texts among those that hold them. Both are fitted on a bounded sample: at most about
-SAMPLE_EACH labelled rows of each label, chosen by a hash of the id. A feature is taken only if its
+of toxic texts among those that hold them. Trigrams are counted over all texts outside the held-out
+fold, labelled or not. Features are fitted on a bounded sample: at most about SAMPLE_EACH labelled
+rows of each label, chosen by a hash of the id. A feature is taken only if its
 count differs from the base rate by more than chance over all features tried (Bonferroni); texts
 that nearly repeat each other (same smallest hash of three words) count once. A text's score is
 1 - (1 - p0) * product of (1 - p) over its distinct words that are features.
@@ -262,7 +263,7 @@ def _sample(labels: DataFrame, modulus: int, held_out: int) -> tuple[DataFrame,
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0) -> Model:
-    """Fit the character model and the features on the labelled sample."""
+    """Count the character model on all texts outside the held-out fold, and fit the features on the labelled sample."""
     chosen, weight = _sample(labels, modulus, held_out)
     # at most about 2 * SAMPLE_EACH ids: a bounded broadcast
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -274,11 +275,12 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
             plain = [i for i, w in enumerate(words) if not _SIGNS.search(w)]
             times = np.bincount(k, minlength=len(words))[plain].astype(float) if plain else np.zeros(0)
             total += trigram_counts([words[i].strip(_EDGES) for i in plain], times)
-        at = np.flatnonzero(total)
+        at = np.flatnonzero(total)  # once a task
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64))], ["k", "n"])
 
     counts = np.zeros(ALPHABET**3)
-    for r in texts.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+    seen = docs.filter(id_mod("doc_id", modulus) != held_out).select(F.coalesce("text", F.lit("")).alias("text"))
+    for r in seen.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         counts[r["k"]] = r["n"]
     log_p = log_trigrams(counts)
     shared = docs.sparkSession.sparkContext.broadcast(log_p)

@@ -160,6 +160,19 @@ def test_toxicity_reads_through_the_channel(toxic, spark):
     assert op2_toxicity.clean(d, model).count() == 300
 
 
+def test_toxicity_counts_characters_of_unlabelled_texts(toxic, spark):
+    """All texts outside the held-out fold are counted; those inside are not."""
+    d, labels = toxic
+    more = [(i, "qzxqzx " * 9) for i in range(5000, 5100)]
+    alike, other = [x for x in more if mod(x[0], 5) == 0], [x for x in more if mod(x[0], 5) != 0]
+    models = [
+        op2_toxicity.fit(d.select("doc_id", "text").unionByName(spark.createDataFrame(x, "doc_id long, text string")), labels).log_p
+        for x in (alike, other)
+    ]
+    before = op2_toxicity.fit(d, labels).log_p
+    assert np.array_equal(models[0], before) and not np.array_equal(models[1], before)
+
+
 def test_toxicity_small_inputs(docs, empty, toxic, rows):
     _, labels = toxic
     none = op2_toxicity.fit(docs, labels.limit(0))
