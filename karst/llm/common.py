@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="karst-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -110,7 +113,18 @@ def keep_rows(docs: DataFrame, kept: DataFrame, key: Column) -> DataFrame:
     named = cut(kept.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("__n")), "kept")
     out = docs.join(named, docs["doc_id"].eqNullSafe(named["__id"]) & key.eqNullSafe(named["__key"]), "left_semi")
     repeated = not named.filter("__n > 1").isEmpty()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    return out.withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key") if repeated else out
+
+
+_OWN: dict[str, dict] = {}
+
+
+def own_cache(owner: str) -> dict:
+    """A cache of this process. Workers outlive a stage, so a new owner empties the caches of the others."""
+    if owner not in _OWN:
+        _OWN.clear()
+        _OWN[owner] = {}
+    return _OWN[owner]
 
 
 def fold_words(text: str | None) -> list[bytes]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from karst.llm.common import cut, parts_for, shared_path, text_bytes
+from karst.llm.common import cut, own_cache, parts_for, shared_path, text_bytes
 
 MAGIC = b"KTOK"
 HEAD = struct.Struct("<4sHHiIIQIQ")
@@ -191,14 +191,12 @@ class WordEncoder:
         return np.insert(flat, ends[1:], np.uint32(end_id)), np.diff(ends) + 1
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder_for(path: str) -> WordEncoder:
     """One encoder a process, so that its cache serves the tasks that follow."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    mine = own_cache("op10")
+    if path not in mine:
+        mine[path] = WordEncoder(path)
+    return mine[path]
 
 
 def _encode(path: str, vocab: int, end_id: int):

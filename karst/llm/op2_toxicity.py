@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.common import id_mod
+from karst.llm.common import id_mod, own_cache
 
 SAMPLE_EACH = 6000
 MAX_FEATURES = 20_000
@@ -352,16 +352,14 @@ def _scored(shared) -> object:
     return run
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def _model(shared) -> Model:
     """One model a process, so that its cache serves the tasks that follow."""
     key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else hash(shared._path)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(*shared.value)
-    return _MODELS[key]
+    mine = own_cache("op2")
+    if key not in mine:
+        mine.clear()
+        mine[key] = Model(*shared.value)
+    return mine[key]
 
 
 def _apply(rows: DataFrame, model: Model) -> DataFrame:

@@ -10,22 +10,30 @@ similarity (sum of minima / sum of maxima).
 
 Texts with equal words are one class at once. Class representatives that agree in all ROWS
 coordinates of one of BANDS bands share a bucket (a similarity of 0.8 is missed with probability
-(1 - 0.8**5)**25 = 5e-5). A bucket's pairs are never listed:
-
-  round 0: every member is named with the bucket's smallest member;
-  later:   buckets that still span several classes compare their signatures in blocks of BLOCK,
-           and each member names its likeliest partners in other classes that weren't checked
-           yet: PARTNERS in the first of these rounds, and twice as many in each further one.
-
-Named pairs whose signatures agree in SURE of the coordinates are checked exactly on their shingles,
-links merge classes by min-label propagation with shortcuts, and rounds go on until every such pair
-of a bucket is checked or of one class. Pairs, labels and shingles stay
-distributed; shingles are made only of texts that share a bucket.
+(1 - 0.8**5)**25 = 5e-5). Buckets with the same smallest member are one group, so that a text is in
+few groups, not in 25 buckets. All similar pairs of a group are found exactly, and the group only
+tells a spanning forest of them, at most one link a member:
+
+  * A group of at most MEMBERS texts and ELEMENTS shingles is worked in one task: shared shingles
+    of all pairs are counted, by a matrix product for frequent ones, by lists for rare ones.
+  * A larger group is split. Its centre C is the set of shingles that more than half of its
+    members hold; D is what a member has besides C or lacks of it, |D| its size, and
+    a = |D| - |X| / 9. Two members are similar if and only if their D differ in at most a ninth
+    of |X| + |Y| elements (0.8 is the threshold). So members with a + a0 <= 0, a0 being the least a,
+    are similar to the member of a0 for certain, and any other similar pair shares at least
+    (a + a') / 2 > 0 elements of D. A prefix of D, rarest first, that is long enough for this bound
+    deals members into smaller groups, one for each element: an element of D is in at most half of
+    the members, so each split halves a group at least. Lists with one smallest member are
+    one group again, unless this makes it almost as large as it was.
+
+No group is capped and nothing is estimated beyond the buckets. Links become classes by min-label
+propagation with shortcuts. Links, labels and shingles stay distributed; shingles are made only of
+texts that share a bucket.
 
 Similarity is at least THRESHOLD. Fewer than five words are one shingle; texts without words (null,
 empty, signs only) are classes of their own. Of a class the largest doc_id stays; rows that repeat
 it are all marked as kept; a null doc_id loses. Texts are told apart by doc_id and a 64-bit hash,
-word sequences by a 64-bit hash. An empty table gives no rows. Extra columns are ignored.
+word sequences and shingles by a 64-bit hash. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,22 +43,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.llm.common import cut, fold_words, parts_for, with_group
+from karst.llm.common import cut, fold_words, own_cache, parts_for, with_group
 
 SHINGLE = 5
 THRESHOLD = 0.8
 K, ROWS, BANDS = 128, 5, 25
-SURE = 0.6  # estimates below this aren't checked: a similarity of 0.8 falls there with probability 7e-8
-BLOCK = 2000
-PARTNERS = 3
 DOCS_AT_ONCE = 256
-BROADCAST_PAIRS = 500_000
+#: What one task works at once: 16 MB of shingles, and a matrix of 36 MB.
+MEMBERS, ELEMENTS = 3000, 2_000_000
+#: Shingles that more members hold are counted by a matrix product.
+FREQUENT = 64
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_WORDS: dict[bytes, int] = {}
+CACHED_WORDS = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,14 +71,15 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, through a cache that is emptied when full."""
     import xxhash
 
-    got = list(map(_WORDS.get, words))
+    known = own_cache("op5")
+    got = list(map(known.get, words))
     if None in got:
-        if len(_WORDS) > 500_000:
-            _WORDS.clear()
+        if len(known) > CACHED_WORDS:
+            known.clear()
         for w in set(words):
-            if w not in _WORDS:
-                _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-        got = list(map(_WORDS.__getitem__, words))
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
+        got = list(map(known.__getitem__, words))
     return np.array(got, np.uint64)
 
 
@@ -85,6 +94,14 @@ def shingles(hashes: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.nd
     return np.unique(x, return_counts=True)
 
 
+def elements(own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A multiset of shingles as a set: the k-th occurrence of a shingle is an element of its own."""
+    x, times = own
+    k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    x = np.repeat(x, times)
+    return np.unique(np.where(k > 0, _mix(x + k.astype(np.uint64) * _C1), x))
+
+
 def sequence_id(hashes: np.ndarray) -> int:
     """A signed 64-bit name of a word sequence."""
     import xxhash
@@ -143,11 +160,6 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> n
     return np.stack(keys, 1).view(np.int64)
 
 
-def low_bytes(signatures: np.ndarray) -> np.ndarray:
-    """A byte of each dart, of bits that don't make its coordinate: different darts agree in one of 256."""
-    return (signatures >> np.uint64(32)).astype(np.uint8)
-
-
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two results of shingles()."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -155,6 +167,56 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / max(1, int(a[1].sum()) + int(b[1].sum()) - both)
 
 
+def forest(sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs of sets (arrays of distinct numbers), exactly."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    if n == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(0, 1)] if both / max(1, int(size.sum()) - both) >= threshold else []
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    df = np.bincount(token)
+    shared = np.zeros((n, n), np.float32)
+    rare = (df[token] > 1) & (df[token] <= FREQUENT)
+    t, o = token[rare], owner[rare]
+    for d in range(1, FREQUENT):
+        same = np.flatnonzero(t[:-d] == t[d:])
+        if not len(same):
+            break
+        np.add.at(shared, (o[same], o[same + d]), np.float32(1))
+    often = df[token] > FREQUENT
+    column = np.cumsum(df > FREQUENT)[token[often]] - 1
+    o = owner[often]
+    step = max(32, (4 << 20) // n)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, z = np.searchsorted(column, [at, at + step])
+        dense = np.zeros((n, step), np.float32)
+        dense[o[a:z], column[a:z] - at] = 1
+        shared += dense @ dense.T
+    similar = np.zeros((n, n), bool)
+    for i in range(n - 1):
+        both = shared[i, i + 1 :].astype(float)
+        similar[i, i + 1 :] = both / np.maximum(1, size[i] + size[i + 1 :] - both) >= threshold
+    similar |= similar.T
+    out: list[tuple[int, int]] = []
+    new = np.ones(n, bool)
+    for root in range(n):
+        if not new[root]:
+            continue
+        new[root] = False
+        queue = [root]
+        while queue:
+            i = queue.pop()
+            found = np.flatnonzero(similar[i] & new)
+            new[found] = False
+            out += [(i, j) for j in found.tolist()]
+            queue += found.tolist()
+    return out
+
+
 # --- stages ------------------------------------------------------------------------------------
 
 
@@ -166,83 +228,123 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = [i for i, h in enumerate(hashes) if len(h)]
             sig = dart_signatures([shingles(hashes[i]) for i in some]) if some else np.zeros((0, K), np.uint64)
             keys = band_keys(sig) if some else np.zeros((0, BANDS), np.int64)
-            cid, bands, low = [None] * len(b), [None] * len(b), [None] * len(b)
-            for i, s, k in zip(some, sig, keys):
-                cid[i], bands[i], low[i] = sequence_id(hashes[i]), k, low_bytes(s).tobytes()
+            cid, bands = [None] * len(b), [None] * len(b)
+            for i, k in zip(some, keys):
+                cid[i], bands[i] = sequence_id(hashes[i]), k
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
                     b.column(1),
                     pa.array(cid, pa.int64()),
                     pa.array(bands, pa.list_(pa.int64())),
-                    pa.array(low, pa.binary()),
                 ],
-                ["doc_id", "text_hash", "cid", "bands", "low"],
+                ["doc_id", "text_hash", "cid", "bands"],
             )
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _element_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, len(whole), DOCS_AT_ONCE):
             b = whole.slice(at, DOCS_AT_ONCE)
-            sets = [shingles(word_hashes(fold_words(t))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([s[0].tobytes() for s in sets], pa.binary()),
-                    pa.array([s[1].astype("<u4").tobytes() if (s[1] > 1).any() else b"" for s in sets], pa.binary()),
-                ],
-                ["cid", "own", "times"],
-            )
+            sets = [elements(shingles(word_hashes(fold_words(t)))).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cid", "own"])
 
 
-def _read(own: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(own, np.uint64)
-    return x, np.frombuffer(times, "<u4").astype(np.int64) if times else np.ones(len(x), np.int64)
+def _group_links(threshold: float):
+    """Links of groups whose rows (gid, cid, own) follow each other."""
 
+    def links(cids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        return ((cids[i], cids[j]) for i, j in forest(sets, threshold)) if len(cids) > 1 else iter(())
 
-def _check(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, cids, sets = None, [], []
         for b in batches:
-            rows = zip(*(c.to_pylist() for c in b.columns[2:]))
-            ok = [similarity(_read(x, xt), _read(y, yt)) >= threshold for x, xt, y, yt in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+            out: list[tuple[int, int]] = []
+            flat, ends = b.column(2).flatten().to_numpy(), b.column(2).value_lengths().to_numpy().cumsum()
+            for i, (gid, cid) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if gid != group:
+                    out += links(cids, sets)
+                    group, cids, sets = gid, [], []
+                cids.append(cid)
+                sets.append(flat[ends[i - 1] if i else 0 : ends[i]])
+            sets = [x.copy() for x in sets]  # the group may go on, but its batch need not stay
+            yield _link_batch(out)
+        yield _link_batch(list(links(cids, sets)))
 
     return run
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if len(b):
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(len(b), -1) for i in (2, 3))
-            keep = pa.array((x == y).mean(1) >= SURE)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
-
+def _link_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in a share of SURE at least; only one byte of each coordinate travels."""
-    left = reps.select(F.col("cid").alias("a"), F.col("low").alias("a_low"))
-    right = reps.select(F.col("cid").alias("b"), F.col("low").alias("b_low"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_low", "b_low")
-    return both.mapInArrow(_agreeing, "a long, b long")
 
+def _split(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Certain links (a, b) of large groups (gid, cid), and the smaller groups (gid, cid) that hold all other similar pairs.
 
-def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b), a written table, with whether they are similar enough.
-
-    At most BROADCAST_PAIRS pairs (16 bytes each) are broadcast to the shingles, so that only the
-    shingles of named texts are shuffled; more pairs meet the shingles by a shuffle of both.
+    Joins by gid or by a frequent shingle meet one row a key on the other side, so adaptive execution can split them.
     """
-    few = pairs.count() <= BROADCAST_PAIRS
-    own = F.broadcast(pairs) if few else pairs
-    left = sets.join(own, sets["cid"] == own["a"]).select("a", "b", F.col("own").alias("a_own"), F.col("times").alias("a_times"))
-    if few:
-        right = sets.join(own, sets["cid"] == own["b"]).select("a", "b", F.col("own").alias("b_own"), F.col("times").alias("b_times"))
-        both = left.join(right, ["a", "b"])
-    else:
-        right = sets.select(F.col("cid").alias("b"), F.col("own").alias("b_own"), F.col("times").alias("b_times"))
-        both = left.join(right, "b")
-    return both.select("a", "b", "a_own", "a_times", "b_own", "b_times").mapInArrow(_check(threshold), "a long, b long, ok boolean")
+    share = (1 - threshold) / (1 + threshold)
+    tiny = 1e-9
+    whole = cut(large.join(sets, "cid").select("gid", "cid", "own"), "large")
+    n = whole.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
+    df = whole.select("gid", F.explode("own").alias("tok")).groupBy("gid", "tok").agg(F.count(F.lit(1)).alias("df"))
+    df = cut(df.filter("df > 1").join(n, "gid").withColumn("lack", F.col("df") * 2 > F.col("n")), "frequent")
+    centre = df.filter("lack").groupBy("gid").agg(F.collect_list("tok").alias("centre"))
+    none = F.array().cast("array<bigint>")
+    own = whole.join(centre, "gid", "left").withColumn("centre", F.coalesce("centre", none)).select(
+        "gid", "cid", F.size("own").alias("size"), F.array_except("own", "centre").alias("extra"), F.array_except("centre", "own").alias("lacks")
+    )
+    own = own.withColumn("far", F.size("extra") + F.size("lacks"))
+    own = cut(own.withColumn("a", F.col("far") - F.lit(share) * F.col("size")), "differences")
+    nearest = own.groupBy("gid").agg(F.min(F.struct("a", "cid")).alias("top")).select("gid", F.col("top.a").alias("a0"), F.col("top.cid").alias("c0"))
+    own = own.join(nearest, "gid").withColumn("sure", F.col("a") + F.col("a0") <= tiny)
+    certain = own.filter("sure and cid <> c0").select(F.col("c0").alias("a"), F.col("cid").alias("b"))
+    # partners of a sure member that matter are not sure, so their a is above -a0; partners of the others have an a of a0 or more
+    need = F.greatest(F.lit(1), F.ceil(F.when(F.col("sure"), F.col("a") - F.col("a0")).otherwise(F.col("a") + F.col("a0")) / 2 - tiny))
+    tagged = F.concat(
+        F.transform("extra", lambda x: F.struct(x.alias("tok"), F.lit(False).alias("lack"))),
+        F.transform("lacks", lambda x: F.struct(x.alias("tok"), F.lit(True).alias("lack"))),
+    )
+    rows = own.select("gid", "cid", "sure", "far", (F.col("far") - need + 1).alias("reach"), F.inline(tagged))
+    often = df.select("gid", "tok", "lack", F.when(F.col("lack"), F.col("n") - F.col("df")).otherwise(F.col("df")).alias("times")).filter("times > 1")
+    met = rows.join(often, ["gid", "tok", "lack"]).groupBy("gid", "cid", "sure", "far", "reach").agg(
+        F.sort_array(F.collect_list(F.struct("times", "tok", "lack"))).alias("d")
+    )
+    take = F.col("reach") - F.col("far") + F.size("d")  # what only this member has comes first and meets nobody
+    prefix = met.filter(take > 0).select("gid", "cid", "sure", F.inline(F.slice("d", F.lit(1), F.least(take, F.size("d")).cast("int"))))
+    prefix = cut(prefix.select("gid", "cid", "sure", "tok", "lack"), "prefixes")
+    lists = prefix.groupBy("gid", "tok", "lack").agg(F.min("cid").alias("lead"), F.count(F.lit(1)).alias("many"), F.min("sure").alias("closed"))
+    lists = lists.filter("many > 1 and not closed").drop("many", "closed")
+    met = cut(prefix.drop("sure").join(lists, ["gid", "tok", "lack"]), "lists")
+    merged = met.select("gid", "lead", "cid").distinct()
+    size = merged.groupBy("gid", "lead").agg(F.count(F.lit(1)).alias("many")).join(n, "gid")
+    small, wide = size.filter("many * 4 <= n * 3").select("gid", "lead"), size.filter("many * 4 > n * 3").select("gid", "lead")
+    by_lead = merged.join(small, ["gid", "lead"]).select(F.xxhash64("gid", "lead").alias("gid"), "cid")
+    by_list = met.join(wide, ["gid", "lead"]).select(F.xxhash64("gid", "tok", "lack").alias("gid"), "cid")
+    return cut(certain, "certain"), cut(by_lead.unionByName(by_list), "groups")
+
+
+def links_of(groups: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, members: int | None = None, most: int | None = None) -> DataFrame:
+    """Links (a, b) that join what the similar pairs of groups (gid, cid) join."""
+    members, most = members or MEMBERS, most or ELEMENTS
+    sized = sets.select("cid", "own", F.size("own").alias("size"))
+    found: list[DataFrame] = []
+    while True:
+        sizes = groups.join(sized.select("cid", "size"), "cid").groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+        sizes = cut(sizes.filter("n > 1").select("gid", ((F.col("n") > members) | (F.col("size") > most)).alias("large")), "sizes")
+        groups = groups.join(sizes, "gid")
+        rows = groups.filter("not large").join(sized, "cid").select("gid", "cid", "own")
+        rows = rows.repartition("gid").sortWithinPartitions("gid")
+        found.append(cut(rows.mapInArrow(_group_links(threshold), "a long, b long"), "links"))
+        if sizes.filter("large").isEmpty():
+            break
+        certain, groups = _split(groups.filter("large").select("gid", "cid"), sets, threshold)
+        found.append(certain)
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 LINKS_A_PART = 250_000
@@ -269,129 +371,27 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after more links: the classes that they join are renamed, the rest stay."""
-    nodes = links.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(labels, "v", "left")
-    known = cut(nodes.select("v", F.coalesce("label", "v").alias("label")), "ends")
-    a, b = known.select(F.col("v").alias("a"), F.col("label").alias("x")), known.select(F.col("v").alias("b"), F.col("label").alias("y"))
-    roots = components(links.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    everyone = labels.unionByName(known.join(labels, "v", "left_anti"))
-    renamed = everyone.join(roots.select(F.col("v").alias("label"), F.col("label").alias("root")), "label", "left")
-    return cut(renamed.select("v", F.coalesce("root", "label").alias("label")), "labels")
-
-
-def _known(cid: np.ndarray, failed: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of places, both ways and in order of the first, whose members `failed` names as checked."""
-    order = np.argsort(cid)
-    names = failed.flatten().to_numpy()
-    at = np.minimum(np.searchsorted(cid, names, sorter=order), len(cid) - 1)
-    here = cid[order[at]] == names
-    i = np.repeat(np.arange(len(cid)), failed.value_lengths().to_numpy())[here]
-    j = order[at[here]]
-    i, j = np.concatenate([i, j]), np.concatenate([j, i])
-    by = np.argsort(i, kind="stable")
-    return i[by], j[by]
-
-
-def _partners(table: pa.Table, want: int = PARTNERS) -> pa.Table:
-    """For each member of a block pair its likeliest unchecked partners in other classes: key, cid, partner, agree, and if it has more."""
-    cid = table.column("cid").to_numpy()
-    label = table.column("label").to_numpy()
-    part = table.column("part").to_numpy()
-    sig = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(cid), -1)
-    known, with_ = _known(cid, table.column("failed").combine_chunks())
-    two = len(np.unique(part)) > 1
-    out: list[tuple[np.ndarray, ...]] = []
-    for at in range(0, len(cid), 256):
-        own = slice(at, at + 256)
-        agree = np.zeros((min(256, len(cid) - at), len(cid)), np.int16)
-        for c in range(sig.shape[1]):
-            agree += sig[own, c][:, None] == sig[None, :, c]
-        agree[label[own][:, None] == label[None, :]] = -1
-        if two:  # members of one block meet in the group of that block alone
-            agree[part[own][:, None] == part[None, :]] = -1
-        a, z = np.searchsorted(known, [at, at + len(agree)])
-        agree[known[a:z] - at, with_[a:z]] = -1
-        more = (agree >= SURE * sig.shape[1]).sum(1) > want
-        top = np.argpartition(-agree, min(want, len(cid) - 1), axis=1)[:, :want]
-        score = np.take_along_axis(agree, top, 1)
-        i, j = np.nonzero(score >= SURE * sig.shape[1])
-        out.append((cid[own][i], cid[top[i, j]], score[i, j], more[i]))
-    a, b, n, more = (np.concatenate(x) for x in zip(*out))
-    return pa.table(
-        {
-            "key": pa.array(np.full(len(a), table.column("key")[0].as_py()), pa.int64()),
-            "cid": pa.array(a, pa.int64()),
-            "partner": pa.array(b, pa.int64()),
-            "agree": pa.array(n, pa.int32()),
-            "more": pa.array(more, pa.bool_()),
-        }
-    )
-
-
-def _naming(want: int):
-    return lambda table: _partners(table, want)
-
-
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, text_hash, class_id, class_size, kept."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    sketches = cut(
-        rows.mapInArrow(_sketch, "doc_id long, text_hash long, cid long, bands array<bigint>, low binary"), "sketches"
-    )
+    sketches = cut(rows.mapInArrow(_sketch, "doc_id long, text_hash long, cid long, bands array<bigint>"), "sketches")
     reps = (
         sketches.filter("cid is not null")
         .groupBy("cid")
-        .agg(F.max(F.struct("doc_id", "text_hash")).alias("top"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+        .agg(F.max(F.struct("doc_id", "text_hash")).alias("top"), F.first("bands").alias("bands"))
     )
     reps = cut(reps, "reps")
     members = reps.select("cid", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("leader")).filter("n > 1")
-    members = cut(members.join(buckets, "key"), "members")
-    texts = members.select("cid").distinct().join(reps.select("cid", "top.doc_id", "top.text_hash"), "cid")
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("gid")).filter("n > 1")
+    groups = cut(members.join(buckets.select("key", "gid"), "key").select("gid", "cid").distinct(), "groups")
+    texts = groups.select("cid").distinct().join(reps.select("cid", "top.doc_id", "top.text_hash"), "cid")
     # texts move once; of rows that repeat an id and a text one is taken afterwards
     found = texts.alias("t").join(
         rows.alias("r"),
         F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("t.text_hash").eqNullSafe(F.col("r.text_hash")),
     )
-    sets = cut(found.select("t.cid", "r.text").dropDuplicates(["cid"]).mapInArrow(_shingle_rows, "cid long, own binary, times binary"), "shingles")
-
-    pairs = members.filter("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
-    tested = cut(_checked(cut(_likely(pairs, reps), "named"), sets, threshold), "tested")
-    labels = components(tested.filter("ok").select("a", "b"))
-    open_members = members.join(reps.select("cid", "low"), "cid").select("key", "n", "cid", "low")
-    want = PARTNERS
-    while True:
-        told = open_members.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        several = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        # each pair that failed goes with the member that named it: at most its bucket leaders and what it named in the rounds
-        failed = tested.filter("not ok").groupBy(F.col("b").alias("cid")).agg(F.collect_list("a").alias("failed"))
-        told = told.join(several, "key").join(failed, "cid", "left")
-        told = cut(told.withColumn("failed", F.coalesce("failed", F.array().cast("array<bigint>"))), "open")
-        parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-        dealt = told.withColumn("part", F.pmod(F.xxhash64("cid"), parts).cast("int")).withColumn(
-            "other", F.explode(F.sequence(F.lit(0), parts - 1))
-        )
-        dealt = dealt.select(
-            "key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cid", "label", "low", "failed"
-        )
-        named = dealt.groupBy("key", "lo", "hi").applyInArrow(_naming(want), "key long, cid long, partner long, agree int, more boolean")
-        # over all its buckets, a member's likeliest partners; the others stay for the next round
-        best = Window.partitionBy("cid").orderBy(F.desc("agree"), "partner")
-        ranked = cut(named.withColumn("rank", F.dense_rank().over(best)), "ranked")
-        named = ranked.filter(F.col("rank") <= want)
-        both = named.groupBy(F.least("cid", "partner").alias("x"), F.greatest("cid", "partner").alias("y")).agg(F.min("cid").alias("b"))
-        named = cut(both.select(F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), "b"), "named")
-        new = cut(_checked(named, sets, threshold), "tested")
-        tested = tested.unionByName(new)
-        if not new.filter("ok").isEmpty():
-            labels = merged(labels, new.filter("ok").select("a", "b"))
-        # a bucket of one class, or without an unchecked pair across classes, stays so: only the others go into the next round
-        left = ranked.filter((F.col("rank") > want) | F.col("more")).select("key").distinct()
-        if left.isEmpty():
-            break
-        open_members = told.select("key", "n", "cid", "low").join(left, "key")
-        want *= 2
+    sets = cut(found.select("t.cid", "r.text").dropDuplicates(["cid"]).mapInArrow(_element_rows, "cid long, own array<bigint>"), "shingles")
+    labels = components(links_of(groups, sets, threshold))
 
     # a class that several word sequences share has the label of all; others are classes of their own
     named = sketches.select("doc_id", "text_hash", "cid").withColumn("row", F.when(F.col("cid").isNull(), F.monotonically_increasing_id()))

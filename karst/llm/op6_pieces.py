@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from karst.llm.common import own_cache
+
 MARK = "▁"
 CACHE_PARTS = 600_000
 GROUP_BYTES = 256 << 10
@@ -262,14 +264,14 @@ class Encoder:
         return text[1:] if text[:1] == " " else text
 
 
-_ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder_for(path: str) -> Encoder:
     """One encoder a process, so that its cache serves the tasks that follow."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    mine = own_cache("op6")
+    if path not in mine:
+        mine[path] = Encoder(path)
+    return mine[path]
 
 
 SLICE = 1000

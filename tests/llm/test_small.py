@@ -279,8 +279,21 @@ def test_langid_chunks_do_not_matter():
 # --- 5 -----------------------------------------------------------------------------------------
 
 
+def shingle_counts(text):
+    w = re.findall(common.WORD_CLASS, lower(text))
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def likeness(a, b):
+    return sum((a & b).values()) / max(1, sum((a | b).values()))
+
+
 def brute_near(rows, threshold=0.8):
-    sets = [op5_minhash.shingles(op5_minhash.word_hashes(common.fold_words(r[1]))) for r in rows]
+    sets = [shingle_counts(r[1]) for r in rows]
+    holders = {}
+    for i, x in enumerate(sets):
+        for s in x:
+            holders.setdefault(s, []).append(i)
     parent = list(range(len(rows)))
 
     def find(x):
@@ -289,8 +302,8 @@ def brute_near(rows, threshold=0.8):
         return x
 
     for i in range(len(rows)):
-        for j in range(i):
-            if len(sets[i][0]) and len(sets[j][0]) and op5_minhash.similarity(sets[i], sets[j]) >= threshold:
+        for j in {j for s in sets[i] for j in holders[s] if j < i}:
+            if likeness(sets[i], sets[j]) >= threshold:
                 parent[find(i)] = find(j)
     groups = {}
     for i in range(len(rows)):
@@ -299,17 +312,22 @@ def brute_near(rows, threshold=0.8):
     return sorted((str(rows[i][0]), str(best[find(i)]), len(groups[find(i)])) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("pairs", [op5_minhash.BROADCAST_PAIRS, 0])
-def test_near(spark, docs, rows, empty, monkeypatch, pairs):
-    monkeypatch.setattr(op5_minhash, "BROADCAST_PAIRS", pairs)
+#: Limits of a task's group: the operator's own, and so low that every group is split.
+LIMITS = pytest.mark.parametrize("limit", [op5_minhash.MEMBERS, 3])
+
+
+@LIMITS
+def test_near(spark, docs, rows, empty, monkeypatch, limit):
+    monkeypatch.setattr(op5_minhash, "MEMBERS", limit)
     got = op5_minhash.classes(docs).collect()
     assert sorted((str(r["doc_id"]), str(r["class_id"]), r["class_size"]) for r in got) == brute_near(rows)
     assert op5_minhash.classes(empty).count() == 0
 
 
-def test_near_families(spark, monkeypatch):
-    """A hub whose copies are alike only through it, in a bucket larger than a block."""
-    monkeypatch.setattr(op5_minhash, "BLOCK", 8)
+@LIMITS
+def test_near_families(spark, monkeypatch, limit):
+    """A hub whose copies are alike only through it, in a bucket larger than a group may be."""
+    monkeypatch.setattr(op5_minhash, "MEMBERS", limit)
     rng = random.Random(3)
     base = [f"w{rng.randrange(500)}" for _ in range(200)]
     rows = [(0, " ".join(base))]
@@ -324,6 +342,69 @@ def test_near_families(spark, monkeypatch):
     assert sorted((str(r["doc_id"]), str(r["class_id"]), r["class_size"]) for r in got) == brute_near(rows)
 
 
+def family(seed, texts, words, own, tweak):
+    """Texts from one template: every other one replaces `own` words by new ones, and the next copies it but for `tweak` words."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(words)]
+    rows = []
+    for i in range(0, texts, 2):
+        w = list(base)
+        for j in rng.sample(range(words), own):
+            w[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(w)))
+        for j in rng.sample(range(words), tweak):
+            w[j] = f"own{i}y{j}"
+        rows.append((i + 1, " ".join(w)))
+    return rows
+
+
+def test_near_finds_all_links_of_a_template(spark):
+    """A thousand pairs that are alike, among two thousand texts that share most of a template."""
+    rows = family(5, 2000, 300, 9, 3)
+    sets = [shingle_counts(t) for _, t in rows]
+    assert all(likeness(sets[i], sets[i + 1]) >= 0.8 for i in range(0, 2000, 2))
+    assert likeness(sets[0], sets[2]) < 0.8
+    got = {r["doc_id"]: r["class_id"] for r in op5_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = sum(got[i] != got[i + 1] for i in range(0, 2000, 2))
+    assert lost <= 1
+
+
+@pytest.mark.parametrize("seed,own,tweak", [(1, 4, 2), (2, 9, 3), (3, 2, 1)])
+def test_split_groups_lose_no_link(spark, seed, own, tweak):
+    """All links of one group, split again and again, against all pairs."""
+    rows = family(seed, 60, 120, own, tweak)
+    rng = random.Random(seed)
+    for i in range(60, 80):  # a template within the template, some words missing
+        w = [f"t{j}" for j in range(60)] + [f"s{j}" for j in range(60)]
+        rows.append((i, " ".join(x for x in w if rng.random() > 0.03)))
+    counts = [shingle_counts(t) for _, t in rows]
+    sets = [op5_minhash.elements(op5_minhash.shingles(op5_minhash.word_hashes(common.fold_words(t)))) for _, t in rows]
+    want = {(i, j) for i in range(80) for j in range(i) if likeness(counts[i], counts[j]) >= 0.8}
+    table = spark.createDataFrame([(i, x.view(np.int64).tolist()) for i, x in enumerate(sets)], "cid long, own array<bigint>")
+    groups = table.selectExpr("7L as gid", "cid")
+    for members in (3000, 10, 2):
+        links = {(r["a"], r["b"]) for r in op5_minhash.links_of(groups, table, members=members).collect()}
+        assert links <= want | {(b, a) for a, b in want}
+        assert partition(links, 80) == partition(want, 80)
+    assert partition(op5_minhash.forest(sets), 80) == partition(want, 80)
+
+
+def partition(links, n):
+    label = list(range(n))
+    for a, b in links:
+        x, y = label[a], label[b]
+        label = [min(x, y) if v in (x, y) else v for v in label]
+    return label
+
+
+def test_elements_keep_weights():
+    text = "a b c d e a b c d e a b c d e f"
+    other = "a b c d e a b c d e f g h i"
+    x, y = (op5_minhash.elements(op5_minhash.shingles(op5_minhash.word_hashes(common.fold_words(t)))) for t in (text, other))
+    both = len(set(x.tolist()) & set(y.tolist()))
+    assert both / (len(x) + len(y) - both) == likeness(shingle_counts(text), shingle_counts(other))
+
+
 def one_link(seed, n):
     """Texts that differ from one base in five of 80 places. The last two share two places and are alike; others share one at most."""
     rng = random.Random(seed)
@@ -356,29 +437,6 @@ def test_near_goes_on_until_no_pair_is_left(spark):
     assert linked(spark, one_link(24, 70))
 
 
-def test_near_partners_leave_checked_pairs_out():
-    """A member whose three likeliest partners failed names the fourth, whichever end told of the failure."""
-    cid = np.array([50, 40, 30, 20, 10])
-    low = np.tile(np.arange(128, dtype=np.uint8), (5, 1))
-    for i in range(1, 5):  # the later, the less like the first; and each unlike the others
-        low[i, 8 * i : 8 * i + 6 + i] += np.uint8(100 + i)
-    failed = [[40, 7], [], [50, 40], [50], []]
-    table = pa.table(
-        {
-            "key": pa.array([1] * 5, pa.int64()),
-            "cid": pa.array(cid, pa.int64()),
-            "label": pa.array(cid, pa.int64()),
-            "part": pa.array([0] * 5, pa.int32()),
-            "low": pa.array([x.tobytes() for x in low], pa.binary()),
-            "failed": pa.array(failed, pa.list_(pa.int64())),
-        }
-    )
-    got = op5_minhash._partners(table)
-    pairs = set(zip(got.column("cid").to_pylist(), got.column("partner").to_pylist()))
-    assert {(50, 10), (10, 50)} <= pairs
-    assert not pairs & {(50, 40), (40, 50), (30, 50), (50, 30), (30, 40), (40, 30), (20, 50), (50, 20)}
-
-
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     e = rng.integers(0, 2**63, 9).astype(np.uint64)
@@ -389,17 +447,6 @@ def test_dart_signatures_estimate_weighted_similarity():
     assert (sig[0] == sig[1]).mean() == pytest.approx(np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum(), abs=0.03)
 
 
-def test_low_bytes_tell_unlike_texts_apart():
-    """The bytes agree as often as the whole signatures do, but for chance (1 in 256)."""
-    rng = np.random.default_rng(1)
-    e = rng.integers(0, 2**63, 300).astype(np.uint64)
-    one = np.ones(200, np.int64)
-    sig = op5_minhash.dart_signatures([(np.sort(e[a : a + 200]), one) for a in (0, 20, 100)])
-    low = op5_minhash.low_bytes(sig)
-    for i, j in ((0, 1), (0, 2), (1, 2)):
-        assert (low[i] == low[j]).mean() == pytest.approx((sig[i] == sig[j]).mean(), abs=0.03)
-
-
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101)]
     got = {r["v"]: r["label"] for r in op5_minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
