@@ -1,20 +1,29 @@
 """Main text of web pages by a minimum cut.
 
 A page becomes a row of text blocks with their places in the DOM. Neighbouring blocks of one
-parent, tag and leaning are one node. A linear classifier gives each node a cost for being
-content and one for being boilerplate: these are the capacities to the two terminals. Nodes that
-follow each other, and nodes of one parent, are joined by smoothness edges, stronger the nearer
-their common ancestor. The maximum flow separates content from boilerplate; what the source side
-keeps is the article.
+parent, tag and leaning are one node. A linear classifier (WEIGHTS over features of the block and
+of the elements around it) gives each node a cost for being content and one for being boilerplate:
+these are the capacities to the two terminals. Nodes that follow each other, and nodes of one
+parent, are joined by smoothness edges, stronger the nearer their common ancestor. The maximum
+flow separates content from boilerplate; what the source side keeps is the article.
+
+What the classifier sees: the block's length, tag and share of text in links, and of each element
+around it the tag and its own class, id, role and hidden attributes (the first of a name counts;
+other attributes never do). A name that often marks something else (WEAK_NAMES) weighs little, so
+that prose, an article around it or its neighbours outweigh it. A name or tag that tells what isn't
+the article (STRONG_NAMES, BAD_TAGS) also hides what is outside it from the block. Where the page
+has an article or main element with prose, blocks outside it weigh less.
 
 Null or empty html gives an empty text; a page without a content block too. Unclosed, crossed and
 stray tags are tolerated. Rows are independent: repeated rows give repeated results, an empty
-table none. Extra columns are ignored. Whole pages are read; nothing is cut.
+table none. Extra columns are ignored. Whole pages are read; nothing is cut. Scripts, styles,
+form controls, graphics and embedded objects aren't text.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -26,10 +35,13 @@ from pyspark.sql import functions as F
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math title object select button option".split())
+RAW = frozenset(
+    "script style noscript template textarea iframe svg title object select button option annotation annotation-xml".split()
+)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong"
-    " sub sup time tt u var wbr img br input ruby rt rp".split()
+    " sub sup time tt u var wbr img br input ruby rt rp math semantics mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt"
+    " mroot mover munder munderover mstyle".split()
 )
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2"
@@ -38,34 +50,71 @@ ENDS_P = frozenset(
 # What names of elements, roles, classes and ids tell.
 BAD_TAGS = frozenset("nav footer aside form menu dialog head fieldset".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-BAD_NAMES = frozenset(
-    "ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist"
-    " consent cookie cookies copyright dialog disclaimer disqus feedback foot footer form gdpr head header legal login masthead"
-    " menu menus modal nav navbar navi navigation newsletter notice notices notification overlay pagination paginator pager"
-    " popup privacy promo promoted promotion recommended register related reply replies respond rail search share sharing"
-    " sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar warning widget"
-    " widgets".split()
+STRONG_NAMES = frozenset(
+    "ad ads adv advert advertisement advertising adsense aside breadcrumb breadcrumbs byline comment comments commentlist"
+    " consent cookie cookies copyright disqus foot footer gdpr login masthead menu menus modal nav navbar navi navigation"
+    " newsletter notice notices notification pagination paginator pager popup promo promoted promotion recommended related"
+    " replies respond share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription toolbar"
+    " topbar".split()
+)
+WEAK_NAMES = frozenset(
+    "alert banner dialog disclaimer feedback form head header legal overlay privacy rail register reply search tags toc warning"
+    " widget widgets".split()
 )
 GOOD_NAMES = frozenset("article articlebody body content entry main post story text".split())
+RIGHTS = ("©", "(c) ", "copyright ", "all rights reserved")
+
+#: The classifier: what each feature adds; content is above 0.
+WEIGHTS = {
+    "bias": 0.4,
+    "bad": -5.0,  # a tag, role or strong name that isn't the article's, or a hidden element
+    "header": -3.0,  # a header, but the article's own
+    "own header": -1.0,
+    "weak": -2.5,
+    "article": 4.0,
+    "good": 2.0,
+    "outside": -2.5,
+    "links": -2.0,  # most of the text is in links
+    "prose": 1.2,  # ten words or more
+    "doubling": 0.4,  # each time prose is twice as long, up to 320 words
+    "paragraph": 0.7,
+    "heading": 0.3,
+    "title": 2.0,
+    "scrap": -0.5,  # a few words, no end of a sentence, and no item of a list or table
+    "rights": -3.0,
+}
+ADJACENT, SAME_PARENT = 0.8, 0.8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
     re.S,
 )
-_ATTR = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_NAME = re.compile(r"[a-z0-9]+")
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @dataclass
 class Element:
     tag: str
     names: tuple[str, ...]
-    lean: float  # what the element tells of all text in it
+    kind: str  # "", or the weight that the element's own tag, role and names tell
     depth: int
     parent: Element | None
     in_article: bool
 
+    def __post_init__(self) -> None:
+        # what the element and those around it tell of text in them
+        around = self.parent
+        self.score, self.good = (around.score, around.good) if around is not None else (0.0, 0.0)
+        if self.kind == "bad":
+            self.score, self.good = min(self.score, 0.0) + WEIGHTS["bad"], 0.0
+        elif self.kind in ("article", "good"):
+            self.score += max(0.0, WEIGHTS[self.kind] - self.good)
+            self.good = max(self.good, WEIGHTS[self.kind])
+        elif self.kind:
+            self.score += WEIGHTS[self.kind]
+
 
 @dataclass
 class Block:
@@ -75,33 +124,40 @@ class Block:
     text: str = ""
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """An element's attributes by name in lower case; of a name that repeats, the first."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(raw):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def name_kind(value: str) -> str:
+    """What one class or id tells: "bad", "weak", "good" or nothing."""
+    parts = {x.lower() for x in _NAME.findall(value)} | {value.lower()}
+    if parts & STRONG_NAMES:
+        return "bad"
+    if parts & GOOD_NAMES:
+        return "good"
+    return "weak" if parts & WEAK_NAMES else ""
+
+
 def _element(tag: str, attrs: str, parent: Element | None) -> Element:
-    names: list[str] = []
-    role, hidden = "", False
-    if attrs and not attrs.isspace():
-        for m in _ATTR.finditer(attrs):
-            kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if kind == "role":
-                role = value
-            elif kind == "hidden" or kind == "aria-hidden" and value == "true":
-                hidden = True
-            elif kind in ("class", "id"):
-                names += _NAME.findall(value)
+    own = attributes(attrs) if attrs and not attrs.isspace() else {}
+    names = tuple(entities.unescape(f"{own.get('class', '')} {own.get('id', '')}").split()) if own else ()
+    role = own.get("role", "").lower()
     inside = bool(parent and parent.in_article) or tag in ("article", "main") or role in ("main", "article")
-    lean = 0.0
-    if tag in BAD_TAGS or role in BAD_ROLES or hidden:
-        lean = -8.0
+    kinds = {name_kind(x) for x in names} if names and tag not in ("html", "body") else set()
+    hidden = "hidden" in own or own.get("aria-hidden", "").lower() == "true"
+    if tag in BAD_TAGS or role in BAD_ROLES or hidden or "bad" in kinds:
+        kind = "bad"
     elif tag == "header":
-        lean = -2.0 if parent and parent.in_article else -8.0
+        kind = "own header" if parent and parent.in_article else "header"
     elif tag in ("article", "main") or role in ("main", "article"):
-        lean = 4.0
-    elif tag not in ("html", "body"):
-        good = any(n in GOOD_NAMES for n in names)
-        if any(n in BAD_NAMES for n in names) and not (good and "comment" not in names and "comments" not in names):
-            lean = -8.0
-        elif good:
-            lean = 2.0
-    return Element(tag, tuple(names), lean, parent.depth + 1 if parent else 0, parent, inside)
+        kind = "article"
+    else:
+        kind = "good" if "good" in kinds else "weak" if "weak" in kinds else ""
+    return Element(tag, names, kind, parent.depth + 1 if parent else 0, parent, inside)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -132,7 +188,7 @@ def blocks_of(page: str) -> list[Block]:
             if text.isspace():
                 return
             k = len(stack) - 1
-            while k and stack[k].tag in INLINE and stack[k].lean == 0:
+            while k and stack[k].tag in INLINE and not stack[k].kind:
                 k -= 1
             block = Block(stack[k])
         block.parts.append(text)
@@ -187,7 +243,7 @@ def blocks_of(page: str) -> list[Block]:
                     if stack[i].tag in stops or stack[i].tag in ("div", "article", "section"):
                         break
         element = _element(tag, attrs, stack[-1])
-        if tag in INLINE and element.lean < 0:
+        if tag in INLINE and element.kind == "bad":
             end_block()
         if attrs.rstrip().endswith("/") and tag in INLINE:
             continue
@@ -198,28 +254,29 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-def leaning(block: Block) -> float:
+ITEMS = frozenset("li td th dt dd figcaption caption summary pre h1 h2 h3 h4 h5 h6".split())
+
+
+def leaning(block: Block, has_article: bool = False) -> float:
     """The classifier: above 0 for content."""
-    score, e, seen_good = 0.3, block.where, False
-    while e is not None:
-        if e.lean < 0:
-            score += e.lean
-        elif e.lean > 0 and not seen_good:
-            score += e.lean
-            seen_good = True
-        e = e.parent
-    words = block.text.count(" ") + 1
-    density = block.links / max(1, len(block.text))
-    if density > 0.5:
-        score -= 2.0
+    tag, words = block.where.tag, block.text.count(" ") + 1
+    score = WEIGHTS["bias"] + block.where.score
+    if has_article and not block.where.in_article:
+        score += WEIGHTS["outside"]
+    if block.links > 0.5 * len(block.text):
+        score += WEIGHTS["links"]
     elif words >= 10:
-        score += 1.5
-    if block.where.tag in ("p", "blockquote", "pre"):
-        score += 0.7
-    elif block.where.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        score += 0.2
-    elif words < 5 and block.text[-1] not in ".!?:;\"'»”":
-        score -= 0.6
+        score += WEIGHTS["prose"] + WEIGHTS["doubling"] * min(5.0, math.log2(words / 10))
+    if tag in ("p", "blockquote", "pre"):
+        score += WEIGHTS["paragraph"]
+    elif tag == "h1":
+        score += WEIGHTS["title"]
+    elif tag in ("h2", "h3", "h4", "h5", "h6"):
+        score += WEIGHTS["heading"]
+    elif tag not in ITEMS and words < 5 and block.text[-1] not in ".!?:;\"'»”":
+        score += WEIGHTS["scrap"]
+    if words < 30 and block.text.lower().startswith(RIGHTS):
+        score += WEIGHTS["rights"]
     return score
 
 
@@ -288,45 +345,47 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
 
 
 def _nearness(a: Element, b: Element) -> int:
-    """Steps from the lower of two elements up to their common ancestor."""
-    steps = 0
+    """Steps from the lower of two elements up to their common ancestor, 1 at least."""
+    up = [0, 0]
     while a is not b:
         if a.depth >= b.depth:
-            a = a.parent  # type: ignore[assignment]
+            a, up[0] = a.parent, up[0] + 1  # type: ignore[assignment]
         else:
-            b = b.parent  # type: ignore[assignment]
-        steps += 1
+            b, up[1] = b.parent, up[1] + 1  # type: ignore[assignment]
         if a is None or b is None:
             break
-    return steps
-
-
-ADJACENT, SAME_PARENT = 0.8, 0.8
+    return max(1, *up)
 
 
 def main_blocks(blocks: list[Block]) -> list[bool]:
     """Which blocks the cut keeps."""
     if not blocks:
         return []
-    lean = [leaning(b) for b in blocks]
+    has_article = any(b.where.in_article and b.text.count(" ") >= 9 for b in blocks)
+    lean = [leaning(b, has_article) for b in blocks]
     node: list[int] = []
     places: list[Element] = []
-    total: list[float] = []
+    sums: list[float] = []
+    sizes: list[int] = []
     last_key = None
     for b, x in zip(blocks, lean):
         e = b.where
         key = (id(e.parent), e.tag, e.names, x > 0)
         if key != last_key:
             places.append(e)
-            total.append(0.0)
+            sums.append(0.0)
+            sizes.append(0)
             last_key = key
         node.append(len(places) - 1)
-        total[-1] += x
+        sums[-1] += x
+        sizes[-1] += 1
+    # a long run tells more than a block, but not as much as all its blocks: edges must be able to turn it
+    total = [x / n * (1 + math.log2(n)) for x, n in zip(sums, sizes)]
     edges: list[tuple[int, int, float]] = []
     last_of: dict[int, int] = {}
     for i, e in enumerate(places):
         if i:
-            edges.append((i - 1, i, ADJACENT / max(1, _nearness(places[i - 1], e))))
+            edges.append((i - 1, i, ADJACENT / _nearness(places[i - 1], e)))
         p = id(e.parent)
         if p in last_of and last_of[p] != i - 1:
             edges.append((last_of[p], i, SAME_PARENT))

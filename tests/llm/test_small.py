@@ -581,6 +581,73 @@ def test_main_text(spark):
     assert op9_html.run(d.limit(0)).count() == 0
 
 
+PROSE = "Some sentence of the story that has more than ten words in it, as prose does."
+
+
+@pytest.mark.parametrize(
+    "attrs",
+    ['style="overflow:hidden"', 'data-id="comments"', 'title="the hidden house"', 'data-hidden="false"', 'data-x="a class=ad b"', 'class="story" class="ad"', 'class="warning"'],
+)
+def test_main_text_reads_its_own_attributes_only(attrs):
+    page = f"<body><nav><a href=x>Home</a></nav><article><p>{PROSE}</p><div {attrs}><p>{PROSE} Two.</p></div><p>{PROSE}</p></article></body>"
+    assert op9_html.extract(page) == f"{PROSE}\n\n{PROSE} Two.\n\n{PROSE}"
+
+
+def test_main_text_keeps_short_blocks_between_prose():
+    items = "".join(f"<li>{x}</li>" for x in ("one", "two", "three"))
+    page = f"<body><div><p>{PROSE}</p><ul>{items}</ul><p>{PROSE}</p></div></body>"
+    assert op9_html.extract(page) == f"{PROSE}\n\none\n\ntwo\n\nthree\n\n{PROSE}"
+    page = f"<article><p>{PROSE}</p><p>Then <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>"
+    assert op9_html.extract(page) == f"{PROSE}\n\nThen x=2 holds."
+
+
+def made_page(rng):
+    """A page of random build, and its article's blocks."""
+    told = []
+
+    def say(n):
+        told.append(prose(rng, n).capitalize() + ".")
+        return told[-1]
+
+    def block():
+        kind = rng.random()
+        if kind < 0.6:
+            return f"<p>{say(rng.randint(12, 60))}</p>"
+        if kind < 0.7:
+            return f"<p>{say(rng.randint(2, 6))}</p>"
+        if kind < 0.8:
+            return f"<h2>{say(3)}</h2><p>{say(20)}</p>"
+        if kind < 0.9:
+            return "<ul>" + "".join(f"<li>{say(rng.randint(1, 8))}" for _ in range(3)) + "</ul>"
+        return f'<div class="{rng.choice(["box", "lead", "warning", "figure-wrap"])}" data-role="share comments"><p>{say(25)}</p></div>'
+
+    def junk(*names):
+        return f'<div class="{rng.choice(names)}"><p>{prose(rng, rng.randint(3, 30))}</p><a href="/x">{prose(rng, 2)}</a></div>'
+
+    menu = "<ul>" + "".join(f'<li><a href="/{i}">{prose(rng, 2)}</a></li>' for i in range(5)) + "</ul>"
+    before = rng.choice([f"<header><p>{prose(rng, 4)}</p>{menu}</header>", f'<div id="main-menu">{menu}</div>', f"<nav>{menu}</nav>"])
+    inside = [f"<h1>{say(5)}</h1>", *[block() for _ in range(rng.randint(3, 9))]]
+    at = rng.randint(2, len(inside))
+    inside.insert(at, junk("ad", "advert top", "newsletter-signup", "share-buttons", "related-posts"))
+    tag = rng.choice(["<article>", "<main>", '<div class="post-content">', '<div id="story">'])
+    after = junk("comments", "comment-list", "reader-comments") + f"<aside><h3>{prose(rng, 2)}</h3>{menu}</aside>"
+    after += f'<form><p>{prose(rng, 6)}</p><input name="q"></form><footer><p>&copy; {prose(rng, rng.randint(3, 20))}</p></footer>'
+    end = f"</{tag[1:].split()[0].rstrip('>')}>"
+    cookie = f'<div class="cookie-notice"><p>{prose(rng, 15)}</p></div>'
+    return f"<html><head><title>x</title><script>var a='<p>'</script></head><body>{cookie}{before}{tag}{''.join(inside)}{end}{after}</body></html>", told
+
+
+def test_main_text_of_pages_with_known_articles():
+    rng = random.Random(12)
+    right = said = true = whole = 0
+    for _ in range(300):
+        page, want = made_page(rng)
+        got = op9_html.extract(page).split("\n\n")
+        both = sum((Counter(got) & Counter(want)).values())
+        right, said, true, whole = right + both, said + len(got), true + len(want), whole + (got == want)
+    assert right / said >= 0.98 and right / true >= 0.98 and whole >= 285, (right / said, right / true, whole)
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(60):
