@@ -10,12 +10,16 @@ line's last field declares, then a line feed:
 The converter makes a WARC/1.0 response of each record: the identifier, the date, the content
 type, the payload digest (base32 SHA-1) and the lengths are made from what the record holds. Of
 records with equal payloads of at least `min_bytes`, that with the largest page id stays a
-response and the others become revisits (identical-payload-digest) without the payload.
+response and the others become revisits (identical-payload-digest) without the payload: their
+WARC-Refers-To is the identifier of that response, and their HTTP head still tells the payload's
+length. An identifier is made of page id, digest and the record's place (archive and offset), so
+rows that repeat have identifiers of their own. Each record is a gzip member of its own, so that
+readers can seek to one.
 
 Null or empty html is an empty payload. Null urls are written as `-`. Rows with equal page_id and
-equal payload are all responses if theirs is the largest id; rows without a page_id refer to the
-response and lose against any id; where no row of a group has one, all are responses. An empty
-table gives no records. Extra columns are ignored.
+equal payload are all responses if theirs is the largest id (revisits refer to the one of the last
+place); rows without a page_id refer to the response and lose against any id; where no row of a
+group has one, all are responses. An empty table gives no records. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.llm.common import shared_path, with_group
+from karst.llm.common import cut, shared_path, with_group
 
 FILE_BYTES = 24 << 20
 #: The record lines of both versions.
@@ -42,6 +47,8 @@ ARC_FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "20240101000000"
+#: Field of our own, for revisits whose head doesn't tell the length of their payload.
+OWN_LENGTH = "X-Payload-Length"
 
 
 # --- ARC ---------------------------------------------------------------------------------------
@@ -49,6 +56,7 @@ DATE = "20240101000000"
 
 @dataclass
 class ArcRecord:
+    at: int  # where its line begins
     url: str
     ip: str
     date: str
@@ -108,6 +116,7 @@ def parse_arc(raw: bytes) -> Iterator[ArcRecord]:
         if len(content) < n:
             raise ValueError(f"record at byte {at} is cut short")
         yield ArcRecord(
+            at,
             x[b"URL"].decode("utf-8", "replace"),
             x[b"IP-address"].decode(),
             x[b"Archive-date"].decode(),
@@ -130,9 +139,9 @@ def split_http(content: bytes) -> tuple[bytes, bytes]:
 # --- WARC --------------------------------------------------------------------------------------
 
 
-def record_id(page_id: int | None, digest: str, url: str) -> str:
-    """A version 8 UUID that holds the page id, so that a reference needs no lookup."""
-    own = int.from_bytes(hashlib.sha1(f"{digest} {url}".encode("utf-8", "surrogatepass")).digest()[:6], "big")
+def record_id(page_id: int | None, digest: str, place: str) -> str:
+    """A version 8 UUID that holds the page id, and 48 bits of a hash of digest and place."""
+    own = int.from_bytes(hashlib.sha1(f"{digest} {place}".encode()).digest()[:6], "big")
     low = (page_id or 0) & (2**64 - 1)
     mid = (0x400 if page_id is not None else 0) | (low >> 62)
     x = own << 80 | 0x8 << 76 | mid << 64 | 0b10 << 62 | (low & (2**62 - 1))
@@ -165,6 +174,27 @@ def warc_record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block
 
 
+def gzip_row(record: bytes) -> bytes:
+    """A record and the two line ends after it as a gzip member, but for its last byte, which is 0.
+
+    A member ends with its length in little-endian order, so the last byte of one under 16 MB is 0;
+    a longer one is followed by an empty member, which ends with 0 too.
+    """
+
+    def member(x: bytes) -> bytes:
+        pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return pack.compress(x) + pack.flush()
+
+    out = member(record + b"\r\n\r\n")
+    return (out if out[-1] == 0 else out + member(b""))[:-1]
+
+
+def told_length(head: bytes) -> int | None:
+    """The length that an HTTP head tells."""
+    m = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", head)
+    return int(m[1]) if m else None
+
+
 def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (lower case) and block of each record."""
     at = 0
@@ -203,49 +233,50 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
                 head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n%sContent-Length: %d\r\n\r\n"
                 out.append(arc_record(version, url, head % (own, len(body)) + body, at, name))
                 at += len(out[-1])
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["content"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(out)], pa.binary())], ["name", "content"])
 
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.col("html").cast("binary").alias("html"),
     )
-    return rows.mapInArrow(build, "content binary")
+    return rows.mapInArrow(build, "name string, content binary")
 
 
 def arc_to_records(archives: DataFrame) -> DataFrame:
-    """One row per record of the archives in the binary column `content`, gzipped or not."""
+    """One row per record of the archives: `name` tells them apart, `content` holds them, gzipped or not."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for raw in b.column(0).to_pylist():
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows = []
                 for r in parse_arc(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     head, payload = split_http(r.content)
                     m = re.search(rb"(?i)\r\nX-Page-Id: (-?\d+)\r\n", head)
-                    rows.append(
-                        (int(m[1]) if m else None, r.url, r.ip, r.date, r.mime, head, payload, b32_sha1(payload), len(payload))
-                    )
-                kinds = [pa.int64(), *[pa.string()] * 4, pa.binary(), pa.binary(), pa.string(), pa.int64()]
-                cols = list(zip(*rows)) if rows else [()] * 9
+                    page, place = int(m[1]) if m else None, f"{name}:{r.at}"
+                    rows.append((page, place, r.url, r.ip, r.date, r.mime, head, payload, b32_sha1(payload), len(payload)))
+                kinds = [pa.int64(), *[pa.string()] * 5, pa.binary(), pa.binary(), pa.string(), pa.int64()]
+                cols = list(zip(*rows)) if rows else [()] * 10
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], _RECORD)
 
-    return archives.select("content").mapInArrow(
+    return archives.select("name", "content").mapInArrow(
         parse,
-        "page_id long, url string, ip string, date string, mime string, head binary, payload binary, digest string, size long",
+        "page_id long, place string, url string, ip string, date string, mime string, head binary, payload binary, digest string, size long",
     )
 
 
-_RECORD = ["page_id", "url", "ip", "date", "mime", "head", "payload", "digest", "size"]
+_RECORD = ["page_id", "place", "url", "ip", "date", "mime", "head", "payload", "digest", "size"]
 
 
 def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
     first = True
     for b in batches:
         out = []
         if first:
             info = b"software: karst\r\nformat: WARC File Format 1.0\r\n"
-            ident = record_id(None, b32_sha1(info), "")
+            ident = record_id(None, b32_sha1(info), f"info {TaskContext.get().partitionId()}")
             out.append(
                 warc_record(
                     "warcinfo",
@@ -255,9 +286,10 @@ def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
             first = False
         for r in b.to_pylist():
-            revisit = r["response"] is not None and r["response"] != r["page_id"]
+            best = r["response"]
+            revisit = best is not None and best["page_id"] is not None and best["page_id"] != r["page_id"]
             fields = [
-                ("WARC-Record-ID", record_id(r["page_id"], r["digest"], r["url"])),
+                ("WARC-Record-ID", record_id(r["page_id"], r["digest"], r["place"])),
                 ("WARC-Target-URI", r["url"]),
                 ("WARC-Date", warc_date(r["date"])),
                 ("WARC-IP-Address", r["ip"]),
@@ -268,32 +300,34 @@ def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if revisit:
                 fields += [
                     ("WARC-Profile", REVISIT_PROFILE),
-                    ("WARC-Refers-To", record_id(r["response"], r["digest"], "")),
-                    ("WARC-Payload-Length", str(r["size"])),
+                    ("WARC-Refers-To", record_id(best["page_id"], r["digest"], best["place"])),
                 ]
+                if told_length(r["head"]) != r["size"]:
+                    fields.append((OWN_LENGTH, str(r["size"])))
             out.append(
                 warc_record("revisit" if revisit else "response", fields, r["head"] + (b"" if revisit else r["payload"]))
             )
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+        yield pa.RecordBatch.from_arrays([pa.array(map(gzip_row, out), pa.binary())], ["record"])
 
 
 def write_warc(records: DataFrame, out: str, per_file: int, min_bytes: int = 0) -> None:
-    """Write records of arc_to_records as gzipped WARC files of at most `per_file` records.
+    """Write records of arc_to_records, a written table, as WARC files of at most `per_file` records.
 
-    Only digests and ids are grouped; a digest that a third of all records share is dealt out by
+    Only digests, ids and places are grouped; a digest that a third of all records share is dealt out by
     a salt. Payloads move once, to meet what their digest's group decided. Spark's text writer puts
-    each record's bytes into the file, then two line ends.
+    each record's member into the file, then the byte 0 that it lacks.
     """
     same = F.when(F.col("size") >= min_bytes, F.col("digest")).otherwise(
         F.concat_ws(" ", "digest", F.col("page_id").cast("string"))
     )
-    grouped = with_group(records.withColumn("__same", same), ["__same"], "page_id", "response", "copies").withColumn(
+    named = records.withColumn("__same", same).withColumn("__own", F.struct("page_id", "place"))
+    grouped = with_group(named, ["__same"], "__own", "response", "copies").withColumn(
         "response", F.when(F.col("size") >= min_bytes, F.col("response"))
     )
     rows = grouped.select(*_RECORD, "response").mapInArrow(_to_warc, "record binary")
-    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option(
-        "compression", "gzip"
-    ).option("maxRecordsPerFile", per_file).text(out)
+    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\0").option(
+        "maxRecordsPerFile", per_file
+    ).text(out)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -315,7 +349,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                             raise ValueError(f"digest of {head['warc-record-id']} differs from its payload's")
                         size, refers = len(payload), None
                     else:
-                        size, refers = int(head["warc-payload-length"]), page_of(head["warc-refers-to"])
+                        size = int(head[OWN_LENGTH.lower()]) if OWN_LENGTH.lower() in head else told_length(block)
+                        refers = page_of(head["warc-refers-to"])
                     rows.append((page_of(head["warc-record-id"]), head["warc-target-uri"], size, digest, kind, refers))
                 cols = list(zip(*rows)) if rows else [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], _READ)
@@ -334,7 +369,8 @@ def run(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Pages to ARC, ARC to WARC files in the shared folder, and the files read back."""
     out = shared_path(spark, "warc")
     size = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0
-    write_warc(arc_to_records(pages_to_arc(pages)), out, int(FILE_BYTES / (size + 500)) + 1, min_bytes)
+    records = cut(arc_to_records(pages_to_arc(pages)), "records")
+    write_warc(records, out, int(FILE_BYTES / (size + 500)) + 1, min_bytes)
     return read_warc(spark, out)
 
 

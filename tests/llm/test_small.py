@@ -510,6 +510,38 @@ def test_warc(spark, least):
     assert op7_warc.run(spark, d.limit(0)).count() == 0
 
 
+def members(raw):
+    """The gzip members of a file, each read alone."""
+    import zlib as z
+
+    while raw:
+        one = z.decompressobj(31)
+        yield one.decompress(raw) + one.flush()
+        raw = one.unused_data
+
+
+def test_warc_identifiers(spark, tmp_path):
+    """Every record is a member with an identifier of its own, and what revisits refer to is a response of the same digest."""
+    d = spark.createDataFrame([*PAGES, *PAGES[:3]], "page_id long, url string, html string").repartition(3)
+    out = f"file://{tmp_path}/warc"
+    op7_warc.write_warc(common.cut(op7_warc.arc_to_records(op7_warc.pages_to_arc(d)), "r"), out, 4)
+    found = [m for f in tmp_path.glob("warc/part-*") for m in members(f.read_bytes())]
+    heads = [h for m in found for h, _ in op7_warc.parse_warc(m)]
+    assert len(heads) == len(found) and len({h["warc-record-id"] for h in heads}) == len(heads)
+    digests = {h["warc-record-id"]: h["warc-payload-digest"] for h in heads if h["warc-type"] == "response"}
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert revisits and all(digests[h["warc-refers-to"]] == h["warc-payload-digest"] for h in revisits)
+    assert len(digests) + len(revisits) == len(PAGES) + 3
+
+
+@pytest.mark.parametrize("size", [0, 5, (16 << 20) - 4, 16 << 20, (16 << 20) + 3])
+def test_gzip_row(size):
+    import gzip
+
+    raw = op7_warc.gzip_row(b"a" * size) + b"\0"
+    assert gzip.decompress(raw) == b"a" * size + b"\r\n\r\n"
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_lengths_rule(version):
     body = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nhttp://x 1.2.3.4 20200101000000 text/html 3\nabc\n"
