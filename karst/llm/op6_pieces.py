@@ -3,15 +3,19 @@
 Texts are escaped as the model wants it (a space before, spaces as U+2581) and cut where no piece
 can reach over: before a run of spaces, and at line ends and tabs, which no piece holds. The
 distinct parts of a batch that the cache lacks are written one after the other and indexed by a
-suffix array over their character starts. Every piece is searched in it by bisection; the range
-found is the list of its occurrences. All occurrences (edges from a place to a place) are sorted
-by position. Relaxation then follows the model's rule: in each part, of all neighbouring symbols
-that an edge spans, the best-scored (leftmost first) are joined, until no edge spans two symbols.
-Characters without a piece become byte pieces.
+suffix array over their character starts, sorted to the depth of the longest piece (no piece tells
+more). Every piece is searched in it by bisection; the range found is the list of its occurrences.
+All occurrences (edges from a place to a place) are sorted by position. Relaxation then follows the
+model's rule: in each part, of all neighbouring symbols that an edge spans, the best-scored
+(leftmost first) are joined, until no edge spans two symbols. Characters without a piece become
+byte pieces.
 
 Null counts as empty; an empty text has no ids. Rows are independent: repeated rows give repeated
 results, an empty table none. Extra columns are ignored (`encode_column` keeps them). Whole texts
-are encoded; a part of more than LONG symbols is relaxed through a heap, in n log n steps.
+are encoded. A part of more than LONG symbols is relaxed through a heap, in n log n steps. One of
+more than WINDOW bytes is worked in windows, so that memory beyond the text and its ids doesn't grow
+with it: each window keeps the symbols that what follows it cannot change (see `settled`), and the
+next one begins where they end; a window without such symbols is doubled.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from karst.llm.common import own_cache
 MARK = "▁"
 CACHE_PARTS = 600_000
 GROUP_BYTES = 256 << 10
+WINDOW = 128 << 10
 LONG = 96
 _END = b"\xff"  # in no UTF-8 text
 
@@ -72,21 +77,31 @@ class Pieces:
             raise ValueError("pieces with line ends, tabs or spaces aren't supported")
 
 
-def suffix_array(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Character starts in the order of their next 16 bytes, and those bytes as two numbers."""
-    padded = np.concatenate([buffer, np.zeros(16, np.uint8)])
+def suffix_array(buffer: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Character starts in the order of their next `depth` bytes or more, and the first 16 of those bytes as two numbers."""
+    words = -(-max(depth, 16) // 8)
+    padded = np.concatenate([buffer, np.zeros(8 * words + 8, np.uint8)])
     at = np.flatnonzero((buffer & 0xC0) != 0x80)
-    eight = np.zeros(len(buffer) + 8, np.uint64)
+    eight = np.zeros(len(buffer) + 8 * words, np.uint64)
     for i in range(8):
         eight = (eight << np.uint64(8)) | padded[i : i + len(eight)]
-    first, second = eight[at], eight[at + 8]
-    order = np.lexsort((second, first))
-    return at[order], first[order], second[order]
+    order = np.lexsort((eight[at + 8], eight[at]))
+    at = at[order]
+    same = (eight[at[1:]] == eight[at[:-1]]) & (eight[at[1:] + 8] == eight[at[:-1] + 8])
+    for skip in range(16, 8 * words, 8):  # only suffixes that are still alike
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        if not len(tied):
+            break
+        run = np.cumsum(~np.append(False, same))[tied]
+        own = at[tied]
+        at[tied] = own[np.lexsort((eight[own + skip], run))]
+        same &= eight[at[1:] + skip] == eight[at[:-1] + skip]
+    return at, eight[at], eight[at + 8]
 
 
 def edges(buffer: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """All occurrences of all pieces, sorted by position: where, and the number of the piece."""
-    at, first, second = suffix_array(buffer)
+    at, first, second = suffix_array(buffer, pieces.longest)
     lo = np.searchsorted(first, pieces.low[:, 0], "left")
     hi = np.searchsorted(first, pieces.high[:, 0], "right")
     raw = buffer.tobytes()
@@ -111,12 +126,35 @@ def edges(buffer: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return where[order], piece[order]
 
 
-def _relax_long(starts: list[int], end: int, found: np.ndarray, width: int, rank: np.ndarray) -> tuple[list[int], list[int]]:
-    """Starts and ends of the symbols of one long part: joins through a heap."""
+def _relax_long(
+    starts: list[int], end: int, found: np.ndarray, width: int, rank: np.ndarray, more: bool = False
+) -> tuple[list[int], list[int]]:
+    """Starts and ends of the symbols of one long part: joins through a heap.
+
+    `more`: the part goes on after `end`. Only symbols that this cannot change are returned.
+    """
     n = len(starts)
     begin, stop = list(starts), [*starts[1:], end]
     nxt, prev, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     heap: list[tuple[int, int, int, int]] = []
+    last, until_here, worst = n - 1, end, -len(rank) - 1
+
+    def settled() -> None:
+        """Move until_here left while an edge of the symbol before it spans it and may be joined by now.
+
+        What lies beyond is unknown: a symbol there may end anywhere. Joins are made in the order of
+        their costs (negative ranks) and places, but for joins that others make possible; so while
+        no join has cost more than `worst`, a join over until_here that costs as much or more is
+        still to come.
+        """
+        nonlocal last, until_here
+        while last >= 0:
+            own = found[begin[last] * width + until_here - begin[last] + 1 : (begin[last] + 1) * width]
+            own = own[own >= 0]
+            if not len(own) or -int(rank[own].max()) >= worst:
+                return
+            until_here = begin[last]
+            last = prev[last]
 
     def offer(i: int) -> None:
         j = nxt[i]
@@ -128,17 +166,73 @@ def _relax_long(starts: list[int], end: int, found: np.ndarray, width: int, rank
     for i in range(n - 1):
         offer(i)
     while heap:
-        _, _, i, until = heapq.heappop(heap)
+        cost, _, i, until = heapq.heappop(heap)
         j = nxt[i] if live[i] else n
         if j >= n or stop[j] != until:
             continue
+        if more and (cost > worst or i == last):
+            worst = max(cost, worst)
+            if i == last:
+                until_here, last = begin[i], prev[i]
+            settled()
         stop[i], live[j], nxt[i] = stop[j], False, nxt[j]
         if nxt[j] < n:
             prev[nxt[j]] = i
+        if more and j == last:
+            last = i
+            settled()
         offer(i)
         if prev[i] >= 0:
             offer(prev[i])
-    return [b for b, ok in zip(begin, live) if ok], [e for e, ok in zip(stop, live) if ok]
+    if more:
+        worst = 1
+        settled()
+    return [b for b, ok in zip(begin, live) if ok and b < until_here], [e for e, b, ok in zip(stop, begin, live) if ok and b < until_here]
+
+
+def encode_long(part: str, pieces: Pieces, window: int = WINDOW) -> np.ndarray:
+    """Ids of one part, window by window."""
+    raw = np.frombuffer(part.replace(" ", MARK).encode("utf-8", "replace"), np.uint8)
+    width, out, at, size = pieces.longest + 1, [], 0, window
+    while at < len(raw):
+        end = min(len(raw), at + size)
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end += 1
+        buffer = raw[at : end + width]
+        found = np.full((len(buffer) + 1) * width, -1, np.int32)
+        where, piece = edges(buffer, pieces)
+        whole = where + pieces.size[piece] <= len(buffer)
+        found[where[whole] * width + pieces.size[piece[whole]]] = piece[whole]
+        starts = np.flatnonzero((buffer[: end - at] & 0xC0) != 0x80).tolist()
+        begin, stop = (np.array(x, np.int64) for x in _relax_long(starts, end - at, found, width, pieces.rank, end < len(raw)))
+        if not len(begin):
+            size *= 2
+            continue
+        ids, _ = _ids_of(begin, stop, np.zeros(len(begin), np.int64), buffer, found, pieces)
+        out.append(ids)
+        at, size = at + int(stop[-1]), window
+    return np.concatenate([*out, np.zeros(0, np.int32)])
+
+
+def _ids_of(
+    begin: np.ndarray, stop: np.ndarray, owner: np.ndarray, buffer: np.ndarray, found: np.ndarray, pieces: Pieces
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of symbols, and whose they are: a symbol that is no piece is spelled in byte pieces."""
+    width = pieces.longest + 1
+    which = found[begin * width + np.minimum(stop - begin, width - 1)]
+    which = np.where(stop - begin < width, which, -1)
+    unknown = np.flatnonzero(which < 0)
+    ids = np.where(which >= 0, pieces.id[which], -1).astype(np.int32)
+    if len(unknown):
+        n = np.ones(len(ids), np.int64)
+        n[unknown] = (stop - begin)[unknown]
+        wide = np.repeat(ids, n)
+        spot = np.repeat(np.cumsum(n) - n, n)
+        spelled = np.flatnonzero(wide < 0)
+        offset = np.arange(len(wide)) - spot
+        wide[spelled] = pieces.byte_ids[buffer[np.repeat(begin, n)[spelled] + offset[spelled]]]
+        ids, owner = wide, np.repeat(owner, n)
+    return ids, owner
 
 
 def encode_parts(parts: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -187,20 +281,8 @@ def encode_parts(parts: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarr
     begin, stop = np.concatenate([*done_begin, np.zeros(0, np.int64)]), np.concatenate([*done_stop, np.zeros(0, np.int64)])
     order = np.argsort(begin, kind="stable")
     begin, stop = begin[order], stop[order]
-    which = found[begin * width + np.minimum(stop - begin, width - 1)]
-    which = np.where(stop - begin < width, which, -1)
-    unknown = np.flatnonzero(which < 0)
-    ids = np.where(which >= 0, pieces.id[which], -1).astype(np.int32)
     owner = np.cumsum(is_end)[begin] if len(begin) else np.zeros(0, np.int64)
-    if len(unknown):
-        n = np.ones(len(ids), np.int64)
-        n[unknown] = (stop - begin)[unknown]
-        wide = np.repeat(ids, n)
-        spot = np.repeat(np.cumsum(n) - n, n)
-        spelled = np.flatnonzero(wide < 0)
-        offset = np.arange(len(wide)) - spot
-        wide[spelled] = pieces.byte_ids[buffer[np.repeat(begin, n)[spelled] + offset[spelled]]]
-        ids, owner = wide, np.repeat(owner, n)
+    ids, owner = _ids_of(begin, stop, owner, buffer, found, pieces)
     return ids, np.bincount(owner, minlength=len(parts))
 
 
@@ -223,7 +305,7 @@ class Encoder:
         while at < len(parts):
             end, size = at, 0
             while end < len(parts) and (end == at or size < GROUP_BYTES):
-                size += len(parts[end])
+                size += len(parts[end].encode("utf-8", "replace"))
                 end += 1
             ids, n = encode_parts(parts[at:end], self.pieces)
             have = len(self.index)
@@ -242,25 +324,36 @@ class Encoder:
         cut, index = self.cut.findall, self.index
         parts = [cut(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         new = [p for p in dict.fromkeys(x for own in parts for x in own) if p not in index]
+        long_: dict[str, np.ndarray] = {}  # too large to be kept
         if new:
+            long_ = {p: encode_long(p, self.pieces) for p in new if len(p) > WINDOW // 4}
+            new = [p for p in new if p not in long_]
             if len(index) > CACHE_PARTS:
                 self.clear()
                 index = self.index
-                new = list(dict.fromkeys(x for own in parts for x in own))
+                new = [p for p in dict.fromkeys(x for own in parts for x in own) if p not in long_]
             self._learn(new)
         out = []
         for own in parts:
-            k = np.array(list(map(index.__getitem__, own)), np.int64)
-            begin = self.starts[k]
-            size = self.starts[k + 1] - begin
-            total = np.cumsum(size)
-            n = int(total[-1]) if len(total) else 0
-            out.append(self.ids[np.arange(n) + np.repeat(begin - (total - size), size)])
+            if long_ and any(p in long_ for p in own):
+                out.append(np.concatenate([long_[p] if p in long_ else self._known([p]) for p in own]))
+            else:
+                out.append(self._known(own))
         return out
 
+    def _known(self, parts: list[str]) -> np.ndarray:
+        k = np.array(list(map(self.index.__getitem__, parts)), np.int64)
+        begin = self.starts[k]
+        size = self.starts[k + 1] - begin
+        total = np.cumsum(size)
+        n = int(total[-1]) if len(total) else 0
+        return self.ids[np.arange(n) + np.repeat(begin - (total - size), size)]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids."""
-        text = b"".join(map(self.pieces.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
+        of, step = self.pieces.bytes_of.__getitem__, 1 << 18
+        raw = b"".join(b"".join(map(of, ids[i : i + step].tolist())) for i in range(0, len(ids), step))
+        text = raw.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 

@@ -473,6 +473,47 @@ def test_pieces_equal_the_library(docs, rows, empty):
     assert [e.decode(x) for x in ids] == [sp.decode(x.tolist()) for x in ids]
 
 
+def long_parts():
+    rng = random.Random(8)
+    words = "the nation internationalization there reading strengths hood ingness".split()
+    yield "".join(rng.choice("etaoinshrdlu") for _ in range(6000))
+    yield "".join(rng.choice(words) for _ in range(900))
+    yield "".join(rng.choice("漢字語彙的是不了人我在有他这中大来上国") for _ in range(2500))
+    yield "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(1500))
+    yield from ("x" * 5000, "=-" * 2500, "ab" * 2500 + "c", "0" * 4001, "é" * 3000, "👍x" * 1000)
+    yield "".join(rng.choice(["aaa", "ing", "====", "漢", "er", "...", "qzx"]) * rng.randint(1, 40) for _ in range(300))
+
+
+@pytest.mark.parametrize("window", [1, 50, 700])
+def test_long_parts_by_windows(window):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    pieces = op6_pieces.Pieces(path("piece_bpe_32k.model"))
+    for part in long_parts():
+        assert op6_pieces.encode_long(" " + part, pieces, window).tolist() == sp.encode(part)
+
+
+def test_long_parts_beside_others(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(op6_pieces, "WINDOW", 400)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    e = op6_pieces.Encoder(path("piece_bpe_32k.model"))
+    texts = [f"some words {p} and {p[:50]} {p[::-1]}\nend" for p in long_parts()]
+    ids = e.encode(texts)
+    assert [x.tolist() for x in ids] == sp.encode(texts)
+    assert not any(len(p) > 100 for p in e.index)
+
+
+def test_suffixes_are_in_order():
+    rng = random.Random(2)
+    for raw in (b"ab" * 200, bytes(rng.choices(b"abc", k=700)), "漢字漢字xx".encode() * 30):
+        at, _, _ = op6_pieces.suffix_array(np.frombuffer(raw, np.uint8), 48)
+        keys = [raw[i : i + 48].ljust(48, b"\0") for i in at.tolist()]
+        assert keys == sorted(keys) and len(set(at.tolist())) == sum(b & 0xC0 != 0x80 for b in raw)
+
+
 def test_pieces_decode_column(spark, docs, rows):
     model = path("piece_bpe_32k.model")
     back = op6_pieces.decode_column(op6_pieces.run(docs, model), model).collect()
