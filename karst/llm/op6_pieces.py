@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,9 +135,11 @@ def _relax_long(
     `more`: the part goes on after `end`. Only symbols that this cannot change are returned.
     """
     n = len(starts)
-    begin, stop = list(starts), [*starts[1:], end]
-    nxt, prev, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap: list[tuple[int, int, int, int]] = []
+    begin, stop = array("q", starts), array("q", starts[1:])
+    stop.append(end)
+    nxt, prev, live = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), bytearray(b"\1" * n)
+    heap: list[int] = []  # cost, symbol and length of a join in one number
+    top = len(rank)
     last, until_here, worst = n - 1, end, -len(rank) - 1
 
     def settled() -> None:
@@ -161,21 +164,23 @@ def _relax_long(
         if j < n and stop[j] - begin[i] < width:
             p = found[begin[i] * width + stop[j] - begin[i]]
             if p >= 0:
-                heapq.heappush(heap, (-int(rank[p]), begin[i], i, stop[j]))
+                heapq.heappush(heap, ((top - int(rank[p])) * n + i) * width + stop[j] - begin[i])
 
     for i in range(n - 1):
         offer(i)
     while heap:
-        cost, _, i, until = heapq.heappop(heap)
+        rest, reach = divmod(heapq.heappop(heap), width)
+        cost, i = divmod(rest, n)
+        cost -= top
         j = nxt[i] if live[i] else n
-        if j >= n or stop[j] != until:
+        if j >= n or stop[j] - begin[i] != reach:
             continue
         if more and (cost > worst or i == last):
             worst = max(cost, worst)
             if i == last:
                 until_here, last = begin[i], prev[i]
             settled()
-        stop[i], live[j], nxt[i] = stop[j], False, nxt[j]
+        stop[i], live[j], nxt[i] = stop[j], 0, nxt[j]
         if nxt[j] < n:
             prev[nxt[j]] = i
         if more and j == last:
