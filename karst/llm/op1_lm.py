@@ -17,6 +17,12 @@ the batch's training counts. A bucket adds up the counts of all batches and answ
 totals of what it named, in the same order, and with the bucket's share of N and V. From the
 answers a batch builds the part of the automaton that its texts can reach, and walks it. Batches
 and buckets grow in number with the input, not in size; a frequent n-gram is one entry a batch.
+Messages don't grow with batches times buckets: where there are more buckets than FAN, hashes are
+sent in several hops, each to at most FAN ranges, and between hops the messages of FAN batches to
+one range are put together; the answers come back the same way.
+
+N-grams are told apart by 62 bits of a hash; two of 10**6 distinct ones fall together with
+probability 1e-7, two of 10**9 in about one of ten corpora, and then share their count.
 
 Null texts count as empty; an empty text is the end token alone. Rows are independent: repeated
 rows count repeatedly in training and give repeated results. An empty table gives no rows; without
@@ -37,6 +43,7 @@ ORDER = 2
 STRENGTH = 300.0
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
+FAN = 256
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: The lowest two bits of a key: a token, or anything else.
@@ -115,10 +122,15 @@ class Grams:
             total += np.bincount(own[ok], weights=use[ok], minlength=len(self.keys)).astype(np.int64)
         return total
 
-    def ranges(self, buckets: int) -> np.ndarray:
-        """Where each bucket's keys begin, and the end."""
-        limits = [(i << 64) // buckets for i in range(1, buckets)]
-        return np.concatenate([[0], np.searchsorted(self.keys, np.array(limits, np.uint64)), [len(self.keys)]]).astype(np.int64)
+
+def limits(first: int, ranges: int, whole: int) -> np.ndarray:
+    """The least hash of ranges first + 1 to first + ranges - 1, of a hash space in `whole` equal ranges."""
+    return np.array([((first + i) << 64) // whole for i in range(1, ranges)], np.uint64)
+
+
+def cuts(keys: np.ndarray, first: int, ranges: int, whole: int) -> np.ndarray:
+    """Where the sorted keys of each of the ranges begin, and the end."""
+    return np.concatenate([[0], np.searchsorted(keys, limits(first, ranges, whole)), [len(keys)]]).astype(np.int64)
 
 
 class Automaton:
@@ -175,13 +187,18 @@ def _text_rows(table: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array]:
 
 
 def run(docs: DataFrame, modulus: int = 7, held_out: int = 2, order: int = ORDER, strength: float = STRENGTH,
-        batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+        batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = text_bytes(rows)
     batches, buckets = parts_for(size, batch_bytes), parts_for(size, bucket_bytes)
+    hops = 1
+    while fan**hops < buckets:
+        hops += 1
+    split = next(f for f in range(1, fan + 1) if f**hops >= buckets)  # ranges of a hop
+    # the input partition is part of the hash, so that rows which repeat don't all meet in one batch
     rows = rows.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int").alias("batch"),
+        F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(batches)).cast("long").alias("node"),
         "doc_id",
         "text",
         (id_mod("doc_id", modulus) != held_out).alias("train"),
@@ -190,47 +207,64 @@ def run(docs: DataFrame, modulus: int = 7, held_out: int = 2, order: int = ORDER
     def ask(table: pa.Table) -> pa.Table:
         texts, train, _ = _text_rows(table)
         grams = Grams(texts, order)
-        counts, at = grams.counts(train).astype("<u4"), grams.ranges(buckets)
-        batch = table.column("batch")[0].as_py()
-        cut = lambda x: pa.array([planes(x[at[i] : at[i + 1]]) for i in range(buckets)], pa.binary())
-        return pa.table(
-            {
-                "bucket": pa.array(range(buckets), pa.int32()),
-                "batch": pa.array([batch] * buckets, pa.int32()),
-                "keys": cut(grams.keys.astype("<u8")),
-                "counts": cut(counts),
-            }
-        )
+        keys, counts = grams.keys.astype("<u8"), grams.counts(train).astype("<u8")
+        at = cuts(keys, 0, split, split)
+        pick = lambda x: [x[at[i] : at[i + 1]] for i in range(split)]
+        return _messages(range(split), [table.column("node")[0].as_py()] * split, pick(keys), pick(counts))
+
+    def onward(whole: int):
+        """Put the messages of nodes to one of `whole` / split ranges together, and send them to its parts."""
+
+        def run(table: pa.Table) -> pa.Table:
+            first = table.column("range")[0].as_py() * split
+            _, keys, counts = _read(table)
+            at = [cuts(k, first, split, whole) for k in keys]
+            own, times = ([np.concatenate([y[a[i] : a[i + 1]] for y, a in zip(x, at)]) for i in range(split)] for x in (keys, counts))
+            order = [np.argsort(x, kind="stable") for x in own]
+            node = table.column("node")[0].as_py() // fan
+            pick = lambda x: [y[o] for y, o in zip(x, order)]
+            return _messages(range(first, first + split), [node] * split, pick(own), pick(times))
+
+        return run
 
     def answer(table: pa.Table) -> pa.Table:
-        keys = [from_planes(x.as_buffer(), "<u8") for x in table.column("keys")]
-        counts = [from_planes(x.as_buffer(), "<u4") for x in table.column("counts")]
+        nodes, keys, counts = _read(table)
         u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
         token = (u & _KIND) == _TOKEN
         n, v = int(total[token].sum()), int((total[token] > 0).sum())
         ends = np.cumsum([len(k) for k in keys])
-        told = [total[inverse[e - len(k) : e]].astype("<u8" if len(total) and total.max() >= 1 << 32 else "<u4") for k, e in zip(keys, ends)]
-        return pa.table(
-            {
-                "batch": table.column("batch").combine_chunks(),
-                "bucket": table.column("bucket").combine_chunks(),
-                "width": pa.array([x.itemsize for x in told], pa.int32()),
-                "totals": pa.array([planes(x) for x in told], pa.binary()),
-                "n": pa.array([n] * len(told), pa.int64()),
-                "v": pa.array([v] * len(told), pa.int64()),
-            }
-        )
+        told = [total[inverse[e - len(k) : e]] for k, e in zip(keys, ends)]
+        return _answers([table.column("range")[0].as_py()] * len(nodes), nodes, told, n, v)
+
+    def back(whole: int):
+        """Deal the answers of a range's parts to the nodes whose messages were put together."""
+
+        def run(table: pa.Table, told: pa.Table) -> pa.Table:
+            one = table.column("range")[0].as_py()
+            nodes, keys, _ = _read(table)
+            at = [cuts(k, one * split, split, whole) for k in keys]
+            parts: list[list[np.ndarray]] = [[] for _ in nodes]
+            told = told.sort_by("range")
+            for i, sorted_ in enumerate(_totals(told)):
+                order = np.argsort(np.concatenate([k[a[i] : a[i + 1]] for k, a in zip(keys, at)]), kind="stable")
+                total, done = np.zeros_like(sorted_), 0
+                total[order] = sorted_
+                for own, a in zip(parts, at):
+                    own.append(total[done : done + a[i + 1] - a[i]])
+                    done += a[i + 1] - a[i]
+            n, v = pc.sum(told.column("n")).as_py(), pc.sum(told.column("v")).as_py()
+            return _answers([one] * len(nodes), nodes, [np.concatenate(x) for x in parts], n, v)
+
+        return run
 
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
         texts, train, ids = _text_rows(table)
         if not len(texts):
             return _RESULT.empty_table()
         grams = Grams(texts, order)
-        told = told.sort_by("bucket")
-        totals = np.concatenate(
-            [from_planes(x.as_buffer(), f"<u{w}").astype(np.int64) for x, w in zip(told.column("totals"), told.column("width").to_pylist())]
-        )
+        told = told.sort_by("range")
+        totals = np.concatenate(_totals(told))
         n, v = pc.sum(told.column("n")).as_py(), pc.sum(told.column("v")).as_py()
         automaton = Automaton(grams, totals, n, v, strength)
         begin, known, base, scores = grams.starts, [], [], []
@@ -256,11 +290,18 @@ def run(docs: DataFrame, modulus: int = 7, held_out: int = 2, order: int = ORDER
             schema=_RESULT,
         )
 
-    asked = rows.groupBy("batch").applyInArrow(ask, "bucket int, batch int, keys binary, counts binary")
-    told = asked.groupBy("bucket").applyInArrow(answer, "batch int, bucket int, width int, totals binary, n long, v long")
+    sent = [rows.groupBy("node").applyInArrow(ask, _MESSAGE)]
+    put = F.floor(F.col("node") / fan).alias("put")
+    for hop in range(1, hops):
+        sent.append(sent[-1].groupBy("range", put).applyInArrow(onward(split ** (hop + 1)), _MESSAGE))
+    told = sent[-1].groupBy("range").applyInArrow(answer, _ANSWER)
+    for hop in range(hops - 1, 0, -1):
+        asked = sent[hop - 1].groupBy(F.col("range").alias("of"), put)
+        of = F.floor(F.col("range") / split).alias("of")
+        told = asked.cogroup(told.groupBy(of, F.col("node").alias("put"))).applyInArrow(back(split ** (hop + 1)), _ANSWER)
     return (
-        rows.groupBy("batch")
-        .cogroup(told.groupBy("batch"))
+        rows.groupBy("node")
+        .cogroup(told.groupBy("node"))
         .applyInArrow(
             score,
             "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
@@ -268,6 +309,56 @@ def run(docs: DataFrame, modulus: int = 7, held_out: int = 2, order: int = ORDER
     )
 
 
+_MESSAGE = "range long, node long, keys binary, width int, counts binary"
+_ANSWER = "range long, node long, width int, totals binary, n long, v long"
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype("<u8" if len(x) and x.max() >= 1 << 32 else "<u4")
+
+
+def _messages(ranges, nodes: list[int], keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.Table:
+    """Messages with their keys and counts, as they are; ranges without a key too."""
+    small = [_narrow(x) for x in counts]
+    return pa.table(
+        {
+            "range": pa.array(ranges, pa.int64()),
+            "node": pa.array(nodes, pa.int64()),
+            "keys": pa.array([planes(x) for x in keys], pa.binary()),
+            "width": pa.array([x.itemsize for x in small], pa.int32()),
+            "counts": pa.array([planes(x) for x in small], pa.binary()),
+        }
+    )
+
+
+def _read(table: pa.Table) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+    """Nodes in their order, and the keys and counts that each sent."""
+    table = table.sort_by("node")
+    keys = [from_planes(x.as_buffer(), "<u8") for x in table.column("keys")]
+    widths = table.column("width").to_pylist()
+    counts = [from_planes(x.as_buffer(), f"<u{w}") for x, w in zip(table.column("counts"), widths)]
+    return table.column("node").to_pylist(), keys, counts
+
+
+def _answers(ranges: list[int], nodes: list[int], totals: list[np.ndarray], n: int, v: int) -> pa.Table:
+    small = [_narrow(x) for x in totals]
+    return pa.table(
+        {
+            "range": pa.array(ranges, pa.int64()),
+            "node": pa.array(nodes, pa.int64()),
+            "width": pa.array([x.itemsize for x in small], pa.int32()),
+            "totals": pa.array([planes(x) for x in small], pa.binary()),
+            "n": pa.array([n] * len(small), pa.int64()),
+            "v": pa.array([v] * len(small), pa.int64()),
+        }
+    )
+
+
+def _totals(told: pa.Table) -> list[np.ndarray]:
+    widths = told.column("width").to_pylist()
+    return [from_planes(x.as_buffer(), f"<u{w}").astype(np.int64) for x, w in zip(told.column("totals"), widths)]
+
+
 _RESULT = pa.schema(
     [
         ("doc_id", pa.int64()),
