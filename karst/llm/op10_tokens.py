@@ -9,8 +9,8 @@ Each id takes the fewest bits that hold the vocabulary. A file is a run of segme
 
 so any run of ids is found by its block offset and unpacked with numpy, without the rest.
 
-Texts: null counts as empty; an empty text has the end id alone. Ids of rows with equal doc_id
-follow the order of their texts; null doc_ids come first. An empty table gives no file and no row.
+Texts: null counts as empty; an empty text has the end id alone. Rows with equal doc_id follow the
+order of a 64-bit hash of their texts, then that of the texts; null doc_ids come first. An empty table gives no file and no row.
 Extra columns are ignored.
 """
 
@@ -33,7 +33,8 @@ from karst.llm.common import cut, own_cache, parts_for, shared_path, text_bytes
 MAGIC = b"KTOK"
 HEAD = struct.Struct("<4sHHiIIQIQ")
 BLOCK = 4096  # ids; a multiple of 64
-PART_BYTES = 12 << 20
+PART_BYTES = 48 << 20
+PARTS_AT_ONCE = 1000  # whose totals are added up in one task
 CACHE_WORDS = 800_000
 JOIN = 100  # words encoded as one text
 SPLIT = "<|startoftext|>"  # a special token of the vocabulary
@@ -224,7 +225,7 @@ def write_ids(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 1) -
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     parts = parts_for(text_bytes(rows), PART_BYTES)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     packed = dealt.mapInArrow(_encode(tokenizer_path, vocab, end_id), "segment binary")
     packed.select(F.col("segment").cast("string").alias("value")).write.option("lineSep", "\n").text(out)
 
@@ -252,14 +253,21 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32.
 
-    The files are read once; a row per segment gives the ids before it.
+    The files are read once; a row per segment gives the ids before it. The only window over all rows has one a thousand partitions.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     rows = cut(
         files.mapInArrow(_decode, "part int, seq int, doc_id long, local long, n_tokens long, ids_crc32 long"), "ids"
     )
-    sums = rows.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n"))
-    before = sums.withColumn("before", F.sum("n").over(Window.orderBy("part", "seq")) - F.col("n")).drop("n")
+    # ids before a segment: of its partition, of partitions before it in its thousand, and of thousands before it
+    block = F.floor(F.col("part") / PARTS_AT_ONCE)
+    sums = rows.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n")).withColumn("block", block)
+    upto = lambda window: F.sum("n").over(window) - F.col("n")
+    segments_ = sums.select("part", "seq", upto(Window.partitionBy("part").orderBy("seq")).alias("a"))
+    parts = sums.groupBy("block", "part").agg(F.sum("n").alias("n"))
+    blocks = parts.groupBy("block").agg(F.sum("n").alias("n")).select("block", upto(Window.orderBy("block")).alias("c"))
+    parts = parts.select("block", "part", upto(Window.partitionBy("block").orderBy("part")).alias("b")).join(blocks, "block")
+    before = segments_.join(parts, "part").select("part", "seq", (F.col("a") + F.col("b") + F.col("c")).alias("before"))
     return rows.join(before, ["part", "seq"]).select(
         "doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -6,16 +6,16 @@ what each character can stand for; a Viterbi search under a character trigram mo
 likeliest reading, and the score is taken of that. Other words have one reading only, themselves.
 
 The model is two tables, both of bounded size: log-probabilities of 38**3 trigrams (letters,
-digits, other letters, space), and at most MAX_FEATURES words and word beginnings with the share
-of toxic texts among those that hold them. Trigrams are counted over all texts outside the held-out
+digits, other letters, space), and at most MAX_FEATURES words and word beginnings with the
+log-odds that they add. Trigrams are counted over all texts outside the held-out
 fold, labelled or not. Features are fitted on a bounded sample: at most about SAMPLE_EACH labelled
 rows of each label, chosen by a hash of the id. A feature is taken only if its
 count differs from the base rate by more than chance over all features tried (Bonferroni); texts
-that nearly repeat each other (same smallest hash of three words) count once. A text's score is
-1 - (1 - p0) * product of (1 - p) over its distinct words that are features.
+that nearly repeat each other count once. A text's score is the logistic function of c plus the
+log-odds of its distinct words that are features; c is the likeliest for the sample.
 
-Labels, lang, source and doc_id are no inputs of a score. Null and empty texts get p0, which is
-below 0.5. A document with several labels counts as toxic if one says so. Rows are independent:
+Labels, lang, source and doc_id are no inputs of a score. Null and empty texts get the score of c,
+which is below 0.5. A document with several labels counts as toxic if one says so. Rows are independent:
 repeated rows give repeated results, an empty table none; without labels all scores are 0. Extra
 columns are kept by `mark` and ignored by `score`. Whole texts are read, and no row is shuffled.
 """
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.common import id_mod, own_cache
+from karst.llm.common import cut, id_mod, own_cache
 
 SAMPLE_EACH = 6000
 MAX_FEATURES = 20_000
@@ -186,26 +186,30 @@ def _single_runs(words: list[str], k: np.ndarray, starts: np.ndarray) -> list[tu
     return [(int(o), int(at[f]), int(at[f] + n)) for o, f, n in zip(owner, first, size) if n >= 3]
 
 
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -700, 700))) * (x > -700)
+
+
 @dataclass
 class Model:
     log_p: np.ndarray
-    share: dict[str, float]  # word, or "beginning*": share of toxic texts
-    base: float  # share of toxic texts among those without a feature
+    weight: dict[str, float]  # word, or "beginning*": log-odds that it adds
+    base: float  # log-odds of a text without a feature
     channel: Channel = field(init=False)
     cache: dict[str, float] = field(init=False, default_factory=dict)
 
     def __post_init__(self):
         self.channel = Channel(self.log_p)
 
-    def word_share(self, word: str) -> float:
-        found = self.share.get(word, 0.0)
+    def word_weight(self, word: str) -> float:
+        found = self.weight.get(word, 0.0)
         for n in PREFIXES:
             if len(word) > n:
-                found = max(found, self.share.get(word[:n] + "*", 0.0))
+                found = max(found, self.weight.get(word[:n] + "*", 0.0))
         return found
 
-    def reading_share(self, reading: str) -> tuple[tuple[str, float], ...]:
-        return tuple((w, s) for w in _WORD.findall(reading) if (s := self.word_share(w)) > 0)
+    def reading_weight(self, reading: str) -> tuple[tuple[str, float], ...]:
+        return tuple((w, s) for w in _WORD.findall(reading) if (s := self.word_weight(w)) > 0)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """Scores of texts (null as empty)."""
@@ -217,7 +221,7 @@ class Model:
         for w in words:
             got = cache.get(w)
             if got is None:
-                got = cache[w] = self.reading_share(self.channel.word(w))
+                got = cache[w] = self.reading_weight(self.channel.word(w))
             hits.append(got)
         found: dict[int, dict[str, float]] = {}
         some = np.array([bool(h) for h in hits], bool)
@@ -226,12 +230,12 @@ class Model:
             found.setdefault(int(owner), {}).update(hits[token])
         for owner, a, b in _single_runs(words, k, starts):
             reading = self.channel.apart([words[x].strip(".,;:-_") for x in k[a:b]])
-            for w, s in self.reading_share(reading):
+            for w, s in self.reading_weight(reading):
                 found.setdefault(owner, {})[w] = s
-        out = np.full(len(texts), self.base)
+        odds = np.full(len(texts), self.base)
         for owner, own in found.items():
-            out[owner] = 1 - (1 - self.base) * math.prod(1 - s for s in own.values())
-        return out
+            odds[owner] += sum(own.values())
+        return logistic(odds)
 
     def restore(self, text: str | None) -> str:
         """The text as it is scored: each word's likeliest reading."""
@@ -248,7 +252,11 @@ class Model:
         return " ".join(x for x in out if x)
 
 
-NO_MODEL = Model(log_trigrams(np.zeros(ALPHABET**3)), {}, 0.0)
+#: Copies would make a word look like proof: texts of one label whose sketches agree in ALIKE of the numbers count once.
+_SEEDS = np.random.default_rng(5).integers(1, 2**63, 8).astype(np.uint64)
+ALIKE = 3
+
+NO_MODEL = Model(log_trigrams(np.zeros(ALPHABET**3)), {}, -math.inf)
 
 
 def _sample(labels: DataFrame, modulus: int, held_out: int) -> tuple[DataFrame, dict[int, float]]:
@@ -262,6 +270,21 @@ def _sample(labels: DataFrame, modulus: int, held_out: int) -> tuple[DataFrame,
     return chosen, {k: 1 / keep[k] for k in keep}
 
 
+def _originals(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+    """Of (hash, label, sketch) in order those that are no copy of one before with the same label: sketches differ in most numbers."""
+    out: list[tuple[int, int, bytes]] = []
+    for label in (0, 1):
+        own = [r for r in rows if r[1] == label]
+        kept, n = np.zeros((len(own), len(_SEEDS)), np.uint64), 0
+        for r in own:
+            x = np.frombuffer(r[2], np.uint64)
+            if not n or ((kept[:n] == x).sum(1) < ALIKE).all():
+                kept[n] = x
+                n += 1
+                out.append(r)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0) -> Model:
     """Count the character model on all texts outside the held-out fold, and fit the features on the labelled sample."""
     chosen, weight = _sample(labels, modulus, held_out)
@@ -313,22 +336,28 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
                 for _ in range(2 if len(mine) > 2 else 0):
                     x = (x[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (x[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
                     x = x ^ (x >> np.uint64(29))
-                x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                sketch.append(int(x.min() >> np.uint64(1)) if len(x) else 0)
-            cols = [b.column(1), pa.array(sketch, pa.int64()), pa.array(own, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, ["toxic", "sketch", "own"])
-
-    each = texts.select("text", "toxic").mapInArrow(features, "toxic int, sketch long, own array<string>")
-    each = each.dropDuplicates(["toxic", "sketch"])
+                x = (x[None, :] ^ _SEEDS[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                sketch.append((x.min(1) if x.size else _SEEDS).tobytes())
+            cols = [b.column(1), b.column(2), pa.array(sketch, pa.binary()), pa.array(own, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, ["toxic", "h", "sketch", "own"])
+
+    each = texts.select("text", "toxic", F.xxhash64("text").alias("h"))
+    each = cut(each.mapInArrow(features, "toxic int, h long, sketch binary, own array<string>"), "features")
+    # the sample is bounded, and so are its sketches; of equal texts the other rows go too
+    told = sorted((r["h"], r["toxic"], bytes(r["sketch"])) for r in each.select("h", "toxic", "sketch").collect())
+    alone = [(h, toxic) for h, toxic, _ in _originals(told)]
+    alone = docs.sparkSession.createDataFrame(alone, "h long, toxic int")
+    each = each.join(F.broadcast(alone), ["h", "toxic"]).dropDuplicates(["h", "toxic"])
     # each text also holds the empty feature, whose counts are those of the sample
     told = each.select("toxic", F.explode(F.concat("own", F.array(F.lit("")))).alias("f"))
     by = told.groupBy("f").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
     all_ = by.filter("f = ''").collect()
     if not all_ or not all_[0]["pos"]:
-        return Model(log_p, {}, 0.0)
+        return Model(log_p, {}, -math.inf)
     pos, n = all_[0]["pos"], all_[0]["n"]
     if pos == n:
-        return Model(log_p, {}, 0.49)
+        return Model(log_p, {}, -0.04)
     b = pos / n
     tried = max(1, by.filter("n >= 2").count())
     q, total = F.col("pos") / F.col("n"), F.col("n")
@@ -336,8 +365,26 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
     picked = by.filter((F.col("f") != "") & (q > b) & (F.col("pos") >= 3)).filter(gain >= math.log(10 * tried))
     ratio = weight.get(0, 1.0) / weight.get(1, 1.0)
     share = F.col("pos") / (F.col("pos") + ratio * (total - F.col("pos") + 1))
-    rows = picked.select("f", share.alias("share")).filter("share >= 0.5").orderBy(F.desc("share"), "f").limit(MAX_FEATURES).collect()
-    return Model(log_p, {r["f"]: r["share"] for r in rows}, min(0.05, pos / (pos + ratio * (n - pos)) / 10))
+    prior = pos / (pos + ratio * (n - pos))
+    added = F.log(share / (1 - share)) - F.lit(math.log(prior / (1 - prior)))
+    rows = picked.filter(share >= 0.5).select("f", added.alias("added")).orderBy(F.desc("added"), "f").limit(MAX_FEATURES).collect()
+    model = Model(log_p, {r["f"]: r["added"] for r in rows if r["added"] > 0}, 0.0)
+    weights = docs.sparkSession.sparkContext.broadcast(model.weight)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(np.zeros((1, 1, 1)), weights.value, 0.0)
+        for batch in batches:
+            added = [round(sum(own.word_weight(w) for w in words if w[-1:] != "*"), 1) for words in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(added, pa.float64())], ["toxic", "added"])
+
+    # a histogram in steps of a tenth is all that the intercept needs
+    seen = each.select("toxic", "own").mapInArrow(sums, "toxic int, added double").groupBy("toxic", "added").count().collect()
+    added_, times = np.array([r["added"] for r in seen]), np.array([r["count"] * (1.0 if r["toxic"] else ratio) for r in seen])
+    sign = np.array([1.0 if r["toxic"] else -1.0 for r in seen])
+    grid = np.arange(-12.0, 0.0, 0.05)
+    loss = [(times * np.logaddexp(0, -sign * (added_ + c))).sum() for c in grid]
+    model.base = float(grid[int(np.argmin(loss))])
+    return model
 
 
 def _scored(shared) -> object:
@@ -363,7 +410,7 @@ def _model(shared) -> Model:
 
 
 def _apply(rows: DataFrame, model: Model) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast((model.log_p, model.share, model.base))
+    shared = rows.sparkSession.sparkContext.broadcast((model.log_p, model.weight, model.base))
     schema = T.StructType([*rows.schema.fields, T.StructField("__score", T.DoubleType())])
     return rows.mapInArrow(_scored(shared), schema)
 

@@ -1,7 +1,7 @@
 """Exact duplicates by content-defined chunk recipes, in DataFrame operations only.
 
 A text is cut where its own content says so: after MIN_CHARS characters, at the next sentence
-end, at MAX_CHARS at the latest. A chunk is named by a 64-bit hash, and the names are verified:
+end (STOPS has those of several scripts), at MAX_CHARS at the latest. A chunk is named by a 64-bit hash, and the names are verified:
 the distinct contents of all chunks are brought together once, and where contents differ under
 one hash, each gets an ordinal as part of its name. A document is then the ordered list of its
 chunks' names (its recipe); equal recipes mean equal texts. After the one movement of distinct
@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from karst.llm.common import ascii_lower, cut, with_group
 
 MIN_CHARS, MAX_CHARS = 1024, 4096
+#: Ends of lines and sentences, of Latin, Chinese, Japanese, Arabic, Urdu, Devanagari, Armenian and Ethiopic script.
+STOPS = r"[.!?\n。！？｡؟۔।։።]"
 
 
 def chunk_pattern(least: int = MIN_CHARS, most: int = MAX_CHARS) -> str:
-    return rf"(?s).{{{least},{most - 1}}}?(?:[.!?\n]|\z)|.{{1,{most}}}"
+    return rf"(?s).{{{least},{most - 1}}}?(?:{STOPS}|\z)|.{{1,{most}}}"
 
 
 def normalised(text: Column) -> Column:

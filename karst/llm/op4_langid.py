@@ -4,8 +4,10 @@ A text is the average of the embeddings of its byte n-grams (2 to 4 bytes, A-Z i
 each found by its hash among BUCKETS rows; a linear softmax over the average gives the languages.
 Embeddings and softmax are trained together by stochastic gradient descent in numpy, on whole
 texts and on short pieces of them. A part of the sample is kept from training and fits the
-softmax's temperature and the score below which a prediction is marked `rejected`, so that the
-predictions above it reach TARGET accuracy there.
+softmax's temperature and the score below which a prediction is marked `rejected`: the least for
+which the predictions above it reach TARGET accuracy there, and at least the one that a share of
+REJECTED of the right predictions there fall below, so that texts of no learned language and
+mixtures are told even where all kept rows are predicted right.
 
 The fit takes a bounded sample: about SAMPLE_ROWS rows in all, equally many of each language,
 chosen by the hash of id and text. As both maps are linear, prediction needs their product alone,
@@ -36,6 +38,7 @@ SAMPLE_ROWS = 2400
 EPOCHS, RATE, BATCH = 5, 4.0, 64
 PIECES = (12, 3)  # words of the short pieces that are learned besides a whole text
 TARGET = 0.99
+REJECTED = 0.005
 CHUNK_BYTES = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint32([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F])
@@ -167,7 +170,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], langs: list[str], seed
         order = np.argsort(-score, kind="stable")
         accuracy = np.cumsum(right[order]) / np.arange(1, len(y) + 1)
         good = np.flatnonzero(accuracy >= TARGET)
-        model.reject_below = float(score[order][good[-1]]) if len(good) else 1.0
+        model.reject_below = float(max(score[order][good[-1]], np.quantile(score[right], REJECTED))) if len(good) else 1.0
     return model
 
 

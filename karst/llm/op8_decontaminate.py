@@ -51,8 +51,10 @@ def rarest(wins: DataFrame, docs: DataFrame) -> DataFrame:
     vocab = wins.select(F.explode("win").alias("word")).distinct()
     small = vocab.count() <= BROADCAST_WORDS
     each = docs.select(F.explode(words(F.col("text"))).alias("word"))
-    found = each.join(F.broadcast(vocab) if small else vocab, "word", "left_semi" if not small else "inner")
-    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    # a vocabulary too large to be broadcast meets words that are counted already, so that no frequent word is a hot key
+    each = each.join(F.broadcast(vocab), "word") if small else each
+    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    counts = counts if small else counts.join(vocab, "word", "left_semi")
     placed = wins.select("win", F.posexplode("win").alias("offset", "word")).join(counts, "word", "left")
     best = placed.groupBy("win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "word", "offset")).alias("best"))
     return wins.join(best, "win").select("win", "n", "items", F.col("best.word").alias("word"), F.col("best.offset").alias("offset"))

@@ -160,7 +160,7 @@ def toxic(spark):
 def test_toxicity_reads_through_the_channel(toxic, spark):
     d, labels = toxic
     model = op2_toxicity.fit(d, labels)
-    assert {"idiot", "scum", "moron"} <= set(model.share)
+    assert {"idiot", "scum", "moron"} <= set(model.weight)
     for t in ["you 1d10t", "an i d i o t here", "idiooooot", "$cum", "s-c-u-m", "M0R0N!", "m o r o n"]:
         assert model.score(pa.array([t]))[0] >= 0.5, t
     for t in [None, "", "the cat runs", "a b c d e", "100% $5 @home", "x" * 5000, "1 2 3 4 5 6"]:
@@ -192,6 +192,15 @@ def test_toxicity_small_inputs(docs, empty, toxic, rows):
     assert op2_toxicity.score(empty, op2_toxicity.fit(empty, labels)).count() == 0
 
 
+def test_toxicity_of_held_out_rows(spark):
+    """Held-out precision and recall on the driver's labels."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = op2_toxicity.score(d, op2_toxicity.fit(d, labels)).join(labels, "doc_id").filter("held_out")
+    both, said, true = got.selectExpr("sum(int(predicted = 1 and toxic = 1))", "sum(predicted)", "sum(toxic)").first()
+    assert true > 50 and both / true >= 0.85 and both / said >= 0.85, (both, said, true)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     channel = op2_toxicity.Channel(op2_toxicity.log_trigrams(rng.integers(0, 9, 38**3).astype(float)))
@@ -279,6 +288,27 @@ def test_langid(spark, docs, empty):
     assert op4_langid.predict(empty, none).count() == 0
 
 
+def test_langid_rejects_mixtures(spark):
+    rng = random.Random(6)
+    sets = {"aa": "kala mela tova rusi nomi".split(), "bb": "zorg xunt prek wolf drum".split()}
+    say = lambda ws, n: " ".join(rng.choice(ws) for _ in range(n))
+    rows = [(i, say(sets[k], 20), k) for i, k in enumerate(["aa", "bb"] * 300)]
+    clean = [(1000 + i, say(sets[k], 20), k) for i, k in enumerate(["aa", "bb"] * 100)]
+    mixed = [(2000 + i, say(sets["aa"], 10) + " " + say(sets["bb"], 10), None) for i in range(100)]
+    schema = "doc_id long, text string, lang string"
+    model = op4_langid.fit(spark.createDataFrame(rows, schema))
+    got = {r["doc_id"]: r["rejected"] for r in op4_langid.predict(spark.createDataFrame(clean + mixed, schema), model).collect()}
+    assert sum(got[i] for i, _, _ in clean) <= 4 and sum(got[i] for i, _, _ in mixed) >= 95
+
+
+def test_langid_of_held_out_rows(spark):
+    """Held-out accuracy on the driver's table."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = op4_langid.predict(d, op4_langid.fit(d)).join(d.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'")
+    n, right, rejected = got.selectExpr("count(*)", "sum(int(lang_pred = lang))", "sum(int(rejected))").first()
+    assert n > 200 and right / n >= 0.97 and rejected / n <= 0.05
+
+
 def test_langid_chunks_do_not_matter():
     rng = np.random.default_rng(0)
     m = op4_langid.Model(["a", "b"], rng.standard_normal((op4_langid.BUCKETS, 2)).astype(np.float32), np.zeros(2), 1.0, 0.0)
