@@ -123,10 +123,25 @@ def own_cache(owner: str) -> dict:
     """A cache of this process. Workers outlive a stage, so a new owner empties the caches of the others."""
     if owner not in _OWN:
         _OWN.clear()
+        _give_back()
         _OWN[owner] = {}
     return _OWN[owner]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def fold_words(text: str | None) -> list[bytes]:
     """Words of WORD_CLASS after lower-casing A-Z, as UTF-8 bytes."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()

@@ -40,7 +40,8 @@ from karst.llm.common import cut, id_mod, own_cache
 SAMPLE_EACH = 6000
 MAX_FEATURES = 20_000
 PREFIXES = (4, 5, 6)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+ROWS_AT_ONCE = 500
 #: What a sign can stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -69,12 +70,17 @@ def _code(c: str) -> int:
 
 def trigram_counts(words: list[str], times: np.ndarray) -> np.ndarray:
     """Counts of trigrams over words, each between spaces."""
-    flat, owner = [], []
-    for i, w in enumerate(words):
-        codes = [SPACE, SPACE, *map(_code, w), SPACE]
-        flat += [(codes[j] * ALPHABET + codes[j + 1]) * ALPHABET + codes[j + 2] for j in range(len(codes) - 2)]
-        owner += [i] * (len(codes) - 2)
-    return np.bincount(np.array(flat, np.int64), weights=times[owner] if flat else None, minlength=ALPHABET**3)
+    if not words:
+        return np.zeros(ALPHABET**3)
+    points, at = np.unique(np.frombuffer("".join(f"  {w} " for w in words).encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)
+    codes = np.array([_code(chr(p)) for p in points], np.int64)[at]
+    size = np.array([len(w) + 3 for w in words])
+    ends = np.cumsum(size)
+    inside = np.ones(len(codes), bool)  # whether a trigram that begins here ends in the same word
+    inside[ends - 1] = inside[ends - 2] = False
+    first = np.flatnonzero(inside)
+    grams = (codes[first] * ALPHABET + codes[first + 1]) * ALPHABET + codes[first + 2]
+    return np.bincount(grams, weights=np.repeat(times, size - 2), minlength=ALPHABET**3)
 
 
 def log_trigrams(counts: np.ndarray, strength: float = 20.0) -> np.ndarray:
@@ -161,6 +167,11 @@ class Channel:
         return self.decode(steps)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from (b.slice(at, rows) for at in range(0, len(b), rows))
+
+
 def _tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct tokens in lower case as found, the number of each token, and where texts begin."""
     parts = pc.ascii_split_whitespace(pc.utf8_lower(texts))
@@ -293,7 +304,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ALPHABET**3)
-        for b in batches:
+        own_cache("op2")
+        for b in _slices(batches):
             words, k, _ = _tokens(b.column(0))
             plain = [i for i, w in enumerate(words) if not _SIGNS.search(w)]
             times = np.bincount(k, minlength=len(words))[plain].astype(float) if plain else np.zeros(0)
@@ -310,7 +322,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel, cache = Channel(shared.value), {}
-        for b in batches:
+        own_cache("op2")
+        for b in _slices(batches):
             words, k, starts = _tokens(b.column(0))
             runs = _single_runs(words, k, starts)
             crc = np.array([zlib.crc32(w.encode()) for w in words], np.uint64)
@@ -390,7 +403,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
 def _scored(shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared)
-        for b in batches:
+        for b in _slices(batches):
             score = model.score(b.column(b.schema.get_field_index("text")))
             cols = [c for c, name in zip(b.columns, b.schema.names) if name != "__score"]
             names = [name for name in b.schema.names if name != "__score"]

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from karst.llm.common import own_cache
 
 MARK = "▁"
-CACHE_PARTS = 600_000
+CACHE_PARTS = 300_000
 GROUP_BYTES = 256 << 10
 WINDOW = 128 << 10
 LONG = 96
