@@ -79,14 +79,31 @@ def params(a: argparse.Namespace) -> PcaParams:
     )
 
 
+def _bgen(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, sites and samples of a BGEN file; samples are named by their number."""
+    rows = genotypes.read_bgen(spark, path)
+    n = (rows.select(F.size("dosage").alias("n")).first() or [0])[0]
+    people = spark.range(n).select(F.col("id").alias("sample_idx"), F.concat(F.lit("S"), "id").alias("iid"))
+    return rows, rows.select("feature_idx", "chr", "snp_id", "bp", "a1", "a2"), people
+
+
 def load_dosage(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Dosage, sites and samples of -b or -g."""
+    """Dosages (feature_idx, dos: an array over samples), sites and samples of -b or -g."""
     if a.bfile:
         return genotypes.read_plink(spark, a.bfile)
-    rows = genotypes.read_bgen(spark, a.bgen)
-    people = genotypes.rows_to_long(rows, "dosage").select("sample_idx").distinct().withColumn("iid", F.concat(F.lit("S"), "sample_idx"))
-    cells = genotypes.rows_to_long(rows, "dosage").withColumnRenamed("dosage", "dos")
-    return cells, rows.select("feature_idx", "chr", "snp_id", "bp", "a1", "a2"), people
+    rows, sites, people = _bgen(spark, a.bgen)
+    return rows.select("feature_idx", F.col("dosage").alias("dos")), sites, people
+
+
+def load_likelihoods(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Likelihoods (feature_idx, p0, p1: arrays over samples), sites or markers, and samples of -G, -g or -b."""
+    if a.beagle:
+        return genotypes.read_beagle(spark, a.beagle)
+    if a.bgen:
+        rows, sites, people = _bgen(spark, a.bgen)
+        return genotypes.bgen_likelihoods(rows), sites, people
+    rows, sites, people = genotypes.read_plink(spark, a.bfile)
+    return frequency.call_likelihood_rows(rows), sites, people
 
 
 def run_pca(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -98,31 +115,28 @@ def run_pca(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.csv:
         raw = matrices.read_csv_matrix(spark, a.csv)
         cells = matrices.csv_cells(raw)
-        samples = cells.select("sample_idx").distinct()
-        rows = raw if not p.scale else ld.to_rows(scaling.scaled(cells, samples, p.scale, p.scale_factor), "x")
+        features, samples = matrices.csv_axes(raw)
+        rows = raw if not p.scale else ld.to_rows(scaling.scaled(cells, samples, p.scale, p.scale_factor, features=features), "x")
     elif a.beagle or p.em == "pcangsd":
-        if a.beagle:
-            gl, sites, people = genotypes.read_beagle(spark, a.beagle)
-        else:
-            dosage, sites, people = load_dosage(spark, a)
-            gl = frequency.calls_to_likelihoods(dosage)
-        af = frequency.em_maf(gl, p.max_iter, p.tol_maf)
-        _, cov, _ = em.pcangsd(em.gl_rows(gl, af), p)
+        gl, sites, people = load_likelihoods(spark, a)
+        af = frequency.em_maf_rows(gl, p.max_iter, p.tol_maf)
+        if p.maf > 0:
+            af = frequency.filter_maf(af, p.maf).select("feature_idx", "af")
+        _, cov, _ = em.pcangsd(gl.join(af, "feature_idx"), p)
         sinks.write_covariance(spark, cov, a.out + ".cov")
         w, u = np.linalg.eigh(cov)
         sinks.write_eigvecs2(spark, people, u[:, ::-1] * matrix.flip_signs(u[:, ::-1]), a.out + ".eigvecs2")
         return
     else:
         dosage, sites, people = load_dosage(spark, a)
-        af = frequency.allele_frequency(dosage)
+        known = frequency.frequency_rows(dosage)
         if p.maf > 0:
-            keep = frequency.filter_maf(af, p.maf)
-            dosage, af = dosage.join(keep.select("feature_idx"), "feature_idx", "left_semi"), keep.select("feature_idx", "af")
+            known = known.filter(frequency.maf(F.col("af")) > p.maf)
+        af = known.select("feature_idx", "af")
         if p.em == "emu":
-            fit, _ = em.emu(em.emu_rows(dosage, af), p)
+            fit, _ = em.emu(em.seen_rows(known), p)
             return save(spark, a, p, fit, people, sites, af)
-        plain = p.scale == 0 or a.ld
-        rows = ld.to_rows(frequency.centred(dosage, af) if plain else frequency.standardised(dosage, af, p.ploidy))
+        rows = frequency.genotype_rows(known, not (p.scale == 0 or a.ld), p.ploidy)
     fit = pca.pca(rows, p)
     save(spark, a, p, fit, people, sites, af)
     if a.ld:
@@ -144,8 +158,8 @@ def run_ld(spark: SparkSession, a: argparse.Namespace) -> None:
         sites = genotypes.read_bim(spark, a.match_bim)
     else:
         dosage, sites, _ = genotypes.read_plink(spark, a.bfile)
-        af = frequency.allele_frequency(dosage)
-        rows, sites = ld.to_rows(frequency.centred(dosage, af)), sites.drop("af").join(af.select("feature_idx", "af"), "feature_idx")
+        known = frequency.frequency_rows(dosage)
+        rows, sites = frequency.genotype_rows(known, False), sites.drop("af").join(known.select("feature_idx", "af"), "feature_idx")
     if a.USV:
         u = np.array([r["pcs"] for r in matrices.read_table(spark, a.USV + ".eigvecs", "sample_idx").orderBy("sample_idx").collect()])
         rows = ld.residual_rows(rows, u)
@@ -155,7 +169,7 @@ def run_ld(spark: SparkSession, a: argparse.Namespace) -> None:
         for i, path in enumerate(a.clump.split(",")):
             assoc = matrices.read_assoc(spark, path, tuple(a.clump_names.split(",")))
             got = ld.clump(pairs, sites, assoc, a.clump_p1, a.clump_p2, a.clump_r2, a.clump_bp)
-            sinks.write_clumps(got, assoc, a.out, i)
+            sinks.write_clumps(got, assoc, a.out, matrices.assoc_header(spark, path), i)
     elif a.print_r2:
         sinks.write_r2(ld.r2_report(pairs, sites), a.out + ".ld.gz")
     else:
@@ -172,10 +186,20 @@ def _model(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def run_inbreeding(spark: SparkSession, a: argparse.Namespace) -> None:
-    u, v, s, af = _model(spark, a.USV)
-    dosage, sites, _ = genotypes.read_plink(spark, a.bfile)
-    cells = frequency.calls_to_likelihoods(dosage).join(hwe.individual_frequencies(v, u, s, af), ["feature_idx", "sample_idx"])
-    sinks.write_hwe(hwe.inbreeding(cells, a.maxiter).table, sites, a.out + ".hwe")
+    """Sites of the file meet the model's by id, else by `chr_pos`; the model's own numbers count its sites only."""
+    u, v, s, _ = _model(spark, a.USV)
+    gl, sites, _ = load_likelihoods(spark, a)
+    ref = genotypes.read_bim(spark, a.USV + ".mbim")
+    by_id = project.first_of(ref.withColumnRenamed("feature_idx", "ref_idx"), "snp_id").select("snp_id", "ref_idx", "af")
+    place = F.concat_ws("_", "chr", "bp")
+    by_place = project.first_of(ref.withColumnRenamed("feature_idx", "ref_idx").withColumn("snp_id", place), "snp_id").select("snp_id", F.col("ref_idx").alias("r2"), F.col("af").alias("a2"))
+    hit = sites.select("feature_idx", "snp_id").join(by_id, "snp_id", "left").join(by_place, "snp_id", "left")
+    hit = hit.select("feature_idx", F.coalesce("ref_idx", "r2").alias("ref_idx"), F.coalesce("af", "a2").alias("af")).filter("ref_idx is not null")
+    project.require_overlap(hit)
+    w = hwe.loading_rows(v).select(F.col("feature_idx").alias("ref_idx"), "w")
+    rows = gl.join(hit, "feature_idx").join(w, "ref_idx").select("feature_idx", "p0", "p1", "w", "af")
+    _, us = hwe.score_matrix(u, s)
+    sinks.write_hwe(hwe.inbreeding(hwe.with_frequencies(rows, us), a.maxiter).table, sites, a.out + ".hwe")
 
 
 def run_project(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -184,15 +208,15 @@ def run_project(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.beagle:
         gl, markers, people = genotypes.read_beagle(spark, a.beagle)
         hit = project.require_overlap(project.match_markers(markers, ref))
-        got = project.project_likelihoods(gl, project.matched_loadings(hit, v), s, hit.select("feature_idx", "af"), a.maxiter, a.tol_em)
+        w, k = project.weights(project.matched_loadings(hit, v), s)
+        u = project.project_likelihood_rows(gl, w, hit.select("feature_idx", "af"), people.count(), k, a.maxiter, a.tol_em)
     else:
-        dosage, sites, people = genotypes.read_plink(spark, a.bfile)
+        dosage, sites, people = load_dosage(spark, a)
         hit = project.require_overlap(project.match_sites(sites, ref))
-        cells = dosage.join(hit.select("feature_idx", "af"), "feature_idx").withColumn("g", F.col("dos") / 2.0 - F.col("af"))
-        got = project.project(a.project, cells, project.matched_loadings(hit, v), s)
-        if a.project == 1:
-            got = got.groupBy("sample_idx").agg(F.array_sort(F.collect_list(F.struct("k", "u"))).alias("c")).select("sample_idx", F.transform("c", lambda c: c["u"]).alias("pcs"))
-    u = np.array([r["pcs"] for r in got.orderBy("sample_idx").collect()])
+        w, k = project.weights(project.matched_loadings(hit, v), s)
+        rows = dosage.join(hit.select("feature_idx", "af"), "feature_idx").join(w, "feature_idx")
+        rows = rows.select("feature_idx", F.transform("dos", lambda x: x / 2.0 - F.col("af")).alias("g"), "w")
+        u = project.project_rows(a.project, rows, k, people.count(), np.array([r["s"] for r in s.orderBy("k").collect()]))
     sinks.write_eigvecs2(spark, people, u, a.out + ".eigvecs2")
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from karst.operators.frequency import field
+
 N_FEATURES = 64
 
 
@@ -58,6 +60,18 @@ def dosage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("x", x).select(f.alias("feature_idx"), "sample_idx", dos.cast("long").alias("dos"))
 
 
+def dosage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature_idx, dos: an array over the samples in the order of sample_idx, as files hold them."""
+    rows = dosage(spark, sf_dir).groupBy("feature_idx").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "dos"))).alias("c"))
+    return rows.select("feature_idx", F.transform("c", lambda c: c["dos"]).alias("dos"))
+
+
+def likelihood_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature_idx, p0, p1 as arrays."""
+    rows = likelihoods(spark, sf_dir).groupBy("feature_idx").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "p0", "p1"))).alias("c"))
+    return rows.select("feature_idx", *[F.transform("c", field(x)).alias(x) for x in ("p0", "p1")])
+
+
 def likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """feature_idx, sample_idx, p0 (no copy), p1 (one copy): smoothed calls, a third each where missing."""
     d = F.col("dos")
@@ -76,10 +90,20 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("feature_idx", "sample_idx").agg(F.sum("l_quantity").cast("long").alias("x"))
 
 
+def count_axes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All features and samples of `counts`, and one of each without a count."""
+    people = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample_idx"))
+    empty = spark.range(1).select(F.lit(-1).cast("long").alias("sample_idx"))
+    return spark.range(201).select(F.col("id").alias("feature_idx")), people.unionByName(empty)
+
+
 def assoc(spark: SparkSession) -> DataFrame:
+    """A table of associations; every ninth site has a second row further down, with a smaller p."""
     f = F.col("feature_idx")
     y = ((f * 29 + 7) % 64 + 1).cast("double") / 64
-    return features(spark).select("chr", "bp", "snp_id", (y * y * y).alias("p"))
+    rows = features(spark).select("feature_idx", "chr", "bp", "snp_id", (y * y * y).alias("p"))
+    again = rows.filter(f % 9 == 0).select((f + N_FEATURES).alias("row_idx"), "chr", "bp", "snp_id", (F.col("p") / 2).alias("p"))
+    return rows.withColumnRenamed("feature_idx", "row_idx").unionByName(again)
 
 
 def reference_sites(spark: SparkSession, af: DataFrame, numeric: bool = False) -> DataFrame:
@@ -130,7 +154,12 @@ SQL = {
     "fx_gl": "SELECT feature_idx, sample_idx, CASE WHEN dos IS NULL THEN 1.0::DOUBLE / 3.0::DOUBLE WHEN dos = 0 THEN 0.9::DOUBLE ELSE 0.05::DOUBLE END AS p0,"
     " CASE WHEN dos IS NULL THEN 1.0::DOUBLE / 3.0::DOUBLE WHEN dos = 1 THEN 0.9::DOUBLE ELSE 0.05::DOUBLE END AS p1 FROM fx_dosage",
     "fx_counts": "SELECT l_partkey % 200 AS feature_idx, l_suppkey AS sample_idx, sum(l_quantity)::BIGINT AS x FROM lineitem GROUP BY 1, 2",
-    "fx_assoc": "SELECT chr, bp, snp_id, y * y * y AS p FROM (SELECT *, ((feature_idx * 29 + 7) % 64 + 1)::DOUBLE / 64 AS y FROM fx_features)",
+    "fx_assoc": "SELECT row_idx, chr, bp, snp_id, p FROM (SELECT feature_idx AS row_idx, chr, bp, snp_id, y * y * y AS p, y FROM"
+    " (SELECT *, ((feature_idx * 29 + 7) % 64 + 1)::DOUBLE / 64 AS y FROM fx_features)"
+    " UNION ALL SELECT feature_idx + 64, chr, bp, snp_id, y * y * y / 2, y FROM"
+    " (SELECT *, ((feature_idx * 29 + 7) % 64 + 1)::DOUBLE / 64 AS y FROM fx_features WHERE feature_idx % 9 = 0))",
+    "fx_count_features": "SELECT unnest(range(201)) AS feature_idx",
+    "fx_count_samples": "SELECT s_suppkey AS sample_idx FROM supplier UNION ALL SELECT -1",
     "fx_refbim": "SELECT feature_idx AS ref_idx, chr, snp_id, CASE WHEN feature_idx % 11 = 0 THEN bp + 5 ELSE bp END AS bp,"
     " CASE WHEN feature_idx % 5 = 0 THEN 'G' ELSE 'A' END AS a1,"
     " CASE WHEN feature_idx % 13 = 0 THEN 'T' WHEN feature_idx % 5 = 0 THEN 'A' ELSE 'G' END AS a2, af"

@@ -14,37 +14,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.operators.lineage import cut
-from karst.operators.matrix import block, gram, mev, rows_batch
+from karst.operators.lineage import cut, drop
+from karst.operators.matrix import block, gram, map_arrays, reduce_arrays, rows_batch
 from karst.operators.pca import Pca, pca
 from karst.params import PcaParams
 
 
-def _emu_impute(rows: DataFrame, u: np.ndarray) -> DataFrame:
-    """feature_idx, values, af, seen with unseen cells at U U' x, kept within [-af, 1 - af].
+def _emu_impute(rows: DataFrame, u: np.ndarray, s: np.ndarray) -> DataFrame:
+    """feature_idx, values, af, seen, pcs with unseen cells at U U' x, kept within [-af, 1 - af].
 
-    U S V' of a truncated decomposition is U U' X, so the loadings needn't travel.
+    U S V' of a truncated decomposition is U U' X, so the loadings needn't travel; pcs are those of the
+    rows before, which the next iteration compares its own with.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(u)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            if not len(b):
-                continue
-            x, af = block(b.column(1)), b.column(2).to_numpy()[:, None]
-            seen = block(b.column(3)).astype(bool)
-            guess = np.clip((x @ m) @ m.T, -af, 1 - af)
-            out = rows_batch(b.column(0), np.where(seen, x, guess))
-            yield pa.RecordBatch.from_arrays([*out.columns, b.column(2), b.column(3)], ["feature_idx", "values", "af", "seen"])
-
-    return rows.select("feature_idx", "values", "af", "seen").mapInArrow(
-        run, "feature_idx long, values array<double>, af double, seen array<boolean>"
-    )
+    def run(x, af, seen, shared):
+        m, scale = shared
+        g = x @ m
+        return np.where(seen.astype(bool), x, np.clip(g @ m.T, -af[:, None], 1 - af[:, None])), af, seen.astype(bool), g / scale
+
+    return map_arrays(
+        rows.select("feature_idx", "values", "af", "seen"), run, (u, _scale(s)),
+        "feature_idx long, values array<double>, af double, seen array<boolean>, pcs array<double>",
+    )
+
+
+def _scale(s: np.ndarray) -> np.ndarray:
+    return np.where(s > 0, s, 1.0)
+
+
+def loadings_agree(rows: DataFrame, fit: Pca) -> float:
+    """How far the loadings of `fit` on rows (feature_idx, values, pcs) agree with pcs, those before: see matrix.mev."""
+    k, n = len(fit.s), len(fit.u)
+    packed = rows.select("feature_idx", F.concat("values", "pcs").alias("values"))
+    m = rows.sparkSession.sparkContext.broadcast(fit.u / _scale(fit.s))
+
+    def partial(_, x, total):
+        total["c"] += (x[:, :n] @ m.value).T @ x[:, n:]
+
+    return float(np.linalg.norm(reduce_arrays(packed, partial, {"c": (k, k)})["c"], axis=0).mean())
+
+
+def seen_rows(rows: DataFrame) -> DataFrame:
+    """feature_idx, values, af, seen of frequency_rows: centred rows with which cells were seen."""
+
+    def run(dos, af, _):
+        return np.nan_to_num(dos / 2 - af[:, None], nan=0.0), af, ~np.isnan(dos)
+
+    kind = "feature_idx long, values array<double>, af double, seen array<boolean>"
+    return map_arrays(rows.select("feature_idx", "dos", "af"), run, None, kind)
 
 
 def emu_rows(dosage: DataFrame, af: DataFrame) -> DataFrame:
-    """Centred rows with which cells were seen: feature_idx, values, af, seen."""
+    """seen_rows of long-form dosages."""
     from karst.operators.ld import to_rows
 
     cells = dosage.join(af.select("feature_idx", "af"), "feature_idx")
@@ -70,13 +91,14 @@ def emu(rows: DataFrame, p: PcaParams) -> tuple[Pca, int]:
     fit = pca(rows, inner)
     done = 0
     for done in range(1, p.max_iter + 1):
-        rows = cut(_emu_impute(rows, fit.u), "emu")
-        new = pca(rows, inner)
-        close = 1 - mev(new.u, fit.u) < p.tol_em
-        fit = new
-        if close:
+        new = cut(_emu_impute(rows, fit.u, fit.s), "emu")
+        drop(rows)
+        rows = new
+        fit = pca(rows, inner)
+        if 1 - loadings_agree(rows, fit) < p.tol_em:
             break
-    last = cut(_standardise(_emu_impute(rows, fit.u), p.ploidy), "emu")
+    last = cut(_standardise(_emu_impute(rows, fit.u, fit.s), p.ploidy), "emu")
+    drop(rows)
     return pca(last, inner), done
 
 
@@ -102,36 +124,42 @@ def posterior_dosage(p0: np.ndarray, p1: np.ndarray, pi: np.ndarray) -> tuple[np
     return w0 / total, w1 / total, w2 / total
 
 
-def _pcangsd_fit(rows: DataFrame, values: DataFrame, u: np.ndarray | None) -> DataFrame:
-    """Posterior mean dosage minus 2 af; priors are individual frequencies if there is a model, else af."""
-    if u is None:
-        joined = rows.withColumn("values", F.transform("p0", lambda _: F.lit(0.0)))
-    else:
-        joined = rows.join(values, "feature_idx")
-    shared = rows.sparkSession.sparkContext.broadcast(u)
+def _pcangsd_fit(rows: DataFrame, values: DataFrame | None, fit: Pca | None) -> DataFrame:
+    """Posterior mean dosage minus 2 af, and the loadings of the rows before; priors are individual frequencies
+    if there is a model, else af."""
+    cols = ["feature_idx", "p0", "p1", "af"]
+    shared = None if fit is None else (fit.u, _scale(fit.s))
+    joined = rows.select(*cols) if fit is None else rows.select(*cols).join(values.select("feature_idx", "values"), "feature_idx")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            if not len(b):
-                continue
-            x, p0, p1 = (block(b.column(i)) for i in (1, 2, 3))
-            af = b.column(4).to_numpy()[:, None]
-            pi = np.broadcast_to(af, x.shape) if m is None else np.clip(((x @ m) @ m.T + 2 * af) / 2, 1e-4, 1 - 1e-4)
-            _, w1, w2 = posterior_dosage(p0, p1, pi)
-            yield rows_batch(b.column(0), w1 + 2 * w2 - 2 * af)
+    def run(p0, p1, af, *rest):
+        f = af[:, None]
+        if rest[-1] is None:
+            pi, pcs = np.broadcast_to(f, p0.shape), np.zeros((len(p0), 0))
+        else:
+            x, (m, scale) = rest
+            g = x @ m
+            pi, pcs = np.clip((g @ m.T + 2 * f) / 2, 1e-4, 1 - 1e-4), g / scale
+        _, w1, w2 = posterior_dosage(p0, p1, pi)
+        return w1 + 2 * w2 - 2 * f, pcs
+
+    return map_arrays(joined, run, shared, "feature_idx long, values array<double>, pcs array<double>")
+
+
+def covariance_diagonal(rows: DataFrame, n: int) -> np.ndarray:
+    """Per sample the sum over features of E[(copies - 2 af)^2] / (2 af (1 - af)), of rows (feature_idx, p0, p1, pi, af)."""
 
-    return joined.select("feature_idx", "values", "p0", "p1", "af").mapInArrow(run, "feature_idx long, values array<double>")
+    def squares(p0, p1, pi, af, _):
+        f = af[:, None]
+        w0, w1, w2 = posterior_dosage(p0, p1, pi)
+        norm = 2 * f * (1 - f)
+        ok = norm > 1e-9
+        return (np.where(ok, (w0 * (2 * f) ** 2 + w1 * (1 - 2 * f) ** 2 + w2 * (2 - 2 * f) ** 2) / np.where(ok, norm, 1.0), 0.0),)
 
+    def partial(_, x, total):
+        total["d"] += x.sum(0)[:, None]
 
-def covariance_diagonal(gl: DataFrame, pi: DataFrame, af: DataFrame) -> DataFrame:
-    """sample_idx, d: sum over features of E[(copies - 2 af)^2] / (2 af (1 - af)) at individual frequencies pi."""
-    f, q = F.col("af"), F.col("pi")
-    w0, w1, w2 = F.col("p0") * (1 - q) * (1 - q), F.col("p1") * 2.0 * q * (1 - q), (1 - F.col("p0") - F.col("p1")) * q * q
-    e = (w0 * F.pow(-2 * f, 2) + w1 * F.pow(1 - 2 * f, 2) + w2 * F.pow(2 - 2 * f, 2)) / (w0 + w1 + w2)
-    norm = 2 * f * (1 - f)
-    rows = gl.join(pi, ["feature_idx", "sample_idx"]).join(af.select("feature_idx", "af"), "feature_idx")
-    return rows.groupBy("sample_idx").agg(F.sum(F.when(norm > 1e-9, e / norm).otherwise(0.0)).alias("d"))
+    each = map_arrays(rows.select("feature_idx", "p0", "p1", "pi", "af"), squares, None, "feature_idx long, values array<double>")
+    return reduce_arrays(each, partial, {"d": (n, 1)})["d"][:, 0]
 
 
 def pcangsd(rows: DataFrame, p: PcaParams) -> tuple[Pca, np.ndarray, int]:
@@ -142,15 +170,15 @@ def pcangsd(rows: DataFrame, p: PcaParams) -> tuple[Pca, np.ndarray, int]:
     """
     inner = replace(p, em=None)
     rows = cut(rows, "gl")
-    values = cut(_pcangsd_fit(rows, rows, None), "posterior")
+    values = cut(_pcangsd_fit(rows, None, None), "posterior")
     fit = pca(values, inner)
     done = 0
     for done in range(1, p.max_iter + 1):
-        values = cut(_pcangsd_fit(rows, values, fit.u), "posterior")
-        new = pca(values, inner)
-        close = 1 - mev(new.u, fit.u) < p.tol_em
-        fit = new
-        if close:
+        new = cut(_pcangsd_fit(rows, values, fit), "posterior")
+        drop(values)
+        values = new
+        fit = pca(values, inner)
+        if 1 - loadings_agree(values, fit) < p.tol_em:
             break
     n = len(fit.u)
     shared = rows.sparkSession.sparkContext.broadcast(fit.u)
@@ -172,7 +200,7 @@ def pcangsd(rows: DataFrame, p: PcaParams) -> tuple[Pca, np.ndarray, int]:
             z = np.where(ok, (w1 + 2 * w2 - 2 * af) / np.sqrt(safe), 0.0)
             yield rows_batch(b.column(0), np.hstack([z, square]))
 
-    both = rows.join(values, "feature_idx").select("feature_idx", "values", "p0", "p1", "af")
+    both = rows.join(values.select("feature_idx", "values"), "feature_idx").select("feature_idx", "values", "p0", "p1", "af")
     both = cut(both.mapInArrow(expected, "feature_idx long, values array<double>"), "standardised")
     z = both.select("feature_idx", F.slice("values", 1, n).alias("values"))
     squares = both.select(F.posexplode(F.slice("values", n + 1, n)).alias("s", "x")).groupBy("s").agg(F.sum("x").alias("d"))

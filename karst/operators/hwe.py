@@ -1,60 +1,90 @@
 """Hardy-Weinberg tests and inbreeding along individual allele frequencies.
 
 Long form: cells (feature_idx, sample_idx, p0, p1, pi), likelihoods of 0 and 1 copies and the
-individual frequency. Each step is one grouped sum per feature.
+individual frequency. Row form: feature_idx and an array of each over the samples, in one order. Steps
+work a feature's row where it is.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karst.functions.special import chi_square_tail
-from karst.operators.lineage import cut
+from karst.operators.frequency import field
+from karst.operators.lineage import cut, drop
+from karst.operators.matrix import block, map_arrays
 
 FLOOR = 1e-4
 
 
 def individual_frequencies(v: DataFrame, u: DataFrame, s: DataFrame, af: DataFrame) -> DataFrame:
-    """feature_idx, sample_idx, pi = clamp((U S V' + 2 af) / 2, 1e-4, 1 - 1e-4) from long-form U, S, V."""
-    us = u.join(F.broadcast(s), "k").select("sample_idx", "k", (F.col("u") * F.col("s")).alias("us"))
-    cells = v.join(us, "k").groupBy("feature_idx", "sample_idx").agg(F.sum(F.col("v") * F.col("us")).alias("x"))
-    rows = cells.join(af.select("feature_idx", "af"), "feature_idx")
-    pi = F.least(F.greatest((F.col("x") + 2 * F.col("af")) / 2, F.lit(1e-4)), F.lit(1 - 1e-4))
-    return rows.select("feature_idx", "sample_idx", pi.alias("pi"))
+    """feature_idx, sample_idx, pi = clamp((U S V' + 2 af) / 2, 1e-4, 1 - 1e-4) from long-form U, S, V.
+
+    A feature's row is its loadings times U S, which is broadcast (8 N k bytes); cells are made where the row is.
+    """
+    return model_rows(v, u, s, af.select("feature_idx", "af")).select("feature_idx", "sample_idx", "pi")
+
+
+def model_rows(v: DataFrame, u: DataFrame, s: DataFrame, af: DataFrame) -> DataFrame:
+    """feature_idx, sample_idx, x = U S V', pi in long form."""
+    ids, us = score_matrix(u, s)
+    rows = loading_rows(v).join(af, "feature_idx").select("feature_idx", "w", "af")
+
+    def run(w, f, shared):
+        x = w @ shared.T
+        return x, np.clip((x + 2 * f[:, None]) / 2, FLOOR, 1 - FLOOR)
+
+    made = map_arrays(rows, run, us, "feature_idx long, x array<double>, pi array<double>")
+    return cells_of(made, ["x", "pi"], ids)
+
+
+def with_frequencies(rows: DataFrame, us: np.ndarray) -> DataFrame:
+    """feature_idx, p0, p1, pi of rows (feature_idx, p0, p1, w, af); U S is broadcast."""
+
+    def run(p0, p1, w, af, shared):
+        return p0, p1, np.clip((w @ shared.T + 2 * af[:, None]) / 2, FLOOR, 1 - FLOOR)
+
+    return map_arrays(rows.select("feature_idx", "p0", "p1", "w", "af"), run, us, "feature_idx long, p0 array<double>, p1 array<double>, pi array<double>")
+
+
+def score_matrix(u: DataFrame, s: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sample ids in order, and U S (samples x k) of long-form U and S."""
+    scale = [r["s"] for r in s.orderBy("k").collect()]
+    rows = u.groupBy("sample_idx").agg(F.array_sort(F.collect_list(F.struct("k", "u"))).alias("c"))
+    got = rows.select("sample_idx", F.transform("c", lambda c: c["u"]).alias("u")).orderBy("sample_idx").toArrow()
+    return got.column("sample_idx").to_numpy(), block(got.column("u").combine_chunks()) * np.array(scale)
 
 
-def priors(pi: Column, f: Column) -> tuple[Column, Column, Column]:
-    """Genotype priors at inbreeding f, floored and normalised."""
-    q = 1 - pi
-    raw = (q * q + pi * q * f, 2.0 * pi * q * (1 - f), pi * pi + pi * q * f)
-    floored = [F.greatest(x, F.lit(FLOOR)) for x in raw]
-    total = floored[0] + floored[1] + floored[2]
-    return floored[0] / total, floored[1] / total, floored[2] / total
+def loading_rows(v: DataFrame) -> DataFrame:
+    """feature_idx, w: loadings in the order of k."""
+    rows = v.groupBy("feature_idx").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("c"))
+    return rows.select("feature_idx", F.transform("c", lambda c: c["v"]).alias("w"))
 
 
-def coefficient_step(cells: DataFrame, f: DataFrame) -> DataFrame:
-    """feature_idx, f: clamp(1 - observed / expected heterozygosity, -1, 1) after one step from f."""
-    rows = cells.join(f.select("feature_idx", "f"), "feature_idx")
-    a, b, c = priors(F.col("pi"), F.col("f"))
-    w0, w1, w2 = F.col("p0") * a, F.col("p1") * b, (1 - F.col("p0") - F.col("p1")) * c
-    sums = rows.groupBy("feature_idx").agg(
-        F.sum(w1 / (w0 + w1 + w2)).alias("obs"), F.sum(2.0 * F.col("pi") * (1 - F.col("pi"))).alias("exp")
-    )
-    return sums.select("feature_idx", F.least(F.greatest(1 - F.col("obs") / F.col("exp"), F.lit(-1.0)), F.lit(1.0)).alias("f"))
+def cells_of(rows: DataFrame, names: list[str], ids: np.ndarray) -> DataFrame:
+    """Long form of arrays over the samples `ids`."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.asarray(ids, np.int64))
 
+    def run(batches):
+        for b in batches:
+            if len(b):
+                n = len(shared.value)
+                cols = [b.column(b.schema.get_field_index(c)).flatten() for c in names]
+                idx = np.repeat(b.column(0).to_numpy(), n)
+                yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(np.tile(shared.value, len(b))), *cols], ["feature_idx", "sample_idx", *names])
 
-def likelihood_ratio(cells: DataFrame, f: DataFrame) -> DataFrame:
-    """feature_idx, lrt = 2 (log-likelihood at f - at 0)."""
-    rows = cells.join(f.select("feature_idx", "f"), "feature_idx")
+    return rows.select("feature_idx", *names).mapInArrow(run, "feature_idx long, sample_idx long, " + ", ".join(f"{c} double" for c in names))
 
-    def log_l(coef: Column) -> Column:
-        a, b, c = priors(F.col("pi"), coef)
-        return F.log(F.col("p0") * a + F.col("p1") * b + (1 - F.col("p0") - F.col("p1")) * c)
 
-    return rows.groupBy("feature_idx").agg((2.0 * F.sum(log_l(F.col("f")) - log_l(F.lit(0.0)))).alias("lrt"))
+def cell_rows(cells: DataFrame) -> DataFrame:
+    """feature_idx, p0, p1, pi as arrays of long-form cells (feature_idx, sample_idx, p0, p1, pi)."""
+    rows = cells.groupBy("feature_idx").agg(F.collect_list(F.struct("p0", "p1", "pi")).alias("c"))
+    return rows.select("feature_idx", *[F.transform("c", field(n)).alias(n) for n in ("p0", "p1", "pi")])
 
 
 def p_value(lrt: DataFrame) -> DataFrame:
@@ -62,41 +92,84 @@ def p_value(lrt: DataFrame) -> DataFrame:
     return lrt.withColumn("p", chi_square_tail(F.col("lrt")))
 
 
+def _prior_arrays(pi: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    q, c = 1 - pi, f[:, None]
+    raw = [np.maximum(x, FLOOR) for x in (q * q + pi * q * c, 2 * pi * q * (1 - c), pi * pi + pi * q * c)]
+    total = raw[0] + raw[1] + raw[2]
+    return raw[0] / total, raw[1] / total, raw[2] / total
+
+
+def next_coefficients(p0: np.ndarray, p1: np.ndarray, pi: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """One step of the coefficients of features (rows) from f."""
+    a, b, c = _prior_arrays(pi, f)
+    w0, w1, w2 = p0 * a, p1 * b, (1 - p0 - p1) * c
+    return np.clip(1 - (w1 / (w0 + w1 + w2)).sum(1) / (2 * pi * (1 - pi)).sum(1), -1, 1)
+
+
+def ratio(p0: np.ndarray, p1: np.ndarray, pi: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """2 (log-likelihood at f - at 0) of features."""
+
+    def log_l(at):
+        a, b, c = _prior_arrays(pi, at)
+        return np.log(p0 * a + p1 * b + (1 - p0 - p1) * c).sum(1)
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * (log_l(f) - log_l(np.zeros(len(f))))
+
+
+def coefficients(rows: DataFrame, steps: int) -> DataFrame:
+    """feature_idx, f after `steps` plain steps from 0, and its lrt, of rows (feature_idx, p0, p1, pi)."""
+
+    def run(p0, p1, pi, _):
+        f = np.zeros(len(p0))
+        for _i in range(steps):
+            f = next_coefficients(p0, p1, pi, f)
+        return f, ratio(p0, p1, pi, f)
+
+    return map_arrays(rows.select("feature_idx", "p0", "p1", "pi"), run, None, "feature_idx long, f double, lrt double")
+
+
 @dataclass
 class Inbreeding:
     table: DataFrame  # feature_idx, f, lrt, p
     iterations: int
 
 
-def inbreeding(cells: DataFrame, max_iter: int = 100, tol: float = 1e-5) -> Inbreeding:
-    """Accelerated EM (SQUAREM) of the coefficients; the step length is one number for all features.
+def inbreeding(rows: DataFrame, max_iter: int = 100, tol: float = 1e-5) -> Inbreeding:
+    """Accelerated EM (SQUAREM) of the coefficients of rows (feature_idx, p0, p1, pi); the step length is one number for all features.
 
-    The coefficients, a row per feature, are written after each iteration.
+    An iteration is one pass: it leaps from the last two steps' coefficients, and makes the two steps after
+    it. The state is a row per feature, written after each pass; Spark broadcasts it while it is small.
     """
-    cells = cut(cells.select("feature_idx", "sample_idx", "p0", "p1", "pi"), "hwe-cells")
-    f = cut(cells.select("feature_idx").distinct().withColumn("f", F.lit(0.0)), "hwe")
-    done = 0
-    clamp = lambda x: F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0))
+    rows = cut(rows.select("feature_idx", "p0", "p1", "pi"), "hwe-rows")
+
+    def first(p0, p1, pi, _):
+        f0 = np.zeros(len(p0))
+        f1 = next_coefficients(p0, p1, pi, f0)
+        return f0, f1, next_coefficients(p0, p1, pi, f1)
+
+    def leap(p0, p1, pi, f0, f1, f2, a):
+        d1, d2 = f1 - f0, f2 - 2 * f1 + f0
+        new = next_coefficients(p0, p1, pi, np.clip(f0 + 2 * a * d1 + a * a * d2, -1, 1))
+        f1 = next_coefficients(p0, p1, pi, new)
+        return new, f1, next_coefficients(p0, p1, pi, f1), (new - f0) ** 2
+
+    kind = "feature_idx long, f0 double, f1 double, f2 double"
+    state = cut(map_arrays(rows, first, None, kind), "hwe")
+    done, last = 0, "f0"
     for done in range(1, max_iter + 1):
-        f1 = cut(coefficient_step(cells, f), "hwe")
-        f2 = cut(coefficient_step(cells, f1), "hwe")
-        rows = (
-            f.withColumnRenamed("f", "f0")
-            .join(f1.withColumnRenamed("f", "f1"), "feature_idx")
-            .join(f2.withColumnRenamed("f", "f2"), "feature_idx")
-            .withColumn("d1", F.col("f1") - F.col("f0"))
-            .withColumn("d2", F.col("f2") - F.col("f1") - (F.col("f1") - F.col("f0")))
-        )
-        got = rows.agg(F.sum(F.col("d1") * F.col("d1")).alias("r"), F.sum(F.col("d2") * F.col("d2")).alias("v")).first()
+        got = state.agg(F.sum(F.pow(F.col("f1") - F.col("f0"), 2)).alias("r"), F.sum(F.pow(F.col("f2") - 2 * F.col("f1") + F.col("f0"), 2)).alias("v")).first()
         r2, v2 = got["r"] or 0.0, got["v"] or 0.0
         if v2 == 0:
-            f = f2
+            last = "f2"
             break
         a = min(max((r2 / v2) ** 0.5, 1.0), 256.0)
-        leap = rows.select("feature_idx", clamp(F.col("f0") + 2 * a * F.col("d1") + a * a * F.col("d2")).alias("f"))
-        new = cut(coefficient_step(cells, leap), "hwe")
-        change = new.alias("x").join(f.alias("y"), "feature_idx").agg(F.sqrt(F.avg(F.pow(F.col("x.f") - F.col("y.f"), 2)))).first()[0]
-        f = new
-        if (change or 0.0) < tol:
+        both = rows.join(state.select("feature_idx", "f0", "f1", "f2"), "feature_idx")
+        new = cut(map_arrays(both.select("feature_idx", "p0", "p1", "pi", "f0", "f1", "f2"), leap, a, kind + ", d double"), "hwe")
+        drop(state)
+        state = new
+        if (state.agg(F.sqrt(F.avg("d"))).first()[0] or 0.0) < tol:
             break
-    return Inbreeding(p_value(f.join(likelihood_ratio(cells, f), "feature_idx")), done)
+    f = rows.join(state.select("feature_idx", F.col(last).alias("f")), "feature_idx").select("feature_idx", "p0", "p1", "pi", "f")
+    out = map_arrays(f, lambda p0, p1, pi, f, _: (f, ratio(p0, p1, pi, f)), None, "feature_idx long, f double, lrt double")
+    return Inbreeding(p_value(out), done)

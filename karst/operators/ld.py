@@ -139,9 +139,9 @@ def prune(pairs: DataFrame, sites: DataFrame, cutoff: float) -> DataFrame:
     return sites.select("feature_idx").join(gone, "feature_idx", "left").select("feature_idx", F.coalesce("keep", F.lit(True)).alias("keep"))
 
 
-def first_per_site(assoc: DataFrame, p2: float, order: str = "p") -> DataFrame:
-    """Association rows with p <= p2, the first of each (chr, bp)."""
-    w = Window.partitionBy("chr", "bp").orderBy(order)
+def first_per_site(assoc: DataFrame, p2: float) -> DataFrame:
+    """Association rows with p <= p2, the first of each (chr, bp) by row_idx."""
+    w = Window.partitionBy("chr", "bp").orderBy("row_idx")
     return assoc.filter(F.col("p") <= p2).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
@@ -151,7 +151,9 @@ def clump(pairs: DataFrame, sites: DataFrame, assoc: DataFrame, p1: float, p2: f
     An index site has p <= min(p1, p2) and isn't taken yet; it takes every site with p <= p2, r2 at
     least `r2`, and at most clump_bp away that isn't taken yet. `sp2` lists them by p, or is NONE.
     """
-    hits = first_per_site(assoc, p2).join(sites.select("chr", "bp", "feature_idx"), ["chr", "bp"]).select("chr", "bp", "p", "feature_idx")
+    # of sites that share a position, the last is meant
+    own = sites.groupBy("chr", "bp").agg(F.max("feature_idx").alias("feature_idx"))
+    hits = first_per_site(assoc, p2).join(own, ["chr", "bp"]).select("chr", "bp", "p", "feature_idx")
     strong = pairs.filter(F.col("r2") >= r2)
     both = strong.select(F.col("i").alias("a"), F.col("k").alias("b")).unionByName(strong.select(F.col("k").alias("a"), F.col("i").alias("b")))
     other = hits.select(F.col("feature_idx").alias("b"), F.col("bp").alias("bp_b"), F.col("p").alias("p_b"))

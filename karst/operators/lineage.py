@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share, deleted when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="karst-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -24,4 +27,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: later plans start there, and lost executors cost nothing."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.karst_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table of `cut` that no later plan reads."""
+    target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.karst_path)
+    target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -19,6 +19,7 @@ BLOCK_ROWS = 4096
 def block(column: pa.Array) -> np.ndarray:
     """A list column of equal lengths as a matrix; nulls are nan."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = flat if flat.dtype != object else flat.astype(float)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
@@ -70,6 +71,60 @@ def gram(rows: DataFrame, n: int) -> np.ndarray:
     return reduce_arrays(rows, partial, {"c": (n, n)})["c"]
 
 
+TILE = 512
+FEATURES_AT_ONCE = 1024
+
+
+def gram_cells(rows: DataFrame, ids: list[int], tile: int = TILE) -> DataFrame:
+    """i, j, c: cells of X'X / M between the samples `ids`, as a table; nothing of size N x N is in one place.
+
+    A task makes the tiles of its rows one after the other, each from all its rows: a pair of tiles of samples
+    is one message of tile x tile numbers, and tiles of all tasks add up by their place. Rows are held
+    FEATURES_AT_ONCE at a time, and a tile below the diagonal is the turned one above it.
+    """
+    n = len(ids)
+    m = rows.count()
+    tiles = range(0, n, tile)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            x = np.concatenate(held)
+            for a in tiles:
+                for b in tiles[a // tile :]:
+                    c = x[:, a : a + tile].T @ x[:, b : b + tile]
+                    data = pa.array([np.ascontiguousarray(c).astype("<f8").tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([b], pa.int64()), data], ["a", "b", "data"])
+
+        for batch in batches:
+            if len(batch):
+                held.append(block(batch.column(1)))
+                count += len(batch)
+            if count >= FEATURES_AT_ONCE:
+                yield from flush()
+                held, count = [], 0
+        if held:
+            yield from flush()
+
+    shared = rows.sparkSession.sparkContext.broadcast(np.array(ids, np.int64))
+
+    def add(table: pa.Table) -> pa.Table:
+        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        left, right = shared.value[a : a + tile], shared.value[b : b + tile]
+        total = np.zeros(len(left) * len(right))
+        for x in table.column("data"):
+            total += np.frombuffer(x.as_buffer(), "<f8")
+        c = total.reshape(len(left), len(right)) / m
+        i, j, c = np.repeat(left, len(right)), np.tile(right, len(left)), c.ravel()
+        if a != b:
+            i, j, c = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([c, c])
+        return pa.table({"i": i, "j": j, "c": c})
+
+    sums = rows.select("feature_idx", "values").mapInArrow(run, "a long, b long, data binary")
+    return sums.groupBy("a", "b").applyInArrow(add, "i long, j long, c double")
+
+
 def power_pass(rows: DataFrame, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One pass: with G = X omega (a row per feature), H = X' G and G' G."""
     n, l_ = omega.shape
@@ -108,6 +163,31 @@ def map_rows(rows: DataFrame, fn, shared: object) -> DataFrame:
     return rows.select("feature_idx", "values").mapInArrow(run, "feature_idx long, values array<double>")
 
 
+def map_arrays(rows: DataFrame, fn, shared: object, schema: str) -> DataFrame:
+    """Rows after fn(idx, columns, shared): each column but the first as a matrix (arrays; nulls are nan) or a vector.
+
+    `fn` gives the new columns besides feature_idx, as matrices or vectors; no row is shuffled.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(shared)
+    names = [x.split()[0] for x in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            cols = [block(c) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns[1:]]
+            out = [b.column(0)]
+            for x in fn(*cols, sent.value):
+                if x.ndim == 1:
+                    out.append(pa.array(x))
+                else:
+                    ends = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+                    out.append(pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x).ravel())))
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    return rows.mapInArrow(run, schema)
+
+
 # --- measures of agreement ----------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karst.operators.frequency import dense_index
@@ -18,13 +18,18 @@ def band_order(sites: DataFrame, bands: int) -> DataFrame:
     return keyed.join(dense_index(keyed.select("key"), "key", "new_pos"), "key").select("new_pos", "feature_idx")
 
 
+def perm_key(seed: int) -> Column:
+    """60 bits of an MD5 digest of seed and feature: any engine makes the same order of them."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("feature_idx").cast("string"))), 1, 15), 16, 10).cast("long")
+
+
 def random_order(sites: DataFrame, seed: int) -> DataFrame:
     """feature_idx and a hash to order by; equal seeds give equal orders."""
-    return sites.select("feature_idx", F.xxhash64("feature_idx", F.lit(seed)).alias("perm_key"))
+    return sites.select("feature_idx", perm_key(seed).alias("perm_key"))
 
 
 def shuffled(rows: DataFrame, seed: int, parts: int) -> DataFrame:
-    return rows.withColumn("perm_key", F.xxhash64("feature_idx", F.lit(seed))).repartitionByRange(parts, "perm_key").sortWithinPartitions("perm_key").drop("perm_key")
+    return rows.withColumn("perm_key", perm_key(seed)).repartitionByRange(parts, "perm_key").sortWithinPartitions("perm_key").drop("perm_key")
 
 
 def restored(rows: DataFrame) -> DataFrame:

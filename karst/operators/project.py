@@ -7,8 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from karst.operators.frequency import field
+from karst.operators.lineage import cut
+from karst.operators.matrix import map_arrays, reduce_arrays
 
-def _first(ref: DataFrame, *key: str) -> DataFrame:
+
+def first_of(ref: DataFrame, *key: str) -> DataFrame:
     """Of reference rows that share a key, the first."""
     w = Window.partitionBy(*key).orderBy("ref_idx")
     return ref.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
@@ -20,7 +24,7 @@ def match_sites(target: DataFrame, ref: DataFrame) -> DataFrame:
     Sites meet by id and must agree in chromosome and position; equal alleles keep the reference's
     frequency, swapped ones take 1 - af and are flipped, others are no match.
     """
-    r = _first(ref, "snp_id").select(
+    r = first_of(ref, "snp_id").select(
         "ref_idx", "snp_id", F.col("chr").alias("r_chr"), F.col("bp").alias("r_bp"), F.col("a1").alias("r_a1"), F.col("a2").alias("r_a2"), "af"
     )
     rows = target.drop("af").join(r, "snp_id").filter((F.col("chr") == F.col("r_chr")) & (F.col("bp") == F.col("r_bp")))
@@ -46,8 +50,8 @@ def match_markers(target: DataFrame, ref: DataFrame) -> DataFrame:
     letters = lambda c: F.when(F.length(c) == 1, F.translate(c, "0123", "ACGT")).otherwise(c)
     t = target.drop("af").withColumn("a1", letters(F.col("a1"))).withColumn("a2", letters(F.col("a2")))
     r = ref.withColumn("r_a1", letters(F.col("a1"))).withColumn("r_a2", letters(F.col("a2")))
-    own = _first(r, "snp_id").select(F.col("snp_id").alias("key"), F.struct("ref_idx", "r_a1", "r_a2", "af").alias("by_id"))
-    place = _first(r.withColumn("place", F.concat_ws("_", "chr", "bp")), "place").select("place", F.struct("ref_idx", "r_a1", "r_a2", "af").alias("by_place"))
+    own = first_of(r, "snp_id").select(F.col("snp_id").alias("key"), F.struct("ref_idx", "r_a1", "r_a2", "af").alias("by_id"))
+    place = first_of(r.withColumn("place", F.concat_ws("_", "chr", "bp")), "place").select("place", F.struct("ref_idx", "r_a1", "r_a2", "af").alias("by_place"))
     rows = t.join(own, t["snp_id"] == own["key"], "left").join(place, t["snp_id"] == place["place"], "left")
     rows = rows.withColumn("hit", F.coalesce("by_id", "by_place")).filter("hit is not null")
     return _alleles(rows.select("feature_idx", "a1", "a2", "hit.ref_idx", "hit.r_a1", "hit.r_a2", "hit.af"))
@@ -97,32 +101,85 @@ def project_least_squares(cells: DataFrame, v: DataFrame, s: DataFrame) -> DataF
     return normal_equations(cells, v, s).mapInPandas(solve, "sample_idx long, pcs array<double>")
 
 
-def project_likelihoods(gl: DataFrame, v: DataFrame, s: DataFrame, af: DataFrame, max_iter: int = 100, tol: float = 1e-5, steps: int | None = None) -> DataFrame:
-    """sample_idx, pcs from genotype likelihoods: posterior dosages under the reference's frequencies,
-    least squares, then posteriors under U S V' until the scores' relative change is below tol."""
-    from karst.operators.frequency import expected_dosage, posterior
-    from karst.operators.lineage import cut
-
-    u = cut(project_least_squares(expected_dosage(gl, af).withColumnRenamed("e", "g"), v, s), "scores")
-    done = 0
-    while done < (max_iter if steps is None else steps):
-        done += 1
-        long_u = u.select("sample_idx", F.posexplode("pcs").alias("k", "u")).withColumn("k", F.col("k").cast("long"))
-        us = long_u.join(F.broadcast(s), "k").select("sample_idx", "k", (F.col("u") * F.col("s")).alias("us"))
-        x = v.join(us, "k").groupBy("feature_idx", "sample_idx").agg(F.sum(F.col("v") * F.col("us")).alias("x"))
-        rows = gl.join(x, ["feature_idx", "sample_idx"]).join(af.select("feature_idx", "af"), "feature_idx")
-        pi = F.least(F.greatest((F.col("x") + 2 * F.col("af")) / 2, F.lit(1e-4)), F.lit(1 - 1e-4))
-        w0, w1, w2 = posterior(F.col("p0"), F.col("p1"), pi)
-        cells = rows.select("feature_idx", "sample_idx", ((w1 + 2 * w2) / (w0 + w1 + w2) - 2 * F.col("af")).alias("g"))
-        new = cut(project_least_squares(cells, v, s), "scores")
-        d = new.alias("a").join(u.alias("b"), "sample_idx").select(F.explode(F.arrays_zip(F.col("a.pcs").alias("x"), F.col("b.pcs").alias("y"))).alias("c"))
-        got = d.agg(F.sum(F.pow(F.col("c.x") - F.col("c.y"), 2)).alias("d"), F.sum(F.pow("c.y", 2)).alias("n")).first()
+def rows_normal(rows: DataFrame, k: int, n: int) -> np.ndarray:
+    """Least squares of each sample's observed cells on the features' weights, of rows (feature_idx, g, w): samples x k.
+
+    A pass adds up each sample's normal equations (N k (k + 3) / 2 numbers) in blocks of samples.
+    """
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    packed = rows.select("feature_idx", F.concat("g", "w").alias("values"))
+
+    def partial(_, x, total):
+        g, w = x[:, :n], x[:, n:]
+        seen = ~np.isnan(g)
+        total["a"] += seen.T.astype(float) @ np.stack([w[:, i] * w[:, j] for i, j in pairs], 1)
+        total["b"] += np.where(seen, g, 0.0).T @ w
+
+    got = reduce_arrays(packed, partial, {"a": (n, len(pairs)), "b": (n, k)})
+    a = np.zeros((n, k, k))
+    for c, (i, j) in enumerate(pairs):
+        a[:, i, j] = a[:, j, i] = got["a"][:, c]
+    return np.einsum("nij,nj->ni", np.linalg.pinv(a), got["b"]) if n else np.zeros((0, k))
+
+
+def project_likelihood_rows(
+    gl: DataFrame, w: DataFrame, af: DataFrame, n: int, k: int, max_iter: int = 100, tol: float = 1e-5, steps: int | None = None
+) -> np.ndarray:
+    """Scores (samples x k) of rows gl (feature_idx, p0, p1) on w (feature_idx, w: loadings times singular values).
+
+    Posterior dosages under the reference's frequencies, least squares, then posteriors under U S V' until
+    the scores' relative change is below tol. An iteration is one pass; the scores are broadcast.
+    """
+    table = cut(gl.join(w, "feature_idx").join(af.select("feature_idx", "af"), "feature_idx").select("feature_idx", "p0", "p1", "w", "af"), "gl")
+
+    def expected(p0, p1, w, af, u):
+        f = af[:, None]
+        pi = f if u is None else np.clip((w @ u.T + 2 * f) / 2, 1e-4, 1 - 1e-4)
+        w0, w1, w2 = p0 * (1 - pi) ** 2, p1 * 2 * pi * (1 - pi), (1 - p0 - p1) * pi**2
+        return (w1 + 2 * w2) / (w0 + w1 + w2) - 2 * f, w
+
+    u = None
+    for _ in range(1 + (max_iter if steps is None else steps)):
+        new = rows_normal(map_arrays(table, expected, u, "feature_idx long, g array<double>, w array<double>"), k, n)
+        close = u is not None and np.linalg.norm(new - u) < tol * max(np.linalg.norm(u), 1e-300)
         u = new
-        if steps is None and (got["d"] or 0.0) ** 0.5 < tol * max((got["n"] or 0.0) ** 0.5, 1e-300):
+        if close and steps is None:
             break
     return u
 
 
+def project_likelihoods(gl: DataFrame, v: DataFrame, s: DataFrame, af: DataFrame, max_iter: int = 100, tol: float = 1e-5, steps: int | None = None) -> DataFrame:
+    """sample_idx, pcs from long-form likelihoods; each sample must have a cell of each feature."""
+    ids = [r[0] for r in gl.select("sample_idx").distinct().orderBy("sample_idx").collect()]
+    cells = gl.groupBy("feature_idx").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "p0", "p1"))).alias("c"))
+    rows = cells.select("feature_idx", *[F.transform("c", field(x)).alias(x) for x in ("p0", "p1")])
+    w, k = weights(v, s)
+    u = project_likelihood_rows(rows, w, af, len(ids), k, max_iter, tol, steps)
+    return gl.sparkSession.createDataFrame([(i, [float(x) for x in row]) for i, row in zip(ids, u)], "sample_idx long, pcs array<double>")
+
+
+def weights(v: DataFrame, s: DataFrame) -> tuple[DataFrame, int]:
+    """feature_idx, w: long-form loadings times singular values, as arrays; and their number."""
+    from karst.operators.hwe import loading_rows
+
+    scale = [float(r["s"]) for r in s.orderBy("k").collect()]
+    rows = loading_rows(v).select("feature_idx", F.zip_with("w", F.array(*map(F.lit, scale)), lambda a, b: a * b).alias("w"))
+    return rows, len(scale)
+
+
+def project_rows(method: int, rows: DataFrame, k: int, n: int, s: np.ndarray) -> np.ndarray:
+    """Scores (samples x k) of rows (feature_idx, g, w) by method 1 or 2; w are loadings times the singular values s."""
+    if method == 2:
+        return rows_normal(rows, k, n)
+    if method != 1:
+        raise NotImplementedError(f"projection method {method}")
+
+    def partial(_, x, total):
+        total["u"] += np.nan_to_num(x[:, :n], nan=0.0).T @ x[:, n:]
+
+    return reduce_arrays(rows.select("feature_idx", F.concat("g", "w").alias("values")), partial, {"u": (n, k)})["u"] / s**2
+
+
 def project(method: int, *args, **kwargs) -> DataFrame:
     """Method 1 means imputation by the mean, 2 least squares; 3 (Procrustes) isn't supported."""
     if method == 1:
@@ -164,14 +221,22 @@ def harmonise(ref: DataFrame, target: DataFrame, cells: DataFrame) -> tuple[Data
 
 
 def residuals(cells: DataFrame, u: DataFrame, s: DataFrame, v: DataFrame, centre: bool = True) -> DataFrame:
-    """feature_idx, sample_idx, g - U S V', then minus the feature's mean; long-form model tables."""
-    us = u.join(F.broadcast(s), "k").select("sample_idx", "k", (F.col("u") * F.col("s")).alias("us"))
-    fit = v.join(us, "k").groupBy("feature_idx", "sample_idx").agg(F.sum(F.col("v") * F.col("us")).alias("fit"))
-    rows = cells.join(fit, ["feature_idx", "sample_idx"]).select("feature_idx", "sample_idx", (F.col("g") - F.col("fit")).alias("g"))
-    if not centre:
-        return rows
-    means = rows.groupBy("feature_idx").agg(F.avg("g").alias("mean"))
-    return rows.join(means, "feature_idx").select("feature_idx", "sample_idx", (F.col("g") - F.col("mean")).alias("g"))
+    """feature_idx, sample_idx, g - U S V', then minus the feature's mean; long-form model tables.
+
+    Cells are brought together by feature, and meet U S (broadcast, 8 N k bytes) there; each sample must
+    have a cell of each feature.
+    """
+    from karst.operators.hwe import cells_of, loading_rows, score_matrix
+    from karst.operators.ld import to_rows
+
+    ids, us = score_matrix(u, s)
+    rows = to_rows(cells.select("feature_idx", "sample_idx", "g")).join(loading_rows(v), "feature_idx").select("feature_idx", "values", "w")
+
+    def run(g, w, shared):
+        rest = g - w @ shared.T
+        return (rest - rest.mean(1, keepdims=True) if centre else rest,)
+
+    return cells_of(map_arrays(rows, run, us, "feature_idx long, g array<double>"), ["g"], ids)
 
 
 def predict_missing(rows: DataFrame, u: np.ndarray, af_bounds: bool = True) -> DataFrame:

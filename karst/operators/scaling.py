@@ -1,5 +1,8 @@
 """Normalisation of count matrices: cells (feature_idx, sample_idx, x); absent cells are zeros.
 
+`features` and `samples` name the rows and columns of the matrix, for those whose counts are all zero
+have no cell; without `features`, those with a cell are meant.
+
 Methods: 0 none, 1 standardise, 2 log10 with the median library size, 3 log1p, 4 relative; 2 to 4
 are standardised afterwards. The matrix stays sparse until it is standardised: each method maps 0
 to 0, so means and deviations need only the stored cells and the number of samples. Standardised
@@ -14,9 +17,12 @@ from pyspark.sql import functions as F
 SD_TOL = 1e-10
 
 
-def library_sizes(cells: DataFrame) -> DataFrame:
+def library_sizes(cells: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """sample_idx, libsize: integer sums over features."""
-    return cells.groupBy("sample_idx").agg(F.sum(F.col("x").cast("long")).alias("libsize"))
+    sums = cells.groupBy("sample_idx").agg(F.sum(F.col("x").cast("long")).alias("libsize"))
+    if samples is None:
+        return sums
+    return samples.select("sample_idx").join(sums, "sample_idx", "left").withColumn("libsize", F.coalesce("libsize", F.lit(0)))
 
 
 def median_library_size(sizes: DataFrame) -> DataFrame:
@@ -24,13 +30,13 @@ def median_library_size(sizes: DataFrame) -> DataFrame:
     return sizes.agg(F.count(F.lit(1)).alias("n"), F.floor(F.percentile("libsize", F.lit(0.5))).cast("long").alias("median_libsize"))
 
 
-def transformed(cells: DataFrame, method: int, scale_factor: float = 1.0) -> DataFrame:
+def transformed(cells: DataFrame, method: int, scale_factor: float = 1.0, samples: DataFrame | None = None) -> DataFrame:
     """Cells after the method's transform, before they are standardised."""
     if method in (0, 1):
         return cells.select("feature_idx", "sample_idx", F.col("x").cast("double").alias("x"))
     if method not in (2, 3, 4):
         raise ValueError("scale must be 0 to 4")
-    sizes = library_sizes(cells)
+    sizes = library_sizes(cells, samples)
     rows = cells.join(sizes, "sample_idx")
     share = F.col("x") / F.col("libsize")
     if method == 2:
@@ -42,22 +48,25 @@ def transformed(cells: DataFrame, method: int, scale_factor: float = 1.0) -> Dat
     return rows.select("feature_idx", "sample_idx", x.alias("x"))
 
 
-def feature_moments(cells: DataFrame, n_samples: int) -> DataFrame:
+def feature_moments(cells: DataFrame, n_samples: int, features: DataFrame | None = None) -> DataFrame:
     """feature_idx, mean, sd (n - 1) over all samples, stored or not."""
     n = F.lit(float(n_samples))
     sums = cells.groupBy("feature_idx").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("c"))
     mean = sums.select("feature_idx", (F.col("s") / n).alias("mean"), "c")
     square = cells.join(mean, "feature_idx").groupBy("feature_idx", "mean", "c").agg(F.sum(F.pow(F.col("x") - F.col("mean"), 2)).alias("ss"))
     whole = F.col("ss") + (n - F.col("c")) * F.col("mean") * F.col("mean")
-    return square.select("feature_idx", "mean", F.sqrt(whole / (n - 1)).alias("sd"))
+    moments = square.select("feature_idx", "mean", F.sqrt(whole / (n - 1)).alias("sd"))
+    return moments if features is None else features.select("feature_idx").join(moments, "feature_idx", "left").na.fill(0.0, ["mean", "sd"])
 
 
-def scaled(cells: DataFrame, samples: DataFrame, method: int, scale_factor: float = 1.0, dense: bool = True) -> DataFrame:
-    """feature_idx, sample_idx, x after the method; `samples` names the columns of the matrix."""
-    rows = transformed(cells, method, scale_factor)
+def scaled(
+    cells: DataFrame, samples: DataFrame, method: int, scale_factor: float = 1.0, dense: bool = True, features: DataFrame | None = None
+) -> DataFrame:
+    """feature_idx, sample_idx, x after the method."""
+    rows = transformed(cells, method, scale_factor, samples)
     if method == 0:
         return rows
-    moments = feature_moments(rows, samples.count())
+    moments = feature_moments(rows, samples.count(), features)
     if dense:
         # the full matrix: each feature's row of moments is dealt out to all samples of the matrix
         everyone = samples.agg(F.collect_list("sample_idx").alias("all"))

@@ -118,39 +118,48 @@ def em_maf_5(spark, d):
     return frequency.em_maf(fx.likelihoods(spark, d), steps=5).select("feature_idx", F.round("af", 6).alias("af"))
 
 
-@query("em_maf")
-def em_maf(spark, d):
-    return frequency.em_maf(fx.likelihoods(spark, d)).select("feature_idx", F.round("af", 6).alias("af"))
+#: Steps until the root mean square change of one falls below 1e-6, 100 at most.
+_EM_MAF = (
+    "it(i, feature_idx, af, old) AS (SELECT 0, feature_idx, 0.25::DOUBLE, 1.0::DOUBLE FROM (SELECT DISTINCT feature_idx FROM fx_gl) UNION ALL"
+    " SELECT any_value(i) + 1, feature_idx, avg((w1 + 2 * w2) / (2 * (w0 + w1 + w2))), any_value(af) FROM (SELECT it.*, p0 * (1 - af) * (1 - af) AS w0,"
+    " p1 * 2.0::DOUBLE * af * (1 - af) AS w1, (1 - p0 - p1) * af * af AS w2 FROM it JOIN fx_gl USING (feature_idx)"
+    " WHERE i < 100 AND (SELECT sqrt(avg((af - old) * (af - old))) FROM it) >= 1e-6::DOUBLE) GROUP BY feature_idx)"
+)
 
 
-# --- counts ------------------------------------------------------------------------------------
+@query("em_maf", with_views("fx_gl", recursive=True, more=_EM_MAF) + "SELECT feature_idx, round(af, 6) AS af FROM it WHERE i = (SELECT max(i) FROM it)")
+def em_maf(spark, d):
+    return frequency.em_maf_rows(fx.likelihood_rows(spark, d)).select("feature_idx", F.round("af", 6).alias("af"))
 
 
-def _columns(spark, d):
-    return fx.counts(spark, d).select("sample_idx").distinct()
+# --- counts ------------------------------------------------------------------------------------
 
 
-_SIZES = "l AS (SELECT sample_idx, sum(x)::BIGINT AS libsize FROM fx_counts GROUP BY sample_idx), n AS (SELECT count(*) AS n, floor(median(libsize))::BIGINT AS med FROM l)"
+_SIZES = "l AS (SELECT s.sample_idx, coalesce(sum(x), 0)::BIGINT AS libsize FROM fx_count_samples s LEFT JOIN fx_counts c ON c.sample_idx = s.sample_idx GROUP BY s.sample_idx), n AS (SELECT count(*) AS n, floor(median(libsize))::BIGINT AS med FROM l)"
 _DENSE = (
-    "f AS (SELECT DISTINCT feature_idx FROM fx_counts), d AS (SELECT f.feature_idx, l.sample_idx, coalesce(t.x, 0) AS x FROM f CROSS JOIN l LEFT JOIN t"
+    "f AS (SELECT feature_idx FROM fx_count_features), d AS (SELECT f.feature_idx, l.sample_idx, coalesce(t.x, 0) AS x FROM f CROSS JOIN l LEFT JOIN t"
     " ON t.feature_idx = f.feature_idx AND t.sample_idx = l.sample_idx), mo AS (SELECT feature_idx, avg(x) AS mean, stddev_samp(x) AS sd FROM d GROUP BY feature_idx)"
 )
 
 
+_COUNTS = ("fx_counts", "fx_count_features", "fx_count_samples")
+
+
 def _scale_sql(expr: str) -> str:
     t = f"t AS (SELECT feature_idx, sample_idx, {expr} AS x FROM fx_counts JOIN l USING (sample_idx), n)"
     z = "CASE WHEN sd > 1e-10 THEN (x - mean) / sd ELSE x - mean END"
-    return with_views("fx_counts", more=f"{_SIZES}, {t}, {_DENSE}") + f"SELECT feature_idx, sample_idx, {sql_r6(z)} AS x FROM d JOIN mo USING (feature_idx)"
+    return with_views(*_COUNTS, more=f"{_SIZES}, {t}, {_DENSE}") + f"SELECT feature_idx, sample_idx, {sql_r6(z)} AS x FROM d JOIN mo USING (feature_idx)"
 
 
-@query("libsize_median", with_views("fx_counts", more=_SIZES) + "SELECT n, med AS median_libsize FROM n")
+@query("libsize_median", with_views("fx_counts", "fx_count_samples", more=_SIZES) + "SELECT n, med AS median_libsize FROM n")
 def libsize_median(spark, d):
-    return scaling.median_library_size(scaling.library_sizes(fx.counts(spark, d)))
+    return scaling.median_library_size(scaling.library_sizes(fx.counts(spark, d), fx.count_axes(spark, d)[1]))
 
 
 def _scaled(method: int, factor: float = 1.0):
     def run(spark, d):
-        return scaling.scaled(fx.counts(spark, d), _columns(spark, d), method, factor).select("feature_idx", "sample_idx", r6(F.col("x")).alias("x"))
+        features, samples = fx.count_axes(spark, d)
+        return scaling.scaled(fx.counts(spark, d), samples, method, factor, features=features).select("feature_idx", "sample_idx", r6(F.col("x")).alias("x"))
 
     return run
 
@@ -166,7 +175,7 @@ query("scale_relative", _scale_sql("x / libsize * 10000.0::DOUBLE"))(_scaled(4,
 
 
 def _rows(spark, d) -> DataFrame:
-    return ld.to_rows(frequency.centred(fx.dosage(spark, d), _af(spark, d)))
+    return frequency.genotype_rows(frequency.frequency_rows(fx.dosage_rows(spark, d)), False)
 
 
 def _pairs(spark, d) -> DataFrame:
@@ -300,7 +309,7 @@ def ld_prune(spark, d):
     "ld_clump",
     _ld_views(
         "hit AS (SELECT f.feature_idx, a.chr, a.bp, a.p FROM fx_assoc a JOIN fx_features f USING (chr, bp)"
-        f" WHERE p <= {CLUMP['p2']}::DOUBLE QUALIFY row_number() OVER (PARTITION BY a.chr, a.bp ORDER BY p) = 1),"
+        f" WHERE p <= {CLUMP['p2']}::DOUBLE QUALIFY row_number() OVER (PARTITION BY a.chr, a.bp ORDER BY row_idx) = 1),"
         " ed AS (SELECT i AS a, k AS b FROM rr WHERE r * r >= 0.1::DOUBLE UNION ALL SELECT k, i FROM rr WHERE r * r >= 0.1::DOUBLE),"
         " nb AS (SELECT a, list({'b': b, 'bp': h.bp} ORDER BY h.p, h.bp) AS ns FROM ed JOIN hit h ON h.feature_idx = b JOIN hit g ON g.feature_idx = a"
         f" WHERE abs(h.bp - g.bp) <= {CLUMP['clump_bp']} GROUP BY a),"
@@ -320,7 +329,7 @@ def ld_clump(spark, d):
     return got.withColumn("p", F.round("p", 6))
 
 
-@query("pval_map", with_views("fx_assoc") + "SELECT chr, bp, snp_id, round(p, 6) AS p FROM fx_assoc WHERE p <= 0.01::DOUBLE")
+@query("pval_map", with_views("fx_assoc") + "SELECT chr, bp, snp_id, round(p, 6) AS p FROM fx_assoc WHERE p <= 0.01::DOUBLE QUALIFY row_number() OVER (PARTITION BY chr, bp ORDER BY row_idx) = 1")
 def pval_map(spark, d):
     return ld.first_per_site(fx.assoc(spark), 0.01).select("chr", "bp", "snp_id", F.round("p", 6).alias("p"))
 
@@ -344,8 +353,12 @@ def _pi(spark, d):
     return hwe.individual_frequencies(fx.model_v(spark), fx.model_u(spark, d), _s(spark), _af(spark, d))
 
 
-def _cells(spark, d):
-    return fx.likelihoods(spark, d).join(_pi(spark, d), ["feature_idx", "sample_idx"])
+def _pi_rows(spark, d) -> tuple[DataFrame, np.ndarray]:
+    """feature_idx, p0, p1, pi, af as arrays, and the sample ids."""
+    ids, us = hwe.score_matrix(fx.model_u(spark, d), _s(spark))
+    af = _af(spark, d).select("feature_idx", "af")
+    rows = fx.likelihood_rows(spark, d).join(hwe.loading_rows(fx.model_v(spark)), "feature_idx").join(af, "feature_idx")
+    return hwe.with_frequencies(rows, us), ids
 
 
 def _g(spark, d):
@@ -389,11 +402,7 @@ def _hw_sql(steps: int) -> str:
 
 
 def _coef(spark, d, steps: int) -> DataFrame:
-    cells = _cells(spark, d)
-    f = cells.select("feature_idx").distinct().withColumn("f", F.lit(0.0))
-    for _ in range(steps):
-        f = hwe.coefficient_step(cells, f)
-    return f
+    return hwe.coefficients(_pi_rows(spark, d)[0], steps)
 
 
 @query("hw_coef_1", _model_views(more=_hw_sql(1)) + f"SELECT feature_idx, {sql_r6('f')} AS f FROM hw1")
@@ -415,17 +424,24 @@ _LRT = (
 
 @query("hw_lrt", _model_views(more=_hw_sql(1) + ", " + _LRT) + f"SELECT feature_idx, {sql_r6('lrt')} AS lrt FROM lr")
 def hw_lrt(spark, d):
-    return hwe.likelihood_ratio(_cells(spark, d), _coef(spark, d, 1)).select("feature_idx", r6(F.col("lrt")).alias("lrt"))
+    return _coef(spark, d, 1).select("feature_idx", r6(F.col("lrt")).alias("lrt"))
+
 
+#: erfc(z) by the series 2 / sqrt(pi) exp(-z^2) sum z (2 z^2)^n / (2n + 1)!!, the double factorial through the gamma function.
+_ERFC = (
+    "CASE WHEN lrt >= 0 THEN CASE WHEN lrt > 100 THEN 0.0::DOUBLE WHEN lrt = 0 THEN 1.0::DOUBLE ELSE 1 - 2 / sqrt(pi()) * exp(-lrt / 2) * sqrt(lrt / 2)"
+    " * list_sum(list_transform(range(0, 200), lambda n: exp(n * ln(lrt) - ((n + 1) * ln(2) + lgamma(n + 1.5::DOUBLE) - ln(pi()) / 2)))) END ELSE 1.0::DOUBLE END"
+)
 
-@query("hw_pval")
+
+@query("hw_pval", _model_views(more=_hw_sql(1) + ", " + _LRT) + f"SELECT feature_idx, abs(round({_ERFC}, 6)) AS p FROM lr")
 def hw_pval(spark, d):
-    return hwe.p_value(hwe.likelihood_ratio(_cells(spark, d), _coef(spark, d, 1))).select("feature_idx", F.round("p", 6).alias("p"))
+    return hwe.p_value(_coef(spark, d, 1)).select("feature_idx", F.round("p", 6).alias("p"))
 
 
 @query("hw_em")
 def hw_em(spark, d):
-    t = hwe.inbreeding(_cells(spark, d)).table
+    t = hwe.inbreeding(_pi_rows(spark, d)[0]).table
     return t.select("feature_idx", r6(F.col("f")).alias("f"), r6(F.col("lrt")).alias("lrt"), F.round("p", 6).alias("p"))
 
 
@@ -511,6 +527,36 @@ def proj_2(spark, d):
     return got.select("sample_idx", *[r6(F.get("pcs", F.lit(i))).alias(f"pc{i + 1}") for i in range(3)])
 
 
+_CRAMER_E = _CRAMER.replace("(SELECT d.feature_idx, sample_idx, dos / 2.0::DOUBLE - af AS g FROM fx_dosage d JOIN fx_af a ON a.feature_idx = d.feature_idx WHERE dos IS NOT NULL)", "cells")
+_SOLVED = (
+    "(p * (e * i - f * f) - b * (q * i - f * r) + c * (q * f - e * r)) / det",
+    "(a * (q * i - f * r) - p * (b * i - f * c) + c * (b * r - q * c)) / det",
+    "(a * (e * r - q * f) - b * (b * r - q * c) + p * (b * f - e * c)) / det",
+)
+
+
+def _proj_gl_sql() -> str:
+    """Least squares of the posterior dosages under the reference's frequencies, then one step under U S V'."""
+    solved = ", ".join(f"{x} AS u{i}" for i, x in enumerate(_SOLVED))
+    start = f"{_W}, cells AS (SELECT feature_idx, sample_idx, (w1 + 2 * w2) / (w0 + w1 + w2) - 2 * af AS g FROM w), {_CRAMER_E}, first AS (SELECT sample_idx, {solved} FROM dt)"
+    wide = ", pp AS (SELECT feature_idx, sample_idx, least(greatest((x * u0 + y * u1 + z * u2 + 2 * af) / 2, 1e-4::DOUBLE), 1 - 1e-4::DOUBLE) AS pi FROM wv JOIN fx_af USING (feature_idx), first)"
+    post = (
+        ", w_2 AS (SELECT feature_idx, sample_idx, af, p0 * (1 - pi) * (1 - pi) AS w0, p1 * 2.0::DOUBLE * pi * (1 - pi) AS w1, (1 - p0 - p1) * pi * pi AS w2"
+        " FROM fx_gl JOIN pp USING (feature_idx, sample_idx) JOIN fx_af USING (feature_idx))"
+        ", cells_2 AS (SELECT feature_idx, sample_idx, (w1 + 2 * w2) / (w0 + w1 + w2) - 2 * af AS g FROM w_2)"
+    )
+    again = ", " + _CRAMER_E.partition("), ne AS ")[2].replace("FROM cells JOIN", "FROM cells_2 JOIN").replace(" dt AS", " dt_2 AS").replace("FROM ne)", "FROM ne_2)")
+    again = ", ne_2 AS " + again.removeprefix(", ")
+    return _model_views(more=start + wide + post + again) + "SELECT sample_idx, " + ", ".join(f"{sql_r6(x)} AS pc{i + 1}" for i, x in enumerate(_SOLVED)) + " FROM dt_2"
+
+
+@query("proj_gl_1", _proj_gl_sql())
+def proj_gl_1(spark, d):
+    """The projection of likelihoods after one step."""
+    got = project.project_likelihoods(fx.likelihoods(spark, d), fx.model_v(spark), _s(spark), _af(spark, d), steps=1)
+    return got.select("sample_idx", *[r6(F.get("pcs", F.lit(i))).alias(f"pc{i + 1}") for i in range(3)])
+
+
 @query("proj_gl")
 def proj_gl(spark, d):
     got = project.project_likelihoods(fx.likelihoods(spark, d), fx.model_v(spark), _s(spark), _af(spark, d))
@@ -521,41 +567,17 @@ def proj_gl(spark, d):
 
 
 def _std_rows(spark, d) -> DataFrame:
-    return ld.to_rows(frequency.standardised(fx.dosage(spark, d), _af(spark, d)))
+    return frequency.genotype_rows(frequency.frequency_rows(fx.dosage_rows(spark, d)), True)
 
 
 @query(
     "gram",
     with_views("fx_af", more=_CENTRED)
-    + f"SELECT a.sample_idx AS i, b.sample_idx AS j, {sql_r6('sum(a.g * b.g) / 64')} AS c FROM g0 a JOIN g0 b ON a.feature_idx = b.feature_idx WHERE a.sample_idx < 100 AND b.sample_idx < 100 GROUP BY 1, 2",
+    + f"SELECT a.sample_idx AS i, b.sample_idx AS j, {sql_r6('sum(a.g * b.g) / 64')} AS c FROM g0 a JOIN g0 b ON a.feature_idx = b.feature_idx GROUP BY 1, 2",
 )
 def gram_query(spark, d):
-    rows = ld.to_rows(frequency.centred(fx.dosage(spark, d).filter("sample_idx < 100"), _af(spark, d)))
-    ids = [r[0] for r in fx.samples(spark, d).filter("sample_idx < 100").select("sample_idx").orderBy("sample_idx").collect()]
-    m, n = pca.shape(rows)
-    c = matrix.gram(rows, n) / m
-    cells = [(ids[i], ids[j], float(c[i, j])) for i in range(n) for j in range(n)]
-    return spark.createDataFrame(cells, "i long, j long, c double").withColumn("c", r6(F.col("c")))
-
-
-@query("gram_all")
-def gram_all(spark, d):
-    """The cells of all samples; `gram` has those of the 100 that its SQL names."""
-    rows = ld.to_rows(frequency.centred(fx.dosage(spark, d), _af(spark, d)))
     ids = [r[0] for r in fx.samples(spark, d).select("sample_idx").orderBy("sample_idx").collect()]
-    m, n = pca.shape(rows)
-    c = matrix.gram(rows, n) / m
-    # a row of the matrix travels as one value; its cells are made on the executors
-    lines = spark.createDataFrame(pa.table({"i": pa.array(ids, pa.int64()), "line": pa.array([x.tobytes() for x in c], pa.binary())}))
-    shared = spark.sparkContext.broadcast(np.array(ids, np.int64))
-
-    def cells(batches):
-        for b in batches:
-            for i, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                j = shared.value
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), i)), pa.array(j), pa.array(np.frombuffer(line, "<f8"))], ["i", "j", "c"])
-
-    return lines.mapInArrow(cells, "i long, j long, c double").withColumn("c", r6(F.col("c")))
+    return matrix.gram_cells(_rows(spark, d), ids).withColumn("c", r6(F.col("c")))
 
 
 _COVD = (
@@ -567,7 +589,10 @@ _COVD = (
 
 @query("cov_diag", _model_views(more=_COVD) + f"SELECT sample_idx, {sql_r6('d')} AS d FROM cv")
 def cov_diag(spark, d):
-    return em.covariance_diagonal(fx.likelihoods(spark, d), _pi(spark, d), _af(spark, d)).select("sample_idx", r6(F.col("d")).alias("d"))
+    rows, ids = _pi_rows(spark, d)
+    af = _af(spark, d).select("feature_idx", "af")
+    got = em.covariance_diagonal(rows.join(af, "feature_idx"), len(ids))
+    return spark.createDataFrame([(int(i), float(x)) for i, x in zip(ids, got)], "sample_idx long, d double").withColumn("d", r6(F.col("d")))
 
 
 @query(
@@ -606,14 +631,14 @@ def pca_scores(spark, d):
 
 @query("em_emu")
 def em_emu(spark, d):
-    rows = em.emu_rows(fx.dosage(spark, d), _af(spark, d))
+    rows = em.seen_rows(frequency.frequency_rows(fx.dosage_rows(spark, d)))
     fit, _ = em.emu(rows, PcaParams(k=3, method="ssvd"))
     return spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(fit.s)], "pc int, s double").withColumn("s", F.round("s", 3))
 
 
 @query("em_pcangsd")
 def em_pcangsd(spark, d):
-    rows = em.gl_rows(fx.likelihoods(spark, d), _af(spark, d))
+    rows = fx.likelihood_rows(spark, d).join(_af(spark, d).select("feature_idx", "af"), "feature_idx")
     _, cov, _ = em.pcangsd(rows, PcaParams(k=3, method="ssvd"))
     w = np.linalg.eigvalsh(cov)[::-1][:3]
     return spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(w)], "pc int, eigval double").withColumn("eigval", F.round("eigval", 3))
@@ -640,7 +665,7 @@ def perm_band(spark, d):
     return permute.band_order(fx.features(spark), 8)
 
 
-@query("perm_random")
+@query("perm_random", with_views("fx_features") + "SELECT feature_idx, ('0x' || substr(md5('101:' || feature_idx), 1, 15))::BIGINT AS perm_key FROM fx_features")
 def perm_random(spark, d):
     return permute.random_order(fx.features(spark), 101)
 

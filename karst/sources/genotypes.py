@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -21,6 +21,7 @@ BED_MAGIC = b"\x6c\x1b\x01"
 #: Copies of the first allele for the codes 00, 01, 10, 11; -1 is missing.
 BED_COPIES = np.array([2, -1, 1, 0], np.int8)
 RANGE_BYTES = 4 << 20
+BATCH_CELLS = 1 << 19
 
 
 def open_binary(path: str):
@@ -103,28 +104,33 @@ class BedSource(DataSource):
 
 def read_fam(spark: SparkSession, path: str) -> DataFrame:
     """sample_idx, fid, iid in the order of the file."""
-    return _numbered(spark.read.text(path), "sample_idx").select(
-        "sample_idx", F.get(F.split(F.trim("value"), r"[ \t]+"), F.lit(0)).alias("fid"), F.get(F.split(F.trim("value"), r"[ \t]+"), F.lit(1)).alias("iid")
-    )
+    x = F.split(F.trim("value"), r"[ \t]+")
+    return numbered(spark, path, "sample_idx").select("sample_idx", F.get(x, F.lit(0)).alias("fid"), F.get(x, F.lit(1)).alias("iid"))
 
 
-def _numbered(lines: DataFrame, name: str) -> DataFrame:
-    """Lines with their number, from 0: ranks within partitions after the lines of those before."""
-    rows = lines.select("value", F.monotonically_increasing_id().alias("__id")).filter(F.length(F.trim("value")) > 0)
-    part = F.shiftright("__id", 33)
-    from pyspark.sql import Window
+def numbered(spark: SparkSession, path: str, name: str, keep: Column | None = None) -> DataFrame:
+    """`name`, value: the lines of a text file, or of a folder's files in the order of their names, numbered from 0.
 
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy("__id")) - 1
-    placed = rows.withColumn("__part", part).withColumn("__in", inside)
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return placed.join(F.broadcast(before), "__part").select((F.col("__before") + F.col("__in")).alias(name), "value")
+    Blank lines, and those that `keep` is false for, have no number. Spark reads files in an order of
+    its own, so a line's number is its rank in its block of a file, after the lines of the blocks before.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id")
+    )
+    rows = lines.filter(F.length(F.trim("value")) > 0)
+    rows = rows.filter(keep) if keep is not None else rows
+    placed = rows.withColumn("__in", F.row_number().over(Window.partitionBy("__file", "__block").orderBy("__id")) - 1)
+    sizes = placed.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"))
+    # a row per block; part files of one folder have longer names once their numbers have more digits
+    order = Window.orderBy(F.length("__file"), "__file", "__block")
+    before = sizes.select("__file", "__block", (F.sum("__n").over(order) - F.col("__n")).alias("__before"))
+    return placed.join(F.broadcast(before), ["__file", "__block"]).select((F.col("__before") + F.col("__in")).alias(name), "value")
 
 
 def read_bim(spark: SparkSession, path: str) -> DataFrame:
-    """feature_idx, chr, snp_id, cm, bp, a1, a2 and af (null unless the file has a seventh column)."""
+    """feature_idx, chr, snp_id, cm, bp, a1, a2, af (null unless the file has a seventh column) and the line itself."""
     x = F.split(F.trim("value"), r"[ \t]+")
-    return _numbered(spark.read.text(path), "feature_idx").select(
+    return numbered(spark, path, "feature_idx").select(
         "feature_idx",
         F.get(x, F.lit(0)).alias("chr"),
         F.get(x, F.lit(1)).alias("snp_id"),
@@ -133,6 +139,7 @@ def read_bim(spark: SparkSession, path: str) -> DataFrame:
         F.get(x, F.lit(4)).alias("a1"),
         F.get(x, F.lit(5)).alias("a2"),
         F.get(x, F.lit(6)).cast("double").alias("af"),
+        F.col("value").alias("line"),
     )
 
 
@@ -145,12 +152,12 @@ def check_bim(a: DataFrame, b: DataFrame) -> None:
 
 
 def read_plink(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Dosage (long), sites and samples of prefix.bed, .bim and .fam."""
+    """Dosages (feature_idx, dos: an array over samples), sites and samples of prefix.bed, .bim and .fam."""
     spark.dataSource.register(BedSource)
     sites, people = read_bim(spark, prefix + ".bim"), read_fam(spark, prefix + ".fam")
     n, m = people.count(), sites.count()
     rows = spark.read.format("karst_bed").option("n", n).option("m", m).load(prefix + ".bed")
-    return rows_to_long(rows), sites, people
+    return rows, sites, people
 
 
 def rows_to_long(rows: DataFrame, value: str = "dos") -> DataFrame:
@@ -177,26 +184,34 @@ class BgenHeader:
             raise ValueError("only layout 2 is supported")
 
 
-def bgen_index(path: str) -> list[tuple[int, str, str, int, list[str], int, int]]:
-    """Per variant: number, chromosome, id, position, alleles, offset of its data and their length."""
-    out = []
+def _bgen_variant(f) -> tuple[str, str, int, list[str], int]:
+    """Chromosome, id, position, alleles and length of the data of the variant at f, which then stands at the data."""
+    text = []
+    for _ in range(3):
+        (n,) = struct.unpack("<H", f.read(2))
+        text.append(f.read(n).decode())
+    pos, k = struct.unpack("<IH", f.read(6))
+    alleles = []
+    for _ in range(k):
+        (n,) = struct.unpack("<I", f.read(4))
+        alleles.append(f.read(n).decode())
+    (size,) = struct.unpack("<I", f.read(4))
+    return text[2], text[1] or text[0], pos, alleles, size
+
+
+def bgen_ranges(path: str) -> tuple[BgenHeader, list[_Range]]:
+    """The header, and ranges of variants of about RANGE_BYTES with the place where each begins."""
+    out: list[_Range] = []
     with open_binary(path) as f:
         h = BgenHeader(f)
         f.seek(h.first)
+        start, first = h.first, 0
         for i in range(h.m):
-            text = []
-            for _ in range(3):
-                (n,) = struct.unpack("<H", f.read(2))
-                text.append(f.read(n).decode())
-            pos, k = struct.unpack("<IH", f.read(6))
-            alleles = []
-            for _ in range(k):
-                (n,) = struct.unpack("<I", f.read(4))
-                alleles.append(f.read(n).decode())
-            (size,) = struct.unpack("<I", f.read(4))
-            out.append((i, text[2], text[1] or text[0], pos, alleles, f.tell(), size))
-            f.seek(size, 1)
-    return out
+            f.seek(_bgen_variant(f)[4], 1)
+            if f.tell() - start >= RANGE_BYTES or i + 1 == h.m:
+                out.append(_Range(first, i + 1, start))
+                start, first = f.tell(), i + 1
+    return h, out
 
 
 def decode_bgen(raw: bytes, compression: int) -> np.ndarray:
@@ -235,35 +250,41 @@ class _BgenReader(DataSourceReader):
         self.path = path
 
     def partitions(self):
-        with open_binary(self.path) as f:
-            self.compression = BgenHeader(f).compression
-        index = bgen_index(self.path)
-        out, held = [], []
-        for v in index:
-            held.append(v)
-            if sum(x[6] for x in held) >= RANGE_BYTES:
-                out.append(held)
-                held = []
-        parts = [*out, *([held] if held else [])]
-        made = []
+        h, parts = bgen_ranges(self.path)
         for p in parts:
-            r = _Range(p[0][0], p[-1][0] + 1)
-            r.variants, r.compression = p, self.compression
-            made.append(r)
-        return made or [_Range(0, 0)]
+            p.compression = h.compression
+        return parts or [_Range(0, 0)]
+
+    def read(self, part) -> Iterator[pa.RecordBatch]:
+        names = ["feature_idx", "chr", "snp_id", "bp", "a1", "a2", "dosage", "p0", "p1"]
+
+        def batch(sites: list[tuple], p: np.ndarray) -> pa.RecordBatch:
+            """A batch of variants; p: variants x samples x 3."""
+            gone = np.isnan(p[:, :, 0])
+            dose = 2 * p[:, :, 0] + p[:, :, 1]
+            # the minor allele's dosage
+            flip = np.nansum(dose, 1) > (~gone).sum(1)
+            dose = np.where(flip[:, None], 2 - dose, dose)
+            ends = pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32())
+            array = lambda x: pa.ListArray.from_arrays(ends, pa.array(x.ravel(), mask=gone.ravel()))
+            cols = list(zip(*sites))
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+            flat = [pa.array(list(c), k) for c, k in zip(cols, kinds)]
+            return pa.RecordBatch.from_arrays([*flat, array(dose), array(p[:, :, 0]), array(p[:, :, 1])], names)
 
-    def read(self, part):
         with open_binary(self.path) as f:
-            for i, chr_, rsid, pos, alleles, at, size in getattr(part, "variants", []):
-                f.seek(at)
-                p = decode_bgen(f.read(size), part.compression)
-                gone = np.isnan(p[:, 0])
-                dose = 2 * p[:, 0] + p[:, 1]
-                # the minor allele's dosage
-                if np.nansum(dose) > (~gone).sum():
-                    dose = 2 - dose
-                none = lambda x: [None if g else float(v) for v, g in zip(x, gone)]
-                yield (i, chr_, rsid, pos, alleles[0], alleles[1], none(dose), none(p[:, 0]), none(p[:, 1]))
+            f.seek(part.offset)
+            sites, held, cells = [], [], 0
+            for i in range(part.first, part.last):
+                chr_, rsid, pos, alleles, size = _bgen_variant(f)
+                held.append(decode_bgen(f.read(size), part.compression))
+                sites.append((i, chr_, rsid, pos, alleles[0], alleles[1]))
+                cells += len(held[-1])
+                if cells >= BATCH_CELLS:
+                    yield batch(sites, np.stack(held))
+                    sites, held, cells = [], [], 0
+            if held:
+                yield batch(sites, np.stack(held))
 
 
 class BgenSource(DataSource):
@@ -286,17 +307,23 @@ def read_bgen(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bgen_likelihoods(rows: DataFrame) -> DataFrame:
-    """feature_idx, sample_idx, p0, p1 of read_bgen's rows."""
-    x = rows.select("feature_idx", F.posexplode(F.arrays_zip("p0", "p1")).alias("sample_idx", "c"))
-    return x.select("feature_idx", F.col("sample_idx").cast("long").alias("sample_idx"), "c.p0", "c.p1")
+    """feature_idx, p0, p1 (arrays) of read_bgen's rows; 0.333333 each where missing."""
+    filled = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit(0.333333)))
+    return rows.select("feature_idx", filled("p0").alias("p0"), filled("p1").alias("p1"))
+
+
+def rows_to_cells(rows: DataFrame, *names: str) -> DataFrame:
+    """Long form of several arrays over samples."""
+    x = rows.select("feature_idx", F.posexplode(F.arrays_zip(*names)).alias("sample_idx", "c"))
+    return x.select("feature_idx", F.col("sample_idx").cast("long").alias("sample_idx"), *[F.col(f"c.{n}").alias(n) for n in names])
 
 
 # --- BEAGLE ------------------------------------------------------------------------------------
 
 
 def read_beagle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Likelihoods (feature_idx, sample_idx, p0, p1), markers and sample names of a (gzipped) BEAGLE file."""
-    lines = _numbered(spark.read.text(path), "line").withColumn("x", F.split(F.trim("value"), r"[ \t]+"))
+    """Likelihoods (feature_idx, p0, p1: arrays over samples), markers and sample names of a (gzipped) BEAGLE file."""
+    lines = numbered(spark, path, "line").withColumn("x", F.split(F.trim("value"), r"[ \t]+"))
     header = lines.filter("line = 0").first()["x"]
     if len(header) % 3:
         raise ValueError("the number of columns must be a multiple of three")
@@ -306,11 +333,10 @@ def read_beagle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     markers = body.select(
         "feature_idx", F.get("x", F.lit(0)).alias("snp_id"), F.get("x", F.lit(1)).alias("a1"), F.get("x", F.lit(2)).alias("a2")
     )
-    cells = body.select("feature_idx", "x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("s"))
-    gl = cells.select(
+    at = F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")
+    gl = body.select(
         "feature_idx",
-        F.col("s").cast("long").alias("sample_idx"),
-        F.get("x", 3 + 3 * F.col("s")).cast("double").alias("p0"),
-        F.get("x", 4 + 3 * F.col("s")).cast("double").alias("p1"),
+        F.transform(at, lambda s: F.get("x", 3 + 3 * s).cast("double")).alias("p0"),
+        F.transform(at, lambda s: F.get("x", 4 + 3 * s).cast("double")).alias("p1"),
     )
     return gl, markers, names

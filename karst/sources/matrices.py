@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from karst.sources.genotypes import _numbered, _ranges, open_binary
+from karst.sources.genotypes import _ranges, numbered, open_binary
 
 #: Fixed value: the first bytes of a zstd frame.
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -27,7 +27,7 @@ def read_csv_matrix(spark: SparkSession, path: str) -> DataFrame:
 
     Rows of unequal length and empty files are errors.
     """
-    rows = _numbered(spark.read.text(path), "feature_idx").select("feature_idx", F.split("value", ",").alias("x"))
+    rows = numbered(spark, path, "feature_idx").select("feature_idx", F.split("value", ",").alias("x"))
     got = rows.agg(F.min(F.size("x")).alias("lo"), F.max(F.size("x")).alias("hi")).first()
     if got["lo"] is None:
         raise ValueError("the file is empty")
@@ -37,11 +37,17 @@ def read_csv_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_cells(rows: DataFrame) -> DataFrame:
-    """Long form of a count matrix, zeros left out."""
+    """Long form of a count matrix, zeros left out; csv_axes tells the features and samples that may have no cell."""
     x = rows.select("feature_idx", F.posexplode("values").alias("sample_idx", "x")).filter("x <> 0")
     return x.select("feature_idx", F.col("sample_idx").cast("long").alias("sample_idx"), F.col("x"))
 
 
+def csv_axes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All features and all samples of a count matrix."""
+    n = rows.agg(F.max(F.size("values"))).first()[0] or 0
+    return rows.select("feature_idx"), rows.sparkSession.range(n).select(F.col("id").alias("sample_idx"))
+
+
 class _BinReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
@@ -92,19 +98,18 @@ def read_bin(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sigvals(spark: SparkSession, path: str) -> tuple[int, int, np.ndarray]:
     """Samples, features and singular values: a line `#N,M`, then a number a line."""
-    lines = [r["value"] for r in _numbered(spark.read.text(path), "line").orderBy("line").collect()]
+    lines = [r["value"] for r in numbered(spark, path, "line").orderBy("line").collect()]
     n, m = (int(x) for x in lines[0].lstrip("#").split(","))
     return n, m, np.array([float(x) for x in lines[1:]])
 
 
 def read_eigvals(spark: SparkSession, path: str) -> np.ndarray:
-    return np.array([float(r["value"]) for r in _numbered(spark.read.text(path), "line").orderBy("line").collect()])
+    return np.array([float(r["value"]) for r in numbered(spark, path, "line").orderBy("line").collect()])
 
 
 def read_table(spark: SparkSession, path: str, key: str, k: int | None = None) -> DataFrame:
     """Rows of a tab-separated table of numbers: `key`, pcs. Lines starting with # are left out; a row of another width than k is an error."""
-    lines = spark.read.text(path).filter(~F.col("value").startswith("#"))
-    rows = _numbered(lines, key).select(key, F.transform(F.split(F.trim("value"), r"[ \t]+"), lambda c: c.cast("double")).alias("pcs"))
+    rows = numbered(spark, path, key, ~F.col("value").startswith("#")).select(key, F.transform(F.split(F.trim("value"), r"[ \t]+"), lambda c: c.cast("double")).alias("pcs"))
     got = rows.agg(F.min(F.size("pcs")).alias("lo"), F.max(F.size("pcs")).alias("hi")).first()
     if got["lo"] != got["hi"] or k is not None and got["lo"] not in (None, k):
         raise ValueError(f"{path} has rows of {got['lo']} to {got['hi']} numbers")
@@ -113,7 +118,7 @@ def read_table(spark: SparkSession, path: str, key: str, k: int | None = None) -
 
 def read_frequencies(spark: SparkSession, path: str) -> DataFrame:
     """feature_idx, af: the seventh of exactly seven tab-separated columns."""
-    rows = _numbered(spark.read.text(path), "feature_idx").select("feature_idx", F.split("value", "\t").alias("x"))
+    rows = numbered(spark, path, "feature_idx").select("feature_idx", F.split("value", "\t").alias("x"))
     if rows.filter(F.size("x") != 7).limit(1).count():
         raise ValueError(f"{path} needs seven columns")
     return rows.select("feature_idx", F.get("x", F.lit(6)).cast("double").alias("af"))
@@ -128,18 +133,23 @@ def read_model(spark: SparkSession, prefix: str) -> dict[str, object]:
 
 
 def read_assoc(spark: SparkSession, path: str, names: tuple[str, str, str] = ("CHR", "BP", "P")) -> DataFrame:
-    """chr, bp, p, line of a tab-separated table; its column names are a parameter, and each must be there."""
-    rows = spark.read.option("header", True).option("sep", "\t").csv(path)
-    missing = [c for c in names if c not in rows.columns]
+    """row_idx, chr, bp, p, line of a tab-separated table; its column names are a parameter, and each must be there."""
+    lines = numbered(spark, path, "row_idx")
+    head = assoc_header(spark, path).split("\t")
+    missing = [c for c in names if c not in head]
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}")
-    return rows.select(
-        F.col(names[0]).alias("chr"),
-        F.col(names[1]).cast("long").alias("bp"),
-        F.col(names[2]).cast("double").alias("p"),
-        F.concat_ws("\t", *rows.columns).alias("line"),
+    x = F.split("value", "\t")
+    at = [F.get(x, F.lit(head.index(c))) for c in names]
+    return lines.filter("row_idx > 0").select(
+        "row_idx", at[0].alias("chr"), at[1].try_cast("long").alias("bp"), at[2].try_cast("double").alias("p"), F.col("value").alias("line")
     )
 
 
+def assoc_header(spark: SparkSession, path: str) -> str:
+    """The first line of a table."""
+    return numbered(spark, path, "row_idx").filter("row_idx = 0").first()["value"]
+
+
 def count_lines(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).count()

@@ -82,16 +82,22 @@ def write_r2(report: DataFrame, path: str) -> None:
 
 
 def write_prune(sites: DataFrame, kept: DataFrame, prefix: str) -> None:
-    """prefix.prune.in and prefix.prune.out: site lines."""
+    """prefix.ld.prune.in and prefix.ld.prune.out: the sites' lines as they were read."""
+    line = F.col("line") if "line" in sites.columns else F.concat_ws("\t", "chr", "snp_id", F.lit(0), "bp", "a1", "a2")
     rows = sites.join(kept, "feature_idx").repartitionByRange("feature_idx").sortWithinPartitions("feature_idx")
     for name, which in (("in", F.col("keep")), ("out", ~F.col("keep"))):
-        _tsv(rows.filter(which).select("chr", "snp_id", "bp", "a1", "a2"), f"{prefix}.prune.{name}")
-
-
-def write_clumps(clumps: DataFrame, assoc: DataFrame, prefix: str, phenotype: int = 0) -> None:
-    """prefix.p{i}.clump: the association line and the sites that it took."""
-    rows = clumps.join(assoc.select("chr", "bp", "p", "line"), ["chr", "bp", "p"]) if "line" in assoc.columns else clumps.withColumn("line", F.concat_ws("\t", "chr", "bp", "p"))
-    rows.select(F.concat_ws("\t", "line", "sp2").alias("value")).write.mode("overwrite").text(f"{prefix}.p{phenotype}.clump")
+        rows.filter(which).select(line.alias("value")).write.mode("overwrite").text(f"{prefix}.ld.prune.{name}")
+
+
+def write_clumps(clumps: DataFrame, assoc: DataFrame, prefix: str, header: str, phenotype: int = 0) -> None:
+    """prefix.p{i}.clump: the table's header and SP2, then each index site's line and the sites that it took, by chromosome and p."""
+    first = assoc.groupBy("chr", "bp", "p").agg(F.min(F.struct("row_idx", "line")).alias("row"))
+    rows = clumps.join(first, ["chr", "bp", "p"]).select("chr", "p", "bp", F.concat_ws("\t", "row.line", "sp2").alias("value"))
+    top = rows.sparkSession.createDataFrame([("", 0.0, 0, f"{header}\tSP2")], "chr string, p double, bp long, value string")
+    rows = top.withColumn("n", F.lit(0)).unionByName(rows.withColumn("n", F.lit(1)))
+    rows.repartitionByRange("n", "chr", "p", "bp").sortWithinPartitions("n", "chr", "p", "bp").select("value").write.mode("overwrite").text(
+        f"{prefix}.p{phenotype}.clump"
+    )
 
 
 def write_hwe(table: DataFrame, sites: DataFrame, path: str) -> None:

@@ -28,12 +28,14 @@ def test_pca_ld_hwe_and_projection(spark, plink):
     assert (n, m, len(s)) == (13, 60, 2)
     assert spark.read.text(out + ".eigvecs2").count() == 14
     cli.main(["-B", out + ".residuals", "-f", out + ".mbim", "--ld-r2", "0.3", "--ld-bp", "500", "-o", out])
-    assert spark.read.text(out + ".prune.in").count() + spark.read.text(out + ".prune.out").count() == 60
+    kept, gone = (sorted(r["value"] for r in spark.read.text(f"{out}.ld.prune.{x}").collect()) for x in ("in", "out"))
+    assert sorted(kept + gone) == sorted(r["value"] for r in spark.read.text(out + ".mbim").collect()) and len(kept[0].split("\t")) == 7
     cli.main(["-B", out + ".residuals", "-f", out + ".mbim", "-R", "--ld-bp", "500", "-o", out])
     assert spark.read.option("header", True).option("sep", "\t").csv(out + ".ld.gz").columns[-1] == "R2"
     (d / "p.assoc").write_text("CHR\tBP\tP\n" + "".join(f"{1 + i // 30}\t{100 * (i % 30) + 1}\t{(i + 1) / 100}\n" for i in range(60)))
     cli.main(["-B", out + ".residuals", "-f", out + ".mbim", "--clump", str(d / "p.assoc"), "--clump-p1", "0.2", "--clump-p2", "0.5", "--clump-r2", "0.1", "--clump-bp", "500", "-o", out])
-    assert spark.read.text(out + ".p0.clump").count() > 0
+    clumps = [r["value"] for r in spark.read.text(out + ".p0.clump").collect()]
+    assert "CHR\tBP\tP\tSP2" in clumps and len(clumps) > 1 and all(len(x.split("\t")) == 4 for x in clumps)
     cli.main(["-b", prefix, "--USV", out, "--project", "2", "-o", out + "p"])
     assert spark.read.text(out + "p.eigvecs2").count() == 14
     cli.main(["-b", prefix, "--USV", out, "--inbreed", "1", "--maxiter", "2", "-o", out])

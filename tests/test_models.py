@@ -1,5 +1,7 @@
 """Invariants of the decompositions and of the iterative models."""
 
+from unittest.mock import MagicMock
+
 import numpy as np
 import pytest
 
@@ -106,7 +108,7 @@ def test_inbreeding(spark):
             g = rng.binomial(2, 0.4) if f == 0 else 2 * rng.binomial(1, 0.4)
             rows.append((j, i, float(g == 0), float(g == 1), 0.4))
     cells = spark.createDataFrame(rows, "feature_idx long, sample_idx long, p0 double, p1 double, pi double")
-    got = {r["feature_idx"]: r for r in hwe.inbreeding(cells).table.collect()}
+    got = {r["feature_idx"]: r for r in hwe.inbreeding(hwe.cell_rows(cells)).table.collect()}
     assert abs(got[0]["f"]) < 0.25 and got[1]["f"] > 0.95
     assert got[1]["lrt"] > 50 and got[1]["p"] < 1e-10 < got[0]["p"]
 
@@ -193,8 +195,9 @@ def test_registered_models_end_by_their_tolerance(monkeypatch, name):
     for owner, names in ((em, ("emu", "pcangsd")), (project, ("project_likelihoods",))):
         for x in names:
             monkeypatch.setattr(owner, x, seen)
-    for owner, x in ((em, "emu_rows"), (em, "gl_rows"), (catalog, "_af"), (catalog, "_s"), (catalog.fx, "dosage"), (catalog.fx, "likelihoods"), (catalog.fx, "model_v")):
-        monkeypatch.setattr(owner, x, lambda *a: None)
+    inputs = ["dosage_rows", "likelihood_rows", "likelihoods", "model_v"]
+    for owner, x in ((em, "seen_rows"), (frequency, "frequency_rows"), (catalog, "_af"), (catalog, "_s"), *((catalog.fx, x) for x in inputs)):
+        monkeypatch.setattr(owner, x, MagicMock())
     with pytest.raises(Seen) as got:
         catalog.QUERIES[name](None, "")
     assert got.value.args == (() if name == "proj_gl" else (PcaParams().max_iter,))

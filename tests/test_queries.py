@@ -9,7 +9,7 @@ import pytest
 from karst.plans.catalog import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"em_emu", "em_pcangsd", "pca_iram", "hw_em", "em_maf", "proj_gl"}  # tested by their invariants
+SLOW = {"em_emu", "em_pcangsd", "pca_iram", "hw_em"}  # tested by their invariants
 
 
 def frame(df: pd.DataFrame) -> pd.DataFrame:
@@ -43,16 +43,3 @@ def test_entry_names():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(ORACLES) <= set(QUERIES)
-
-
-def test_gram_of_all_samples(spark, oracle):
-    """All N x N cells, against brute force over the same derived dosages."""
-    from karst import fixtures as fx
-    from karst.operators import frequency
-
-    d = frequency.centred(fx.dosage(spark, DATA), frequency.allele_frequency(fx.dosage(spark, DATA))).toPandas()
-    x = d.pivot(index="feature_idx", columns="sample_idx", values="g").sort_index(axis=1)
-    want = x.to_numpy().T @ x.to_numpy() / len(x)
-    got = QUERIES["gram_all"](spark, DATA).toPandas().pivot(index="i", columns="j", values="c").sort_index().sort_index(axis=1)
-    assert list(got.index) == list(got.columns) == list(x.columns) and len(got) > 100
-    assert abs(got.to_numpy() - want).max() < 1.1e-6

@@ -1,6 +1,7 @@
 """Round trips and edge cases of the file formats."""
 
 import gzip
+import math
 import struct
 import zlib
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 
 from karst.functions import special
-from karst.operators import pca
+from karst.operators import pca, scaling
 from karst.sources import genotypes, matrices, sinks
 
 
@@ -22,9 +23,7 @@ def test_bed_round_trip(spark, tmp_path):
     (tmp_path / "a.fam").write_text("".join(f"f{i} i{i} 0 0 0 -9\n" for i in range(5)))
     (tmp_path / "a.bim").write_text("".join(f"1\trs{i}\t0\t{i + 1}\tA\tG\n" for i in range(4)))
     dosage, sites, people = genotypes.read_plink(spark, prefix)
-    got = np.full((4, 5), -1)
-    for r in dosage.collect():
-        got[r["feature_idx"], r["sample_idx"]] = -1 if r["dos"] is None else r["dos"]
+    got = np.array([[-1 if v is None else v for v in r["dos"]] for r in dosage.orderBy("feature_idx").collect()])
     assert (got == x).all() and people.count() == 5 and sites.orderBy("feature_idx").first()["snp_id"] == "rs0"
     genotypes.check_bim(sites, sites)
     (tmp_path / "a.bed").write_bytes(b"xyz")
@@ -72,8 +71,8 @@ def test_beagle(spark, tmp_path):
     with gzip.open(path, "wt") as f:
         f.write("marker\tallele1\tallele2\ta\ta\ta\tb\tb\tb\n1_10\t0\t2\t0.9\t0.05\t0.05\t0.1\t0.8\t0.1\n1_20\t1\t3\t0.2\t0.3\t0.5\t1\t0\t0\n")
     gl, markers, names = genotypes.read_beagle(spark, path)
-    got = {(r["feature_idx"], r["sample_idx"]): (r["p0"], r["p1"]) for r in gl.collect()}
-    assert got == {(0, 0): (0.9, 0.05), (0, 1): (0.1, 0.8), (1, 0): (0.2, 0.3), (1, 1): (1.0, 0.0)}
+    got = {r["feature_idx"]: (r["p0"], r["p1"]) for r in gl.collect()}
+    assert got == {0: ([0.9, 0.1], [0.05, 0.8]), 1: ([0.2, 1.0], [0.3, 0.0])}
     assert [r["iid"] for r in names.orderBy("sample_idx").collect()] == ["a", "b"]
     assert markers.filter("feature_idx = 1").first()["a2"] == "3"
 
@@ -117,6 +116,48 @@ def test_model_round_trip(spark, tmp_path):
         matrices.read_table(spark, prefix + ".eigvecs", "sample_idx", 2)
 
 
+def test_lines_of_unequal_part_files_keep_their_order(spark, tmp_path):
+    """Spark reads large files first, and files in splits; lines are numbered by file and place all the same."""
+    folder = tmp_path / "m.loadings"
+    folder.mkdir()
+    want = []
+    for i, n in enumerate([1, 5, 2, 4000, 1, 3]):
+        own = [f"{i}.{j}\t{j}" for j in range(n)]
+        (folder / f"part-{i:05d}.txt").write_text("\n".join(own) + "\n")
+        want += [[float(x) for x in line.split("\t")] for line in own]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = matrices.read_table(spark, str(folder), "feature_idx", 2).orderBy("feature_idx").collect()
+        assert [r["feature_idx"] for r in rows] == list(range(len(want))) and [r["pcs"] for r in rows] == want
+        sites = tmp_path / "m.mbim"
+        sites.mkdir()
+        lines = [f"1\trs{i}\t0\t{i}\tA\tG\t{i / 1000}" for i in range(60)]
+        for k, (a, b) in enumerate([(0, 2), (2, 50), (50, 60)]):
+            (sites / f"part-{k:05d}.csv").write_text("\n".join(lines[a:b]) + "\n")
+        got = genotypes.read_bim(spark, str(sites)).orderBy("feature_idx").collect()
+        assert [r["line"] for r in got] == lines
+        assert [r["af"] for r in matrices.read_frequencies(spark, str(sites)).orderBy("feature_idx").collect()] == [i / 1000 for i in range(60)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_count_matrices_keep_empty_rows_and_columns(spark, tmp_path):
+    (tmp_path / "z.csv").write_text("0,0,0\n1,0,2\n0,0,0\n3,0,1\n")
+    raw = matrices.read_csv_matrix(spark, str(tmp_path / "z.csv"))
+    features, samples = matrices.csv_axes(raw)
+    for method in (1, 2, 3, 4):
+        got = scaling.scaled(matrices.csv_cells(raw), samples, method, features=features).collect()
+        assert {(r["feature_idx"], r["sample_idx"]) for r in got} == {(i, j) for i in range(4) for j in range(3)}
+        assert all(r["x"] == 0 for r in got if r["feature_idx"] in (0, 2))
+
+
+def test_chi_square_tail(spark):
+    xs = [0.0, 1e-8, 0.3, 1.0, 3.84, 6.2, 12.4, 12.6, 50.0, 700.0, -1.0, float("nan"), None]
+    got = [r[1] for r in spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1).select("x", special.chi_square_tail("x")).collect()]
+    want = [1.0 if x is None or x != x or x < 0 else math.erfc(math.sqrt(x / 2)) for x in xs]
+    assert np.allclose(got, want, rtol=1e-11, atol=1e-15)
+
+
 def test_reports(spark, tmp_path):
     rep = spark.createDataFrame([("1", 1, "a", "1", 2, "b", 0.25)], "chr_a string, bp_a long, snp_a string, chr_b string, bp_b long, snp_b string, r2 double")
     sinks.write_r2(rep, str(tmp_path / "x.ld.gz"))
