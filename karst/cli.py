@@ -6,6 +6,8 @@ Example: python -m karst.cli -b data/plink -k 10 -d 2 -o out
 from __future__ import annotations
 
 import argparse
+import logging
+import time
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -145,6 +147,7 @@ def run_pca(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def save(spark: SparkSession, a: argparse.Namespace, p: PcaParams, fit: pca.Pca, people: DataFrame | None, sites: DataFrame | None, af: DataFrame | None) -> None:
+    logging.getLogger("karst").info("%d samples, %d features, %d passes; singular values %s", len(fit.u), fit.n_features, fit.passes, fit.s)
     sinks.write_eigs(spark, fit, a.out, p.ploidy, a.printv)
     if people is not None:
         sinks.write_eigvecs2(spark, people, fit.u, a.out + ".eigvecs2")
@@ -220,11 +223,33 @@ def run_project(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_eigvecs2(spark, people, u, a.out + ".eigvecs2")
 
 
+def run_log(a: argparse.Namespace) -> logging.Logger:
+    """The log of a run: prefix.log beside the results on this machine, and the terminal if --verbose is 1 or more."""
+    log = logging.getLogger("karst")
+    log.handlers.clear()
+    log.setLevel(logging.DEBUG if a.verbose > 1 else logging.INFO)
+    log.propagate = False
+    if "://" not in a.out:
+        log.addHandler(logging.FileHandler(a.out + ".log", mode="w"))
+    if a.verbose > 0:
+        log.addHandler(logging.StreamHandler())
+    for h in log.handlers:
+        h.setFormatter(logging.Formatter("%(asctime)s %(message)s"))
+    return log
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     if a.project > 2:
         raise NotImplementedError("projection method 3")
     spark = SparkSession.builder.appName("karst").getOrCreate()
+    log, start = run_log(a), time.time()
+    log.info("options: %s", ", ".join(f"{k}={v}" for k, v in sorted(vars(a).items()) if v not in (None, False)))
+    run_command(spark, a)
+    log.info("total wall time: %.1f seconds", time.time() - start)
+
+
+def run_command(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.inbreed:
         run_inbreeding(spark, a)
     elif a.ld_r2 > 0 or a.print_r2 or a.clump:

@@ -15,7 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from karst.operators.lineage import cut
+from karst.operators.matrix import map_arrays
+
 SLICE = 8192
+SITES = 1024
 
 
 def chromosome_runs(sites: DataFrame) -> DataFrame:
@@ -59,42 +63,63 @@ def to_rows(cells: DataFrame, value: str = "g") -> DataFrame:
 
 def unit_rows(rows: DataFrame) -> DataFrame:
     """Rows of length 1; rows without variance become zeros, so that their r2 is 0."""
-    norm = F.sqrt(F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x))
-    unit = F.when(norm > 0, F.transform("values", lambda x: x / norm)).otherwise(F.transform("values", lambda x: x * 0.0))
-    return rows.select("feature_idx", unit.alias("values"))
 
+    def run(x, _):
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        return (x / np.where(norm > 0, norm, np.inf),)
+
+    return map_arrays(rows.select("feature_idx", "values"), run, None, "feature_idx long, values array<double>")
 
-def pair_products(rows: DataFrame, sites: DataFrame, ld_bp: int, slice_: int = SLICE) -> DataFrame:
+
+def pair_products(rows: DataFrame, sites: DataFrame, ld_bp: int, slice_: int = SLICE, sites_: int = SITES) -> DataFrame:
     """i, k, r: dot products of the rows of all window pairs, made in dense blocks.
 
-    Rows are dealt by (chr, bucket, slice of samples); a block holds the sites of its bucket and of
-    the next one and multiplies them in numpy. Products add up over slices, so memory is bounded by
-    the sites of two windows times `slice_` samples, whatever the number of samples.
+    Rows are dealt by (chr, bucket, slice of samples, pair of blocks of sites); a group multiplies the
+    sites of a block of its bucket with those of a block of that or of the next one, in numpy. Products
+    add up over slices, so a group holds two blocks of `sites_` sites times `slice_` samples, whatever
+    the number of samples and however dense a region or wide a window is.
     """
     width = max(1, ld_bp)
     bucket = F.floor(F.col("bp") / width)
-    placed = rows.join(sites.select("feature_idx", "chr", "bp"), "feature_idx")
-    n = F.greatest(F.ceil(F.size("values") / F.lit(slice_)), F.lit(1)).cast("int")
-    parts = placed.select("feature_idx", "chr", "bp", "values", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
-    parts = parts.select("feature_idx", "chr", "bp", "part", F.slice("values", F.col("part") * slice_ + 1, F.lit(slice_)).alias("values"))
-    dealt = parts.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
-        "bucket", F.when(F.col("own"), bucket).otherwise(bucket - 1)
+    own = sites.select("feature_idx", "chr", "bp", bucket.alias("bucket"))
+    # a site's block within its bucket, and how many blocks the bucket and the next one have
+    rank = F.row_number().over(Window.partitionBy("chr", "bucket").orderBy("feature_idx")) - 1
+    own = own.withColumn("block", F.floor(rank / sites_).cast("int"))
+    sizes = own.groupBy("chr", "bucket").agg((F.max("block") + 1).alias("blocks"))
+    after = sizes.select("chr", (F.col("bucket") - 1).alias("bucket"), F.col("blocks").alias("next_blocks"))
+    before = sizes.select("chr", (F.col("bucket") + 1).alias("bucket"), F.col("blocks").alias("last_blocks"))
+    own = own.join(sizes, ["chr", "bucket"]).join(after, ["chr", "bucket"], "left").join(before, ["chr", "bucket"], "left")
+    # groups (bucket, x, y): block x of the bucket as leads; y counts its own blocks from x on, then the next bucket's
+    lead = F.transform(
+        F.sequence(F.col("block"), F.col("blocks") + F.coalesce("next_blocks", F.lit(0)) - 1),
+        lambda y: F.struct(F.col("bucket").alias("of"), F.col("block").alias("x"), y.alias("y"), F.lit(True).alias("lead")),
     )
+    mate = F.transform(
+        F.when(F.col("block") > 0, F.sequence(F.lit(0), F.col("block") - 1)).otherwise(F.array().cast("array<int>")),
+        lambda x: F.struct(F.col("bucket").alias("of"), x.alias("x"), F.col("block").alias("y"), F.lit(False).alias("lead")),
+    )
+    ahead = F.transform(
+        F.when(F.col("last_blocks").isNotNull(), F.sequence(F.lit(0), F.col("last_blocks") - 1)).otherwise(F.array().cast("array<int>")),
+        lambda x: F.struct((F.col("bucket") - 1).alias("of"), x.alias("x"), (F.col("last_blocks") + F.col("block")).alias("y"), F.lit(False).alias("lead")),
+    )
+    groups = own.select("feature_idx", "chr", "bp", F.inline(F.concat(lead, mate, ahead)))
+    placed = rows.join(groups, "feature_idx")
+    n = F.greatest(F.ceil(F.size("values") / F.lit(slice_)), F.lit(1)).cast("int")
+    parts = placed.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
+    dealt = parts.withColumn("values", F.slice("values", F.col("part") * slice_ + 1, F.lit(slice_)))
 
     def multiply(table: pa.Table) -> pa.Table:
-        idx = table.column("feature_idx").to_numpy()
-        bp = table.column("bp").to_numpy()
-        own = table.column("own").to_numpy(zero_copy_only=False).astype(bool)
-        values = table.column("values").combine_chunks()
-        x = values.flatten().to_numpy().reshape(len(idx), -1)
-        if not own.any():
-            return pa.table({"i": pa.array([], pa.int64()), "k": pa.array([], pa.int64()), "r": pa.array([], pa.float64())})
-        r = x[own] @ x.T
-        near = (idx[own][:, None] < idx[None, :]) & (bp[None, :] - bp[own][:, None] <= ld_bp)
+        idx, bp = table.column("feature_idx").to_numpy(), table.column("bp").to_numpy()
+        lead = table.column("lead").to_numpy(zero_copy_only=False).astype(bool)
+        x = table.column("values").combine_chunks().flatten().to_numpy().reshape(len(idx), -1)
+        # leads of a block meet each other in the group of that block with itself
+        mates = np.ones(len(idx), bool) if table.column("x")[0].as_py() == table.column("y")[0].as_py() else ~lead
+        r = x[lead] @ x[mates].T
+        near = (idx[lead][:, None] < idx[mates][None, :]) & (bp[mates][None, :] - bp[lead][:, None] <= ld_bp)
         a, b = np.nonzero(near)
-        return pa.table({"i": pa.array(idx[own][a], pa.int64()), "k": pa.array(idx[b], pa.int64()), "r": pa.array(r[a, b], pa.float64())})
+        return pa.table({"i": pa.array(idx[lead][a], pa.int64()), "k": pa.array(idx[mates][b], pa.int64()), "r": pa.array(r[a, b], pa.float64())})
 
-    found = dealt.groupBy("chr", "bucket", "part").applyInArrow(multiply, "i long, k long, r double")
+    found = dealt.groupBy("chr", "of", "x", "y", "part").applyInArrow(multiply, "i long, k long, r double")
     return found.groupBy("i", "k").agg(F.sum("r").alias("r"))
 
 
@@ -110,12 +135,39 @@ def r2_report(pairs: DataFrame, sites: DataFrame) -> DataFrame:
     return pairs.join(a, "i").join(b, "k").select("chr_a", "bp_a", "snp_a", "chr_b", "bp_b", "snp_b", "r2")
 
 
+#: Sites of a range whose links are looked at in one task.
+RANGE = 1 << 16
+
+
+def with_runs(rows: DataFrame, start: str, stop: str) -> DataFrame:
+    """Add `run`: rows (chr, start, stop) whose intervals of sites overlap are in one run, named by its least start.
+
+    A run begins where no interval that began before reaches. The furthest stop is found in ranges of
+    RANGE sites, and of all ranges before, a row each.
+    """
+    ranged = rows.withColumn("__range", F.floor(F.col(start) / RANGE))
+    tops = ranged.groupBy("chr", "__range").agg(F.max(stop).alias("__far"))
+    earlier = Window.partitionBy("chr").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("chr", "__range", F.max("__far").over(earlier).alias("__before"))
+    starts = ranged.groupBy("chr", "__range", start).agg(F.max(stop).alias("__own")).join(tops, ["chr", "__range"])
+    inside = Window.partitionBy("chr", "__range").orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest(F.max("__own").over(inside), F.col("__before"))
+    heads = starts.withColumn("__new", reach.isNull() | (reach < F.col(start)))
+    heads = heads.withColumn("run", F.max(F.when(F.col("__new"), F.col(start))).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # a run that goes on from an earlier range has its head there
+    last = heads.groupBy("chr", "__range").agg(F.max(F.when(F.col("__new"), F.col(start))).alias("__head"))
+    last = last.select("chr", "__range", F.max("__head").over(earlier).alias("__from"))
+    named = heads.join(last, ["chr", "__range"]).select("chr", start, F.coalesce("run", "__from").alias("run"))
+    return rows.join(named, ["chr", start])
+
+
 def prune(pairs: DataFrame, sites: DataFrame, cutoff: float) -> DataFrame:
     """feature_idx, keep. Sites lead in order; a dropped site leads no more. For each kept k of the
     window with r2 above the cutoff, k is dropped, unless its minor allele frequency is larger: then
     the lead is dropped, and goes on through its window. Without `af` k is always dropped.
 
-    Only pairs above the cutoff reach the sequential step, which runs once a chromosome.
+    Only pairs above the cutoff reach the sequential step, which runs once for each run of sites that
+    no such pair leaves: what happens in one run cannot change another.
     """
     has_af = "af" in sites.columns
     maf = F.when(F.col("af") > 0.5, 1 - F.col("af")).otherwise(F.col("af")) if has_af else F.lit(0.0)
@@ -135,7 +187,8 @@ def prune(pairs: DataFrame, sites: DataFrame, cutoff: float) -> DataFrame:
                     dropped.add(i if other else k)
         return pd.DataFrame({"feature_idx": sorted(dropped)}, dtype="int64")
 
-    gone = edges.groupBy("chr").applyInPandas(greedy, "feature_idx long").withColumn("keep", F.lit(False))
+    edges = with_runs(cut(edges, "edges"), "i", "k")
+    gone = edges.groupBy("chr", "run").applyInPandas(greedy, "feature_idx long").withColumn("keep", F.lit(False))
     return sites.select("feature_idx").join(gone, "feature_idx", "left").select("feature_idx", F.coalesce("keep", F.lit(True)).alias("keep"))
 
 
@@ -157,8 +210,12 @@ def clump(pairs: DataFrame, sites: DataFrame, assoc: DataFrame, p1: float, p2: f
     strong = pairs.filter(F.col("r2") >= r2)
     both = strong.select(F.col("i").alias("a"), F.col("k").alias("b")).unionByName(strong.select(F.col("k").alias("a"), F.col("i").alias("b")))
     other = hits.select(F.col("feature_idx").alias("b"), F.col("bp").alias("bp_b"), F.col("p").alias("p_b"))
-    near = both.join(other, "b").groupBy("a").agg(F.array_sort(F.collect_list(F.struct("p_b", "bp_b", "b"))).alias("near"))
-    rows = hits.join(near, hits["feature_idx"] == near["a"], "left").select("chr", "bp", "p", "feature_idx", "near")
+    near = both.join(other, "b").groupBy("a").agg(
+        F.array_sort(F.collect_list(F.struct("p_b", "bp_b", "b"))).alias("near"), F.max("b").alias("top")
+    )
+    rows = hits.join(near, hits["feature_idx"] == near["a"], "left").select("chr", "bp", "p", "feature_idx", "near", F.greatest("feature_idx", "top").alias("top"))
+    # sites that take from each other are in one run; runs are independent
+    rows = with_runs(cut(rows, "hits"), "feature_idx", "top")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         taken: set[int] = set()
@@ -175,7 +232,7 @@ def clump(pairs: DataFrame, sites: DataFrame, assoc: DataFrame, p1: float, p2: f
             out.append((row.chr, row.bp, row.p, ",".join(got) or "NONE"))
         return pd.DataFrame(out, columns=["chr", "bp", "p", "sp2"])
 
-    return rows.groupBy("chr").applyInPandas(greedy, "chr string, bp long, p double, sp2 string")
+    return rows.groupBy("chr", "run").applyInPandas(greedy, "chr string, bp long, p double, sp2 string")
 
 
 def _project_batches(u) -> object:

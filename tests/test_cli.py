@@ -26,6 +26,8 @@ def test_pca_ld_hwe_and_projection(spark, plink):
     cli.main(["-b", prefix, "-k", "2", "-d", "1", "-V", "-D", "-o", out])
     n, m, s = matrices.read_sigvals(spark, out + ".sigvals")
     assert (n, m, len(s)) == (13, 60, 2)
+    log = (d / "m.log").read_text()
+    assert "pc=2" in log and "13 samples, 60 features" in log and "total wall time" in log
     assert spark.read.text(out + ".eigvecs2").count() == 14
     cli.main(["-B", out + ".residuals", "-f", out + ".mbim", "--ld-r2", "0.3", "--ld-bp", "500", "-o", out])
     kept, gone = (sorted(r["value"] for r in spark.read.text(f"{out}.ld.prune.{x}").collect()) for x in ("in", "out"))
@@ -47,3 +49,29 @@ def test_rejections():
         cli.main(["-b", "x", "--USV", "y", "--project", "3"])
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["--no-such-option"])
+
+
+def test_likelihoods(spark, tmp_path):
+    """The EM models, equilibrium tests and projection from BEAGLE likelihoods, and --maf with the model's own numbers."""
+    rng = np.random.default_rng(3)
+    x = rng.binomial(2, rng.uniform(0.2, 0.8, (40, 1)), (40, 9))
+    gl = np.full((40, 9, 3), 0.05)
+    np.put_along_axis(gl, x[:, :, None], 0.9, 2)
+    head = "marker\tallele1\tallele2\t" + "\t".join(f"s{i}\ts{i}\ts{i}" for i in range(9))
+    lines = ["\t".join([f"rs{i}", "A", "G", *(f"{v:.2f}" for v in gl[i].ravel())]) for i in range(40)]
+    (tmp_path / "a.beagle").write_text("\n".join([head, *lines]) + "\n")
+    rows = spark.createDataFrame([(i, [int(v) for v in 2 - r]) for i, r in enumerate(x)], "feature_idx long, dos array<bigint>")
+    sinks.write_bed(rows, str(tmp_path / "a.bed"))
+    (tmp_path / "a.fam").write_text("".join(f"f{i} i{i} 0 0 0 -9\n" for i in range(9)))
+    (tmp_path / "a.bim").write_text("".join(f"1\trs{i}\t0\t{i + 1}\tA\tG\n" for i in range(40)))
+    out = str(tmp_path / "m")
+    cli.main(["-b", str(tmp_path / "a"), "-k", "2", "-d", "1", "-V", "--maf", "0.3", "-o", out])
+    used = [r["value"].split("\t")[1] for r in spark.read.text(out + ".mbim").collect()]
+    assert 0 < len(used) < 40
+    cli.main(["-G", str(tmp_path / "a.beagle"), "--USV", out, "--inbreed", "1", "--maxiter", "3", "-o", out])
+    ids = {r["#ID"] for r in spark.read.option("header", True).option("sep", "\t").csv(out + ".hwe").collect()}
+    assert ids == set(used)
+    cli.main(["-G", str(tmp_path / "a.beagle"), "--USV", out, "--project", "2", "--maxiter", "3", "-o", out + "p"])
+    assert spark.read.text(out + "p.eigvecs2").count() == 10
+    cli.main(["-G", str(tmp_path / "a.beagle"), "-k", "2", "-d", "1", "--maxiter", "2", "-o", out + "g"])
+    assert spark.read.text(out + "g.cov").count() == 9

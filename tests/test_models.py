@@ -201,3 +201,32 @@ def test_registered_models_end_by_their_tolerance(monkeypatch, name):
     with pytest.raises(Seen) as got:
         catalog.QUERIES[name](None, "")
     assert got.value.args == (() if name == "proj_gl" else (PcaParams().max_iter,))
+
+
+def test_pair_products_in_blocks_of_sites(spark):
+    """Blocks smaller than a bucket, against all pairs."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((70, 11))
+    bp = np.sort(rng.integers(0, 90, 70))
+    sites = spark.createDataFrame([(i, "1" if i < 40 else "2", int(b)) for i, b in enumerate(bp)], "feature_idx long, chr string, bp long")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, k): unit[i] @ unit[k] for i in range(70) for k in range(i + 1, 70) if (i < 40) == (k < 40) and bp[k] - bp[i] <= 25}
+    for blocks in (3, 1000):
+        got = ld.pair_products(ld.unit_rows(rows_of(spark, x)), sites, 25, slice_=4, sites_=blocks).collect()
+        assert len(got) == len(want) and all(abs(want[r["i"], r["k"]] - r["r"]) < 1e-12 for r in got)
+
+
+@pytest.mark.parametrize("width", [1, 4, 1 << 16])
+def test_runs(spark, monkeypatch, width):
+    monkeypatch.setattr(ld, "RANGE", width)
+    rng = np.random.default_rng(width)
+    rows = [(str(c), int(a), int(a + rng.integers(0, 6))) for c in (1, 2) for a in rng.integers(0, 120, 40)]
+    got = ld.with_runs(spark.createDataFrame(rows, "chr string, i long, k long"), "i", "k").collect()
+    want = {}
+    for c in ("1", "2"):
+        far, head = -1, None
+        for a, b in sorted((a, b) for d, a, b in rows if d == c):
+            head = a if a > far else head
+            far = max(far, b)
+            want[c, a] = head
+    assert sorted((r["chr"], r["i"], r["k"], r["run"]) for r in got) == sorted((c, a, b, want[c, a]) for c, a, b in rows)
