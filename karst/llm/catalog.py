@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karst.llm import op1_lm, op3_exact, op7_warc, op8_decontaminate
+from karst.llm import op1_lm, op3_exact, op5_minhash, op7_warc, op8_decontaminate
 from karst.llm.op2_toxicity import op2_toxicity
 from karst.llm.op4_langid import op4_language_id
-from karst.llm.op5_minhash import op5_near_dedup
 from karst.llm.op6_pieces import op6_sentencepiece
 from karst.llm.op9_html import op9_html_main_text
 from karst.llm.op10_tokens import op10_token_binary
@@ -19,7 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact.op3_exact_dedup,
     "op4_language_id": op4_language_id,
-    "op5_near_dedup": op5_near_dedup,
+    "op5_near_dedup": op5_minhash.op5_near_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_arc_to_warc": op7_warc.op7_arc_to_warc,
     "op8_decontamination": op8_decontaminate.op8_decontamination,
@@ -30,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_lm_score": op1_lm.ORACLE_SQL,
     "op3_exact_dedup": op3_exact.ORACLE_SQL,
+    "op5_near_dedup": op5_minhash.ORACLE_SQL,
     "op7_arc_to_warc": op7_warc.ORACLE_SQL,
     "op8_decontamination": op8_decontaminate.ORACLE_SQL,
 }

@@ -405,3 +405,27 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+
+
+# All pairs of texts that share a shingle, by their weighted Jaccard similarity, then classes by the least member that is reached.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (SELECT w, min(n) AS id FROM d WHERE len(w) > 0 GROUP BY w),
+s AS (
+  SELECT id, sh, count(*) AS c
+  FROM (SELECT id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS sh FROM t)
+  GROUP BY id, sh
+), z AS (SELECT id, sum(c) AS size FROM s GROUP BY id),
+p AS (SELECT a.id AS x, b.id AS y, sum(least(a.c, b.c)) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.id < b.id GROUP BY a.id, b.id),
+e AS (
+  SELECT x, y FROM p JOIN z zx ON zx.id = x JOIN z zy ON zy.id = y
+  WHERE common::DOUBLE / greatest(1, zx.size + zy.size - common) >= {threshold}::DOUBLE
+), g AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(a, b) AS (SELECT id, id FROM t UNION SELECT r.a, g.y FROM r JOIN g ON g.x = r.b),
+l AS (SELECT a AS id, min(b) AS label FROM r GROUP BY a),
+m AS (SELECT d.n, doc_id, coalesce(label, -d.n) AS label FROM d LEFT JOIN t ON d.w = t.w LEFT JOIN l ON l.id = t.id),
+c AS (SELECT label, max(doc_id) AS class_id, count(*) AS class_size FROM m GROUP BY label)
+SELECT doc_id, class_id, class_size, doc_id IS NOT DISTINCT FROM class_id AS kept FROM m JOIN c USING (label)
+""".replace("{threshold}", str(THRESHOLD))
