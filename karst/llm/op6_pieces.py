@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from karst.llm.common import own_cache
 
 MARK = "▁"
-CACHE_PARTS = 300_000
+CACHE_PARTS = 450_000
 GROUP_BYTES = 256 << 10
 WINDOW = 128 << 10
 LONG = 96
@@ -86,10 +86,11 @@ def suffix_array(buffer: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     eight = np.zeros(len(buffer) + 8 * words, np.uint64)
     for i in range(8):
         eight = (eight << np.uint64(8)) | padded[i : i + len(eight)]
-    order = np.lexsort((eight[at + 8], eight[at]))
-    at = at[order]
-    same = (eight[at[1:]] == eight[at[:-1]]) & (eight[at[1:] + 8] == eight[at[:-1] + 8])
-    for skip in range(16, 8 * words, 8):  # only suffixes that are still alike
+    first = eight[at]
+    order = np.argsort(first)
+    at, first = at[order], first[order]
+    same = first[1:] == first[:-1]
+    for skip in range(8, 8 * words, 8):  # only suffixes that are still alike
         tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
         if not len(tied):
             break
@@ -97,7 +98,7 @@ def suffix_array(buffer: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
         own = at[tied]
         at[tied] = own[np.lexsort((eight[own + skip], run))]
         same &= eight[at[1:] + skip] == eight[at[:-1] + skip]
-    return at, eight[at], eight[at + 8]
+    return at, first, eight[at + 8]
 
 
 def edges(buffer: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +124,7 @@ def edges(buffer: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     where = at[np.arange(total[-1]) + np.repeat(lo - (total - n), n)]
     piece = np.repeat(np.arange(len(n)), n)
     where, piece = np.concatenate([where, *extra_at]), np.concatenate([piece, *extra_piece])
-    order = np.argsort(where, kind="stable")
+    order = np.argsort(where.astype(np.int32), kind="stable")
     return where[order], piece[order]
 
 
@@ -310,7 +311,7 @@ class Encoder:
         while at < len(parts):
             end, size = at, 0
             while end < len(parts) and (end == at or size < GROUP_BYTES):
-                size += len(parts[end].encode("utf-8", "replace"))
+                size += len(parts[end]) * (1 if parts[end].isascii() else 3)
                 end += 1
             ids, n = encode_parts(parts[at:end], self.pieces)
             have = len(self.index)
@@ -331,8 +332,9 @@ class Encoder:
         new = [p for p in dict.fromkeys(x for own in parts for x in own) if p not in index]
         long_: dict[str, np.ndarray] = {}  # too large to be kept
         if new:
-            long_ = {p: encode_long(p, self.pieces) for p in new if len(p) > WINDOW // 4}
-            new = [p for p in new if p not in long_]
+            if max(map(len, new)) > WINDOW // 4:
+                long_ = {p: encode_long(p, self.pieces) for p in new if len(p) > WINDOW // 4}
+                new = [p for p in new if p not in long_]
             if len(index) > CACHE_PARTS:
                 self.clear()
                 index = self.index
