@@ -33,7 +33,8 @@ from karst.llm.common import cut, own_cache, parts_for, shared_path, text_bytes
 MAGIC = b"KTOK"
 HEAD = struct.Struct("<4sHHiIIQIQ")
 BLOCK = 4096  # ids; a multiple of 64
-PART_BYTES = 48 << 20
+PART_BYTES = 12 << 20
+SLICE_BYTES = 16 << 20
 PARTS_AT_ONCE = 1000  # whose totals are added up in one task
 CACHE_WORDS = 800_000
 JOIN = 100  # words encoded as one text
@@ -200,12 +201,19 @@ def encoder_for(path: str) -> WordEncoder:
     return mine[path]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about SLICE_BYTES at most; a longer text is a batch alone."""
+    for b in batches:
+        rows = max(1, len(b) * SLICE_BYTES // max(1, b.nbytes, SLICE_BYTES))
+        yield from (b.slice(at, rows) for at in range(0, len(b), rows))
+
+
 def _encode(path: str, vocab: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder, bits, part = encoder_for(path), bits_for(vocab), TaskContext.get().partitionId()
-        for seq, b in enumerate(batches):
+        for seq, b in enumerate(_slices(batches)):
             ids, lengths = encoder.encode(b.column(1), end_id)
             raw = segment(part, seq, b.column(0).to_pylist(), lengths, ids, bits)
             yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["segment"])
