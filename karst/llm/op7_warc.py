@@ -189,6 +189,20 @@ def gzip_row(record: bytes) -> bytes:
     return (out if out[-1] == 0 else out + member(b""))[:-1]
 
 
+def gunzip_members(raw: bytes | memoryview, step: int = 1 << 14) -> bytes:
+    """The content of all members of a gzip file. The input is fed in steps, as what follows a member is copied at its end."""
+    view, at, out = memoryview(raw), 0, []
+    while at < len(view):
+        one = zlib.decompressobj(31)
+        while not one.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut short")
+            out.append(one.decompress(view[at : at + step]))
+            at += min(step, len(view) - at)
+        at -= len(one.unused_data)
+    return b"".join(out)
+
+
 def told_length(head: bytes) -> int | None:
     """The length that an HTTP head tells."""
     m = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", head)
@@ -244,7 +258,7 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
 
 
 def arc_to_records(archives: DataFrame) -> DataFrame:
-    """One row per record of the archives: `name` tells them apart, `content` holds them, gzipped or not."""
+    """One row per record of the archives: `name` tells them apart, `content` holds them, gzipped or not. `packed` is the payload, zlib."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,18 +268,18 @@ def arc_to_records(archives: DataFrame) -> DataFrame:
                     head, payload = split_http(r.content)
                     m = re.search(rb"(?i)\r\nX-Page-Id: (-?\d+)\r\n", head)
                     page, place = int(m[1]) if m else None, f"{name}:{r.at}"
-                    rows.append((page, place, r.url, r.ip, r.date, r.mime, head, payload, b32_sha1(payload), len(payload)))
+                    rows.append((page, place, r.url, r.ip, r.date, r.mime, head, zlib.compress(payload, 4), b32_sha1(payload), len(payload)))
                 kinds = [pa.int64(), *[pa.string()] * 5, pa.binary(), pa.binary(), pa.string(), pa.int64()]
                 cols = list(zip(*rows)) if rows else [()] * 10
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], _RECORD)
 
     return archives.select("name", "content").mapInArrow(
         parse,
-        "page_id long, place string, url string, ip string, date string, mime string, head binary, payload binary, digest string, size long",
+        "page_id long, place string, url string, ip string, date string, mime string, head binary, packed binary, digest string, size long",
     )
 
 
-_RECORD = ["page_id", "place", "url", "ip", "date", "mime", "head", "payload", "digest", "size"]
+_RECORD = ["page_id", "place", "url", "ip", "date", "mime", "head", "packed", "digest", "size"]
 
 
 def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +319,7 @@ def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if told_length(r["head"]) != r["size"]:
                     fields.append((OWN_LENGTH, str(r["size"])))
             out.append(
-                warc_record("revisit" if revisit else "response", fields, r["head"] + (b"" if revisit else r["payload"]))
+                warc_record("revisit" if revisit else "response", fields, r["head"] + (b"" if revisit else zlib.decompress(r["packed"])))
             )
         yield pa.RecordBatch.from_arrays([pa.array(map(gzip_row, out), pa.binary())], ["record"])
 
@@ -338,7 +352,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for raw in b.column(0).to_pylist():
                 rows = []
-                for head, block in parse_warc(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                for head, block in parse_warc(gunzip_members(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     kind = head["warc-type"]
                     if kind not in ("response", "revisit"):
                         continue
