@@ -713,7 +713,26 @@ def lgamma_fn(spark, d):
     return spark.createDataFrame(rows, "x double, value double").withColumn("value", F.round("value", 6))
 
 
-@query("special_fn")
+# erfc(x) and P(1/2, x) = erf(sqrt(x)) by the power series of erf, I_0.3(2, 3) as a binomial tail, the two-sided tail of all tables with the margins
+_SPECIAL = """
+WITH fact AS (SELECT n, coalesce((SELECT product(i::DOUBLE) FROM unnest(range(1, n + 1)) t(i)), 1.0::DOUBLE) AS f FROM (SELECT unnest(range(0, 31))::INT AS n)),
+choose AS (SELECT a.n AS n, b.n AS k, a.f / (b.f * c.f) AS c FROM fact a JOIN fact b ON b.n <= a.n JOIN fact c ON c.n = a.n - b.n),
+erf AS (
+  SELECT x, sum((CASE WHEN n % 2 = 0 THEN 2 ELSE -2 END) / sqrt(pi()) * pow(x, 2 * n + 1) / (f * (2 * n + 1))) AS e
+  FROM fact, (VALUES (0.5::DOUBLE), (sqrt(2.0::DOUBLE))) v(x) GROUP BY x
+),
+tables AS (
+  SELECT a.k AS n11, a.c * b.c / m.c AS p FROM choose a JOIN choose b ON b.n = 4 AND b.k = 4 - a.k JOIN choose m ON m.n = 8 AND m.k = 4 WHERE a.n = 4
+)
+SELECT 'erfc' AS name, 0.5::DOUBLE AS x, round(1 - e, 6) AS value FROM erf WHERE x < 1
+UNION ALL SELECT 'gamma_p', 2.0::DOUBLE, round(e, 6) FROM erf WHERE x > 1
+UNION ALL SELECT 'gamma_q', 2.0::DOUBLE, round(1 - e, 6) FROM erf WHERE x > 1
+UNION ALL SELECT 'beta_i', 0.3::DOUBLE, round(sum(c * pow(0.3::DOUBLE, k) * pow(0.7::DOUBLE, 4 - k)), 6) FROM choose WHERE n = 4 AND k >= 2
+UNION ALL SELECT 'fisher', 3.0::DOUBLE, round(sum(p), 6) FROM tables WHERE p <= (SELECT p FROM tables WHERE n11 = 3) * (1 + 1e-7)
+"""
+
+
+@query("special_fn", _SPECIAL)
 def special_fn(spark, d):
     rows = [("erfc", 0.5, special.erfc(0.5)), ("gamma_p", 2.0, special.gamma_p(0.5, 2.0)), ("gamma_q", 2.0, special.gamma_q(0.5, 2.0))]
     rows += [("beta_i", 0.3, special.beta_i(2, 3, 0.3)), ("fisher", 3.0, special.fisher_exact(3, 1, 1, 3)[3])]
