@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karst.llm import op1_lm, op3_exact, op5_minhash, op7_warc, op8_decontaminate
+from karst.llm import op1_lm, op3_exact, op5_minhash, op7_warc, op8_decontaminate, op11_audit
 from karst.llm.op2_toxicity import op2_toxicity
 from karst.llm.op4_langid import op4_language_id
 from karst.llm.op6_pieces import op6_sentencepiece
 from karst.llm.op9_html import op9_html_main_text
 from karst.llm.op10_tokens import op10_token_binary
+from karst.llm.op12_lines import op12_line_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm.op1_lm_score,
@@ -24,6 +25,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontaminate.op8_decontamination,
     "op9_html_main_text": op9_html_main_text,
     "op10_token_binary": op10_token_binary,
+    "op11_filter_audit": op11_audit.op11_filter_audit,
+    "op12_line_quality": op12_line_quality,
 }
 
 ORACLES: dict[str, str] = {
@@ -32,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op5_near_dedup": op5_minhash.ORACLE_SQL,
     "op7_arc_to_warc": op7_warc.ORACLE_SQL,
     "op8_decontamination": op8_decontaminate.ORACLE_SQL,
+    "op11_filter_audit": op11_audit.ORACLE_SQL,
 }
