@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karst.llm import op1_lm, op3_exact, op5_minhash, op7_warc, op8_decontaminate, op11_audit
+from karst.llm import op1_lm, op3_exact, op5_minhash, op7_warc, op8_decontaminate, op11_audit, op13_phrases
 from karst.llm.op2_toxicity import op2_toxicity
 from karst.llm.op4_langid import op4_language_id
 from karst.llm.op6_pieces import op6_sentencepiece
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_binary": op10_token_binary,
     "op11_filter_audit": op11_audit.op11_filter_audit,
     "op12_line_quality": op12_line_quality,
+    "op13_phrases": op13_phrases.op13_phrases,
 }
 
 ORACLES: dict[str, str] = {
@@ -36,4 +37,5 @@ ORACLES: dict[str, str] = {
     "op7_arc_to_warc": op7_warc.ORACLE_SQL,
     "op8_decontamination": op8_decontaminate.ORACLE_SQL,
     "op11_filter_audit": op11_audit.ORACLE_SQL,
+    "op13_phrases": op13_phrases.ORACLE_SQL,
 }

@@ -8,6 +8,7 @@ boilerplate, and a text stays if at least KEEP_SHARE of its words stand in conte
 The field is fitted on labelled documents, whose label speaks of the whole: the lines of good ones
 are content; those of bad ones begin as boilerplate, and each of ROUNDS fits decodes them anew with
 the model of the fit before, so that a clean line in a bad document doesn't count as boilerplate.
+The first fit leaves neighbours out, as the labels that it begins with never change within a text.
 The sample is bounded: about SAMPLE_ROWS label rows, half of them good, chosen by the hash of the
 id among those whose crc32(doc_id) mod `modulus` isn't 0, and about SAMPLE_CHAINS chains of CHAIN
 lines from them. The fit sees bins only, never words, so it holds for any language.
@@ -62,7 +63,7 @@ _SHARE = np.array([0.0, 0.01, 0.03, 0.1, 0.25, 0.5])
 _PER_WORD = np.array([0.0, 0.02, 0.06, 0.15, 0.35, 0.7])
 _LENGTH = np.array([2.0, 3.0, 4.0, 5.0, 6.5, 9.0, 15.0])
 _COUNT = np.array([1, 3, 7, 15, 31, 63, 255])
-BINS, FEATURES = 8, 12
+BINS, FEATURES = 8, 13
 
 
 @dataclass
@@ -83,17 +84,21 @@ class Lines:
         return self.n_words < MIN_WORDS or 100 * self.n_repeat_words > MOST_REPEATED * self.n_words
 
 
-def repeated(words: list[bytes], size: int = WINDOW) -> np.ndarray:
-    """Marks the words in windows of `size` (a power of two) words that occur twice or more.
+def numbered(words: list[bytes]) -> np.ndarray:
+    """Equal words get equal numbers."""
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+
+
+def repeated(rank: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    """Marks the words in windows of `size` (a power of two) words, given by number, that occur twice or more.
 
     Windows get exact numbers by doubling: a window's number is that of the pair of its halves.
     """
-    n = len(words)
+    n = len(rank)
     marks = np.zeros(n, bool)
     if n <= size:
         return marks
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    rank = np.fromiter(map(number.__getitem__, words), np.int64, n)
     width = 1
     while width < size:
         pairs = rank[:-width] * (n + 1) + rank[width:]
@@ -122,7 +127,8 @@ def read(raw: bytes) -> Lines:
     some = np.flatnonzero(words)
     kind = np.stack([np.add.reduceat(kinds == k, starts, dtype=np.int64)[some] for k in range(11)])
     n_words = int(words.sum())
-    marks = repeated(raw.split())
+    rank = numbered(raw.split())
+    marks = repeated(rank)
     seen: set[bytes] = set()
     dup = np.zeros(len(some), bool)
     for i, at in enumerate(some.tolist()):
@@ -130,12 +136,13 @@ def read(raw: bytes) -> Lines:
         dup[i] = line in seen
         seen.add(line)
     w = words[some]
-    if len(some):
-        upto = np.concatenate([[0], np.cumsum(marks)])
-        until = np.cumsum(w)
-        again = (upto[until] - upto[until - w]) / w
-    else:
-        again = np.zeros(0)
+    until = np.cumsum(w)
+
+    def share(flags: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([[0], np.cumsum(flags)])
+        return (upto[until] - upto[until - w]) / w
+
+    again, stutter = share(marks), share(np.diff(rank, prepend=-1) == 0)
     chars = np.maximum(kind[1:LATER].sum(0), 1)
     letters = np.maximum(kind[SMALL] + kind[CAPITAL] + kind[LEAD], 1)
     last = _KINDS[[line_texts[at].rstrip()[-1] for at in some.tolist()]] if len(some) else np.zeros(0, np.uint8)
@@ -152,6 +159,7 @@ def read(raw: bytes) -> Lines:
             (kind[COMMA] / w, _PER_WORD),
             (chars / w, _LENGTH),
             (again, _SHARE),
+            (stutter, _SHARE),
             (dup, np.array([0.5])),
             (last == STOP, np.array([0.5])),
         )
@@ -261,13 +269,15 @@ def fit_chains(chains: list[np.ndarray], good: np.ndarray) -> Field:
     labels = np.repeat((~good).astype(np.int64)[:, None], lengths[0], axis=1)
     n_lines = lengths.sum()
     field = blank_field()
-    for _ in range(ROUNDS):
+    for round_ in range(ROUNDS):
         field = blank_field()
         moment, square = np.zeros(FEATURES * BINS + 5), np.zeros(FEATURES * BINS + 5)
         for step in range(1, STEPS + 1):
             _, w, s, p = likelihood(field, bins, lengths, labels)
             now = np.concatenate([field.weights, [field.start], field.pairs.ravel()])
             slope = np.concatenate([w, [s], p.ravel()]) / n_lines - DECAY * now
+            if not round_:
+                slope[-5:] = 0
             moment = 0.9 * moment + 0.1 * slope
             square = 0.99 * square + 0.01 * slope**2
             now += RATE * moment / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
