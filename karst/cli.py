@@ -20,7 +20,7 @@ from karst.sources import genotypes, matrices, sinks
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("karst", description=__doc__)
-    p.add_argument("-m", "--memory", type=float, default=0, help="ignored: Spark spills by itself")
+    p.add_argument("-m", "--memory", type=float, default=0, help="above 0, -b with -d 2 also writes the permuted copy out.perm.bed, .bim and .fam; Spark needs no limit")
     p.add_argument("-n", "--threads", type=int, default=12, help="ignored: see the Spark configuration")
     p.add_argument("-v", "--verbose", type=int, default=1)
     p.add_argument("-d", "--svd", type=int, default=2, help="0 Lanczos, 1 randomised, 2 windowed, 3 full")
@@ -131,6 +131,8 @@ def run_pca(spark: SparkSession, a: argparse.Namespace) -> None:
         return
     else:
         dosage, sites, people = load_dosage(spark, a)
+        if a.memory > 0 and a.bfile and p.method == "winsvd" and p.shuffle:
+            sinks.write_permuted(dosage, sites, people, a.out, p.windows)
         known = frequency.frequency_rows(dosage)
         if p.maf > 0:
             known = known.filter(frequency.maf(F.col("af")) > p.maf)

@@ -105,7 +105,9 @@ class BedSource(DataSource):
 def read_fam(spark: SparkSession, path: str) -> DataFrame:
     """sample_idx, fid, iid in the order of the file."""
     x = F.split(F.trim("value"), r"[ \t]+")
-    return numbered(spark, path, "sample_idx").select("sample_idx", F.get(x, F.lit(0)).alias("fid"), F.get(x, F.lit(1)).alias("iid"))
+    return numbered(spark, path, "sample_idx").select(
+        "sample_idx", F.get(x, F.lit(0)).alias("fid"), F.get(x, F.lit(1)).alias("iid"), F.col("value").alias("line")
+    )
 
 
 def numbered(spark: SparkSession, path: str, name: str, keep: Column | None = None) -> DataFrame:

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from karst.operators.frequency import dense_index
+from karst.operators.lineage import cut
+from karst.operators.matrix import block
 from karst.operators.pca import Pca
+from karst.operators.permute import band_order
+from karst.operators.prefix import running
+from karst.sources import placed
 from karst.sources.genotypes import BED_MAGIC, encode_bed
 
 
@@ -54,24 +61,66 @@ def write_sites(sites: DataFrame, af: DataFrame, path: str) -> None:
     _tsv(rows.select("chr", "snp_id", cm.alias("cm"), "bp", "a1", "a2", F.format_string("%.6g", "af").alias("af")), path)
 
 
+def _places(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows with their place in feature order from 0, and their number."""
+    got = rows.agg(F.count(F.lit(1)).alias("m"), F.min("feature_idx").alias("lo"), F.max("feature_idx").alias("hi")).first()
+    m = got["m"]
+    if not m or got["lo"] == 0 and got["hi"] == m - 1:
+        return rows.withColumn("place", F.col("feature_idx")), m
+    return rows.join(dense_index(rows.select("feature_idx"), "feature_idx", "place"), "feature_idx"), m
+
+
+def _write_rows(rows: DataFrame, encode, row_bytes: int, head: bytes, path: str) -> None:
+    """A file of a head and rows of equal size; encode(matrix of a batch) gives their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                raw = encode(block(b.column(1)))
+                ends = pa.py_buffer(np.arange(len(b) + 1, dtype="<i4") * row_bytes)
+                data = pa.Array.from_buffers(pa.binary(), len(b), [None, ends, pa.py_buffer(raw)])
+                offset = b.column(0).to_numpy() * row_bytes + len(head)
+                yield pa.RecordBatch.from_arrays([pa.array(offset, pa.int64()), data], ["offset", "data"])
+
+    body = rows.mapInArrow(run, placed.SCHEMA)
+    top = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("offset"), F.lit(bytearray(head)).alias("data"))
+    placed.write_placed(top.unionByName(body), path)
+
+
 def write_matrix(rows: DataFrame, n: int, path: str) -> None:
-    """A features-by-samples matrix as uint32 sizes and float32 rows in feature order, in one file of this machine.
+    """A features-by-samples matrix as uint32 sizes and float32 rows in feature order: one file, written by all tasks."""
+    rows, m = _places(rows)
+    _write_rows(rows.select("place", "values"), lambda x: x.astype("<f4").tobytes(), 4 * n, struct.pack("<II", m, n), path)
 
-    The rows come through the driver one at a time; on a cluster write a table instead.
-    """
-    m = rows.count()
-    with open(path, "wb") as f:
-        f.write(struct.pack("<II", m, n))
-        for r in rows.orderBy("feature_idx").select("values").toLocalIterator():
-            f.write(np.array(r["values"], "<f4").tobytes())
+
+def _copies(x: np.ndarray) -> bytes:
+    return encode_bed(np.where(np.isnan(x), -1, x))
 
 
 def write_bed(rows: DataFrame, path: str) -> None:
-    """feature_idx, dos (array) as a bed file of this machine, in feature order."""
-    with open(path, "wb") as f:
-        f.write(BED_MAGIC)
-        for r in rows.orderBy("feature_idx").select("dos").toLocalIterator():
-            f.write(encode_bed(np.array([[-1 if x is None else x for x in r["dos"]]])))
+    """feature_idx, dos (array) as a bed file in feature order, written by all tasks."""
+    n = (rows.select(F.size("dos").alias("n")).first() or [0])[0]
+    rows, _ = _places(rows)
+    _write_rows(rows.select("place", "dos"), _copies, -(-n // 4), BED_MAGIC, path)
+
+
+def write_lines(rows: DataFrame, order: str, path: str) -> None:
+    """The text column `value` as lines of one file, in the order of another column."""
+    line = rows.select(order, F.concat("value", F.lit("\n")).cast("binary").alias("data"))
+    told = running(line, [order], {"offset": F.octet_length("data").cast("long")})
+    placed.write_placed(told.select("offset", "data"), path)
+
+
+def write_permuted(rows: DataFrame, sites: DataFrame, people: DataFrame, prefix: str, bands: int) -> DataFrame:
+    """prefix.perm.bed, .bim and .fam: features dealt to `bands` bands, one band after the other. Returns new_pos, feature_idx."""
+    order = cut(band_order(sites, bands), "order")
+    moved = rows.join(order, "feature_idx").select(F.col("new_pos").alias("feature_idx"), "dos")
+    write_bed(moved, prefix + ".perm.bed")
+    line = F.col("line") if "line" in sites.columns else F.concat_ws("\t", "chr", "snp_id", F.lit(0), "bp", "a1", "a2")
+    write_lines(sites.join(order, "feature_idx").select("new_pos", line.alias("value")), "new_pos", prefix + ".perm.bim")
+    person = F.col("line") if "line" in people.columns else F.concat_ws("\t", "fid", "iid", F.lit("0\t0\t0\t-9"))
+    write_lines(people.select("sample_idx", person.alias("value")), "sample_idx", prefix + ".perm.fam")
+    return order
 
 
 def write_r2(report: DataFrame, path: str) -> None:
