@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.operators import em, frequency, hwe, ld, matrix, pca, project, scaling
+from karst.operators import em, frequency, hwe, ld, matrix, pca, project, scaling, tiles
 from karst.params import PcaParams
 from karst.sources import genotypes, matrices, sinks
 
@@ -125,9 +125,10 @@ def run_pca(spark: SparkSession, a: argparse.Namespace) -> None:
         if p.maf > 0:
             af = frequency.filter_maf(af, p.maf).select("feature_idx", "af")
         _, cov, _ = em.pcangsd(gl.join(af, "feature_idx"), p)
-        sinks.write_covariance(spark, cov, a.out + ".cov")
-        w, u = np.linalg.eigh(cov)
-        sinks.write_eigvecs2(spark, people, u[:, ::-1] * matrix.flip_signs(u[:, ::-1]), a.out + ".eigvecs2")
+        sinks.write_covariance(cov, a.out + ".cov")
+        # all vectors of a small covariance, the leading ones of a large one
+        _, u = cov.leading(cov.n if cov.n <= tiles.SMALL else p.k)
+        sinks.write_eigvecs2(spark, people, u * matrix.flip_signs(u), a.out + ".eigvecs2")
         return
     else:
         dosage, sites, people = load_dosage(spark, a)

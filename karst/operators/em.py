@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karst.operators.lineage import cut, drop
-from karst.operators.matrix import block, gram, map_arrays, reduce_arrays, rows_batch
+from karst.operators.matrix import block, map_arrays, reduce_arrays, rows_batch
 from karst.operators.pca import Pca, pca
+from karst.operators.tiles import Tiles, gram
 from karst.params import PcaParams
 
 
@@ -162,8 +163,8 @@ def covariance_diagonal(rows: DataFrame, n: int) -> np.ndarray:
     return reduce_arrays(each, partial, {"d": (n, 1)})["d"][:, 0]
 
 
-def pcangsd(rows: DataFrame, p: PcaParams) -> tuple[Pca, np.ndarray, int]:
-    """PCA of genotype likelihoods: the model, the sample covariance, and the iterations.
+def pcangsd(rows: DataFrame, p: PcaParams) -> tuple[Pca, Tiles, int]:
+    """PCA of genotype likelihoods: the model, the sample covariance as tiles, and the iterations.
 
     The covariance is G G' / M of the standardised posterior dosages, its diagonal replaced by the
     expected squares.
@@ -203,8 +204,10 @@ def pcangsd(rows: DataFrame, p: PcaParams) -> tuple[Pca, np.ndarray, int]:
     both = rows.join(values.select("feature_idx", "values"), "feature_idx").select("feature_idx", "values", "p0", "p1", "af")
     both = cut(both.mapInArrow(expected, "feature_idx long, values array<double>"), "standardised")
     z = both.select("feature_idx", F.slice("values", 1, n).alias("values"))
-    squares = both.select(F.posexplode(F.slice("values", n + 1, n)).alias("s", "x")).groupBy("s").agg(F.sum("x").alias("d"))
-    cov = gram(z, n) / fit.n_features
-    for r in squares.collect():
-        cov[r["s"], r["s"]] = r["d"] / fit.n_features
+
+    def squares(_, x, total):
+        total["d"] += x[:, n:].sum(0)[:, None]
+
+    d = reduce_arrays(both, squares, {"d": (n, 1)})["d"][:, 0] / fit.n_features
+    cov = replace(gram(z, n), scale=1 / fit.n_features).with_diagonal(d)
     return fit, cov, done

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from karst.operators.pca import shape
+from karst.operators.prefix import running, windowed
+from karst.operators.tiles import gram, inner
+
 #: Upper bounds of the distance bins, in base pairs.
 BINS = (1_000, 5_000, 10_000, 50_000, 100_000, 500_000, 1_000_000, 5_000_000)
 
@@ -65,27 +69,29 @@ def bias_corrected(r2: Column, n_samples: int) -> Column:
 
 
 def cumulative_mean(rows: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(value, F.avg(value).over(w))
+    """The mean of a row's value and of those before it; nulls count as nothing."""
+    x = F.col(value)
+    told = running(rows, [order], {"__sum": x, "__n": F.when(x.isNotNull(), 1).otherwise(0)}, by)
+    n = F.col("__n") + F.when(x.isNotNull(), 1).otherwise(0)
+    mean = (F.col("__sum") + F.coalesce(x, F.lit(0))) / F.when(n > 0, n)
+    return told.withColumn(value, mean).drop("__sum", "__n", "rank")
 
 
 def running_max(rows: DataFrame, order: str, value: str, by: Sequence[str] = (), width: int = 1000) -> DataFrame:
     """The largest value of a window of `width` rows around each, as an absolute value."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-(width // 2), width - width // 2 - 1)
-    return rows.withColumn(value, F.abs(F.max(value).over(w)))
+    ranked = running(rows, [order], by=by)
+    made = windowed(ranked, "rank", width // 2, width - width // 2 - 1, {"__top": F.max(value)}, by)
+    return made.withColumn(value, F.abs("__top")).drop("__top", "rank")
 
 
 def cross_chromosome(unit: DataFrame, sites: DataFrame, first: str, second: str) -> DataFrame:
     """mean_r2 over all pairs of a site of one chromosome and one of another, from rows of length 1.
 
     The mean needs no pair: the sum of r2 over all pairs is the inner product of the two
-    chromosomes' sample-by-sample Gram matrices (8 N^2 bytes each, one pass each).
+    chromosomes' sample-by-sample relations, which are tables of tiles.
     """
-    from karst.operators.matrix import gram
-    from karst.operators.pca import shape
-
     placed = unit.join(sites.select("feature_idx", "chr"), "feature_idx")
     a, b = placed.filter(F.col("chr") == first), placed.filter(F.col("chr") == second)
     (m1, n), (m2, _) = shape(a), shape(b)
-    total = float((gram(a, n) * gram(b, n)).sum()) / (m1 * m2) if m1 and m2 else 0.0
+    total = inner(gram(a, n), gram(b, n)) / (m1 * m2) if m1 and m2 else 0.0
     return unit.sparkSession.range(1).select(F.lit(total).alias("mean_r2"))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
 
@@ -62,69 +63,6 @@ def reduce_arrays(rows: DataFrame, partial, shapes: dict[str, tuple[int, int]])
     return out
 
 
-def gram(rows: DataFrame, n: int) -> np.ndarray:
-    """X'X over samples (n x n); divide by the number of features for the relationship matrix."""
-
-    def partial(_, x, total):
-        total["c"] += x.T @ x
-
-    return reduce_arrays(rows, partial, {"c": (n, n)})["c"]
-
-
-TILE = 512
-FEATURES_AT_ONCE = 1024
-
-
-def gram_cells(rows: DataFrame, ids: list[int], tile: int = TILE) -> DataFrame:
-    """i, j, c: cells of X'X / M between the samples `ids`, as a table; nothing of size N x N is in one place.
-
-    A task makes the tiles of its rows one after the other, each from all its rows: a pair of tiles of samples
-    is one message of tile x tile numbers, and tiles of all tasks add up by their place. Rows are held
-    FEATURES_AT_ONCE at a time, and a tile below the diagonal is the turned one above it.
-    """
-    n = len(ids)
-    m = rows.count()
-    tiles = range(0, n, tile)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            x = np.concatenate(held)
-            for a in tiles:
-                for b in tiles[a // tile :]:
-                    c = x[:, a : a + tile].T @ x[:, b : b + tile]
-                    data = pa.array([np.ascontiguousarray(c).astype("<f8").tobytes()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([b], pa.int64()), data], ["a", "b", "data"])
-
-        for batch in batches:
-            if len(batch):
-                held.append(block(batch.column(1)))
-                count += len(batch)
-            if count >= FEATURES_AT_ONCE:
-                yield from flush()
-                held, count = [], 0
-        if held:
-            yield from flush()
-
-    shared = rows.sparkSession.sparkContext.broadcast(np.array(ids, np.int64))
-
-    def add(table: pa.Table) -> pa.Table:
-        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
-        left, right = shared.value[a : a + tile], shared.value[b : b + tile]
-        total = np.zeros(len(left) * len(right))
-        for x in table.column("data"):
-            total += np.frombuffer(x.as_buffer(), "<f8")
-        c = total.reshape(len(left), len(right)) / m
-        i, j, c = np.repeat(left, len(right)), np.tile(right, len(left)), c.ravel()
-        if a != b:
-            i, j, c = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([c, c])
-        return pa.table({"i": i, "j": j, "c": c})
-
-    sums = rows.select("feature_idx", "values").mapInArrow(run, "a long, b long, data binary")
-    return sums.groupBy("a", "b").applyInArrow(add, "i long, j long, c double")
-
-
 def power_pass(rows: DataFrame, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One pass: with G = X omega (a row per feature), H = X' G and G' G."""
     n, l_ = omega.shape
@@ -221,3 +159,22 @@ def min_sse(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def mev_rmse_by_k(x: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
     """mev and rmse of the leading 1, 2, ... columns."""
     return [(mev(x[:, :k], y[:, :k]), rmse(x[:, :k], y[:, :k])) for k in range(1, x.shape[1] + 1)]
+
+
+def agreement(x: DataFrame, y: DataFrame, k: int) -> dict[str, float | np.ndarray]:
+    """mev, rmse and min_sse of two tables (feature_idx, pcs) of k columns, from sums of k x k numbers over their rows."""
+
+    def partial(_, both, total):
+        a, b = both[:, :k], both[:, k:]
+        total["dot"] += a.T @ b
+        total["size"] += np.vstack([(a * a).sum(0), (b * b).sum(0), np.abs(a - b).sum(0), np.abs(a + b).sum(0), np.full(k, len(a))])
+
+    rows = x.select("feature_idx", "pcs").join(y.select("feature_idx", F.col("pcs").alias("other")), "feature_idx")
+    got = reduce_arrays(rows.select("feature_idx", F.concat("pcs", "other").alias("values")), partial, {"dot": (k, k), "size": (5, k)})
+    dot, (xx, yy, apart, together, m) = got["dot"], got["size"]
+    turned = np.where(apart > 2 * together, -1.0, 1.0)
+    return {
+        "mev": float(np.linalg.norm(dot, axis=0).mean()),
+        "rmse": float(np.sqrt((xx + yy - 2 * turned * np.diag(dot)).sum() / max(m.sum(), 1))),
+        "min_sse": (xx[:, None] + yy[None, :] - 2 * np.abs(dot)).min(1),
+    }

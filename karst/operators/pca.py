@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karst.operators.lineage import cut
-from karst.operators.matrix import flip_signs, gram, mev, power_pass, reduce_arrays, times
+from karst.operators.matrix import align, flip_signs, mev, power_pass, reduce_arrays, times
+from karst.operators.tiles import gram
 from karst.params import PcaParams
 
 
@@ -70,12 +71,10 @@ def shape(rows: DataFrame) -> tuple[int, int]:
 
 
 def full(rows: DataFrame, k: int | None = None) -> Pca:
-    """All triplets, from the Gram matrix over samples (8 N^2 bytes on the driver)."""
+    """The k leading triplets (all, where k is None), from the relation of the samples as a table of tiles."""
     m, n = shape(rows)
-    w, e = np.linalg.eigh(gram(rows, n))
-    order = np.argsort(-w)[: min(n, m, k or n)]
-    s = np.sqrt(np.maximum(w[order], 0))
-    return _finish(rows, e[:, order], s, m, 1)
+    w, u = gram(rows, n).leading(min(n, m, k or n))
+    return _finish(rows, u, np.sqrt(np.maximum(w, 0)), m, 1)
 
 
 def ssvd(rows: DataFrame, p: PcaParams) -> Pca:
@@ -102,38 +101,70 @@ def with_bands(rows: DataFrame, bands: int, shuffle: bool, seed: int) -> DataFra
     return rows.withColumn("band", F.least(F.floor(F.col("feature_idx") * bands / (top + 1)), F.lit(bands - 1)).cast("int"))
 
 
+def update_points(bands: int, epoch: int) -> list[int]:
+    """How many bands are read when omega is renewed in an epoch, whose span is 2, 4, 8, ... bands.
+
+    At the end of the first span and at each half span after it; once also after a quarter of the
+    first span, with the last half span of the epoch before, as long as a span has to grow.
+    """
+    span = min(2 << epoch, bands)
+    early = [span // 4] if epoch and 1 << epoch < bands else []
+    return early + list(range(span, bands + 1, span // 2))
+
+
+def half_spans(part: DataFrame, omega: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One pass over rows with a band, G = X omega: X'G of the bands before `half`, X'G of the others, and G'G."""
+    n, width = omega.shape
+    shared = part.sparkSession.sparkContext.broadcast(np.ascontiguousarray(omega))
+
+    def partial(band, x, total):
+        g = x @ shared.value
+        first = band < half
+        total["early"] += x[first].T @ g[first]
+        total["late"] += x[~first].T @ g[~first]
+        total["c"] += g.T @ g
+
+    got = reduce_arrays(part.select(F.col("band").alias("feature_idx"), "values"), partial, {"early": (n, width), "late": (n, width), "c": (width, width)})
+    return got["early"], got["late"], got["c"]
+
+
 def winsvd(rows: DataFrame, p: PcaParams) -> Pca:
-    """Power iteration that updates omega within a pass.
+    """Power iteration that renews omega within a pass (see update_points).
 
-    Epoch e goes through the bands in steps of 2**e; after each step omega is made from the partial
-    products of that step and of the one before. A step reads its own bands only: the rows are
-    written once, partitioned by band. The last epoch is one step, an exact pass.
+    Omega is made from the products of the latest two half spans; its columns are turned to point
+    like those before, as the products of different omegas are added. A step reads its own bands
+    only: the rows are written once, by band. Once a span is all bands, an epoch is an exact pass, and
+    the scores are compared with those of the epoch before.
     """
     m, n = shape(rows)
     width = min(p.k + p.oversamples, n, m)
     table = cut(with_bands(rows, p.windows, p.shuffle, p.seed).repartition(p.windows, "band"), "bands")
     omega = orthonormal(start_matrix(n, width, p.seed, p.omega))
-    passes, step, before = 0, 1, None
+    none = np.zeros((n, width))
+    older, before, epoch = none, None, 0
     while True:
-        last = None
-        for at in range(0, p.windows, step):
-            part = table if step >= p.windows else table.filter((F.col("band") >= at) & (F.col("band") < at + step))
-            h, c = power_pass(part, omega)
-            if step >= p.windows:
-                break
-            if last is not None or step > 1:
-                omega = orthonormal(h if last is None else h + last)
-            last = h
-        passes += 1
-        if step >= p.windows:
-            u, s = extract(h, c)
-            k = min(p.k, u.shape[1])
-            now = u[:, :k]
-            if passes >= p.max_power or before is not None and 1 - mev(now, before) < p.tol_rsvd:
-                break
-            before, omega = now, orthonormal(h)
-        step = min(step * 2, p.windows)
-    return _finish(rows, now, s[:k], m, passes)
+        exact = 1 << epoch >= p.windows
+        span = min(2 << epoch, p.windows)
+        older = none if exact else older
+        first, c, at = none, 0.0, 0
+        for to in update_points(p.windows, epoch):
+            part = table if to - at == p.windows else table.filter((F.col("band") >= at) & (F.col("band") < to))
+            early, late, own = half_spans(part, omega, span // 2 if at < span else 0)
+            c, first = c + own, first + early
+            if to < span:
+                h, older = older + first, none
+            else:
+                h, older = (first + late if to == span else older + late), late
+            omega = align(omega, orthonormal(h))
+            at = to
+        u, s = extract(h, c)
+        k = min(p.k, u.shape[1])
+        now = u[:, :k]
+        epoch += 1
+        same = before is not None and before.shape == now.shape and 1 - mev(now, before) < p.tol_rsvd
+        if exact and (same or epoch >= p.max_power):
+            return _finish(rows, now, s[:k], m, epoch)
+        before = now
 
 
 def iram(rows: DataFrame, p: PcaParams) -> Pca:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from karst import fixtures as fx
 from karst.fixtures import r6, sql_r6, with_views
 from karst.functions import special
-from karst.operators import em, frequency, hwe, ld, ldstats, matrix, pca, permute, project, scaling
+from karst.operators import em, frequency, hwe, ld, ldstats, matrix, pca, permute, project, scaling, tiles
 from karst.params import PcaParams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -577,7 +577,8 @@ def _std_rows(spark, d) -> DataFrame:
 )
 def gram_query(spark, d):
     ids = [r[0] for r in fx.samples(spark, d).select("sample_idx").orderBy("sample_idx").collect()]
-    return matrix.gram_cells(_rows(spark, d), ids).withColumn("c", r6(F.col("c")))
+    rows = _rows(spark, d)
+    return tiles.gram(rows, len(ids)).cells(ids).withColumn("c", r6(F.col("c") / rows.count()))
 
 
 _COVD = (
@@ -640,70 +641,82 @@ def em_emu(spark, d):
 def em_pcangsd(spark, d):
     rows = fx.likelihood_rows(spark, d).join(_af(spark, d).select("feature_idx", "af"), "feature_idx")
     _, cov, _ = em.pcangsd(rows, PcaParams(k=3, method="ssvd"))
-    w = np.linalg.eigvalsh(cov)[::-1][:3]
+    w, _ = cov.leading(3)
     return spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(w)], "pc int, eigval double").withColumn("eigval", F.round("eigval", 3))
 
 
 # --- windows, orders, measures ------------------------------------------------------------------
 
 
+# vectors of `embeddings` as loadings: a feature for each row, its first three numbers, and the next three for a second model
+_LOADINGS = "xy AS (SELECT vec_id AS feature_idx, k, embedding[k + 1]::DOUBLE AS x, embedding[k + 4]::DOUBLE AS y FROM embeddings, (SELECT unnest([0, 1, 2]) AS k))"
+
+
+def _vectors(spark, d, first: int) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    return rows.select(F.col("vec_id").alias("feature_idx"), F.transform(F.slice("embedding", first + 1, 3), lambda x: x.cast("double")).alias("pcs"))
+
+
+def _loadings(spark, d) -> DataFrame:
+    return _vectors(spark, d, 0).select("feature_idx", F.posexplode("pcs").alias("k", "v"))
+
+
 @query(
     "runmax_loadings",
-    with_views("fx_v") + "SELECT feature_idx, k, abs(max(v) OVER (PARTITION BY k ORDER BY feature_idx ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)) AS v FROM fx_v",
+    "WITH " + _LOADINGS + " SELECT feature_idx, k::INT AS k, abs(max(x) OVER (PARTITION BY k ORDER BY feature_idx ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)) AS v FROM xy",
 )
 def runmax_loadings(spark, d):
-    return ldstats.running_max(fx.model_v(spark), "feature_idx", "v", ["k"], 10)
+    return ldstats.running_max(_loadings(spark, d), "feature_idx", "v", ["k"], 10)
 
 
-@query("cummean", with_views("fx_v") + f"SELECT feature_idx, k, {sql_r6('avg(v) OVER (PARTITION BY k ORDER BY feature_idx ROWS UNBOUNDED PRECEDING)')} AS v FROM fx_v")
+@query("cummean", "WITH " + _LOADINGS + f" SELECT feature_idx, k::INT AS k, {sql_r6('avg(x) OVER (PARTITION BY k ORDER BY feature_idx ROWS UNBOUNDED PRECEDING)')} AS v FROM xy")
 def cummean(spark, d):
-    return ldstats.cumulative_mean(fx.model_v(spark), "feature_idx", "v", ["k"]).withColumn("v", r6(F.col("v")))
+    return ldstats.cumulative_mean(_loadings(spark, d), "feature_idx", "v", ["k"]).withColumn("v", r6(F.col("v")))
 
 
-@query("perm_band", with_views("fx_features") + "SELECT row_number() OVER (ORDER BY feature_idx % 8, feature_idx) - 1 AS new_pos, feature_idx FROM fx_features")
-def perm_band(spark, d):
-    return permute.band_order(fx.features(spark), 8)
+def _parts(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/part.parquet").select((F.col("p_partkey") - 1).alias("feature_idx"))
 
 
-@query("perm_random", with_views("fx_features") + "SELECT feature_idx, ('0x' || substr(md5('101:' || feature_idx), 1, 15))::BIGINT AS perm_key FROM fx_features")
-def perm_random(spark, d):
-    return permute.random_order(fx.features(spark), 101)
+@query("perm_band", "SELECT row_number() OVER (ORDER BY (p_partkey - 1) % 8, p_partkey) - 1 AS new_pos, p_partkey - 1 AS feature_idx FROM part")
+def perm_band(spark, d):
+    return permute.band_order(_parts(spark, d), 8)
 
 
-def _two_models(spark) -> tuple[np.ndarray, np.ndarray]:
-    rows = fx.model_v(spark).groupBy("feature_idx").pivot("k", [0, 1, 2]).agg(F.first("v")).orderBy("feature_idx").collect()
-    x = np.array([[r["0"], r["1"], r["2"]] for r in rows])
-    return x, x * np.array([1.0, -1.0, 1.0]) + 0.125
+@query("perm_random", "SELECT p_partkey - 1 AS feature_idx, ('0x' || substr(md5('101:' || (p_partkey - 1)), 1, 15))::BIGINT AS perm_key FROM part")
+def perm_random(spark, d):
+    return permute.random_order(_parts(spark, d), 101)
 
 
-_XY = "xy AS (SELECT feature_idx, k, v AS x, v * (CASE WHEN k = 1 THEN -1 ELSE 1 END) + 0.125::DOUBLE AS y FROM fx_v)"
+def _agreement(spark, d):
+    return matrix.agreement(_vectors(spark, d, 0), _vectors(spark, d, 3), 3)
 
 
 @query(
     "mev",
-    with_views("fx_v", more=_XY)
-    + "SELECT round(avg(nrm), 6) AS value FROM (SELECT jy, sqrt(sum(d * d)) AS nrm FROM (SELECT a.k AS jx, b.k AS jy, sum(a.x * b.y) AS d FROM xy a JOIN xy b ON a.feature_idx = b.feature_idx GROUP BY a.k, b.k) GROUP BY jy)",
+    "WITH " + _LOADINGS
+    + " SELECT round(avg(nrm), 6) AS value FROM (SELECT jy, sqrt(sum(d * d)) AS nrm FROM (SELECT a.k AS jx, b.k AS jy, sum(a.x * b.y) AS d FROM xy a JOIN xy b ON a.feature_idx = b.feature_idx GROUP BY a.k, b.k) GROUP BY jy)",
 )
 def mev(spark, d):
-    return spark.range(1).select(F.round(F.lit(matrix.mev(*_two_models(spark))), 6).alias("value"))
+    return spark.range(1).select(F.round(F.lit(_agreement(spark, d)["mev"]), 6).alias("value"))
 
 
 @query(
     "rmse",
-    with_views("fx_v", more=_XY + ", sg AS (SELECT k, CASE WHEN sum(abs(x - y)) > 2 * sum(abs(x + y)) THEN -1 ELSE 1 END AS s FROM xy GROUP BY k)")
-    + "SELECT round(sqrt(avg((x - s * y) * (x - s * y))), 6) AS value FROM xy JOIN sg USING (k)",
+    "WITH " + _LOADINGS + ", sg AS (SELECT k, CASE WHEN sum(abs(x - y)) > 2 * sum(abs(x + y)) THEN -1 ELSE 1 END AS s FROM xy GROUP BY k)"
+    + " SELECT round(sqrt(avg((x - s * y) * (x - s * y))), 6) AS value FROM xy JOIN sg USING (k)",
 )
 def rmse(spark, d):
-    return spark.range(1).select(F.round(F.lit(matrix.rmse(*_two_models(spark))), 6).alias("value"))
+    return spark.range(1).select(F.round(F.lit(_agreement(spark, d)["rmse"]), 6).alias("value"))
 
 
 @query(
     "min_sse",
-    with_views("fx_v", more=_XY)
-    + "SELECT k, round(min(least(m, p)), 6) AS value FROM (SELECT a.k AS k, b.k AS j, sum((a.x - b.y) * (a.x - b.y)) AS m, sum((a.x + b.y) * (a.x + b.y)) AS p FROM xy a JOIN xy b ON a.feature_idx = b.feature_idx GROUP BY a.k, b.k) GROUP BY k",
+    "WITH " + _LOADINGS
+    + " SELECT k::BIGINT AS k, round(min(least(m, p)), 6) AS value FROM (SELECT a.k AS k, b.k AS j, sum((a.x - b.y) * (a.x - b.y)) AS m, sum((a.x + b.y) * (a.x + b.y)) AS p FROM xy a JOIN xy b ON a.feature_idx = b.feature_idx GROUP BY a.k, b.k) GROUP BY k",
 )
 def min_sse(spark, d):
-    got = matrix.min_sse(*_two_models(spark))
+    got = _agreement(spark, d)["min_sse"]
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(got)], "k long, value double").withColumn("value", F.round("value", 6))
 
 

@@ -16,6 +16,7 @@ from karst.operators.matrix import block
 from karst.operators.pca import Pca
 from karst.operators.permute import band_order
 from karst.operators.prefix import running
+from karst.operators.tiles import Tiles
 from karst.sources import placed
 from karst.sources.genotypes import BED_MAGIC, encode_bed
 
@@ -155,8 +156,9 @@ def write_hwe(table: DataFrame, sites: DataFrame, path: str) -> None:
     _tsv(rows.select(F.col("snp_id").alias("#ID"), F.col("p").alias("HWE_P"), F.col("lrt").alias("LRT"), F.col("f").alias("Inbreeding_coefficient")), path, header=True)
 
 
-def write_covariance(spark: SparkSession, cov: np.ndarray, path: str) -> None:
-    _lines(spark, ["\t".join(map(six, row)) for row in cov], path)
+def write_covariance(cov: Tiles, path: str) -> None:
+    text = F.array_join(F.transform("values", lambda x: F.format_string("%.6g", x)), "\t")
+    cov.lines().repartitionByRange("i").sortWithinPartitions("i").select(text.alias("value")).write.mode("overwrite").text(path)
 
 
 def zstd_compress(source: str, target: str, level: int = 3) -> None:
