@@ -11,13 +11,19 @@ What the classifier sees: the block's length, tag and share of text in links, an
 around it the tag and its own class, id, role and hidden attributes (the first of a name counts;
 other attributes never do). A name that often marks something else (WEAK_NAMES) weighs little, so
 that prose, an article around it or its neighbours outweigh it. A name or tag that tells what isn't
-the article (STRONG_NAMES, BAD_TAGS) also hides what is outside it from the block. Where the page
-has an article or main element with prose, blocks outside it weigh less.
+the article (STRONG_NAMES, BAD_TAGS) also hides what is outside it from the block. Such a name counts
+as the first part of a class or id (`sidebar-left`); after a part that only describes (`with-sidebar`,
+`category-social`) or before one (`comments-open`) it counts as nothing; after another part
+(`right-sidebar`), and on an article or main element, it counts unless the element holds most of the
+page's prose, for then it speaks of the layout. Where the page has an article or main element with
+prose, blocks outside it weigh less.
 
 Null or empty html gives an empty text; a page without a content block too. Unclosed, crossed and
 stray tags are tolerated. Rows are independent: repeated rows give repeated results, an empty
 table none. Extra columns are ignored. Whole pages are read; nothing is cut. Scripts, styles,
-form controls, graphics and embedded objects aren't text.
+form controls, graphics and embedded objects aren't text. A tag that isn't closed ends where the next
+begins; reading takes time in proportion to the page, whatever its tags (an item looks for an open one
+that it ends through SCOPE elements at most).
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -61,6 +67,9 @@ WEAK_NAMES = frozenset(
     "alert banner dialog disclaimer feedback form head header legal overlay privacy rail register reply search tags toc warning"
     " widget widgets".split()
 )
+# Parts before a name, or after it, that make it a description of the page.
+BEFORE_NAMES = frozenset("with without has have no not is show shows hide hides category cat tag tags topic type format post taxonomy term supports".split())
+AFTER_NAMES = frozenset("open opened closed enabled disabled active inactive on off visible hidden none".split())
 GOOD_NAMES = frozenset("article articlebody body content entry main post story text".split())
 RIGHTS = ("©", "(c) ", "copyright ", "all rights reserved")
 
@@ -84,10 +93,13 @@ WEIGHTS = {
     "rights": -3.0,
 }
 ADJACENT, SAME_PARENT = 0.8, 0.8
+SCOPE = 512
 
+# no part of a tag runs over the beginning of another, so each character is looked at a few times at most
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+(?:>|(?=<)|\Z)"
+    r"""|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"<]*+"|'[^'<]*+')*+)>"""
+    r"""|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+(?:<(?![a-zA-Z/!?])[^<>]*+)*+)(?:>|(?=<)|\Z)""",
     re.S,
 )
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
@@ -98,13 +110,16 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Element:
     tag: str
     names: tuple[str, ...]
-    kind: str  # "", or the weight that the element's own tag, role and names tell
+    kind: str  # "", or the weight that the element's own tag, role and names tell; "maybe" is bad unless most prose is inside
     depth: int
     parent: Element | None
     in_article: bool
+    prose: int = 0
+    score: float = 0.0
+    good: float = 0.0
 
-    def __post_init__(self) -> None:
-        # what the element and those around it tell of text in them
+    def settle(self) -> None:
+        """What the element and those around it tell of text in them."""
         around = self.parent
         self.score, self.good = (around.score, around.good) if around is not None else (0.0, 0.0)
         if self.kind == "bad":
@@ -133,37 +148,67 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 def name_kind(value: str) -> str:
-    """What one class or id tells: "bad", "weak", "good" or nothing."""
-    parts = {x.lower() for x in _NAME.findall(value)} | {value.lower()}
-    if parts & STRONG_NAMES:
+    """What one class or id tells: "bad", "maybe", "weak", "good" or nothing."""
+    parts = [x.lower() for x in _NAME.findall(value)]
+    if value.lower() in STRONG_NAMES:
         return "bad"
-    if parts & GOOD_NAMES:
+    strong = [i for i, x in enumerate(parts) if x in STRONG_NAMES and not (i + 1 < len(parts) and parts[i + 1] in AFTER_NAMES)]
+    if strong and not (strong[0] and parts[0] in BEFORE_NAMES):
+        return "maybe" if strong[0] else "bad"
+    some = {*parts, value.lower()}
+    if some & GOOD_NAMES:
         return "good"
-    return "weak" if parts & WEAK_NAMES else ""
+    return "weak" if some & WEAK_NAMES and parts[0] not in BEFORE_NAMES else ""
 
 
 def _element(tag: str, attrs: str, parent: Element | None) -> Element:
     own = attributes(attrs) if attrs and not attrs.isspace() else {}
     names = tuple(entities.unescape(f"{own.get('class', '')} {own.get('id', '')}").split()) if own else ()
     role = own.get("role", "").lower()
-    inside = bool(parent and parent.in_article) or tag in ("article", "main") or role in ("main", "article")
+    is_article = tag in ("article", "main") or role in ("main", "article")
+    inside = bool(parent and parent.in_article) or is_article
     kinds = {name_kind(x) for x in names} if names and tag not in ("html", "body") else set()
     hidden = "hidden" in own or own.get("aria-hidden", "").lower() == "true"
-    if tag in BAD_TAGS or role in BAD_ROLES or hidden or "bad" in kinds:
+    if tag in BAD_TAGS or role in BAD_ROLES or hidden:
         kind = "bad"
+    elif "bad" in kinds or "maybe" in kinds:
+        kind = "maybe" if is_article or "bad" not in kinds else "bad"
     elif tag == "header":
         kind = "own header" if parent and parent.in_article else "header"
-    elif tag in ("article", "main") or role in ("main", "article"):
+    elif is_article:
         kind = "article"
     else:
         kind = "good" if "good" in kinds else "weak" if "weak" in kinds else ""
     return Element(tag, names, kind, parent.depth + 1 if parent else 0, parent, inside)
 
 
+def _settle(elements: list[Element], blocks: list[Block]) -> None:
+    """Decide the names that depend on the page's prose, and score all elements, which stand in page order."""
+    total = 0
+    for b in blocks:
+        words = b.text.count(" ") + 1
+        if words >= 10 and b.links <= 0.5 * len(b.text):
+            b.where.prose += words
+            total += words
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.prose += e.prose
+    for e in elements:
+        if e.kind == "maybe":
+            most = 2 * e.prose > total
+            e.kind = ("article" if e.tag in ("article", "main") else "") if most else "bad"
+        e.settle()
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order, decoded, with white space folded; none is empty."""
     root = _element("html", "", None)
-    stack, found = [root], []
+    stack, found, elements = [root], [], [root]
+    # places in the stack of elements that aren't inline, and of those that text may belong to
+    solid, holders = [0], [0]
+    # open elements by tag, and open inline elements by tag since each solid one
+    is_open, runs = Counter(["html"]), [Counter()]
+    endless: set[str] = set()
     block: Block | None = None
     in_link = at = 0
 
@@ -177,8 +222,17 @@ def blocks_of(page: str) -> list[Block]:
 
     def close(k: int) -> None:
         nonlocal in_link
-        in_link -= sum(e.tag == "a" for e in stack[k:])
-        del stack[k:]
+        while len(stack) > k:
+            e = stack.pop()
+            in_link -= e.tag == "a"
+            is_open[e.tag] -= 1
+            if solid[-1] == len(stack):
+                solid.pop()
+                runs.pop()
+            else:
+                runs[-1][e.tag] -= 1
+            if holders[-1] == len(stack):
+                holders.pop()
 
     def say(text: str) -> None:
         nonlocal block
@@ -187,10 +241,7 @@ def blocks_of(page: str) -> list[Block]:
         if block is None:
             if text.isspace():
                 return
-            k = len(stack) - 1
-            while k and stack[k].tag in INLINE and not stack[k].kind:
-                k -= 1
-            block = Block(stack[k])
+            block = Block(stack[holders[-1]])
         block.parts.append(text)
         if in_link:
             block.links += len(text.strip())
@@ -207,14 +258,20 @@ def blocks_of(page: str) -> list[Block]:
         if ending:
             if tag not in INLINE:
                 end_block()
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             # an inline end tag doesn't close blocks around it
-            if k and (tag not in INLINE or all(e.tag in INLINE for e in stack[k:])):
+            if runs[-1][tag] if tag in INLINE else is_open[tag] > (tag == "html"):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
                 close(k)
             continue
         if tag in RAW:
             # their text is no part of the page; one that isn't closed hides the rest only if browsers hide it too
-            end = None if attrs.rstrip().endswith("/") else re.compile(rf"</{tag}\b[^>]*+>", re.I).search(page, at)
+            end = None
+            if not attrs.rstrip().endswith("/") and tag not in endless:
+                end = re.compile(rf"</{re.escape(tag)}\b[^<>]*+>", re.I).search(page, at)
+                if not end:
+                    endless.add(tag)
             if end:
                 at = end.end()
             elif tag in ("script", "style", "title", "textarea"):
@@ -230,13 +287,12 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in INLINE:
             end_block()
             if tag in ENDS_P:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag not in INLINE), 0)
-                if stack[k].tag == "p":
-                    close(k)
+                if stack[solid[-1]].tag == "p":
+                    close(solid[-1])
             if tag in ("li", "dt", "dd", "tr", "td", "th"):
                 stops = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",)}.get(tag, ("tr", "table"))
                 twins = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-                for i in range(len(stack) - 1, 0, -1):
+                for i in reversed(solid[-SCOPE:]) if any(is_open[x] for x in twins) else ():
                     if stack[i].tag in twins:
                         close(i)
                         break
@@ -247,10 +303,20 @@ def blocks_of(page: str) -> list[Block]:
             end_block()
         if attrs.rstrip().endswith("/") and tag in INLINE:
             continue
+        if tag not in INLINE:
+            solid.append(len(stack))
+            runs.append(Counter())
+        else:
+            runs[-1][tag] += 1
+        if tag not in INLINE or element.kind:
+            holders.append(len(stack))
+        is_open[tag] += 1
         stack.append(element)
+        elements.append(element)
         in_link += tag == "a"
     say(page[at:])
     end_block()
+    _settle(elements, found)
     return found
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -764,6 +765,40 @@ def test_main_text_of_pages_with_known_articles():
     assert right / said >= 0.98 and right / true >= 0.98 and whole >= 285, (right / said, right / true, whole)
 
 
+#: Names of blog systems that describe a page or a post, and names of what isn't the article; none is used elsewhere in these tests.
+LAYOUTS = ["post category-social", "hentry comments-open", "post tag-newsletter", "main with-sidebar", "single-post no-sidebar"]
+LAYOUTS += ["layout right-sidebar", "has-navigation", "entry-wrap comments-closed", "type-promo", "article cat-related", "page without-footer"]
+ASIDES = ["sidebar-left", "commentList", "social_links", "promo-box", "navbar-top", "copyright-line", "related", "paginator"]
+
+
+def test_names_that_describe_the_page():
+    rng = random.Random(31)
+    right = said = true = 0
+    for i in range(220):
+        want = [prose(rng, rng.randint(12, 60)).capitalize() + "." for _ in range(rng.randint(3, 8))]
+        body = "".join(f"<p>{x}</p>" for x in want)
+        side = "".join(f'<div class="{rng.choice(ASIDES)}"><p>{prose(rng, rng.randint(3, 30))}</p><a href="/x">{prose(rng, 2)}</a></div>' for _ in range(2))
+        tag = rng.choice(["article", "div", "main", "section"])
+        page = f'<body><nav><a href="/">{prose(rng, 2)}</a></nav><{tag} class="{LAYOUTS[i % len(LAYOUTS)]}">{body}{side}</{tag}>{side}</body>'
+        got = op9_html.extract(page).split("\n\n")
+        right, said, true = right + sum((Counter(got) & Counter(want)).values()), said + len(got), true + len(want)
+    assert right / said >= 0.97 and right / true >= 0.97, (right / said, right / true)
+
+
+def test_comments_as_articles_go():
+    want = prose(random.Random(1), 80)
+    page = f'<article><p>{want}</p></article><article class="comment-body"><p>{prose(random.Random(2), 20)}</p></article>'
+    assert op9_html.extract(page) == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div>", "</b>", "<div><i>x</b></i></p>", "<select>", '<a ">" ', "<b>x<hr>", "<!x ", "</select ", "<li><center>"])
+def test_time_of_hostile_pages(unit):
+    start = time.process_time()
+    op9_html.extract(unit * (1_000_000 // len(unit)))
+    op9_html.extract("<b>" * 50_000 + (unit + "<p></p>") * 30_000)
+    assert time.process_time() - start < 20
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(60):
