@@ -116,9 +116,7 @@ def run_pca(spark: SparkSession, a: argparse.Namespace) -> None:
         rows = matrices.read_bin(spark, a.binary)
     elif a.csv:
         raw = matrices.read_csv_matrix(spark, a.csv)
-        cells = matrices.csv_cells(raw)
-        features, samples = matrices.csv_axes(raw)
-        rows = raw if not p.scale else ld.to_rows(scaling.scaled(cells, samples, p.scale, p.scale_factor, features=features), "x")
+        rows = scaling.scaled_rows(raw, pca.shape(raw)[1], p.scale or 0, p.scale_factor)
     elif a.beagle or p.em == "pcangsd":
         gl, sites, people = load_likelihoods(spark, a)
         af = frequency.em_maf_rows(gl, p.max_iter, p.tol_maf)
@@ -174,6 +172,7 @@ def run_ld(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.clump:
         for i, path in enumerate(a.clump.split(",")):
             assoc = matrices.read_assoc(spark, path, tuple(a.clump_names.split(",")))
+            ld.check_same_order(assoc, sites)
             got = ld.clump(pairs, sites, assoc, a.clump_p1, a.clump_p2, a.clump_r2, a.clump_bp)
             sinks.write_clumps(got, assoc, a.out, matrices.assoc_header(spark, path), i)
     elif a.print_r2:

@@ -42,17 +42,29 @@ def band_pairs(sites: DataFrame, ld_bp: int) -> DataFrame:
 
 
 def window_sizes(sites: DataFrame, ld_bp: int) -> DataFrame:
-    """feature_idx, n_sites: sites from this one on within ld_bp, itself included; the last of a chromosome leads no window."""
-    w = Window.partitionBy("chr").orderBy("bp").rangeBetween(0, ld_bp)
-    same = Window.partitionBy("chr", "bp").orderBy("feature_idx")
-    last = Window.partitionBy("chr")
-    rows = sites.select(
-        "feature_idx",
-        # sites of equal position that come before this one aren't in its window
-        (F.count(F.lit(1)).over(w) - (F.row_number().over(same) - 1)).alias("n_sites"),
-        (F.max("feature_idx").over(last) != F.col("feature_idx")).alias("leads"),
-    )
-    return rows.filter("leads").select("feature_idx", "n_sites")
+    """feature_idx, n_sites: sites from this one on within ld_bp, itself included; the last of a chromosome leads no window.
+
+    Sites are dealt to buckets of ld_bp positions and lent to the bucket before, whose windows may see them.
+    """
+    width = max(1, ld_bp)
+    own = F.floor(F.col("bp") / width)
+    dealt = sites.select("feature_idx", "chr", "bp", own.alias("own"), F.explode(F.array(own, own - 1)).alias("bucket"))
+    w = Window.partitionBy("chr", "bucket").orderBy("bp").rangeBetween(0, ld_bp)
+    same = Window.partitionBy("chr", "bucket", "bp").orderBy("feature_idx")
+    # sites of equal position that come before this one aren't in its window
+    sizes = dealt.withColumn("n_sites", F.count(F.lit(1)).over(w) - (F.row_number().over(same) - 1)).filter("own = bucket")
+    last = sites.groupBy("chr").agg(F.max("feature_idx").alias("last"))
+    return sizes.join(last, "chr").filter(F.col("feature_idx") != F.col("last")).select("feature_idx", "n_sites")
+
+
+def check_same_order(assoc: DataFrame, sites: DataFrame) -> None:
+    """The chromosomes that both tables have must begin in the same order in both."""
+    first = assoc.groupBy("chr").agg(F.min("row_idx").alias("a")).join(sites.groupBy("chr").agg(F.min("feature_idx").alias("b")), "chr")
+    # a row for each chromosome
+    rows = sorted(first.collect(), key=lambda r: r["a"])
+    for x, y in zip(rows, rows[1:]):
+        if x["b"] > y["b"]:
+            raise ValueError(f"chromosome {x['chr']} comes before {y['chr']} in the association table, but after it among the sites")
 
 
 def to_rows(cells: DataFrame, value: str = "g") -> DataFrame:

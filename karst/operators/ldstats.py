@@ -21,22 +21,15 @@ def by_distance(pairs: DataFrame) -> DataFrame:
     return rows.groupBy("chr", "distance").agg(F.sum("r2").alias("r2_total"), F.count(F.lit(1)).alias("n"))
 
 
-def decay(pairs: DataFrame, window: int, bins: int, ties: Sequence[str] = ()) -> DataFrame:
+def decay(pairs: DataFrame, window: int, bins: int, ties: Sequence[str] = ("r2", "bp_a")) -> DataFrame:
     """chr, distance (bin * window / bins), num, avg_r2, std over equally filled distance bins of each chromosome.
 
-    The rank of a pair within its chromosome is found by counting pairs per distance first (one row
-    a distance), so that only pairs of one distance are ordered together.
+    The rank of a pair within its chromosome comes from sorted ranges of pairs (prefix.running), which
+    the ties are part of: neither a chromosome nor a distance is ordered in one task.
     """
-    rows = pairs.withColumn("chr", F.col("chr_a")).withColumn("dist", F.col("bp_b") - F.col("bp_a"))
-    sizes = rows.groupBy("chr", "dist").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select(
-        "chr",
-        "dist",
-        (F.sum("__n").over(Window.partitionBy("chr").orderBy("dist")) - F.col("__n")).alias("__before"),
-        F.sum("__n").over(Window.partitionBy("chr")).alias("__all"),
-    )
-    inside = F.row_number().over(Window.partitionBy("chr", "dist").orderBy(*ties or ["r2"])) - 1
-    ranked = rows.withColumn("__in", inside).join(before, ["chr", "dist"]).withColumn("__rank", F.col("__before") + F.col("__in"))
+    rows = pairs.withColumn("chr", F.col("chr_a")).withColumn("__dist", F.col("bp_b") - F.col("bp_a"))
+    whole = rows.groupBy("chr").agg(F.count(F.lit(1)).alias("__all"))
+    ranked = running(rows, ["__dist", *ties], by=["chr"]).withColumnRenamed("rank", "__rank").join(whole, "chr")
     # the first (all mod bins) bins hold one pair more
     size, extra = F.floor(F.col("__all") / bins), F.col("__all") % bins
     edge = extra * (size + 1)

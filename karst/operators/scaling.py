@@ -7,13 +7,18 @@ Methods: 0 none, 1 standardise, 2 log10 with the median library size, 3 log1p, 4
 are standardised afterwards. The matrix stays sparse until it is standardised: each method maps 0
 to 0, so means and deviations need only the stored cells and the number of samples. Standardised
 cells of absent counts follow from (0 - mean) / sd and are made only when `dense` is asked for.
+
+Decompositions don't ask for them: rows of arrays are scaled where they are (`scaled_rows`).
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karst.operators.matrix import map_arrays, reduce_arrays
+
 SD_TOL = 1e-10
 
 
@@ -76,3 +81,47 @@ def scaled(
         rows = rows.join(moments, "feature_idx")
     z = F.col("x") - F.col("mean")
     return rows.select("feature_idx", "sample_idx", F.when(F.col("sd") > SD_TOL, z / F.col("sd")).otherwise(z).alias("x"))
+
+
+# --- rows of arrays -----------------------------------------------------------------------------
+
+
+def row_library_sizes(rows: DataFrame, n: int) -> np.ndarray:
+    """Integer sums over features of rows (feature_idx, values): n numbers."""
+
+    def partial(_, x, total):
+        total["s"] += x.astype(np.int64).sum(0)[:, None]
+
+    return reduce_arrays(rows, partial, {"s": (n, 1)})["s"][:, 0]
+
+
+def _transform(x: np.ndarray, sizes: np.ndarray, method: int, factor: float) -> np.ndarray:
+    if method == 1:
+        return x
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = np.where(x == 0, 0.0, x / sizes)
+    if method == 2:
+        return np.log10(share * float(np.floor(np.median(np.floor(sizes.ravel())))) + 1) if sizes.size else x
+    return np.log1p(share * factor) if method == 3 else share * factor
+
+
+def _check(method: int) -> None:
+    if method not in (1, 2, 3, 4):
+        raise ValueError("scale must be 0 to 4")
+
+
+def scaled_rows(rows: DataFrame, n: int, method: int, scale_factor: float = 1.0) -> DataFrame:
+    """feature_idx, values after the method: a row stays where it is, and only n library sizes are sent to the tasks."""
+    if method == 0:
+        return rows.select("feature_idx", "values")
+    _check(method)
+
+    def run(x, shared):
+        sizes, method, factor = shared
+        x = _transform(x, sizes, method, factor)
+        z = x - x.mean(1, keepdims=True)
+        sd = np.sqrt((z * z).sum(1, keepdims=True) / max(n - 1, 1))
+        return (np.where(sd > SD_TOL, z / np.where(sd > SD_TOL, sd, 1), z),)
+
+    shared = (row_library_sizes(rows, n) if method > 1 else np.zeros(n), method, scale_factor)
+    return map_arrays(rows.select("feature_idx", "values"), run, shared, "feature_idx long, values array<double>")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from karst import fixtures as fx
 from karst.fixtures import r6, sql_r6, with_views
 from karst.functions import special
-from karst.operators import em, frequency, hwe, ld, ldstats, matrix, pca, permute, project, scaling, tiles
+from karst.operators import em, frequency, hwe, ld, ldstats, matrix, pca, permute, prefix, project, scaling, tiles
 from karst.params import PcaParams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,29 +201,39 @@ def _ld_views(more: str = "", recursive: bool = False) -> str:
     return with_views("fx_af", "fx_features", "fx_assoc", recursive=recursive, more=_LD + (", " + more if more else ""))
 
 
-@query("chr_runs", with_views("fx_features") + "SELECT chr, min(feature_idx) AS first_idx, max(feature_idx) AS last_idx FROM fx_features GROUP BY chr")
+# rows of `part` as sites: five chromosomes, positions that grow with the table
+_SITES = (
+    "sites AS (SELECT row_number() OVER (ORDER BY chr, bp, p_partkey) - 1 AS feature_idx, chr, bp"
+    " FROM (SELECT p_partkey, (p_size % 5)::VARCHAR AS chr, p_partkey * 37 AS bp FROM part))"
+)
+
+
+def _sites(spark, d) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", (F.col("p_size") % 5).cast("string").alias("chr"), (F.col("p_partkey") * 37).alias("bp"))
+    return prefix.running(rows, ["chr", "bp", "p_partkey"]).select(F.col("rank").alias("feature_idx"), "chr", "bp")
+
+
+@query("chr_runs", f"WITH {_SITES} SELECT chr, min(feature_idx) AS first_idx, max(feature_idx) AS last_idx FROM sites GROUP BY chr")
 def chr_runs(spark, d):
-    return ld.chromosome_runs(fx.features(spark))
+    return ld.chromosome_runs(_sites(spark, d))
 
 
 @query(
     "ld_window",
-    with_views("fx_features")
-    + f"SELECT a.feature_idx, count(*) AS n_sites FROM fx_features a JOIN fx_features b ON a.chr = b.chr AND b.feature_idx >= a.feature_idx AND b.bp - a.bp <= {LD_BP}"
-    " WHERE a.feature_idx < (SELECT max(feature_idx) FROM fx_features c WHERE c.chr = a.chr) GROUP BY a.feature_idx",
+    f"WITH {_SITES} SELECT a.feature_idx, count(*) AS n_sites FROM sites a JOIN sites b ON a.chr = b.chr AND b.feature_idx >= a.feature_idx AND b.bp - a.bp <= {LD_BP}"
+    " WHERE a.feature_idx < (SELECT max(feature_idx) FROM sites c WHERE c.chr = a.chr) GROUP BY a.feature_idx",
 )
 def ld_window(spark, d):
-    return ld.window_sizes(fx.features(spark), LD_BP)
+    return ld.window_sizes(_sites(spark, d), LD_BP)
 
 
 @query(
     "ld_band_pairs",
-    with_views("fx_features")
-    + "SELECT a.feature_idx AS i, b.feature_idx AS k, a.chr AS chr, a.bp AS bp_i, b.bp AS bp_k FROM fx_features a JOIN fx_features b"
+    f"WITH {_SITES} SELECT a.feature_idx AS i, b.feature_idx AS k, a.chr AS chr, a.bp AS bp_i, b.bp AS bp_k FROM sites a JOIN sites b"
     f" ON a.chr = b.chr AND a.feature_idx < b.feature_idx AND b.bp - a.bp <= {LD_BP}",
 )
 def ld_band_pairs(spark, d):
-    return ld.band_pairs(fx.features(spark), LD_BP)
+    return ld.band_pairs(_sites(spark, d), LD_BP)
 
 
 @query(
@@ -329,9 +339,20 @@ def ld_clump(spark, d):
     return got.withColumn("p", F.round("p", 6))
 
 
-@query("pval_map", with_views("fx_assoc") + "SELECT chr, bp, snp_id, round(p, 6) AS p FROM fx_assoc WHERE p <= 0.01::DOUBLE QUALIFY row_number() OVER (PARTITION BY chr, bp ORDER BY row_idx) = 1")
+@query(
+    "pval_map",
+    "SELECT chr, bp, snp_id, round(p, 6) AS p FROM (SELECT o_orderkey AS row_idx, (o_custkey % 5)::VARCHAR AS chr, o_orderkey // 3 AS bp, 'rs' || o_orderkey AS snp_id,"
+    " pow(((o_orderkey * 29 + 7) % 64 + 1) / 64.0::DOUBLE, 3) AS p FROM orders) WHERE p <= 0.01::DOUBLE QUALIFY row_number() OVER (PARTITION BY chr, bp ORDER BY row_idx) = 1",
+)
 def pval_map(spark, d):
-    return ld.first_per_site(fx.assoc(spark), 0.01).select("chr", "bp", "snp_id", F.round("p", 6).alias("p"))
+    """Rows of `orders` as association rows, some of one place."""
+    key = F.col("o_orderkey")
+    p = F.pow(((key * 29 + 7) % 64 + 1) / 64.0, F.lit(3.0))
+    chr_, bp = (F.col("o_custkey") % 5).cast("string"), F.floor(key / 3).cast("long")
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(
+        key.alias("row_idx"), chr_.alias("chr"), bp.alias("bp"), F.concat(F.lit("rs"), key.cast("string")).alias("snp_id"), p.alias("p")
+    )
+    return ld.first_per_site(rows, 0.01).select("chr", "bp", "snp_id", F.round("p", 6).alias("p"))
 
 
 # --- models ------------------------------------------------------------------------------------
