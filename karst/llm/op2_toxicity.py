@@ -6,8 +6,8 @@ what each character can stand for; a Viterbi search under a character trigram mo
 likeliest reading, and the score is taken of that. Other words have one reading only, themselves.
 
 The model is two tables, both of bounded size: log-probabilities of 38**3 trigrams (letters,
-digits, other letters, space), and at most MAX_FEATURES words and word beginnings with the
-log-odds that they add. Trigrams are counted over all texts outside the held-out
+digits, other letters, space), and words and word beginnings with the
+log-odds that they add, which are some of those of the bounded sample below. Trigrams are counted over all texts outside the held-out
 fold, labelled or not. Features are fitted on a bounded sample: at most about SAMPLE_EACH labelled
 rows of each label, chosen by a hash of the id. A feature is taken only if its
 count differs from the base rate by more than chance over all features tried (Bonferroni); texts
@@ -38,7 +38,6 @@ from pyspark.sql import types as T
 from karst.llm.common import cut, id_mod, own_cache
 
 SAMPLE_EACH = 6000
-MAX_FEATURES = 20_000
 PREFIXES = (4, 5, 6)
 CACHE_WORDS = 200_000
 ROWS_AT_ONCE = 500
@@ -380,7 +379,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
     share = F.col("pos") / (F.col("pos") + ratio * (total - F.col("pos") + 1))
     prior = pos / (pos + ratio * (n - pos))
     added = F.log(share / (1 - share)) - F.lit(math.log(prior / (1 - prior)))
-    rows = picked.filter(share >= 0.5).select("f", added.alias("added")).orderBy(F.desc("added"), "f").limit(MAX_FEATURES).collect()
+    rows = picked.filter(share >= 0.5).select("f", added.alias("added")).collect()
     model = Model(log_p, {r["f"]: r["added"] for r in rows if r["added"] > 0}, 0.0)
     weights = docs.sparkSession.sparkContext.broadcast(model.weight)
 
