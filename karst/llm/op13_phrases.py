@@ -11,6 +11,7 @@ Counts are sums over shards. Each round tells the shards what they may build on:
 that reach the least count over all shards, for no longer phrase can be frequent otherwise. What a
 round tells is joined to the shards by their number; nothing is broadcast, and no table of words
 or phrases is ever in one place. Shards are written once, so that all rounds see the same ones.
+Frequent words get numbers, and pairs travel as two of them.
 
 Scores and the drop of phrases inside longer ones are joins of the table of frequent phrases with
 itself, in decimals of 38 digits. The best of a language are taken in rounds, each keeping the best
@@ -45,7 +46,8 @@ BLOCK = 16
 _BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else 10 if chr(b) in ".,;:!?" or 0x0A <= b <= 0x0D else 32 if b == 9 else b for b in range(256)
 )
-SHARD = "shard long, langs array<string>, sizes array<long>, lang_of binary, words array<string>, counts binary, codes binary"
+#: words, counts and codes are packed (zstd): moving them is what a round costs.
+SHARD = "shard long, langs array<string>, sizes array<long>, lang_of binary, words binary, counts binary, codes binary"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -55,6 +57,20 @@ def tokens(text: bytes) -> list[bytes]:
     return [w for w in found if w]
 
 
+def _packed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+
+
+def _word_list(raw: bytes) -> pa.Array:
+    """The words of a shard; none holds a space."""
+    joined = _unpacked(raw)
+    return pa.array(joined.split(b" ") if joined else [], pa.string())
+
+
 def _shard(texts: dict[str, list[bytes]]) -> dict:
     """Numbers of all words of texts by language; -1 stands between pieces."""
     words, lang_of, sizes, codes, base = [], [], [], [], 0
@@ -75,9 +91,9 @@ def _shard(texts: dict[str, list[bytes]]) -> dict:
         "langs": list(texts),
         "sizes": sizes,
         "lang_of": np.concatenate(lang_of).tobytes(),
-        "words": words,
-        "counts": counts.tobytes(),
-        "codes": line.tobytes(),
+        "words": _packed(b" ".join(words)),
+        "counts": _packed(counts.tobytes()),
+        "codes": _packed(line.tobytes()),
     }
 
 
@@ -90,7 +106,7 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             row = {"shard": number, **_shard(held)}
-            kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.binary()]
+            kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds)], list(row))
 
         for b in batches:
@@ -192,84 +208,102 @@ def _texts(words: pa.Array, numbers: np.ndarray) -> pa.Array:
     return pc.binary_join_element_wise(*columns, " ")
 
 
-def _rows(told: DataFrame, longest: int, least_words: int, pairs: bool) -> DataFrame:
-    """lang, phrase, shard, i, j, n of the phrases of all shards; told has what they may build on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                shard, langs, lang_of, words, codes, one, two = (c[k] for c in b.columns)
-                texts, names = words.values, pa.array(langs.as_py(), pa.string())
-                lang = np.frombuffer(lang_of.as_py(), "<i4")
-                line = np.frombuffer(codes.as_py(), "<i4")
-                one = one.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                two = two.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                usable = np.unique(np.concatenate([one, two]))
-                maps = Bitmaps(line, usable)
-                allowed = np.unique(np.searchsorted(usable, one) * len(usable) + np.searchsorted(usable, two)) if pairs else None
-                for first, block, mask in maps.batches():
-                    for phrases, counts in maps.grow(first, block, mask, longest, allowed, least_words):
-                        for a in range(0, len(counts), 200_000):
-                            some = usable[phrases[a : a + 200_000]]
-                            n = len(some)
-                            yield pa.RecordBatch.from_arrays(
-                                [
-                                    names.take(pa.array(lang[some[:, 0]])),
-                                    _texts(texts, some),
-                                    pa.array(np.full(n, shard.as_py())),
-                                    pa.array(some[:, 0].astype(np.int32)),
-                                    pa.array(some[:, 1].astype(np.int32)),
-                                    pa.array(counts[a : a + 200_000]),
-                                    pa.array(np.full(n, some.shape[1], np.int32)),
-                                ],
-                                ["lang", "phrase", "shard", "i", "j", "n", "len"],
-                            )
-
-    rows = told.select("shard", "langs", "lang_of", "words", "codes", "one", "two")
-    return rows.mapInArrow(run, "lang string, phrase string, shard long, i int, j int, n long, len int")
+def _shards_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Shard, languages, language and text of each word, codes, and the frequent words by ascending place: places and numbers."""
+    for k in range(batch.num_rows):
+        shard, langs, lang_of, words, codes, one = (c[k] for c in batch.columns[:6])
+        place = one.values.field("i").to_numpy(zero_copy_only=False).astype(np.int64)
+        number = one.values.field("id").to_numpy(zero_copy_only=False)
+        order = np.argsort(place)
+        names = pa.array(langs.as_py(), pa.string())
+        lang = np.frombuffer(lang_of.as_py(), "<i4")
+        line = np.frombuffer(_unpacked(codes.as_py()), "<i4")
+        yield k, shard.as_py(), names, lang, words, line, place[order], number[order]
 
 
 def _words(table: DataFrame) -> DataFrame:
-    """lang, phrase, shard, i, j, n of the words of all shards."""
+    """lang, phrase, shard, i, n of the words of all shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 shard, langs, lang_of, words, counts = (c[k] for c in b.columns)
-                n = len(words.values)
+                texts = _word_list(words.as_py())
+                n = len(texts)
                 i = pa.array(np.arange(n, dtype=np.int32))
                 lang = pa.array(langs.as_py(), pa.string()).take(pa.array(np.frombuffer(lang_of.as_py(), "<i4")))
-                cols = [lang, words.values, pa.array(np.full(n, shard.as_py())), i, i, pa.array(np.frombuffer(counts.as_py(), "<i8"))]
-                whole = pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "shard", "i", "j", "n"])
+                cols = [lang, texts, pa.array(np.full(n, shard.as_py())), i, pa.array(np.frombuffer(_unpacked(counts.as_py()), "<i8"))]
+                whole = pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "shard", "i", "n"])
                 for a in range(0, n, 200_000):
                     yield whole.slice(a, 200_000)
 
     rows = table.select("shard", "langs", "lang_of", "words", "counts")
-    return rows.mapInArrow(run, "lang string, phrase string, shard long, i int, j int, n long")
+    return rows.mapInArrow(run, "lang string, phrase string, shard long, i int, n long")
+
+
+def _pairs(told: DataFrame) -> DataFrame:
+    """x, y, shard, n of the pairs of frequent words of all shards, by their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, shard, _, _, _, line, place, number in _shards_of(b):
+                maps = Bitmaps(line, place)
+                for first, block, mask in maps.batches():
+                    for phrases, counts in maps.grow(first, block, mask, 2, None):
+                        x, y = number[phrases[:, 0]], number[phrases[:, 1]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x, y, np.full(len(x), shard), counts)], ["x", "y", "shard", "n"])
 
+    return told.select("shard", "langs", "lang_of", "words", "codes", "one").mapInArrow(run, "x long, y long, shard long, n long")
 
-def _frequent(rows: DataFrame, least: int, name: str) -> DataFrame:
-    """The rows whose phrase reaches `least` over all shards, with that count as f. A phrase has a row a shard at most."""
-    whole = rows.withColumn("f", F.sum("n").over(Window.partitionBy("lang", "phrase")))
-    return cut(whole.filter(F.col("f") >= least).select("lang", "phrase", "shard", "i", "j", "f"), name)
 
+def _longer(told: DataFrame, longest: int) -> DataFrame:
+    """lang, phrase, len, n of the phrases of three words or more in all shards, all of whose pairs are frequent."""
 
-def _tell(table: DataFrame, found: DataFrame) -> DataFrame:
-    """Shards with the words or pairs that they hold of those found; others have nothing to build on."""
-    told = found.groupBy("shard").agg(F.collect_list(F.struct("i", "j")).alias("ij"))
-    return table.join(told.select("shard", F.col("ij.i").alias("one"), F.col("ij.j").alias("two")), "shard")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, _, names, lang, words, line, place, number in _shards_of(b):
+                texts = _word_list(words.as_py())
+                pairs = b.column(6)[k].values
+                order = np.argsort(number)
+                # places, among the frequent words, of both words of the pairs
+                x, y = (order[np.searchsorted(number[order], pairs.field(c).to_numpy(zero_copy_only=False))] for c in ("x", "y"))
+                usable = np.unique(np.concatenate([x, y]))
+                place = place[usable]
+                maps = Bitmaps(line, place)
+                allowed = np.unique(np.searchsorted(usable, x) * len(usable) + np.searchsorted(usable, y))
+                for first, block, mask in maps.batches():
+                    for phrases, counts in maps.grow(first, block, mask, longest, allowed, 3):
+                        for a in range(0, len(counts), 200_000):
+                            some = place[phrases[a : a + 200_000]]
+                            cols = [names.take(pa.array(lang[some[:, 0]])), _texts(texts, some), pa.array(np.full(len(some), some.shape[1], np.int32))]
+                            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts[a : a + 200_000])], ["lang", "phrase", "len", "n"])
+
+    rows = told.select("shard", "langs", "lang_of", "words", "codes", "one", "two")
+    return rows.mapInArrow(run, "lang string, phrase string, len int, n long")
 
 
 def frequent_phrases(table: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """lang, phrase, len, f of all words and phrases that occur at least `least` times."""
-    one = _frequent(_words(table), least, "frequent-words")
-    parts = [one.groupBy("lang", "phrase").agg(F.first("f").alias("f")).withColumn("len", F.lit(1))]
+    # a word, and then a pair, has a row a shard at most; a word's number is that of one of its rows
+    rows = _words(table).withColumn("id", F.monotonically_increasing_id())
+    w = Window.partitionBy("lang", "phrase")
+    rows = rows.withColumns({"f": F.sum("n").over(w), "id": F.min("id").over(w)}).filter(F.col("f") >= least)
+    one = cut(rows.select("lang", "phrase", "shard", "i", "id", "f"), "frequent-words")
+    vocabulary = one.groupBy("id").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"), F.first("f").alias("f"))
+    parts = [vocabulary.select("lang", "phrase", F.lit(1).alias("len"), "f")]
     if longest > 1:
-        two = _frequent(_rows(_tell(table, one), 2, 2, False), least, "frequent-pairs")
-        parts.append(two.groupBy("lang", "phrase").agg(F.first("f").alias("f")).withColumn("len", F.lit(2)))
+        # shards without a frequent word have nothing to build on
+        told = table.join(one.groupBy("shard").agg(F.collect_list(F.struct("i", "id")).alias("one")), "shard")
+        rows = _pairs(told).withColumn("f", F.sum("n").over(Window.partitionBy("x", "y"))).filter(F.col("f") >= least)
+        two = cut(rows.select("x", "y", "shard", "f"), "frequent-pairs")
+        left = vocabulary.select(F.col("id").alias("x"), "lang", F.col("phrase").alias("a"))
+        right = vocabulary.select(F.col("id").alias("y"), F.col("phrase").alias("b"))
+        named = two.groupBy("x", "y").agg(F.first("f").alias("f")).join(left, "x").join(right, "y")
+        parts.append(named.select("lang", F.concat_ws(" ", "a", "b").alias("phrase"), F.lit(2).alias("len"), "f"))
     if longest > 2:
-        more = _rows(_tell(table, two), longest, 3, True).groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("len").alias("len"))
-        parts.append(more.filter(F.col("f") >= least).select("lang", "phrase", "f", "len"))
+        told = told.join(two.groupBy("shard").agg(F.collect_list(F.struct("x", "y")).alias("two")), "shard")
+        more = _longer(told, longest).groupBy("lang", "phrase").agg(F.first("len").alias("len"), F.sum("n").alias("f"))
+        parts.append(more.filter(F.col("f") >= least))
     return cut(reduce(DataFrame.unionByName, parts), "phrases")
 
 
