@@ -15,7 +15,8 @@ results, an empty table none. Extra columns are ignored (`encode_column` keeps t
 are encoded. A part of more than LONG symbols is relaxed through a heap, in n log n steps. One of
 more than WINDOW bytes is worked in windows, so that memory beyond the text and its ids doesn't grow
 with it: each window keeps the symbols that what follows it cannot change (see `settled`), and the
-next one begins where they end; a window without such symbols is doubled.
+next one begins where they end; a window without such symbols is doubled. Runs of one letter or of a
+few in turn settle like other text.
 """
 
 from __future__ import annotations
@@ -141,23 +142,25 @@ def _relax_long(
     nxt, prev, live = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), bytearray(b"\1" * n)
     heap: list[int] = []  # cost, symbol and length of a join in one number
     top = len(rank)
-    last, until_here, worst = n - 1, end, -len(rank) - 1
+    last, until_here, reached, worst = n - 1, end, end + 1, -len(rank) - 1
 
     def settled() -> None:
         """Move until_here left while an edge of the symbol before it spans it and may be joined by now.
 
-        What lies beyond is unknown: a symbol there may end anywhere. Joins are made in the order of
+        What lies beyond is unknown, but for one thing: symbols only grow, so the one that begins at
+        until_here ends at `reached` or later, where it ended when it was last known. An edge that
+        ends before joins nothing; so a run of equal letters settles. Joins are made in the order of
         their costs (negative ranks) and places, but for joins that others make possible; so while
         no join has cost more than `worst`, a join over until_here that costs as much or more is
         still to come.
         """
-        nonlocal last, until_here
+        nonlocal last, until_here, reached
         while last >= 0:
-            own = found[begin[last] * width + until_here - begin[last] + 1 : (begin[last] + 1) * width]
+            own = found[begin[last] * width + reached - begin[last] : (begin[last] + 1) * width]
             own = own[own >= 0]
             if not len(own) or -int(rank[own].max()) >= worst:
                 return
-            until_here = begin[last]
+            until_here, reached = begin[last], stop[last]
             last = prev[last]
 
     def offer(i: int) -> None:
@@ -176,10 +179,11 @@ def _relax_long(
         j = nxt[i] if live[i] else n
         if j >= n or stop[j] - begin[i] != reach:
             continue
-        if more and (cost > worst or i == last):
-            worst = max(cost, worst)
-            if i == last:
-                until_here, last = begin[i], prev[i]
+        if more and cost > worst:
+            worst = cost
+            settled()
+        if more and i == last:  # joined with what isn't known for sure
+            until_here, reached, last = begin[i], stop[i], prev[i]
             settled()
         stop[i], live[j], nxt[i] = stop[j], 0, nxt[j]
         if nxt[j] < n:
