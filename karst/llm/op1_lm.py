@@ -15,7 +15,9 @@ The whole model never stands in one place. Texts are dealt into batches of about
 batch names its n-grams by 64-bit hashes, in order, and sends each range of hashes (a bucket) with
 the batch's training counts. A bucket adds up the counts of all batches and answers each with the
 totals of what it named, in the same order, and with the bucket's share of N and V. From the
-answers a batch builds the part of the automaton that its texts can reach, and walks it. Batches
+answers a batch builds the part of the automaton that its texts can reach, and walks it. Which
+batch a row is in is written down, with its text, before either; answers of another length than the
+batch's list are an error. Batches
 and buckets grow in number with the input, not in size; a frequent n-gram is one entry a batch.
 Messages don't grow with batches times buckets: where there are more buckets than FAN, hashes are
 sent in several hops, each to at most FAN ranges, and between hops the messages of FAN batches to
@@ -37,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.llm.common import id_mod, parts_for, text_bytes
+from karst.llm.common import cut, id_mod, parts_for, text_bytes
 
 ORDER = 2
 STRENGTH = 300.0
@@ -133,6 +135,14 @@ def cuts(keys: np.ndarray, first: int, ranges: int, whole: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, limits(first, ranges, whole)), [len(keys)]]).astype(np.int64)
 
 
+def matched(grams: Grams, answers: list[np.ndarray]) -> np.ndarray:
+    """The totals of the keys of a batch, from the answers in the order of their ranges."""
+    totals = np.concatenate([*answers, np.zeros(0, np.int64)])
+    if len(totals) != len(grams.keys):
+        raise ValueError(f"{len(totals)} answers to {len(grams.keys)} n-grams: the batch has changed since it asked")
+    return totals
+
+
 class Automaton:
     """States, arcs and failure arcs that a batch's texts can reach."""
 
@@ -196,13 +206,15 @@ def run(docs: DataFrame, modulus: int = 7, held_out: int = 2, order: int = ORDER
     while fan**hops < buckets:
         hops += 1
     split = next(f for f in range(1, fan + 1) if f**hops >= buckets)  # ranges of a hop
-    # the input partition is part of the hash, so that rows which repeat don't all meet in one batch
-    rows = rows.select(
+    # the input partition is part of the hash, so that rows which repeat don't all meet in one batch; what it
+    # gives is written, as both uses of the rows must find each row in the same batch
+    dealt = rows.select(
         F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(batches)).cast("long").alias("node"),
         "doc_id",
         "text",
         (id_mod("doc_id", modulus) != held_out).alias("train"),
     )
+    rows = cut(dealt, "dealt")
 
     def ask(table: pa.Table) -> pa.Table:
         texts, train, _ = _text_rows(table)
@@ -264,7 +276,7 @@ def run(docs: DataFrame, modulus: int = 7, held_out: int = 2, order: int = ORDER
             return _RESULT.empty_table()
         grams = Grams(texts, order)
         told = told.sort_by("range")
-        totals = np.concatenate(_totals(told))
+        totals = matched(grams, _totals(told))
         n, v = pc.sum(told.column("n")).as_py(), pc.sum(told.column("v")).as_py()
         automaton = Automaton(grams, totals, n, v, strength)
         begin, known, base, scores = grams.starts, [], [], []
