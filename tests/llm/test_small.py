@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from karst.llm import (
     common,
@@ -116,6 +117,20 @@ def test_lm_empty(empty):
     assert op1_lm.run(empty).count() == 0
 
 
+def test_lm_deals_rows_once(docs, rows):
+    place = F.udf(lambda: random.random(), "double").asNondeterministic()  # other partitions each time it is computed
+    got = op1_lm.run(docs.repartition(5, place()), batch_bytes=20_000, bucket_bytes=50_000).collect()
+    own = sorted((r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in got)
+    assert np.allclose(own, sorted(brute_lm(rows, op1_lm.STRENGTH, 2)), atol=2e-5)
+
+
+def test_lm_answers_fit_the_batch():
+    grams = op1_lm.Grams(pa.array(["a b", "c"]), 2)
+    assert len(op1_lm.matched(grams, [np.zeros(len(grams.keys), np.int64)])) == len(grams.keys)
+    with pytest.raises(ValueError, match="has changed"):
+        op1_lm.matched(grams, [np.zeros(len(grams.keys) - 1, np.int64)])
+
+
 def test_lm_probabilities_add_up():
     texts = pa.array(["a b a c", "a b b", "c a b a"])
     grams = op1_lm.Grams(texts, 3)
@@ -536,6 +551,24 @@ def test_long_parts_by_windows(window):
         assert op6_pieces.encode_long(" " + part, pieces, window).tolist() == sp.encode(part)
 
 
+def test_windows_of_runs_settle(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    pieces = op6_pieces.Pieces(path("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    for _ in range(60):
+        letters = rng.choice(["x", "ab", "=-", "abcde", "lmno", "漢字", "is", "ommlomml"])
+        unit = "".join(rng.choice(letters) for _ in range(rng.randint(1, 5)))
+        part = "".join(rng.choice([unit, rng.choice(letters), unit * rng.randint(1, 40)]) for _ in range(rng.randint(1, 10)))
+        assert op6_pieces.encode_long(" " + part, pieces, rng.choice([1, 10, 50])).tolist() == sp.encode(part)
+    sizes, plain = [], op6_pieces.edges
+    monkeypatch.setattr(op6_pieces, "edges", lambda buffer, p: sizes.append(len(buffer)) or plain(buffer, p))
+    for part in ("x" * 60_000, "ab" * 30_000, "漢" * 20_000):
+        assert op6_pieces.encode_long(" " + part, pieces, 4096).tolist() == sp.encode(part)
+    assert max(sizes) <= 4096 + pieces.longest + 4  # no window is doubled
+
+
 def test_long_parts_beside_others(monkeypatch):
     import sentencepiece
 
@@ -675,6 +708,27 @@ def test_decontamination(spark, docs, rows, empty, block):
     assert op8_decontaminate.run(d, b.limit(0)).filter("contaminated").count() == 0
 
 
+def test_one_window_in_many_items(spark, monkeypatch):
+    import hashlib
+
+    prompt = " ".join(f"p{i}" for i in range(10))
+    b = spark.range(20_000).select(
+        F.col("id").alias("item_id"), F.concat(F.lit(prompt + " "), F.when(F.col("id") < 5, F.lit("own words of the first few")).otherwise("")).alias("text")
+    )
+    texts = [f"x {prompt} y", prompt + " own words of the first few", "nothing here", None, "p1 p2 p3"] * 2
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = sorted(map(str, range(20_000)))
+    digest = lambda ids: hashlib.sha256(",".join(ids).encode()).hexdigest()
+    for limit in (64 << 20, 200):
+        monkeypatch.setattr(op8_decontaminate, "BLOCK_BYTES", limit)
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in op8_decontaminate.run(d, b).collect()}
+        for i in (0, 5):
+            want = [(12, 10, 20_000, digest(every)), (16, 16, 20_000, digest(every)), (2, 0, 0, digest([])), (0, 0, 0, digest([])), (3, 0, 0, digest([]))]
+            assert [got[i + k] for k in range(5)] == want
+    sets = op8_decontaminate.numbered(op8_decontaminate.windows(b))
+    assert sets.columns == ["win", "n", "set"] and sets.select("set").distinct().count() == 2
+
+
 # --- 9 -----------------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>T</title><script>if(a<b){x="</p>"}</script></head><body class="has-sidebar"><header><a href=/>Site</a></header>
