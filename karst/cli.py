@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from karst.operators import em, frequency, hwe, ld, matrix, pca, project, scaling, tiles
 from karst.params import PcaParams
-from karst.sources import genotypes, matrices, sinks
+from karst.sources import bgen, genotypes, matrices, sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -83,7 +83,7 @@ def params(a: argparse.Namespace) -> PcaParams:
 
 def _bgen(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows, sites and samples of a BGEN file; samples are named by their number."""
-    rows = genotypes.read_bgen(spark, path)
+    rows = bgen.read_bgen(spark, path)
     n = (rows.select(F.size("dosage").alias("n")).first() or [0])[0]
     people = spark.range(n).select(F.col("id").alias("sample_idx"), F.concat(F.lit("S"), "id").alias("iid"))
     return rows, rows.select("feature_idx", "chr", "snp_id", "bp", "a1", "a2"), people
@@ -103,7 +103,7 @@ def load_likelihoods(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFr
         return genotypes.read_beagle(spark, a.beagle)
     if a.bgen:
         rows, sites, people = _bgen(spark, a.bgen)
-        return genotypes.bgen_likelihoods(rows), sites, people
+        return bgen.bgen_likelihoods(rows), sites, people
     rows, sites, people = genotypes.read_plink(spark, a.bfile)
     return frequency.call_likelihood_rows(rows), sites, people
 

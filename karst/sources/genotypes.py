@@ -1,4 +1,4 @@
-"""Readers of genotype formats: PLINK bed, BGEN, BEAGLE.
+"""Readers of genotype formats: PLINK bed and BEAGLE; BGEN is in bgen.py.
 
 Each reads in parallel ranges of features. Binary files are read by byte ranges through a Python
 data source, so that a task holds a few megabytes of the file whatever its size.
@@ -6,8 +6,6 @@ data source, so that a task holds a few megabytes of the file whatever its size.
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +19,6 @@ BED_MAGIC = b"\x6c\x1b\x01"
 #: Copies of the first allele for the codes 00, 01, 10, 11; -1 is missing.
 BED_COPIES = np.array([2, -1, 1, 0], np.int8)
 RANGE_BYTES = 4 << 20
-BATCH_CELLS = 1 << 19
 
 
 def open_binary(path: str):
@@ -167,153 +164,6 @@ def rows_to_long(rows: DataFrame, value: str = "dos") -> DataFrame:
     return long_.withColumn("sample_idx", F.col("sample_idx").cast("long"))
 
 
-# --- BGEN --------------------------------------------------------------------------------------
-
-
-class BgenHeader:
-    """The header block of a BGEN file, layouts 1 and 2."""
-
-    def __init__(self, f):
-        self.offset, size, self.m, self.n = struct.unpack("<IIII", f.read(16))
-        magic = f.read(4)
-        if magic not in (b"bgen", b"\0\0\0\0"):
-            raise ValueError("no BGEN file")
-        f.read(size - 20)
-        flags = struct.unpack("<I", f.read(4))[0]
-        self.compression, self.layout = flags & 3, flags >> 2 & 15
-        self.first = self.offset + 4
-        if self.layout != 2:
-            raise ValueError("only layout 2 is supported")
-
-
-def _bgen_variant(f) -> tuple[str, str, int, list[str], int]:
-    """Chromosome, id, position, alleles and length of the data of the variant at f, which then stands at the data."""
-    text = []
-    for _ in range(3):
-        (n,) = struct.unpack("<H", f.read(2))
-        text.append(f.read(n).decode())
-    pos, k = struct.unpack("<IH", f.read(6))
-    alleles = []
-    for _ in range(k):
-        (n,) = struct.unpack("<I", f.read(4))
-        alleles.append(f.read(n).decode())
-    (size,) = struct.unpack("<I", f.read(4))
-    return text[2], text[1] or text[0], pos, alleles, size
-
-
-def bgen_ranges(path: str) -> tuple[BgenHeader, list[_Range]]:
-    """The header, and ranges of variants of about RANGE_BYTES with the place where each begins."""
-    out: list[_Range] = []
-    with open_binary(path) as f:
-        h = BgenHeader(f)
-        f.seek(h.first)
-        start, first = h.first, 0
-        for i in range(h.m):
-            f.seek(_bgen_variant(f)[4], 1)
-            if f.tell() - start >= RANGE_BYTES or i + 1 == h.m:
-                out.append(_Range(first, i + 1, start))
-                start, first = f.tell(), i + 1
-    return h, out
-
-
-def decode_bgen(raw: bytes, compression: int) -> np.ndarray:
-    """Probabilities of 2, 1 and 0 copies of the first allele per sample (nan where missing); biallelic, diploid."""
-    if compression:
-        (size,) = struct.unpack_from("<I", raw)
-        if compression == 1:
-            raw = zlib.decompress(raw[4:])
-        else:
-            import zstandard
-
-            raw = zstandard.ZstdDecompressor().decompress(raw[4:], max_output_size=size)
-    n, alleles, low, high = struct.unpack_from("<IHBB", raw)
-    if alleles != 2 or low != 2 or high != 2:
-        raise ValueError("only biallelic diploid variants are supported")
-    ploidy = np.frombuffer(raw, np.uint8, n, 8)
-    phased, bits = raw[8 + n], raw[9 + n]
-    data = np.frombuffer(raw, np.uint8, -1, 10 + n)
-    if bits in (8, 16, 32):
-        x = np.frombuffer(raw, f"<u{bits // 8}", 2 * n, 10 + n).astype(float)
-    else:
-        plain = np.unpackbits(data, bitorder="little")[: 2 * n * bits].reshape(-1, bits)
-        x = plain @ (2.0 ** np.arange(bits))
-    p = (x / (2**bits - 1)).reshape(n, 2)
-    if phased:
-        a, b = p[:, 0], p[:, 1]
-        out = np.stack([a * b, a * (1 - b) + b * (1 - a), (1 - a) * (1 - b)], 1)
-    else:
-        out = np.column_stack([p, np.maximum(0, 1 - p.sum(1))])
-    out[ploidy >= 128] = np.nan
-    return out
-
-
-class _BgenReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self):
-        h, parts = bgen_ranges(self.path)
-        for p in parts:
-            p.compression = h.compression
-        return parts or [_Range(0, 0)]
-
-    def read(self, part) -> Iterator[pa.RecordBatch]:
-        names = ["feature_idx", "chr", "snp_id", "bp", "a1", "a2", "dosage", "p0", "p1"]
-
-        def batch(sites: list[tuple], p: np.ndarray) -> pa.RecordBatch:
-            """A batch of variants; p: variants x samples x 3."""
-            gone = np.isnan(p[:, :, 0])
-            dose = 2 * p[:, :, 0] + p[:, :, 1]
-            # the minor allele's dosage
-            flip = np.nansum(dose, 1) > (~gone).sum(1)
-            dose = np.where(flip[:, None], 2 - dose, dose)
-            ends = pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32())
-            array = lambda x: pa.ListArray.from_arrays(ends, pa.array(x.ravel(), mask=gone.ravel()))
-            cols = list(zip(*sites))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            flat = [pa.array(list(c), k) for c, k in zip(cols, kinds)]
-            return pa.RecordBatch.from_arrays([*flat, array(dose), array(p[:, :, 0]), array(p[:, :, 1])], names)
-
-        with open_binary(self.path) as f:
-            f.seek(part.offset)
-            sites, held, cells = [], [], 0
-            for i in range(part.first, part.last):
-                chr_, rsid, pos, alleles, size = _bgen_variant(f)
-                held.append(decode_bgen(f.read(size), part.compression))
-                sites.append((i, chr_, rsid, pos, alleles[0], alleles[1]))
-                cells += len(held[-1])
-                if cells >= BATCH_CELLS:
-                    yield batch(sites, np.stack(held))
-                    sites, held, cells = [], [], 0
-            if held:
-                yield batch(sites, np.stack(held))
-
-
-class BgenSource(DataSource):
-    """Rows: feature_idx, chr, snp_id, bp, a1, a2, dosage (0 to 2, minor allele, null where missing), p0, p1."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "karst_bgen"
-
-    def schema(self) -> str:
-        return "feature_idx long, chr string, snp_id string, bp long, a1 string, a2 string, dosage array<double>, p0 array<double>, p1 array<double>"
-
-    def reader(self, schema):
-        return _BgenReader(self.options["path"])
-
-
-def read_bgen(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(BgenSource)
-    return spark.read.format("karst_bgen").load(path)
-
-
-def bgen_likelihoods(rows: DataFrame) -> DataFrame:
-    """feature_idx, p0, p1 (arrays) of read_bgen's rows; 0.333333 each where missing."""
-    filled = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit(0.333333)))
-    return rows.select("feature_idx", filled("p0").alias("p0"), filled("p1").alias("p1"))
-
-
 def rows_to_cells(rows: DataFrame, *names: str) -> DataFrame:
     """Long form of several arrays over samples."""
     x = rows.select("feature_idx", F.posexplode(F.arrays_zip(*names)).alias("sample_idx", "c"))

@@ -10,6 +10,7 @@ import pytest
 
 from karst.functions import special
 from karst.operators import pca, scaling
+from karst.sources import bgen as bgen_source
 from karst.sources import genotypes, matrices, sinks
 
 
@@ -58,7 +59,7 @@ def test_bgen(spark, tmp_path, bits, compression):
     rng = np.random.default_rng(bits)
     p = rng.dirichlet([2, 1, 1], (3, 5))
     p[1, 2] = np.nan
-    rows = genotypes.read_bgen(spark, bgen(tmp_path, p, bits, compression)).orderBy("feature_idx").collect()
+    rows = bgen_source.read_bgen(spark, bgen(tmp_path, p, bits, compression)).orderBy("feature_idx").collect()
     assert [r["snp_id"] for r in rows] == ["rs0", "rs1", "rs2"] and rows[2]["bp"] == 102
     assert rows[1]["p0"][2] is None
     assert np.allclose(rows[0]["p0"], p[0, :, 0], atol=2 / 2**bits)
