@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
+#: What a partial sum's piece, and the cells that are worked at a time, may take.
+PIECE_BYTES = 4 << 20
 
 
 def block(column: pa.Array) -> np.ndarray:
@@ -24,6 +26,14 @@ def block(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows each, so that what a task makes of them doesn't grow with a batch; none is empty."""
+    for batch in batches:
+        step = max(1, len(batch) * PIECE_BYTES // max(batch.nbytes, 1))
+        for a in range(0, len(batch), step):
+            yield batch.slice(a, step)
+
+
 def rows_batch(idx: pa.Array, x: np.ndarray, names: tuple[str, str] = ("feature_idx", "values")) -> pa.RecordBatch:
     offsets = pa.array(np.arange(len(x) + 1) * (x.shape[1] if len(x) else 0), pa.int32())
     return pa.RecordBatch.from_arrays([idx, pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x).ravel()))], list(names))
@@ -37,23 +47,20 @@ def _sum_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"name": table.column("name")[:1], "at": table.column("at")[:1], "data": pa.array([total.tobytes()], pa.binary())})
 
 
-def reduce_arrays(rows: DataFrame, partial, shapes: dict[str, tuple[int, int]]) -> dict[str, np.ndarray]:
-    """Sums over all partitions of the named arrays that partial(idx, x, total) adds to."""
+def reduce_batches(table: DataFrame, add, shapes: dict[str, tuple[int, int]]) -> dict[str, np.ndarray]:
+    """Sums over all partitions of the named arrays that add(batch, total) adds to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {k: np.zeros(s) for k, s in shapes.items()}
-        for b in batches:
-            if len(b):
-                partial(b.column(0).to_numpy(), block(b.column(1)), total)
-        name, at, data = [], [], []
+        for b in pieces(batches):
+            add(b, total)
         for k, x in total.items():
-            for i in range(0, len(x), BLOCK_ROWS):
-                name.append(k)
-                at.append(i)
-                data.append(np.ascontiguousarray(x[i : i + BLOCK_ROWS]).astype("<f8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(at, pa.int64()), pa.array(data, pa.binary())], ["name", "at", "data"])
+            step = min(BLOCK_ROWS, max(1, PIECE_BYTES // (8 * max(x.shape[1], 1))))
+            for i in range(0, len(x), step):
+                data = pa.array([np.ascontiguousarray(x[i : i + step]).astype("<f8").tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i], pa.int64()), data], ["name", "at", "data"])
 
-    parts = rows.select("feature_idx", "values").mapInArrow(run, "name string, at long, data binary")
+    parts = table.mapInArrow(run, "name string, at long, data binary")
     sums = parts.groupBy("name", "at").applyInArrow(_sum_blocks, "name string, at long, data binary").collect()
     out = {k: np.zeros(s) for k, s in shapes.items()}
     for r in sums:
@@ -63,6 +70,15 @@ def reduce_arrays(rows: DataFrame, partial, shapes: dict[str, tuple[int, int]])
     return out
 
 
+def reduce_arrays(rows: DataFrame, partial, shapes: dict[str, tuple[int, int]]) -> dict[str, np.ndarray]:
+    """Sums over all partitions of the named arrays that partial(idx, x, total) adds to."""
+
+    def add(b: pa.RecordBatch, total: dict[str, np.ndarray]) -> None:
+        partial(b.column(0).to_numpy(), block(b.column(1)), total)
+
+    return reduce_batches(rows.select("feature_idx", "values"), add, shapes)
+
+
 def power_pass(rows: DataFrame, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One pass: with G = X omega (a row per feature), H = X' G and G' G."""
     n, l_ = omega.shape
@@ -82,9 +98,8 @@ def times(rows: DataFrame, m: np.ndarray, name: str = "pcs") -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(m))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                yield rows_batch(b.column(0), block(b.column(1)) @ shared.value, ("feature_idx", name))
+        for b in pieces(batches):
+            yield rows_batch(b.column(0), block(b.column(1)) @ shared.value, ("feature_idx", name))
 
     return rows.select("feature_idx", "values").mapInArrow(run, f"feature_idx long, {name} array<double>")
 
@@ -94,9 +109,8 @@ def map_rows(rows: DataFrame, fn, shared: object) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                yield rows_batch(b.column(0), fn(block(b.column(1)), sent.value))
+        for b in pieces(batches):
+            yield rows_batch(b.column(0), fn(block(b.column(1)), sent.value))
 
     return rows.select("feature_idx", "values").mapInArrow(run, "feature_idx long, values array<double>")
 
@@ -110,9 +124,7 @@ def map_arrays(rows: DataFrame, fn, shared: object, schema: str) -> DataFrame:
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
+        for b in pieces(batches):
             cols = [block(c) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns[1:]]
             out = [b.column(0)]
             for x in fn(*cols, sent.value):
