@@ -2,12 +2,17 @@
 
 Rows are (feature_idx, values), values over N samples. U (N x k) and S live on the driver; V stays
 a DataFrame (feature_idx, pcs). Each method is a driver loop of passes; see matrix.power_pass.
+
+A matrix X of few features and more samples (`slices.few`) is L Q', with L from the features' relation
+X X' = L L' and orthonormal Q (samples). The methods then run on L, which is small, from the same start:
+their steps are those on X, written in the coordinates of Q. Scores are made in slices of samples.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,6 +20,7 @@ from pyspark.sql import functions as F
 
 from karst.operators.lineage import cut
 from karst.operators.matrix import align, flip_signs, mev, power_pass, reduce_arrays, times
+from karst.operators.slices import Slices, few_features, slices
 from karst.operators.tiles import gram
 from karst.params import PcaParams
 
@@ -33,6 +39,63 @@ class Pca:
         return self.s**2 / self.n_features * ploidy
 
 
+class SlicedPca:
+    """A model of a matrix in slices: U is X' times `coefs` (features x k), and made when it is asked for."""
+
+    eigenvalues = Pca.eigenvalues
+
+    def __init__(self, parts: Slices, relation: np.ndarray, coefs: np.ndarray, s: np.ndarray, passes: int):
+        self.parts, self.coefs, self.s, self.passes = parts, coefs, s, passes
+        self.n_features = len(parts.features)
+        #: X U, and V without its signs (features x k)
+        self.images = relation @ coefs
+        self.loadings = self.images / np.where(s > 0, s, 1.0)
+
+    @cached_property
+    def _signed(self) -> tuple[np.ndarray, np.ndarray]:
+        u = self.parts.scores(lambda _, cols, a: cols[0].T @ a, self.coefs, len(self.s))
+        sign = flip_signs(u)
+        return u * sign, self.loadings * sign
+
+    @property
+    def u(self) -> np.ndarray:
+        return self._signed[0]
+
+    @cached_property
+    def v(self) -> DataFrame:
+        rows = [(int(i), [float(x) for x in r]) for i, r in zip(self.parts.features, self._signed[1])]
+        return self.parts.table.sparkSession.createDataFrame(rows, "feature_idx long, pcs array<double>")
+
+
+class Reduced:
+    """The small matrix that stands for one in slices: X = L Q'."""
+
+    def __init__(self, parts: Slices):
+        self.parts, self.relation = parts, parts.relation()
+        w, e = np.linalg.eigh(self.relation)
+        good = w > max(w.max(), 0) * 1e-13
+        size = np.sqrt(w[good])
+        self.l, self.q = e[:, good] * size, e[:, good] / size
+
+    def fit(self, u: np.ndarray, s: np.ndarray, passes: int) -> SlicedPca:
+        """The model of scores in the coordinates of Q."""
+        return SlicedPca(self.parts, self.relation, self.q @ u, s, passes)
+
+    def start(self, p: PcaParams, start=None) -> np.ndarray:
+        """The methods' start in the coordinates of Q; `start` is a broadcast of it over samples."""
+        return self.q.T @ self.parts.times(start or sent_start(self.parts, p))
+
+
+def sent_start(parts: Slices, p: PcaParams):
+    """The start over samples, broadcast (8 N l bytes)."""
+    n = parts.n
+    return parts.broadcast(orthonormal(start_matrix(n, start_width(p, n, len(parts.features)), p.seed, p.omega)))
+
+
+def start_width(p: PcaParams, n: int, m: int) -> int:
+    return min(p.k + p.oversamples, n, m)
+
+
 def start_matrix(n: int, width: int, seed: int, kind: str = "gaussian") -> np.ndarray:
     """The random start of the range finders."""
     rng = np.random.default_rng(seed)
@@ -72,6 +135,11 @@ def shape(rows: DataFrame) -> tuple[int, int]:
 
 def full(rows: DataFrame, k: int | None = None) -> Pca:
     """The k leading triplets (all, where k is None), from the relation of the samples as a table of tiles."""
+    found = few_features(rows)
+    if found:
+        small = Reduced(slices(rows, *found))
+        u, s, _ = np.linalg.svd(small.l.T, full_matrices=False)
+        return small.fit(u[:, :k], s[:k], 1)
     m, n = shape(rows)
     w, u = gram(rows, n).leading(min(n, m, k or n))
     return _finish(rows, u, np.sqrt(np.maximum(w, 0)), m, 1)
@@ -79,18 +147,37 @@ def full(rows: DataFrame, k: int | None = None) -> Pca:
 
 def ssvd(rows: DataFrame, p: PcaParams) -> Pca:
     """Power iteration, a pass each, until the leading scores stay."""
+    found = few_features(rows)
+    if found:
+        return sliced_ssvd(slices(rows, *found), p)
     m, n = shape(rows)
-    width = min(p.k + p.oversamples, n, m)
-    omega, before = orthonormal(start_matrix(n, width, p.seed, p.omega)), None
+    omega = orthonormal(start_matrix(n, start_width(p, n, m), p.seed, p.omega))
+    u, s, done = _power(lambda omega: power_pass(rows, omega), omega, p)
+    return _finish(rows, u, s, m, done)
+
+
+def sliced_ssvd(parts: Slices, p: PcaParams, start=None) -> SlicedPca:
+    small = Reduced(parts)
+
+    def one_pass(omega):
+        g = small.l @ omega
+        return small.l.T @ g, g.T @ g
+
+    return small.fit(*_power(one_pass, small.start(p, start), p))
+
+
+def _power(one_pass: Callable, omega: np.ndarray, p: PcaParams) -> tuple[np.ndarray, np.ndarray, int]:
+    """U, S and passes of power iteration from omega; one_pass gives X' X omega and omega' X' X omega."""
+    before = None
     for done in range(1, p.max_power + 1):
-        h, c = power_pass(rows, omega)
+        h, c = one_pass(omega)
         u, s = extract(h, c)
         k = min(p.k, u.shape[1])
         now = u[:, :k]
         if done == p.max_power or before is not None and before.shape == now.shape and 1 - mev(now, before) < p.tol_rsvd:
             break
         before, omega = now, orthonormal(h)
-    return _finish(rows, u[:, :k], s[:k], m, done)
+    return now, s[:k], done
 
 
 def with_bands(rows: DataFrame, bands: int, shuffle: bool, seed: int) -> DataFrame:
@@ -136,11 +223,39 @@ def winsvd(rows: DataFrame, p: PcaParams) -> Pca:
     only: the rows are written once, by band. Once a span is all bands, an epoch is an exact pass, and
     the scores are compared with those of the epoch before.
     """
+    found = few_features(rows)
+    if found:
+        return sliced_winsvd(slices(rows, *found), p)
     m, n = shape(rows)
-    width = min(p.k + p.oversamples, n, m)
     table = cut(with_bands(rows, p.windows, p.shuffle, p.seed).repartition(p.windows, "band"), "bands")
-    omega = orthonormal(start_matrix(n, width, p.seed, p.omega))
-    none = np.zeros((n, width))
+    omega = orthonormal(start_matrix(n, start_width(p, n, m), p.seed, p.omega))
+
+    def halves(at, to, omega, half):
+        part = table if to - at == p.windows else table.filter((F.col("band") >= at) & (F.col("band") < to))
+        return half_spans(part, omega, half)
+
+    u, s, epoch = _windows(halves, omega, p)
+    return _finish(rows, u, s, m, epoch)
+
+
+def sliced_winsvd(parts: Slices, p: PcaParams) -> SlicedPca:
+    """Columns of omega are turned in the coordinates of Q; the features' bands need no table."""
+    small = Reduced(parts)
+    rows = parts.table.sparkSession.createDataFrame([(int(i),) for i in parts.features], "feature_idx long")
+    told = {r["feature_idx"]: r["band"] for r in with_bands(rows, p.windows, p.shuffle, p.seed).collect()}
+    band = np.array([told[i] for i in parts.features])
+
+    def halves(at, to, omega, half):
+        g = small.l @ omega
+        early, late, both = (band >= at) & (band < half), (band >= max(at, half)) & (band < to), (band >= at) & (band < to)
+        return small.l[early].T @ g[early], small.l[late].T @ g[late], g[both].T @ g[both]
+
+    return small.fit(*_windows(halves, small.start(p), p))
+
+
+def _windows(halves: Callable, omega: np.ndarray, p: PcaParams) -> tuple[np.ndarray, np.ndarray, int]:
+    """U, S and epochs from omega; halves(at, to, omega, half) gives the sums of half_spans over bands from `at` before `to`."""
+    none = np.zeros(omega.shape)
     older, before, epoch = none, None, 0
     while True:
         exact = 1 << epoch >= p.windows
@@ -148,8 +263,7 @@ def winsvd(rows: DataFrame, p: PcaParams) -> Pca:
         older = none if exact else older
         first, c, at = none, 0.0, 0
         for to in update_points(p.windows, epoch):
-            part = table if to - at == p.windows else table.filter((F.col("band") >= at) & (F.col("band") < to))
-            early, late, own = half_spans(part, omega, span // 2 if at < span else 0)
+            early, late, own = halves(at, to, omega, span // 2 if at < span else 0)
             c, first = c + own, first + early
             if to < span:
                 h, older = older + first, none
@@ -163,7 +277,7 @@ def winsvd(rows: DataFrame, p: PcaParams) -> Pca:
         epoch += 1
         same = before is not None and before.shape == now.shape and 1 - mev(now, before) < p.tol_rsvd
         if exact and (same or epoch >= p.max_power):
-            return _finish(rows, now, s[:k], m, epoch)
+            return now, s[:k], epoch
         before = now
 
 

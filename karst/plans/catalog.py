@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -644,9 +645,8 @@ for _m in ("full", "iram", "ssvd", "winsvd"):
 @query("pca_scores")
 def pca_scores(spark, d):
     fit = pca.pca(_std_rows(spark, d), PcaParams(k=3, method="ssvd"))
-    ids = [r[0] for r in fx.samples(spark, d).select("sample_idx").orderBy("sample_idx").collect()]
-    rows = [(ids[i], *map(float, fit.u[i])) for i in range(len(ids))]
-    scores = spark.createDataFrame(rows, "sample_idx long, pc1 double, pc2 double, pc3 double")
+    ids = fx.samples(spark, d).select("sample_idx").orderBy("sample_idx").toArrow().column("sample_idx")
+    scores = spark.createDataFrame(pa.table({"sample_idx": ids} | {f"pc{i + 1}": fit.u[:, i] for i in range(3)}))
     return fx.samples(spark, d).join(scores, "sample_idx").select("fid", "iid", *[r6(F.col(f"pc{i}")).alias(f"pc{i}") for i in (1, 2, 3)])
 
 
