@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karst.operators.pca import shape
 from karst.operators.prefix import running, windowed
+from karst.operators.slices import few, slices
 from karst.operators.tiles import gram, inner
 
 #: Upper bounds of the distance bins, in base pairs.
@@ -80,11 +82,20 @@ def running_max(rows: DataFrame, order: str, value: str, by: Sequence[str] = (),
 def cross_chromosome(unit: DataFrame, sites: DataFrame, first: str, second: str) -> DataFrame:
     """mean_r2 over all pairs of a site of one chromosome and one of another, from rows of length 1.
 
-    The mean needs no pair: the sum of r2 over all pairs is the inner product of the two
+    Few sites of many samples meet in their own relation, which is a sum over slices of samples. Otherwise the
+    mean needs no pair: the sum of r2 over all pairs is the inner product of the two
     chromosomes' sample-by-sample relations, which are tables of tiles.
     """
-    placed = unit.join(sites.select("feature_idx", "chr"), "feature_idx")
+    placed = unit.join(sites.select("feature_idx", "chr"), "feature_idx").filter(F.col("chr").isin(first, second))
     a, b = placed.filter(F.col("chr") == first), placed.filter(F.col("chr") == second)
     (m1, n), (m2, _) = shape(a), shape(b)
-    total = inner(gram(a, n), gram(b, n)) / (m1 * m2) if m1 and m2 else 0.0
+    if not m1 or not m2:
+        total = 0.0
+    elif few(m1 + m2, n):
+        chromosome = {r["feature_idx"]: r["chr"] for r in placed.select("feature_idx", "chr").collect()}
+        features = np.array(sorted(chromosome))
+        one, other = (np.array([chromosome[i] == c for i in features]) for c in (first, second))
+        total = float((slices(placed, features, n).relation()[one][:, other] ** 2).mean())
+    else:
+        total = inner(gram(a, n), gram(b, n)) / (m1 * m2)
     return unit.sparkSession.range(1).select(F.lit(total).alias("mean_r2"))
