@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from karst.operators.frequency import field
 from karst.operators.lineage import cut
-from karst.operators.matrix import map_arrays, reduce_arrays
+from karst.operators.matrix import block, map_arrays, reduce_arrays
+from karst.operators.slices import few_features, slices
 
 
 def first_of(ref: DataFrame, *key: str) -> DataFrame:
@@ -116,10 +118,16 @@ def rows_normal(rows: DataFrame, k: int, n: int) -> np.ndarray:
         total["b"] += np.where(seen, g, 0.0).T @ w
 
     got = reduce_arrays(packed, partial, {"a": (n, len(pairs)), "b": (n, k)})
+    return _solved(got["a"], got["b"])
+
+
+def _solved(sums: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Scores of samples from the upper triangles (samples x k (k + 1) / 2) and right sides of their normal equations."""
+    n, k = b.shape
     a = np.zeros((n, k, k))
-    for c, (i, j) in enumerate(pairs):
-        a[:, i, j] = a[:, j, i] = got["a"][:, c]
-    return np.einsum("nij,nj->ni", np.linalg.pinv(a), got["b"]) if n else np.zeros((0, k))
+    for c, (i, j) in enumerate((i, j) for i in range(k) for j in range(i, k)):
+        a[:, i, j] = a[:, j, i] = sums[:, c]
+    return np.einsum("nij,nj->ni", np.linalg.pinv(a), b) if n else np.zeros((0, k))
 
 
 def project_likelihood_rows(
@@ -128,15 +136,16 @@ def project_likelihood_rows(
     """Scores (samples x k) of rows gl (feature_idx, p0, p1) on w (feature_idx, w: loadings times singular values).
 
     Posterior dosages under the reference's frequencies, least squares, then posteriors under U S V' until
-    the scores' relative change is below tol. An iteration is one pass; the scores are broadcast.
+    the scores' relative change is below tol. An iteration is one pass; the scores are broadcast. Few features of
+    more samples take two passes in all, see _project_slices.
     """
     table = cut(gl.join(w, "feature_idx").join(af.select("feature_idx", "af"), "feature_idx").select("feature_idx", "p0", "p1", "w", "af"), "gl")
+    found = few_features(table.select("feature_idx", F.col("p0").alias("values")))
+    if found:
+        return _project_slices(table, *found, k, max_iter, tol, steps)
 
     def expected(p0, p1, w, af, u):
-        f = af[:, None]
-        pi = f if u is None else np.clip((w @ u.T + 2 * f) / 2, 1e-4, 1 - 1e-4)
-        w0, w1, w2 = p0 * (1 - pi) ** 2, p1 * 2 * pi * (1 - pi), (1 - p0 - p1) * pi**2
-        return (w1 + 2 * w2) / (w0 + w1 + w2) - 2 * f, w
+        return _expected(p0, p1, w, af, u), w
 
     u = None
     for _ in range(1 + (max_iter if steps is None else steps)):
@@ -148,14 +157,64 @@ def project_likelihood_rows(
     return u
 
 
+def _expected(p0: np.ndarray, p1: np.ndarray, w: np.ndarray, af: np.ndarray, u: np.ndarray | None) -> np.ndarray:
+    f = af[:, None]
+    pi = f if u is None else np.clip((w @ u.T + 2 * f) / 2, 1e-4, 1 - 1e-4)
+    w0, w1, w2 = p0 * (1 - pi) ** 2, p1 * 2 * pi * (1 - pi), (1 - p0 - p1) * pi**2
+    return (w1 + 2 * w2) / (w0 + w1 + w2) - 2 * f
+
+
+def _project_slices(table: DataFrame, features: np.ndarray, n: int, k: int, max_iter: int, tol: float, steps: int | None) -> np.ndarray:
+    """As project_likelihood_rows, of few features, in slices of samples.
+
+    A sample's steps need that sample alone; only the step to stop at is common. The first pass adds up each
+    step's changes, the second makes that many steps, and only its scores reach the driver.
+    """
+    got = table.select("feature_idx", "w", "af").toArrow().sort_by("feature_idx")
+    w, af = block(got.column("w").combine_chunks()), got.column("af").to_numpy()
+    both = np.stack([w[:, i] * w[:, j] for i in range(k) for j in range(i, k)], 1)
+    parts = slices(table, features, n, ("p0", "p1"))
+
+    def scores(p0, p1, most):
+        u = None
+        for _ in range(most):
+            g = _expected(p0, p1, w, af, u)
+            seen = ~np.isnan(g)
+            u = _solved(seen.T.astype(float) @ both, np.where(seen, g, 0.0).T @ w)
+            yield u
+
+    def changes(_, cols, total):
+        before = None
+        for i, u in enumerate(scores(*cols, 1 + max_iter)):
+            if before is not None:
+                change, size = ((u - before) ** 2).sum(), (before**2).sum()
+                total["x"][i] += change, size
+                if change <= (1e-6 * tol) ** 2 * size:  # the rest adds nothing that could be seen
+                    total["x"][i + 1 :, 1] += size
+                    break
+            before = u
+
+    if steps is None:
+        change, size = np.sqrt(parts.sums(changes, {"x": (1 + max_iter, 2)})["x"]).T
+        close = np.flatnonzero(change[1:] < tol * np.maximum(size[1:], 1e-300))
+        steps = int(close[0]) + 1 if len(close) else max_iter
+
+    def last(_, cols, most):
+        *_, u = scores(*cols, most)
+        return u
+
+    return parts.scores(last, 1 + steps, k)
+
+
 def project_likelihoods(gl: DataFrame, v: DataFrame, s: DataFrame, af: DataFrame, max_iter: int = 100, tol: float = 1e-5, steps: int | None = None) -> DataFrame:
     """sample_idx, pcs from long-form likelihoods; each sample must have a cell of each feature."""
-    ids = [r[0] for r in gl.select("sample_idx").distinct().orderBy("sample_idx").collect()]
+    ids = gl.select("sample_idx").distinct().orderBy("sample_idx").toArrow().column("sample_idx").combine_chunks()
     cells = gl.groupBy("feature_idx").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "p0", "p1"))).alias("c"))
     rows = cells.select("feature_idx", *[F.transform("c", field(x)).alias(x) for x in ("p0", "p1")])
     w, k = weights(v, s)
     u = project_likelihood_rows(rows, w, af, len(ids), k, max_iter, tol, steps)
-    return gl.sparkSession.createDataFrame([(i, [float(x) for x in row]) for i, row in zip(ids, u)], "sample_idx long, pcs array<double>")
+    ends = pa.array(np.arange(len(u) + 1) * k, pa.int32())
+    return gl.sparkSession.createDataFrame(pa.table({"sample_idx": ids, "pcs": pa.ListArray.from_arrays(ends, pa.array(u.ravel()))}))
 
 
 def weights(v: DataFrame, s: DataFrame) -> tuple[DataFrame, int]:
