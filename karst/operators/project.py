@@ -174,13 +174,15 @@ def _project_slices(table: DataFrame, features: np.ndarray, n: int, k: int, max_
     w, af = block(got.column("w").combine_chunks()), got.column("af").to_numpy()
     both = np.stack([w[:, i] * w[:, j] for i in range(k) for j in range(i, k)], 1)
     parts = slices(table, features, n, ("p0", "p1"))
+    # samples without a gap share one system
+    whole = np.linalg.pinv(w.T @ w)
 
     def scores(p0, p1, most):
         u = None
         for _ in range(most):
             g = _expected(p0, p1, w, af, u)
             seen = ~np.isnan(g)
-            u = _solved(seen.T.astype(float) @ both, np.where(seen, g, 0.0).T @ w)
+            u = g.T @ w @ whole if seen.all() else _solved(seen.T.astype(float) @ both, np.where(seen, g, 0.0).T @ w)
             yield u
 
     def changes(_, cols, total):
