@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from karst.operators.lineage import cut, drop
 from karst.operators.matrix import block, map_arrays, reduce_arrays, rows_batch
-from karst.operators.pca import Pca, pca
-from karst.operators.tiles import Tiles, gram
+from karst.operators.pca import Pca, SlicedPca, pca, sent_start, sliced_ssvd
+from karst.operators.slices import Slices, feature_table, few_features, slices
+from karst.operators.tiles import Factored, Tiles, gram
 from karst.params import PcaParams
 
 
@@ -89,6 +90,9 @@ def emu(rows: DataFrame, p: PcaParams) -> tuple[Pca, int]:
     """PCA of hard calls with missing ones; the model and the iterations that it took."""
     inner = replace(p, em=None)
     rows = cut(rows, "emu")
+    found = few_features(rows) if p.method == "ssvd" else None
+    if found:
+        return _sliced_emu(rows, *found, inner)
     fit = pca(rows, inner)
     done = 0
     for done in range(1, p.max_iter + 1):
@@ -103,6 +107,39 @@ def emu(rows: DataFrame, p: PcaParams) -> tuple[Pca, int]:
     return pca(last, inner), done
 
 
+def _sliced_emu(rows: DataFrame, features: np.ndarray, n: int, p: PcaParams) -> tuple[SlicedPca, int]:
+    """`emu` of few features in slices of samples: a sample's cells need small matrices of the model only."""
+    af = feature_table(rows, "af")
+    sd = np.sqrt(p.ploidy * af * (1 - af))
+
+    def impute(_, x, seen, shared):
+        images, coefs = shared
+        return np.where(seen, x, np.clip(images @ (coefs.T @ x), -af, 1 - af)), seen
+
+    def last(at, x, seen, shared):
+        x, _ = impute(at, x, seen, shared)
+        return (x / np.where(sd > 1e-9, sd, 1.0),)
+
+    parts = slices(rows, features, n, ("values", "seen"))
+    start = sent_start(parts, p)
+    fit = sliced_ssvd(parts, p, start)
+    done = 0
+    for done in range(1, p.max_iter + 1):
+        new = parts.map(impute, (fit.images, fit.coefs), ["values", "seen"]).written()
+        parts.drop()
+        parts, before = new, fit
+        fit = sliced_ssvd(parts, p, start)
+        if 1 - _loadings_mev(fit, before) < p.tol_em:
+            break
+    made = parts.map(last, (fit.images, fit.coefs), ["values"]).written()
+    parts.drop()
+    return sliced_ssvd(made, p, start), done
+
+
+def _loadings_mev(fit: SlicedPca, before: SlicedPca) -> float:
+    return float(np.linalg.norm(fit.loadings.T @ before.loadings, axis=0).mean())
+
+
 def gl_rows(gl: DataFrame, af: DataFrame) -> DataFrame:
     """feature_idx, p0, p1 (arrays over samples), af."""
     cells = gl.join(af.select("feature_idx", "af"), "feature_idx").withColumn("g", F.struct("p0", "p1", "af"))
@@ -171,6 +208,9 @@ def pcangsd(rows: DataFrame, p: PcaParams) -> tuple[Pca, Tiles, int]:
     """
     inner = replace(p, em=None)
     rows = cut(rows, "gl")
+    found = few_features(rows.select("feature_idx", F.col("p0").alias("values"))) if p.method == "ssvd" else None
+    if found:
+        return _sliced_pcangsd(rows, *found, inner)
     values = cut(_pcangsd_fit(rows, None, None), "posterior")
     fit = pca(values, inner)
     done = 0
@@ -209,5 +249,49 @@ def pcangsd(rows: DataFrame, p: PcaParams) -> tuple[Pca, Tiles, int]:
         total["d"] += x[:, n:].sum(0)[:, None]
 
     d = reduce_arrays(both, squares, {"d": (n, 1)})["d"][:, 0] / fit.n_features
-    cov = replace(gram(z, n), scale=1 / fit.n_features).with_diagonal(d)
+    cov = gram(z, n).scaled(1 / fit.n_features).with_diagonal(d)
     return fit, cov, done
+
+
+def _sliced_pcangsd(rows: DataFrame, features: np.ndarray, n: int, p: PcaParams) -> tuple[SlicedPca, Tiles, int]:
+    """`pcangsd` of few features in slices of samples; the covariance stays two factors and a diagonal."""
+    af = feature_table(rows, "af")
+    norm = 2 * af * (1 - af)
+    ok = norm > 1e-9
+    safe, m = np.where(ok, norm, 1.0), len(features)
+
+    def priors(x, shared):
+        images, coefs = shared
+        return np.clip((images @ (coefs.T @ x) + 2 * af) / 2, 1e-4, 1 - 1e-4)
+
+    def first(_, p0, p1, shared):
+        _, w1, w2 = posterior_dosage(p0, p1, np.broadcast_to(af, p0.shape))
+        return w1 + 2 * w2 - 2 * af, p0, p1
+
+    def again(_, x, p0, p1, shared):
+        _, w1, w2 = posterior_dosage(p0, p1, priors(x, shared))
+        return w1 + 2 * w2 - 2 * af, p0, p1
+
+    def standardised(_, x, p0, p1, shared):
+        """Standardised dosages, and what the diagonal has beside their squares: the expected squares less those."""
+        w0, w1, w2 = posterior_dosage(p0, p1, priors(x, shared))
+        square = np.where(ok, (w0 * (2 * af) ** 2 + w1 * (1 - 2 * af) ** 2 + w2 * (2 - 2 * af) ** 2) / safe, 0.0)
+        z = np.where(ok, (w1 + 2 * w2 - 2 * af) / np.sqrt(safe), 0.0)
+        return z, (square - z * z).sum(0)[None, :]
+
+    given = slices(rows, features, n, ("p0", "p1"))
+    columns = ["values", "p0", "p1"]
+    parts = given.map(first, None, columns).written()
+    given.drop()
+    start = sent_start(parts, p)
+    fit = sliced_ssvd(parts, p, start)
+    done = 0
+    for done in range(1, p.max_iter + 1):
+        new = parts.map(again, (fit.images, fit.coefs), columns).written()
+        parts.drop()
+        parts, before = new, fit
+        fit = sliced_ssvd(parts, p, start)
+        if 1 - _loadings_mev(fit, before) < p.tol_em:
+            break
+    made = parts.map(standardised, (fit.images, fit.coefs), ["values", "rest"])
+    return fit, Factored(made.written(), 1 / m), done
