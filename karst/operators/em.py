@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from karst.operators.lineage import cut, drop
 from karst.operators.matrix import block, map_arrays, reduce_arrays, rows_batch
 from karst.operators.pca import Pca, SlicedPca, pca, sent_start, sliced_ssvd
-from karst.operators.slices import Slices, feature_table, few_features, slices
+from karst.operators.slices import feature_table, few_features, slices
 from karst.operators.tiles import Factored, Tiles, gram
 from karst.params import PcaParams
 
