@@ -8,10 +8,13 @@ ends of the longer phrase, whose count is a popcount. No bit stands at the empty
 phrase crosses pieces. Extension goes depth first over batches of first words.
 
 Counts are sums over shards. Each round tells the shards what they may build on: words, then pairs,
-that reach the least count over all shards, for no longer phrase can be frequent otherwise. What a
-round tells is joined to the shards by their number; nothing is broadcast, and no table of words
-or phrases is ever in one place. Shards are written once, so that all rounds see the same ones.
-Frequent words get numbers, and pairs travel as two of them.
+that reach the least count over all shards, for no longer phrase can be frequent otherwise. A shard's
+words or phrases go, sorted and packed, to buckets by their hash, a row for each bucket. A bucket adds
+up what all shards sent and answers each shard with those of its own that are frequent, packed too.
+Buckets number by the tokens of the table, so one holds about BUCKET_TOKENS of rows at most, whatever the table.
+Answers are joined to the shards by their number; nothing is broadcast, and no table of words or
+phrases is ever in one place. Shards are written once, so that all rounds see the same ones. Frequent
+words get numbers, low for the most frequent of a bucket, and phrases travel as those numbers.
 
 Scores and the drop of phrases inside longer ones are joins of the table of frequent phrases with
 itself, in decimals of 38 digits. The best of a language are taken in rounds, each keeping the best
@@ -24,21 +27,23 @@ text that passes it, so a very long text makes a shard of its size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from karst.llm.common import cut
+from karst.llm.common import cut, parts_for
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 COVERED = 80  # percent of a phrase's count that a longer one must have to stand for it
 SHARD_BYTES = 8 << 20
 BATCH = 1 << 16  # blocks that are extended at a time
+BUCKET_TOKENS = 2 << 20
+SENT = 1 << 20  # phrases that a shard sends at a time
 GROUP = 50_000
 BLOCK = 16
 
@@ -46,8 +51,16 @@ BLOCK = 16
 _BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else 10 if chr(b) in ".,;:!?" or 0x0A <= b <= 0x0D else 32 if b == 9 else b for b in range(256)
 )
-#: words, counts and codes are packed (zstd): moving them is what a round costs.
+#: lang_of, words, counts and codes are packed: moving them is what a round costs. Words are numbered by falling count.
 SHARD = "shard long, langs array<string>, sizes array<long>, lang_of binary, words binary, counts binary, codes binary"
+#: Words of a shard in a bucket: language, text, count and the steps between their numbers.
+WORDS = "bucket int, shard long, langs array<string>, lang_of binary, words binary, counts binary, i binary"
+#: Either what a shard is told (its frequent words and their numbers over all shards) or a frequent word.
+FREQUENT_WORDS = "shard long, i binary, ids binary, id long, lang string, phrase string, f long"
+#: Phrases of `len` words of a shard in a bucket: the numbers of their words, and their counts.
+PHRASES = "bucket int, len int, shard long, items binary, counts binary"
+#: Either what a shard is told (its frequent phrases) or a frequent phrase.
+FREQUENT = "shard long, items binary, ids array<long>, f long"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -65,14 +78,33 @@ def _unpacked(raw: bytes) -> bytes:
     return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
 
 
-def _word_list(raw: bytes) -> pa.Array:
-    """The words of a shard; none holds a space."""
+def _word_list(raw: bytes) -> list[bytes]:
+    """The words packed together; none holds a space."""
     joined = _unpacked(raw)
-    return pa.array(joined.split(b" ") if joined else [], pa.string())
+    return joined.split(b" ") if joined else []
+
+
+def _numbers(a: np.ndarray) -> bytes:
+    """Numbers from 0 packed: all their lowest bytes, then all the next ones, as far as any is set."""
+    wide = (int(a.max(initial=0)).bit_length() + 7) // 8
+    planes = a.astype("<u8").view(np.uint8).reshape(-1, 8).T[:wide]
+    return bytes([wide]) + len(a).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+
+
+def _read_numbers(raw: bytes) -> np.ndarray:
+    wide, n = raw[0], int.from_bytes(raw[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if n and wide:
+        out[:, :wide] = np.frombuffer(pa.decompress(raw[9:], n * wide, "zstd", asbytes=True), np.uint8).reshape(wide, n).T
+    return out.view("<i8").ravel()
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=0)
 
 
 def _shard(texts: dict[str, list[bytes]]) -> dict:
-    """Numbers of all words of texts by language; -1 stands between pieces."""
+    """Words of texts by language, and their numbers in the order of the texts."""
     words, lang_of, sizes, codes, base = [], [], [], [], 0
     for i, some in enumerate(texts.values()):
         found = [w for t in some for w in tokens(t)]
@@ -86,14 +118,17 @@ def _shard(texts: dict[str, list[bytes]]) -> dict:
         lang_of.append(np.full(len(number), i, "<i4"))
         base += len(number)
     line = np.concatenate(codes)
-    counts = np.bincount(line[line >= 0], minlength=base).astype("<i8")
+    counts = np.bincount(line[line >= 0], minlength=base)
+    by_count = np.argsort(-counts, kind="stable")
+    rank = np.empty(base + 1, np.int64)
+    rank[by_count], rank[-1] = np.arange(base), -1
     return {
         "langs": list(texts),
         "sizes": sizes,
-        "lang_of": np.concatenate(lang_of).tobytes(),
-        "words": _packed(b" ".join(words)),
-        "counts": _packed(counts.tobytes()),
-        "codes": _packed(line.tobytes()),
+        "lang_of": _numbers(np.concatenate(lang_of)[by_count]),
+        "words": _packed(b" ".join([words[k] for k in by_count])),
+        "counts": _numbers(counts[by_count]),
+        "codes": _numbers(rank[line] + 1),  # 0 stands between pieces
     }
 
 
@@ -202,108 +237,232 @@ class Bitmaps:
                 yield phrases, np.bincount(of, np.bitwise_count(mask), minlength=len(child)).astype(np.int64)
 
 
-def _texts(words: pa.Array, numbers: np.ndarray) -> pa.Array:
-    """Rows of word numbers as space-joined phrases."""
-    columns = [words.take(pa.array(numbers[:, i])) for i in range(numbers.shape[1])]
-    return pc.binary_join_element_wise(*columns, " ")
-
-
-def _shards_of(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """Shard, languages, language and text of each word, codes, and the frequent words by ascending place: places and numbers."""
-    for k in range(batch.num_rows):
-        shard, langs, lang_of, words, codes, one = (c[k] for c in batch.columns[:6])
-        place = one.values.field("i").to_numpy(zero_copy_only=False).astype(np.int64)
-        number = one.values.field("id").to_numpy(zero_copy_only=False)
-        order = np.argsort(place)
-        names = pa.array(langs.as_py(), pa.string())
-        lang = np.frombuffer(lang_of.as_py(), "<i4")
-        line = np.frombuffer(_unpacked(codes.as_py()), "<i4")
-        yield k, shard.as_py(), names, lang, words, line, place[order], number[order]
+def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that occurs with the places of its rows, ascending."""
+    order = np.argsort(bucket, kind="stable")
+    start = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for a, b in zip(start, np.append(start[1:], len(order))):
+        yield int(bucket[order[a]]), order[a:b]
 
 
-def _words(table: DataFrame) -> DataFrame:
-    """lang, phrase, shard, i, n of the words of all shards."""
+def _words(table: DataFrame, buckets: int) -> DataFrame:
+    """The words of all shards as rows of WORDS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                shard, langs, lang_of, words, counts = (c[k] for c in b.columns)
-                texts = _word_list(words.as_py())
-                n = len(texts)
-                i = pa.array(np.arange(n, dtype=np.int32))
-                lang = pa.array(langs.as_py(), pa.string()).take(pa.array(np.frombuffer(lang_of.as_py(), "<i4")))
-                cols = [lang, texts, pa.array(np.full(n, shard.as_py())), i, pa.array(np.frombuffer(_unpacked(counts.as_py()), "<i8"))]
-                whole = pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "shard", "i", "n"])
-                for a in range(0, n, 200_000):
-                    yield whole.slice(a, 200_000)
+                shard, langs, lang_of, words, counts = (c[k].as_py() for c in b.columns)
+                texts, lang_of, counts = _word_list(words), _read_numbers(lang_of), _read_numbers(counts)
+                bucket = np.fromiter(map(crc32, texts), np.int64, len(texts)) % buckets
+                rows = [
+                    (h, shard, langs, _numbers(lang_of[at]), _packed(b" ".join([texts[i] for i in at])), _numbers(counts[at]), _numbers(_steps(at)))
+                    for h, at in _dealt(bucket)
+                ]
+                if rows:
+                    kinds = [pa.int32(), pa.int64(), pa.list_(pa.string()), *[pa.binary()] * 4]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], _names(WORDS))
+
+    return table.select("shard", "langs", "lang_of", "words", "counts").mapInArrow(run, WORDS)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each distinct key, ascending: the place of one of its rows and the sum of n; for each row, which key it has."""
+    order = np.argsort(key)
+    start = np.flatnonzero(np.diff(key[order], prepend=-1))
+    of = np.empty(len(key), np.int64)
+    of[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
+    return order[start], np.add.reduceat(n[order], start), of
+
+
+def _add_words(least: int, buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Rows of WORDS of a bucket to rows of FREQUENT_WORDS."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        bucket, numbers, words, lang, n = key[0].as_py(), {}, [], [], []
+        for langs, lang_of, some, counts in zip(*(rows[c].to_pylist() for c in ("langs", "lang_of", "words", "counts"))):
+            words.append(pa.array(_word_list(some), pa.string()))
+            lang.append(np.array([numbers.setdefault(x, len(numbers)) for x in langs])[_read_numbers(lang_of)])
+            n.append(_read_numbers(counts))
+        ends = np.cumsum([len(x) for x in n])
+        coded = pa.concat_arrays(words).dictionary_encode()
+        lang, n = np.concatenate(lang), np.concatenate(n)
+        one, f, of = _sums(lang * len(coded.dictionary) + coded.indices.to_numpy(), n)
+        frequent = np.flatnonzero(f >= least)
+        frequent = frequent[np.argsort(-f[frequent], kind="stable")]
+        ids = np.full(len(f), -1)
+        ids[frequent] = np.arange(len(frequent)) * buckets + bucket
+        named = one[frequent]
+        names = pa.array(list(numbers), pa.string()).take(pa.array(lang[named]))
+        vocabulary = [ids[frequent], names, coded.take(pa.array(named)).dictionary_decode(), f[frequent]]
+        told = []
+        for shard, steps, a, b in zip(rows["shard"].to_pylist(), rows["i"].to_pylist(), [0, *ends], ends):
+            own = ids[of[a:b]]
+            if (own >= 0).any():
+                told.append((shard, _numbers(_steps(np.cumsum(_read_numbers(steps))[own >= 0])), _numbers(own[own >= 0])))
+        return _either(FREQUENT_WORDS, [pa.int64(), pa.binary(), pa.binary()], told, [pa.int64(), pa.string(), pa.string(), pa.int64()], vocabulary)
+
+    return run
+
+
+def _either(schema: str, left: list[pa.DataType], told: list[tuple], right: list[pa.DataType], columns: list) -> pa.Table:
+    """Rows with the left columns only, then rows with the right ones only."""
+    n = len(columns[0])
+    first = [pa.array(c, t) for c, t in zip(zip(*told), left)] if told else [pa.nulls(0, t) for t in left]
+    parts = [[*first, *(pa.nulls(len(told), t) for t in right)], [*(pa.nulls(n, t) for t in left), *(pa.array(c, t) if isinstance(c, np.ndarray) else c for c, t in zip(columns, right))]]
+    return pa.concat_tables([pa.Table.from_arrays(p, _names(schema)) for p in parts])
+
+
+def _read_items(raw: bytes, length: int) -> np.ndarray:
+    """Words of phrases packed by _sent, a row for each place."""
+    items = _read_numbers(raw).reshape(length, -1)
+    np.cumsum(items[0], out=items[0])
+    return items
+
+
+def _phrase_items(phrases: np.ndarray) -> bytes:
+    """Sorted phrases, a row for each place, packed."""
+    return _numbers(np.concatenate([_steps(phrases[0]), *phrases[1:]]))
+
+
+def _key(phrases: np.ndarray) -> np.ndarray:
+    """A number for each phrase, in the order of phrases."""
+    key = phrases[0]
+    for c in phrases[1:]:
+        values = int(c.max(initial=0)) + 1
+        if (int(key.max(initial=0)) + 1) * values >= 1 << 62:
+            (key, c), values = (np.unique(x, return_inverse=True)[1] for x in (key, c)), len(c)
+        key = key * values + c
+    return key
+
+
+def _sent(shard: int, found: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Phrases (rows of numbers) and counts of a shard as rows of PHRASES."""
+    for length in sorted({p.shape[1] for p, _ in found}):
+        phrases = np.concatenate([p for p, _ in found if p.shape[1] == length]).T
+        counts = np.concatenate([n for p, n in found if p.shape[1] == length])
+        order = np.argsort(_key(phrases))
+        phrases, counts = phrases[:, order], counts[order]
+        mixed = np.zeros(len(counts), np.uint64)
+        for c in phrases:
+            mixed = (mixed ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(32)
+        rows = [(h, length, shard, _phrase_items(phrases[:, at]), _numbers(counts[at])) for h, at in _dealt((mixed % np.uint64(buckets)).astype(np.int64))]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], _names(PHRASES))
+
+
+def _add_phrases(least: int, tell: bool) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Rows of PHRASES of a bucket to rows of FREQUENT; without `tell`, shards are told nothing."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        length = key[1].as_py()
+        phrases = [_read_items(x, length) for x in rows["items"].to_pylist()]
+        ends = np.cumsum([p.shape[1] for p in phrases])
+        phrases = np.concatenate(phrases, axis=1)
+        one, f, of = _sums(_key(phrases), np.concatenate([_read_numbers(x) for x in rows["counts"].to_pylist()]))
+        frequent = f >= least
+        told = []
+        for shard, a, b in zip(rows["shard"].to_pylist(), [0, *ends], ends) if tell else ():
+            own = frequent[of[a:b]]
+            if own.any():
+                told.append((shard, _phrase_items(phrases[:, a:b][:, own])))
+        named = phrases[:, one[frequent]].T
+        ids = pa.ListArray.from_arrays(pa.array(np.arange(len(named) + 1) * length, pa.int32()), pa.array(named.ravel()))
+        return _either(FREQUENT, [pa.int64(), pa.binary()], told, [pa.list_(pa.int64()), pa.int64()], [ids, f[frequent]])
+
+    return run
 
-    rows = table.select("shard", "langs", "lang_of", "words", "counts")
-    return rows.mapInArrow(run, "lang string, phrase string, shard long, i int, n long")
+
+def _shards_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Shard, numbers of its words in the order of the text (-1 between pieces), and its frequent words, ascending: numbers here and over all shards."""
+    for k in range(batch.num_rows):
+        shard, codes, one = (c[k].as_py() for c in batch.columns[:3])
+        here = np.concatenate([np.cumsum(_read_numbers(x["i"])) for x in one])
+        ids = np.concatenate([_read_numbers(x["ids"]) for x in one])
+        order = np.argsort(here)
+        yield k, shard, _read_numbers(codes) - 1, here[order], ids[order]
+
+
+def _sending(shard: int, grown: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """What a shard sends, SENT phrases at a time."""
+    found, n = [], 0
+    for phrases, counts in grown:
+        found.append((phrases, counts))
+        n += len(counts)
+        if n >= SENT:
+            yield from _sent(shard, found, buckets)
+            found, n = [], 0
+    yield from _sent(shard, found, buckets)
 
 
-def _pairs(told: DataFrame) -> DataFrame:
-    """x, y, shard, n of the pairs of frequent words of all shards, by their numbers."""
+def _pairs(told: DataFrame, buckets: int) -> DataFrame:
+    """The pairs of frequent words of all shards as rows of PHRASES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, shard, _, _, _, line, place, number in _shards_of(b):
-                maps = Bitmaps(line, place)
-                for first, block, mask in maps.batches():
-                    for phrases, counts in maps.grow(first, block, mask, 2, None):
-                        x, y = number[phrases[:, 0]], number[phrases[:, 1]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x, y, np.full(len(x), shard), counts)], ["x", "y", "shard", "n"])
+            for _, shard, line, here, ids in _shards_of(b):
+                maps = Bitmaps(line, here)
+                grown = ((ids[p], n) for some in maps.batches() for p, n in maps.grow(*some, 2, None))
+                yield from _sending(shard, grown, buckets)
 
-    return told.select("shard", "langs", "lang_of", "words", "codes", "one").mapInArrow(run, "x long, y long, shard long, n long")
+    return told.select("shard", "codes", "one").mapInArrow(run, PHRASES)
 
 
-def _longer(told: DataFrame, longest: int) -> DataFrame:
-    """lang, phrase, len, n of the phrases of three words or more in all shards, all of whose pairs are frequent."""
+def _longer(told: DataFrame, longest: int, buckets: int) -> DataFrame:
+    """The phrases of three words or more of all shards, all of whose pairs are frequent, as rows of PHRASES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, _, names, lang, words, line, place, number in _shards_of(b):
-                texts = _word_list(words.as_py())
-                pairs = b.column(6)[k].values
-                order = np.argsort(number)
+            for k, shard, line, here, ids in _shards_of(b):
+                order = np.argsort(ids)
+                pairs = np.concatenate([_read_items(x, 2) for x in b.column(3)[k].as_py()], axis=1)
                 # places, among the frequent words, of both words of the pairs
-                x, y = (order[np.searchsorted(number[order], pairs.field(c).to_numpy(zero_copy_only=False))] for c in ("x", "y"))
+                x, y = (order[np.searchsorted(ids[order], c)] for c in pairs)
                 usable = np.unique(np.concatenate([x, y]))
-                place = place[usable]
-                maps = Bitmaps(line, place)
+                maps = Bitmaps(line, here[usable])
+                own = ids[usable]
                 allowed = np.unique(np.searchsorted(usable, x) * len(usable) + np.searchsorted(usable, y))
-                for first, block, mask in maps.batches():
-                    for phrases, counts in maps.grow(first, block, mask, longest, allowed, 3):
-                        for a in range(0, len(counts), 200_000):
-                            some = place[phrases[a : a + 200_000]]
-                            cols = [names.take(pa.array(lang[some[:, 0]])), _texts(texts, some), pa.array(np.full(len(some), some.shape[1], np.int32))]
-                            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts[a : a + 200_000])], ["lang", "phrase", "len", "n"])
+                grown = ((own[p], n) for some in maps.batches() for p, n in maps.grow(*some, longest, allowed, 3))
+                yield from _sending(shard, grown, buckets)
 
-    rows = told.select("shard", "langs", "lang_of", "words", "codes", "one", "two")
-    return rows.mapInArrow(run, "lang string, phrase string, len int, n long")
+    return told.select("shard", "codes", "one", "two").mapInArrow(run, PHRASES)
+
+
+def _bucketwise(rows: DataFrame, keys: list[str], add: Callable[[tuple, pa.Table], pa.Table], schema: str, name: str) -> DataFrame:
+    """The rows of each bucket through `add`, written."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(rows.repartition(parts, "bucket").groupBy(*keys).applyInArrow(add, schema), name)
 
 
 def frequent_phrases(table: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """lang, phrase, len, f of all words and phrases that occur at least `least` times."""
-    # a word, and then a pair, has a row a shard at most; a word's number is that of one of its rows
-    rows = _words(table).withColumn("id", F.monotonically_increasing_id())
-    w = Window.partitionBy("lang", "phrase")
-    rows = rows.withColumns({"f": F.sum("n").over(w), "id": F.min("id").over(w)}).filter(F.col("f") >= least)
-    one = cut(rows.select("lang", "phrase", "shard", "i", "id", "f"), "frequent-words")
-    vocabulary = one.groupBy("id").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"), F.first("f").alias("f"))
-    parts = [vocabulary.select("lang", "phrase", F.lit(1).alias("len"), "f")]
+    tokens = table.select(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).agg(F.sum("n")).first()[0] or 0
+    # two for each partition at least, so that all have some
+    buckets = parts_for(tokens, BUCKET_TOKENS, 2 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    one = _bucketwise(_words(table, buckets), ["bucket"], _add_words(least, buckets), FREQUENT_WORDS, "frequent-words")
+    vocabulary = one.filter("shard is null").select("id", "lang", "phrase", "f")
+    counted = []
     if longest > 1:
         # shards without a frequent word have nothing to build on
-        told = table.join(one.groupBy("shard").agg(F.collect_list(F.struct("i", "id")).alias("one")), "shard")
-        rows = _pairs(told).withColumn("f", F.sum("n").over(Window.partitionBy("x", "y"))).filter(F.col("f") >= least)
-        two = cut(rows.select("x", "y", "shard", "f"), "frequent-pairs")
-        left = vocabulary.select(F.col("id").alias("x"), "lang", F.col("phrase").alias("a"))
-        right = vocabulary.select(F.col("id").alias("y"), F.col("phrase").alias("b"))
-        named = two.groupBy("x", "y").agg(F.first("f").alias("f")).join(left, "x").join(right, "y")
-        parts.append(named.select("lang", F.concat_ws(" ", "a", "b").alias("phrase"), F.lit(2).alias("len"), "f"))
+        own = one.filter("shard is not null").groupBy("shard").agg(F.collect_list(F.struct("i", "ids")).alias("one"))
+        told = table.select("shard", "codes").join(own, "shard")
+        two = _bucketwise(_pairs(told, buckets), ["bucket", "len"], _add_phrases(least, longest > 2), FREQUENT, "frequent-pairs")
+        counted.append(two.filter("shard is null").select("ids", "f"))
     if longest > 2:
-        told = told.join(two.groupBy("shard").agg(F.collect_list(F.struct("x", "y")).alias("two")), "shard")
-        more = _longer(told, longest).groupBy("lang", "phrase").agg(F.first("len").alias("len"), F.sum("n").alias("f"))
-        parts.append(more.filter(F.col("f") >= least))
+        own = two.filter("shard is not null").groupBy("shard").agg(F.collect_list("items").alias("two"))
+        more = _longer(told.join(own, "shard"), longest, buckets)
+        more = _bucketwise(more, ["bucket", "len"], _add_phrases(least, False), FREQUENT, "frequent-longer")
+        counted.append(more.select("ids", "f"))
+    parts = [vocabulary.select("lang", "phrase", F.lit(1).alias("len"), "f")]
+    if counted:
+        several = reduce(DataFrame.unionByName, counted)
+        each = several.select("ids", "f", F.posexplode("ids").alias("at", "id")).join(vocabulary.select("id", "lang", "phrase"), "id")
+        named = each.groupBy("ids").agg(F.first("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("at", "phrase"))).alias("words"), F.first("f").alias("f"))
+        parts.append(named.select("lang", F.array_join("words.phrase", " ").alias("phrase"), F.size("ids").alias("len"), "f"))
     return cut(reduce(DataFrame.unionByName, parts), "phrases")
 
 

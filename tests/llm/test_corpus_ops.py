@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from karst.llm import op11_audit, op12_lines, op13_phrases
@@ -265,3 +266,71 @@ def test_products_beyond_64_bits(spark):
 def test_phrases_empty(docs):
     assert op13_phrases.mine(docs.limit(0)).count() == 0
     assert op13_phrases.mine(docs.filter("doc_id = 200")).count() == 0
+
+
+def shuffled(spark, after=-1):
+    """(last stage, bytes that the stages after `after` wrote for others)."""
+    gateway = spark.sparkContext._gateway
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    found = [(stages.apply(i).stageId(), stages.apply(i).shuffleWriteBytes()) for i in range(stages.size())]
+    return max((i for i, _ in found), default=-1), sum(n for i, n in found if i > after)
+
+
+def test_phrases_move_less_than_the_text(spark):
+    """Most pairs are rare in each shard: a row for each would be several times the text."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(400)) for _ in range(600)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(4).cache()
+    docs.count()
+    last, _ = shuffled(spark)
+    table = op13_phrases.shards(docs, 100_000)
+    assert table.count() >= 8
+    op13_phrases.frequent_phrases(table).count()
+    assert shuffled(spark, last)[1] < sum(map(len, texts))
+
+
+def test_numbers_come_back():
+    for a in ([], [0, 0], [255, 256, 0], [1 << 62, 1], list(range(70_000))):
+        got = op13_phrases._read_numbers(op13_phrases._numbers(np.array(a, np.int64)))
+        assert got.dtype == np.int64 and got.tolist() == a
+
+
+@pytest.mark.parametrize("wide", [1, 1 << 31, 1 << 40, 1 << 61])
+def test_keys_follow_phrases(wide):
+    rng = np.random.default_rng(1)
+    phrases = rng.integers(0, 3, (4, 300)) * wide
+    key = op13_phrases._key(phrases).tolist()
+    rows = list(map(tuple, phrases.T.tolist()))
+    assert [rows[i] for i in np.argsort(key, kind="stable")] == sorted(rows)
+    assert len(set(zip(key, rows))) == len(set(key)) == len(set(rows))
+
+
+@pytest.mark.parametrize("sent", [1, 50, 1 << 20])
+def test_buckets_add_up_what_shards_sent(monkeypatch, sent):
+    monkeypatch.setattr(op13_phrases, "SENT", sent)
+    rng = np.random.default_rng(2)
+    f, own, rows = Counter(), {}, {}
+    for shard in (0, 7, 1 << 40):
+        grown = []
+        for first in range(6):
+            for length in (3, 4):
+                p = np.unique(np.column_stack([np.full(20, first), rng.integers(0, 3, (20, length - 1))]), axis=0) * 1000
+                n = rng.integers(1, 9, len(p))
+                grown.append((p, n))
+                f.update({tuple(x): int(k) for x, k in zip(p.tolist(), n)})
+                own.setdefault(shard, set()).update(map(tuple, p.tolist()))
+        for b in op13_phrases._sending(shard, iter(grown), 5):
+            for r in b.to_pylist():
+                rows.setdefault((r["bucket"], r["len"]), []).append(r)
+    counted, told = {}, {}
+    for (bucket, length), some in rows.items():
+        out = op13_phrases._add_phrases(10, True)((pa.scalar(bucket), pa.scalar(length)), pa.Table.from_pylist(some)).to_pylist()
+        for r in out:
+            if r["shard"] is None:
+                assert tuple(r["ids"]) not in counted
+                counted[tuple(r["ids"])] = r["f"]
+            else:
+                told.setdefault(r["shard"], []).extend(map(tuple, op13_phrases._read_items(r["items"], length).T.tolist()))
+    assert counted == {p: n for p, n in f.items() if n >= 10}
+    assert {s: sorted(set(x)) for s, x in told.items()} == {s: sorted(p for p in x if f[p] >= 10) for s, x in own.items()}
