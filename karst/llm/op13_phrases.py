@@ -11,10 +11,10 @@ Counts are sums over shards. Each round tells the shards what they may build on:
 that reach the least count over all shards, for no longer phrase can be frequent otherwise. A shard's
 words or phrases go, sorted and packed, to buckets by their hash, a row for each bucket. A bucket adds
 up what all shards sent and answers each shard with those of its own that are frequent, packed too.
-Buckets number by the tokens of the table, so one holds about BUCKET_TOKENS of rows at most, whatever the table.
-Answers are joined to the shards by their number; nothing is broadcast, and no table of words or
-phrases is ever in one place. Shards are written once, so that all rounds see the same ones. Frequent
-words get numbers, low for the most frequent of a bucket, and phrases travel as those numbers.
+The more tokens, the more buckets: one gets the rows of about BUCKET_TOKENS tokens at most. Answers
+are joined to the shards by their number; nothing is broadcast, and no table of words or phrases is
+ever in one place. Shards are written once, so that all rounds see the same ones. Frequent words get
+numbers, low for the most frequent of a bucket, and phrases travel as those numbers.
 
 Scores and the drop of phrases inside longer ones are joins of the table of frequent phrases with
 itself, in decimals of 38 digits. The best of a language are taken in rounds, each keeping the best
@@ -310,9 +310,9 @@ def _add_words(least: int, buckets: int) -> Callable[[tuple, pa.Table], pa.Table
 
 def _either(schema: str, left: list[pa.DataType], told: list[tuple], right: list[pa.DataType], columns: list) -> pa.Table:
     """Rows with the left columns only, then rows with the right ones only."""
-    n = len(columns[0])
     first = [pa.array(c, t) for c, t in zip(zip(*told), left)] if told else [pa.nulls(0, t) for t in left]
-    parts = [[*first, *(pa.nulls(len(told), t) for t in right)], [*(pa.nulls(n, t) for t in left), *(pa.array(c, t) if isinstance(c, np.ndarray) else c for c, t in zip(columns, right))]]
+    second = [pa.array(c, t) if isinstance(c, np.ndarray) else c for c, t in zip(columns, right)]
+    parts = [[*first, *(pa.nulls(len(told), t) for t in right)], [*(pa.nulls(len(second[0]), t) for t in left), *second]]
     return pa.concat_tables([pa.Table.from_arrays(p, _names(schema)) for p in parts])
 
 
@@ -350,7 +350,8 @@ def _sent(shard: int, found: list[tuple[np.ndarray, np.ndarray]], buckets: int)
         for c in phrases:
             mixed = (mixed ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(32)
-        rows = [(h, length, shard, _phrase_items(phrases[:, at]), _numbers(counts[at])) for h, at in _dealt((mixed % np.uint64(buckets)).astype(np.int64))]
+        bucket = (mixed % np.uint64(buckets)).astype(np.int64)
+        rows = [(h, length, shard, _phrase_items(phrases[:, at]), _numbers(counts[at])) for h, at in _dealt(bucket)]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], _names(PHRASES))
 
@@ -378,7 +379,7 @@ def _add_phrases(least: int, tell: bool) -> Callable[[tuple, pa.Table], pa.Table
 
 
 def _shards_of(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """Shard, numbers of its words in the order of the text (-1 between pieces), and its frequent words, ascending: numbers here and over all shards."""
+    """Place in the batch, shard, its text as numbers (-1 between pieces), and its frequent words, ascending: numbers here and over all shards."""
     for k in range(batch.num_rows):
         shard, codes, one = (c[k].as_py() for c in batch.columns[:3])
         here = np.concatenate([np.cumsum(_read_numbers(x["i"])) for x in one])
@@ -461,7 +462,8 @@ def frequent_phrases(table: DataFrame, least: int = LEAST, longest: int = LONGES
     if counted:
         several = reduce(DataFrame.unionByName, counted)
         each = several.select("ids", "f", F.posexplode("ids").alias("at", "id")).join(vocabulary.select("id", "lang", "phrase"), "id")
-        named = each.groupBy("ids").agg(F.first("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("at", "phrase"))).alias("words"), F.first("f").alias("f"))
+        words = F.sort_array(F.collect_list(F.struct("at", "phrase"))).alias("words")
+        named = each.groupBy("ids").agg(F.first("lang").alias("lang"), words, F.first("f").alias("f"))
         parts.append(named.select("lang", F.array_join("words.phrase", " ").alias("phrase"), F.size("ids").alias("len"), "f"))
     return cut(reduce(DataFrame.unionByName, parts), "phrases")
 
