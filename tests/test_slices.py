@@ -78,6 +78,41 @@ def test_relation_is_never_written(spark, small, monkeypatch, tile):
     assert np.allclose(lines, want)
 
 
+def test_pairs_of_slices_are_dealt_to_many_tasks(spark, monkeypatch):
+    """A task meets a few tiles of either side, wherever the slices are written; here one slice, in one file."""
+    monkeypatch.setattr(slices, "MEET", 2)
+    x = np.random.default_rng(6).standard_normal((10, 96))
+    got = tiles.gram(rows_of(spark, values=x), 96, 8)
+    assert got.parts.table.count() == 1
+    tasks = [r["count"] for r in got.table.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 78 and len(tasks) > 9 and max(tasks) <= 16
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mirrored_cells_take_little_disk(spark, tmp_path, seed):
+    x = np.random.default_rng(seed).standard_normal((20, 700))
+    got = tiles.gram(rows_of(spark, values=x), 700, 256).cells(list(range(700)))
+    got.write.parquet(str(tmp_path / "cells"))
+    size = sum(p.stat().st_size for p in (tmp_path / "cells").glob("*.parquet"))
+    back = spark.read.parquet(str(tmp_path / "cells")).toPandas()
+    assert size < 7 * 700 * 700
+    assert len(back) == 700 * 700 and not back.duplicated(["i", "j"]).any()
+    assert np.allclose(back.c, (x.T @ x)[back.i, back.j])
+
+
+def test_cells_with_digits(spark):
+    """As Spark's round: ties away from zero; no negative zero."""
+    x = np.array([[1.0, 0.5, -0.5, 1e-7, -1e-7, 0.375, -2.0, 0.1]])
+    got = tiles.gram(rows_of(spark, values=x), 8, 3).scaled(0.25)
+    ids = [10 * i for i in range(8)]
+    plain = got.cells(ids).withColumn("c", F.round("c", 2)).collect()
+    rounded = got.cells(ids, 2).collect()
+    want = {(r["i"], r["j"]): r["c"] + 0.0 for r in plain}
+    assert {(r["i"], r["j"]): r["c"] for r in rounded} == want and len(rounded) == 64
+    assert not any(r["c"] == 0 and np.signbit(r["c"]) for r in rounded)
+    assert want[0, 10] == 0.13 and want[0, 20] == -0.13
+
+
 def test_cross_chromosome(spark, small):
     x = np.random.default_rng(8).standard_normal((12, 30))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
